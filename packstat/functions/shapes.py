@@ -264,10 +264,11 @@ def cols_of(df: DataFrame, prefix: str = "") -> Cols:
 
 
 def present(df: DataFrame, prefix: str = "", dim: int | None = None) -> list[Shape]:
-    """Registered shapes whose columns the table carries."""
+    """Registered shapes whose columns the table carries; 3D ones need a third coordinate."""
     names = set(df.columns)
+    most = 3 if prefix + "cz" in names else 2
     return [s for s in SHAPES.values()
-            if all(prefix + col in names for col in s.columns) and (dim is None or s.dim == dim)]
+            if all(prefix + col in names for col in s.columns) and s.dim <= most and (dim is None or s.dim == dim)]
 
 
 def by_shape(df: DataFrame, expression: Callable[[Shape, Cols], Column | None],
