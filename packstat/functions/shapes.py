@@ -22,6 +22,12 @@ class Cols:
     def __init__(self, prefix: str = "", known: set[str] | None = None):
         self._prefix, self._known = prefix, known
 
+    def frame(self, dim: int) -> list[list[Column]] | None:
+        """The rotation, where ``framed`` has already put it into columns."""
+        if self._known is None or "m11" not in self._known:
+            return None
+        return [[F.col(f"{self._prefix}m{i}{j}") for j in range(1, dim + 1)] for i in range(1, dim + 1)]
+
     def __getattr__(self, name: str) -> Column:
         if self._known is not None and name not in self._known:
             return F.lit(0.0)
@@ -70,6 +76,8 @@ def _ellipse_axes(c: Cols) -> list[list[Column]]:
 
 def _ellipsoid_axes(c: Cols) -> list[list[Column]]:
     """Unit vectors of the principal axes, from the quaternion of the axis-angle rotation."""
+    if c.frame(3):
+        return c.frame(3)
     size = F.sqrt(c.rot_x * c.rot_x + c.rot_y * c.rot_y + c.rot_z * c.rot_z)
     w, s = F.cos(c.angle / 2), F.sin(c.angle / 2)
     x, y, z = s * c.rot_x / size, s * c.rot_y / size, s * c.rot_z / size
@@ -82,6 +90,8 @@ def _ellipsoid_axes(c: Cols) -> list[list[Column]]:
 
 def _cylinder_axes(c: Cols) -> list[list[Column]]:
     """Axis of symmetry, then the directions in which the polar and azimuth angles grow."""
+    if c.frame(3):
+        return c.frame(3)
     st, ct = F.sin(c.polar_angle), F.cos(c.polar_angle)
     sp, cp = F.sin(c.azimuth_angle), F.cos(c.azimuth_angle)
     return [[st * cp, st * sp, ct], [ct * cp, ct * sp, -st], [-sp, cp, F.lit(0.0)]]
@@ -295,3 +305,18 @@ def by_shape_vector(df: DataFrame, expression: Callable[[Shape, Cols], list[Colu
         return pick
 
     return [by_shape(df, component(k), prefix, dim) for k in range(size)]
+
+
+def with_rotation(particles: DataFrame, dim: int) -> DataFrame:
+    """Columns ``m11 ..``: row k is the k-th local axis in global coordinates."""
+    cells = []
+    for i in range(dim):
+        row = by_shape_vector(particles, lambda s, c, i=i: s.rotation(c)[i], dim, dim=dim)
+        cells += [x.alias(f"m{i + 1}{j + 1}") for j, x in enumerate(row)]
+    return particles.select("*", *cells)
+
+
+def framed(particles: DataFrame, dim: int) -> DataFrame:
+    """The table with its rotations worked out once, where it holds turned 3D shapes."""
+    turned = dim == 3 and any(s.name in ("Ellipsoid", "Cylinder") for s in present(particles, dim=3))
+    return with_rotation(particles, 3) if turned and "m11" not in particles.columns else particles

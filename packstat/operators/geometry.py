@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packstat.functions.periodic import axes, min_image, wrap
-from packstat.functions.shapes import by_shape, by_shape_vector, cols_of, present
+from packstat.functions.periodic import axes, wrap
+from packstat.functions.shapes import by_shape, by_shape_vector, cols_of, framed, present
 from packstat.operators.spatial import attach, attach_box, box, radius
 from packstat.schema import PARTICLE_SIZES
 
@@ -109,30 +109,23 @@ def with_radii(particles: DataFrame) -> DataFrame:
                             ecc.alias("eccentricity"))
 
 
-def with_rotation(particles: DataFrame, dim: int) -> DataFrame:
-    """Columns ``m11 ..``: row k is the k-th local axis in global coordinates."""
-    cells = []
-    for i in range(dim):
-        row = by_shape_vector(particles, lambda s, c, i=i: s.rotation(c)[i], dim, dim=dim)
-        cells += [x.alias(f"m{i + 1}{j + 1}") for j, x in enumerate(row)]
-    return particles.select("*", *cells)
-
-
 def with_extents(particles: DataFrame, dim: int) -> DataFrame:
     """Lower and upper extreme along each axis."""
-    out = []
+    out, names = [], particles.columns
+    particles = framed(particles, dim)
     for k, a in enumerate(axes(dim)):
         unit = [F.lit(1.0 if j == k else 0.0) for j in range(dim)]
         reach = by_shape(particles, lambda s, c, unit=unit: s.width(c, unit), dim=dim)
         out += [(F.col(f"c{a}") - reach).alias(f"lo_{a}"), (F.col(f"c{a}") + reach).alias(f"hi_{a}")]
-    return particles.select("*", *out)
+    return particles.select(*names, *out)
 
 
 def support(particles: DataFrame, u: list[Column]) -> DataFrame:
     """Furthest point of each particle in a direction: ``sx, sy(, sz)``."""
-    dim = len(u)
+    dim, names = len(u), particles.columns
+    particles = framed(particles, dim)
     far = by_shape_vector(particles, lambda s, c: s.furthest(c, u), dim, dim=dim)
-    return particles.select("*", *[(F.col(f"c{a}") + x).alias(f"s{a}") for a, x in zip(axes(dim), far)])
+    return particles.select(*names, *[(F.col(f"c{a}") + x).alias(f"s{a}") for a, x in zip(axes(dim), far)])
 
 
 def with_inflation(rows: DataFrame, big: Column, small: Column, delta: Column, name: str) -> DataFrame:
@@ -366,7 +359,3 @@ def shrunk_box(particles: DataFrame, dim: int) -> DataFrame:
     return flat.groupBy("sample_id").agg(
         *[F.min(f"lo_{a}").alias(f"o{a}") for a in axes(dim)],
         *[(F.max(f"hi_{a}") - F.min(f"lo_{a}")).alias(f"l{a}") for a in axes(dim)])
-
-
-def displaced(points: DataFrame, dim: int) -> list[Column]:
-    return [min_image(F.col(a) - F.col(f"c{a}"), F.col(f"l{a}")) for a in axes(dim)]

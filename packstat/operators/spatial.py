@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packstat.functions.periodic import axes, grid_index, min_image, norm, wrap
-from packstat.functions.shapes import by_shape, cols_of, dot
+from packstat.functions.shapes import by_shape, cols_of, dot, framed
 from packstat.session import checkpoint
 
 CELL_LOAD = 1 << 14
@@ -186,8 +186,7 @@ def _sphere_cylinder(pairs: DataFrame) -> Column | None:
 
     def test(ball: str, tube: str, sign: int) -> Column:
         c = cols_of(pairs, tube)
-        st = F.sin(c.polar_angle)
-        axis = [st * F.cos(c.azimuth_angle), st * F.sin(c.azimuth_angle), F.cos(c.polar_angle)]
+        axis = c.frame(3)[0]
         v = [sign * F.col(f"d{a}") for a in axes(3)]
         along = F.abs(dot(v, axis))
         away = F.sqrt(F.greatest(dot(v, v) - along * along, F.lit(0.0)))
@@ -216,6 +215,7 @@ def overlaps(particles: DataFrame, samples: DataFrame, dim: int, method: str = "
     ``exact``: any convex pair, least separation over all directions (Arrow batches).
     ``inside=False`` leaves out a ball wholly inside another.
     """
+    particles = framed(particles, dim)
     names = [c for c in particles.columns if c not in ("sample_id", "particle_id", *box(3))]
     pairs = near_pairs(particles, samples, dim, radius(particles, dim), names)
     pairs = pairs.where(F.col("d") < radius(pairs, dim, "a_") + radius(pairs, dim, "b_"))
@@ -256,6 +256,7 @@ def _as_overlaps(pairs: DataFrame, dim: int, u: list[Column]) -> DataFrame:
 
 def sphere_cylinder_contacts(particles: DataFrame, samples: DataFrame) -> DataFrame:
     """Sphere-cylinder pairs that intersect."""
+    particles = framed(particles, 3)
     names = [c for c in particles.columns if c not in ("sample_id", "particle_id", *box(3))]
     pairs = near_pairs(particles, samples, 3, radius(particles, 3), names)
     return (pairs.where(F.coalesce(_sphere_cylinder(pairs), F.lit(False)))
@@ -371,6 +372,7 @@ def refresh_neighbors(pairs: DataFrame, leavers: DataFrame, now: DataFrame, samp
 def points_in_particles(points: DataFrame, particles: DataFrame, samples: DataFrame, dim: int,
                         point_cols: Sequence[str] = ("point_id",)) -> DataFrame:
     """(point, particle) rows for every particle a point lies in."""
+    particles = framed(particles, dim)
     names = [c for c in particles.columns if c not in ("sample_id", "particle_id", *box(3))]
     near = near_points(points, particles, samples, dim, radius(particles, dim) * (1 + 1e-5), names, point_cols)
     d = [min_image(F.col(a) - F.col(f"c{a}"), F.col(f"l{a}")) for a in axes(dim)]

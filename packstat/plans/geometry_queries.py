@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packstat.functions.periodic import axis_to_angles, grid_index, min_image, wrap
+from packstat.functions.shapes import with_rotation
 from packstat.operators import geometry as g
 from packstat.operators import stats as st
 from packstat.operators.spatial import attach_box
@@ -81,7 +82,7 @@ _CELLS = [f"m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
 @query(sql("SELECT sample_id, particle_id, " + ", ".join(f"round(CAST({m} AS DOUBLE),6)+0e0 AS {m}" for m in _CELLS)
            + " FROM rot", "mixed3", frames=_FRAMES, rot=_ROT))
 def rotations_3d(spark, d):
-    p = g.with_rotation(fx.mixed_3d(spark, d), 3)
+    p = with_rotation(fx.mixed_3d(spark, d), 3)
     return p.select("sample_id", "particle_id", *[r(m).alias(m) for m in _CELLS])
 
 

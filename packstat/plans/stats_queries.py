@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from packstat.functions.hashing import u3
 from packstat.operators import spatial as sp
 from packstat.operators import stats as st
-from packstat.plans.registry import query, r, rounded
+from packstat.plans.registry import query, rounded
 from packstat.plans.sqlfix import sql, u
 from packstat.sources import fixtures as fx
 
@@ -70,7 +70,7 @@ _HIT3 = ("EXISTS (SELECT 1 FROM spheres m WHERE m.sample_id={p}.sample_id AND (p
          "+pow({p}.y-m.cy-round_even({p}.y-m.cy,0),2)+pow({p}.z-m.cz-round_even({p}.z-m.cz,0),2))/(m.r*m.r)-1<=1e-6)")
 
 
-@query(sql(f"""SELECT s.sample_id, s.sep, s.ratio AS r_over_R, round(coalesce(hits,0)/n,6) AS s2 FROM (
+@query(sql(f"""SELECT s.sample_id, s.sep, round(s.ratio,6) AS r_over_R, round(coalesce(hits,0)/n,6) AS s2 FROM (
 SELECT sample_id, sep, sep*0.7e0 AS ratio, n FROM (SELECT sample_id, count(*) AS n FROM points GROUP BY 1),
 generate_series(0,3) AS g(sep)) s LEFT JOIN (SELECT sample_id, sep, count(*) AS hits FROM second_ q WHERE {_HIT3.format(p='q')}
 GROUP BY 1,2) h USING (sample_id, sep)""", "points", "spheres",
@@ -81,7 +81,7 @@ FROM first_ JOIN mean_ USING (sample_id), generate_series(0,3) AS g(sep)"""))
 def two_point_direction_3d(spark, d):
     out = st.two_point(fx.spheres(spark, d), fx.samples(spark, d, 3), fx.points(spark, d), 3,
                        [0.7 * k for k in range(4)], direction=[1.0, 2.0, 2.0])
-    return out.select("sample_id", "sep", r(F.col("sep") * F.lit(0.7), 12).alias("r_over_R"), r("s2").alias("s2"))
+    return rounded(out, "r_over_R", "s2")
 
 
 @query(sql("""SELECT sample_id, bin, round(lo+bin*(hi-lo)/8,6) AS lo, round(lo+(bin+1)*(hi-lo)/8,6) AS hi,
