@@ -230,7 +230,7 @@ def periodic_images(spark, d):
     return rounded(p.select("sample_id", "particle_id", "image_x", "image_y", "cx", "cy"), "cx", "cy")
 
 
-@query(sql("""SELECT c.sample_id, c.particle_id-c.particle_id%4 AS parent_id, round(sum(c.r*c.r*0.16e0)/any_value(p.r*p.r),9) AS fill,
+@query(sql("""SELECT c.sample_id, c.particle_id-c.particle_id%4 AS parent_id, round(sqrt(sum(c.r*c.r*0.16e0)/any_value(p.r*p.r)),6) AS root_fill,
 count(*) AS children, sum(CASE WHEN sqrt(pow(0.01e0*(c.cx-0.5e0),2)+pow(0.01e0*(c.cy-0.5e0),2))+0.4e0*c.r<=p.r THEN 1 ELSE 0 END)::BIGINT
 AS whole FROM disks c JOIN disks p ON c.sample_id=p.sample_id AND p.particle_id=c.particle_id-c.particle_id%4
 WHERE c.particle_id%4<>0 GROUP BY 1,2""", "disks"))
@@ -245,7 +245,8 @@ def inside_outer(spark, d):
                 .withColumn("cy", F.col("py") + 0.01 * (F.col("cy") - 0.5)).withColumn("r", F.col("r") * 0.4)
                 .drop("px", "py"))
     whole = p.where("particle_id % 4 = 0").withColumn("parent_id", F.lit(None).cast("long")).unionByName(children)
-    return rounded(sp.inside_outer(whole, fx.samples(spark, d), 2), "fill", digits=9)
+    out = sp.inside_outer(whole, fx.samples(spark, d), 2)
+    return out.select("sample_id", "parent_id", r(F.sqrt("fill")).alias("root_fill"), "children", "whole")
 
 
 @query(sql("""SELECT DISTINCT sample_id, particle_id, ix, iy, (ix+a+n)%n AS near_x, (iy+b+n)%n AS near_y FROM (

@@ -250,7 +250,7 @@ _OFFSET = dict(
 )
 
 
-@query(sql("""SELECT sample_id, axis, round(m-floor(m),6) AS offset, round(gap,6) AS gap, free FROM (SELECT *, at+gap/2 AS m,
+@query(sql("""SELECT sample_id, axis, round(m-floor(m),6) AS "offset", round(gap,6) AS gap, free FROM (SELECT *, at+gap/2 AS m,
 row_number() OVER (PARTITION BY sample_id, axis ORDER BY free DESC, gap DESC, at DESC) AS k FROM tested) WHERE k=1""",
     "disks", **_OFFSET))
 def rve_offset(spark, d):
