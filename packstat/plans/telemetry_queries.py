@@ -242,16 +242,16 @@ def adaptive_dt(spark, d):
 _OFFSET = dict(
     small="SELECT sample_id, particle_id, axis, lo, hi, lo-floor(lo) AS a, hi-floor(hi) AS z FROM (SELECT sample_id, particle_id, 'x' AS axis, "
           "cx-r/4 AS lo, cx+r/4 AS hi FROM disks UNION ALL SELECT sample_id, particle_id, 'y', cy-r/4, cy+r/4 FROM disks)",
-    lims="SELECT DISTINCT sample_id, axis, a AS at FROM small UNION SELECT DISTINCT sample_id, axis, z FROM small",
-    gaps="SELECT sample_id, axis, at, coalesce(lead(at) OVER (PARTITION BY sample_id, axis ORDER BY at), "
-         "1+min(at) OVER (PARTITION BY sample_id, axis))-at AS gap FROM lims",
+    lims="SELECT DISTINCT sample_id, axis, a AS pos FROM small UNION SELECT DISTINCT sample_id, axis, z FROM small",
+    gaps="SELECT sample_id, axis, pos, coalesce(lead(pos) OVER (PARTITION BY sample_id, axis ORDER BY pos), "
+         "1+min(pos) OVER (PARTITION BY sample_id, axis))-pos AS gap FROM lims",
     tested="SELECT *, NOT EXISTS (SELECT 1 FROM small s WHERE s.sample_id=g.sample_id AND s.axis=g.axis AND "
-           "((at+gap/2-s.lo)-floor(at+gap/2-s.lo))<s.hi-s.lo) AS free FROM gaps g",
+           "((pos+gap/2-s.lo)-floor(pos+gap/2-s.lo))<s.hi-s.lo) AS free FROM gaps g",
 )
 
 
-@query(sql("""SELECT sample_id, axis, round(m-floor(m),6) AS "offset", round(gap,6) AS gap, free FROM (SELECT *, at+gap/2 AS m,
-row_number() OVER (PARTITION BY sample_id, axis ORDER BY free DESC, gap DESC, at DESC) AS k FROM tested) WHERE k=1""",
+@query(sql("""SELECT sample_id, axis, round(m-floor(m),6) AS "offset", round(gap,6) AS gap, free FROM (SELECT *, pos+gap/2 AS m,
+row_number() OVER (PARTITION BY sample_id, axis ORDER BY free DESC, gap DESC, pos DESC) AS k FROM tested) WHERE k=1""",
     "disks", **_OFFSET))
 def rve_offset(spark, d):
     p = fx.disks(spark, d).withColumn("r", F.col("r") / 4)
