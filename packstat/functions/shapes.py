@@ -28,6 +28,12 @@ class Cols:
             return None
         return [[F.col(f"{self._prefix}m{i}{j}") for j in range(1, dim + 1)] for i in range(1, dim + 1)]
 
+    def parts(self, stem: str) -> list[Column] | None:
+        """Four columns ``stem0 ..`` worked out beforehand, if the table has them."""
+        if self._known is None or f"{stem}0" not in self._known:
+            return None
+        return [F.col(f"{self._prefix}{stem}{k}") for k in range(4)]
+
     def __getattr__(self, name: str) -> Column:
         if self._known is not None and name not in self._known:
             return F.lit(0.0)
@@ -78,9 +84,7 @@ def _ellipsoid_axes(c: Cols) -> list[list[Column]]:
     """Unit vectors of the principal axes, from the quaternion of the axis-angle rotation."""
     if c.frame(3):
         return c.frame(3)
-    size = F.sqrt(c.rot_x * c.rot_x + c.rot_y * c.rot_y + c.rot_z * c.rot_z)
-    w, s = F.cos(c.angle / 2), F.sin(c.angle / 2)
-    x, y, z = s * c.rot_x / size, s * c.rot_y / size, s * c.rot_z / size
+    w, x, y, z = c.parts("_q") or _quaternion(c)
     return [
         [1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w)],
         [2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w)],
@@ -88,12 +92,21 @@ def _ellipsoid_axes(c: Cols) -> list[list[Column]]:
     ]
 
 
+def _quaternion(c: Cols) -> list[Column]:
+    size = F.sqrt(c.rot_x * c.rot_x + c.rot_y * c.rot_y + c.rot_z * c.rot_z)
+    s = F.sin(c.angle / 2) / size
+    return [F.cos(c.angle / 2), s * c.rot_x, s * c.rot_y, s * c.rot_z]
+
+
+def _turns(c: Cols) -> list[Column]:
+    return [F.sin(c.polar_angle), F.cos(c.polar_angle), F.sin(c.azimuth_angle), F.cos(c.azimuth_angle)]
+
+
 def _cylinder_axes(c: Cols) -> list[list[Column]]:
     """Axis of symmetry, then the directions in which the polar and azimuth angles grow."""
     if c.frame(3):
         return c.frame(3)
-    st, ct = F.sin(c.polar_angle), F.cos(c.polar_angle)
-    sp, cp = F.sin(c.azimuth_angle), F.cos(c.azimuth_angle)
+    st, ct, sp, cp = c.parts("_c") or _turns(c)
     return [[st * cp, st * sp, ct], [ct * cp, ct * sp, -st], [-sp, cp, F.lit(0.0)]]
 
 
@@ -308,12 +321,20 @@ def by_shape_vector(df: DataFrame, expression: Callable[[Shape, Cols], list[Colu
 
 
 def with_rotation(particles: DataFrame, dim: int) -> DataFrame:
-    """Columns ``m11 ..``: row k is the k-th local axis in global coordinates."""
-    cells = []
+    """Columns ``m11 ..``: row k is the k-th local axis in global coordinates.
+
+    The sines, cosines and quaternions are columns of their own first, each computed once.
+    """
+    names, cells, c = particles.columns, [], cols_of(particles)
+    kinds = {s.name for s in present(particles, dim=dim)}
+    if "Ellipsoid" in kinds:
+        particles = particles.withColumns({f"_q{k}": x for k, x in enumerate(_quaternion(c))})
+    if "Cylinder" in kinds:
+        particles = particles.withColumns({f"_c{k}": x for k, x in enumerate(_turns(c))})
     for i in range(dim):
         row = by_shape_vector(particles, lambda s, c, i=i: s.rotation(c)[i], dim, dim=dim)
         cells += [x.alias(f"m{i + 1}{j + 1}") for j, x in enumerate(row)]
-    return particles.select("*", *cells)
+    return particles.select(*names, *cells)
 
 
 def framed(particles: DataFrame, dim: int) -> DataFrame:

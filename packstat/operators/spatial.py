@@ -110,15 +110,16 @@ def near_pairs(particles: DataFrame, samples: DataFrame, dim: int, reach: Column
     right = _prefixed(listed.drop("_rmax", "_rows", *box(dim)), "b_", key)
     # equal levels meet twice, once from either side
     once = (F.col("b__own") > F.col("_level")) | (F.col("a_particle_id") < F.col("b_particle_id"))
-    pairs = left.join(right, key).where(once)
+    near = left.join(right, key).where(once).drop("_level", "_salt", "a__own", "b__own", *_cell_names(dim))
+    near = near.select("*", *[x.alias(f"d{a}") for a, x in zip(axes(dim), offsets(dim))])
+    near = near.withColumn("d", norm([F.col(f"d{a}") for a in axes(dim)]))
+    near = near.where(F.col("d") < F.col("a__reach") + F.col("b__reach"))
+    # the lower id comes first; only kept pairs are turned round
     flip = F.col("a_particle_id") > F.col("b_particle_id")
-    ordered = [F.when(flip, F.col("b_" + c)).otherwise(F.col("a_" + c)).alias("a_" + c) for c in [*keep, "_reach"]]
-    ordered += [F.when(flip, F.col("a_" + c)).otherwise(F.col("b_" + c)).alias("b_" + c) for c in [*keep, "_reach"]]
-    d = offsets(dim)
-    out = (pairs.select("sample_id", *box(dim), *ordered)
-           .select("*", *[x.alias(f"d{a}") for a, x in zip(axes(dim), d)])
-           .withColumn("d", norm([F.col(f"d{a}") for a in axes(dim)])))
-    return out.where(F.col("d") < F.col("a__reach") + F.col("b__reach")).drop("a__reach", "b__reach")
+    turned = [F.when(flip, F.col("b_" + c)).otherwise(F.col("a_" + c)).alias("a_" + c) for c in keep]
+    turned += [F.when(flip, F.col("a_" + c)).otherwise(F.col("b_" + c)).alias("b_" + c) for c in keep]
+    return near.select("sample_id", *box(dim), *turned,
+                       *[F.when(flip, -F.col(f"d{a}")).otherwise(F.col(f"d{a}")).alias(f"d{a}") for a in axes(dim)], "d")
 
 
 def near_points(points: DataFrame, particles: DataFrame, samples: DataFrame, dim: int,
@@ -218,7 +219,6 @@ def overlaps(particles: DataFrame, samples: DataFrame, dim: int, method: str = "
     particles = framed(particles, dim)
     names = [c for c in particles.columns if c not in ("sample_id", "particle_id", *box(3))]
     pairs = near_pairs(particles, samples, dim, radius(particles, dim), names)
-    pairs = pairs.where(F.col("d") < radius(pairs, dim, "a_") + radius(pairs, dim, "b_"))
     u = _unit(dim)
     if method == "exact":
         from packstat.operators.convex import separate

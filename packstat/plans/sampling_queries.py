@@ -360,13 +360,14 @@ def spec_problems(spark, d):
     samples = rows.select("sample_id", (2 + k % 2).cast("int").alias("dim"))
     phases = rows.select("sample_id", F.explode(F.array(
         F.struct(F.lit("1").alias("phase"), F.lit("Disk").alias("type"), F.lit(False).alias("inner_phase"), F.lit(None).cast("string").alias("outer_phase")),
-        F.struct(F.lit("2"), F.lit("Disk"), F.lit(False), F.lit(None).cast("string")),
-        F.struct(F.lit("3"), F.lit("Disk"), F.lit(True), F.lit("1")))).alias("_p")).select("sample_id", "_p.*")
+        F.struct(F.lit("2").alias("phase"), F.lit("Disk").alias("type"), F.lit(False).alias("inner_phase"), F.lit(None).cast("string").alias("outer_phase")),
+        F.struct(F.lit("3").alias("phase"), F.lit("Disk").alias("type"), F.lit(True).alias("inner_phase"), F.lit("1").alias("outer_phase")))).alias("_p")).select("sample_id", "_p.*")
     runs = rows.select("sample_id", F.when(k % 3 == 0, "random_sequential_adsorption").otherwise("molecular_dynamics").alias("method"),
                        (2 + F.floor(k / 2) % 2).cast("int").alias("n_grid"))
     fractions = rows.select("sample_id", F.explode(F.array(
         F.struct(F.lit("1").alias("phase"), (0.3 * (k % 5)).alias("vf"), F.lit(10).cast("long").alias("n")),
-        F.struct(F.lit("2"), 0.25 * (k % 2), k * 2000), F.struct(F.lit("3"), F.lit(0.4), F.lit(5).cast("long")))).alias("_f")).select("sample_id", "_f.*")
+        F.struct(F.lit("2").alias("phase"), (0.25 * (k % 2)).alias("vf"), (k * 2000).alias("n")),
+        F.struct(F.lit("3").alias("phase"), F.lit(0.4).alias("vf"), F.lit(5).cast("long").alias("n")))).alias("_f")).select("sample_id", "_f.*")
     return ru.spec_problems(samples, phases, _given(spark, d)[1], runs, fractions)
 
 
