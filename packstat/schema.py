@@ -35,3 +35,5 @@ RUN_STEPS = _struct(sample_id=S, step=L, ts=T.TimestampType(), total_overlap=D,
 
 TYPE_CODES = {"Matrix": 1, **{s.name: s.code for s in SHAPES.values()}}
 TYPE_DIMS = {s.name: (3 if s.name == "CylindricalFiber" else s.dim) for s in SHAPES.values()}
+# coordinates of a centre: fibres are kept by the two across their axis
+SHAPES_CENTRE = {d: tuple(s.name for s in SHAPES.values() if s.dim == d) for d in (2, 3)}
