@@ -372,12 +372,22 @@ def refresh_neighbors(pairs: DataFrame, leavers: DataFrame, now: DataFrame, samp
 def points_in_particles(points: DataFrame, particles: DataFrame, samples: DataFrame, dim: int,
                         point_cols: Sequence[str] = ("point_id",)) -> DataFrame:
     """(point, particle) rows for every particle a point lies in."""
+    return _hits(points, particles, samples, dim, point_cols).select("sample_id", *point_cols, "particle_id")
+
+
+def points_inside(points: DataFrame, particles: DataFrame, samples: DataFrame, dim: int,
+                  point_cols: Sequence[str] = ("point_id",)) -> DataFrame:
+    """The points that lie in the particle phase, once each, with their coordinates."""
+    return _hits(points, particles, samples, dim, point_cols).select("sample_id", *point_cols, *axes(dim)).distinct()
+
+
+def _hits(points: DataFrame, particles: DataFrame, samples: DataFrame, dim: int, point_cols: Sequence[str]) -> DataFrame:
     particles = framed(particles, dim)
     names = [c for c in particles.columns if c not in ("sample_id", "particle_id", *box(3))]
     near = near_points(points, particles, samples, dim, radius(particles, dim) * (1 + 1e-5), names, point_cols)
     d = [min_image(F.col(a) - F.col(f"c{a}"), F.col(f"l{a}")) for a in axes(dim)]
     inside = by_shape(near, lambda s, c: s.contains(c, d), dim=dim)
-    return near.where(inside).select("sample_id", *point_cols, "particle_id")
+    return near.where(inside)
 
 
 def point_flags(points: DataFrame, particles: DataFrame, samples: DataFrame, dim: int,

@@ -11,7 +11,7 @@ from packstat.functions.hashing import uniform
 from packstat.functions.periodic import axes, wrap
 from packstat.functions.shapes import by_shape
 from packstat.operators.geometry import interior_particles, shrunk_box, with_volume
-from packstat.operators.spatial import attach, attach_box, box, near_pairs, point_flags, radius
+from packstat.operators.spatial import attach, attach_box, box, near_pairs, points_inside, radius
 
 
 def volume_fractions(particles: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
@@ -85,13 +85,11 @@ def corner_area(radius_: Column, width: Column, height: Column) -> Column:
 
 
 def disk_share(x: Column, y: Column, radius_: Column, lx: Column, ly: Column) -> Column:
-    """Share of the disk around (x, y) that lies in the box."""
-    total = None
-    for w in (x, lx - x):
-        for h in (y, ly - y):
-            part = corner_area(radius_, w, h)
-            total = part if total is None else total + part
-    return total / (F.pi() * radius_ * radius_)
+    """Share of the disk around (x, y) that lies in the box; most disks lie in it whole."""
+    whole = radius_ <= F.least(x, lx - x, y, ly - y)
+    corners = F.array(*[F.struct(w.alias("w"), h.alias("h")) for w in (x, lx - x) for h in (y, ly - y)])
+    inside = F.aggregate(corners, F.lit(0.0), lambda total, c: total + corner_area(radius_, c["w"], c["h"]))
+    return F.when(whole, F.lit(1.0)).otherwise(inside / (F.pi() * radius_ * radius_))
 
 
 def ripley_k(particles: DataFrame, samples: DataFrame, max_radius: int = 10, n_points: int = 20) -> DataFrame:
@@ -118,9 +116,11 @@ def ripley_k(particles: DataFrame, samples: DataFrame, max_radius: int = 10, n_p
     seen = attach(pairs.select("sample_id", "d", F.col("a__rad").alias("_rad"), F.explode(both).alias("_c")),
                   facts.select("sample_id", "_lx", "_ly", "_n"))
     share = disk_share(F.col("_c.x"), F.col("_c.y"), F.col("d"), F.col("_lx"), F.col("_ly"))
-    weight = 1 / F.when(share > 0, share).otherwise(1.0) / F.col("_n")
+    seen = seen.withColumn("_share", share)
+    weight = 1 / F.when(F.col("_share") > 0, F.col("_share")).otherwise(1.0) / F.col("_n")
     # least index t with d < rad * t / n_points, corrected for rounding of the division
-    guess = F.greatest(F.floor(F.col("d") / F.col("_rad") * n_points).cast("long"), F.lit(0).cast("long"))
+    seen = seen.withColumn("_guess", F.floor(F.col("d") / F.col("_rad") * n_points).cast("long"))
+    guess = F.col("_guess")
     at = lambda t: F.col("_rad") * (t * (1.0 / n_points))
     index = (F.when(F.col("d") < at(guess), guess).when(F.col("d") < at(guess + 1), guess + 1).otherwise(guess + 2))
     binned = (seen.select("sample_id", index.alias("t"), weight.alias("_w")).where(F.col("t") < steps)
@@ -161,7 +161,7 @@ def two_point(particles: DataFrame, samples: DataFrame, points: DataFrame, dim:
         raise ValueError("three dimensions need a direction")
     mean = particles.groupBy("sample_id").agg(F.avg(radius(particles, dim)).alias("_mean"))
     n_first = points.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_points"))
-    first = point_flags(points, particles, samples, dim).where("inside").select("sample_id", "point_id", *axes(dim))
+    first = points_inside(points, particles, samples, dim)
     steps = F.array(*[F.struct(F.lit(k).cast("long").alias("sep"), F.lit(float(s)).alias("ratio"))
                       for k, s in enumerate(separations)])
     shifted = attach_box(attach(first.withColumn("_s", F.explode(steps)).select("*", "_s.sep", "_s.ratio"), mean),
@@ -174,8 +174,8 @@ def two_point(particles: DataFrame, samples: DataFrame, points: DataFrame, dim:
         u = [F.cos(turn), F.sin(turn)]
     moved = [wrap(F.col(a) + F.col("ratio") * F.col("_mean") * x, F.col(f"l{a}")).alias(a) for a, x in zip(axes(dim), u)]
     second = shifted.select("sample_id", "point_id", "sep", *moved)
-    both = point_flags(second, particles, samples, dim, ["sample_id", "point_id", "sep"])
-    hits = both.groupBy("sample_id", "sep").agg(F.sum(F.col("inside").cast("long")).alias("hits"))
+    both = points_inside(second, particles, samples, dim, ["point_id", "sep"])
+    hits = both.groupBy("sample_id", "sep").agg(F.count(F.lit(1)).alias("hits"))
     grid = n_first.withColumn("_s", F.explode(steps)).select("sample_id", "n_points", "_s.sep", "_s.ratio")
     return grid.join(hits, ["sample_id", "sep"], "left").select(
         "sample_id", "sep", F.col("ratio").alias("r_over_R"),

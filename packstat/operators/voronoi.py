@@ -20,7 +20,7 @@ from packstat.functions.periodic import axes, norm
 from packstat.functions.shapes import by_shape
 from packstat.operators.geometry import surface_points, with_erosion
 from packstat.operators.spatial import attach, box, periodic_images
-from packstat.session import checkpoint
+from packstat.session import checkpoint, spread
 
 EPS = 1e-12
 SECTORS = 12
@@ -111,20 +111,24 @@ def _radius_2d(edges: Column) -> Column:
     return F.when(~is_open, F.array_max(reach))
 
 
-def _cell_3d(offsets: np.ndarray) -> tuple[np.ndarray, float]:
+def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarray, float]:
     """Areas of the facets of one 3D cell from its neighbours' offsets, and the cell's radius.
 
-    The nearest neighbours bound the cell, and only those within twice that radius are cut
-    against each other.
+    The nearest neighbours all around bound the cell, and only those within twice that radius
+    are cut against each other. With ``enough``, any bound not above it will do.
     """
     size = np.linalg.norm(offsets, axis=1)
     order = np.argsort(size)
-    for first in (16, 32):
-        if first >= len(order):
-            break
-        radius = _cut_3d(offsets[order[:first]], size[order[:first]])[1]
+    axis = np.argmax(np.abs(offsets), axis=1)
+    signs = (offsets > 0) @ np.array([1, 2, 4])
+    around = np.unique((axis * 8 + signs)[order], return_index=True)[1]
+    for near in (order[np.union1d(around, np.arange(min(8, len(order))))], order[:32]):
+        radius = _cut_3d(offsets[near], size[near])[1]
         if np.isfinite(radius):
+            if enough is not None and radius <= enough:
+                return np.zeros(len(offsets)), radius
             order = order[size[order] <= 2 * radius * (1 + 1e-9)]
+        if len(order) <= 36:
             break
     areas = np.zeros(len(offsets))
     areas[order], radius = _cut_3d(offsets[order], size[order])
@@ -143,47 +147,63 @@ def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
     length = np.hypot(x, y)
     flat = length <= EPS * size[None, :]
     dead = np.any(flat & (c < -EPS * size[None, :] ** 2), axis=1)
+    # a bisector parallel to the plane draws no line on it: one out of the way of all others
     length[flat] = 1.0
-    x, y, c = x / length, y / length, c / length
-    lines = ~flat[:, None, :]
-    den = x[:, :, None] * y[:, None, :] - y[:, :, None] * x[:, None, :]
-    num = c[:, None, :] - c[:, :, None] * (x[:, :, None] * x[:, None, :] + y[:, :, None] * y[:, None, :])
-    parallel = np.abs(den) <= EPS
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = num / den
-    hi = np.min(np.where(lines & ~parallel & (den > 0), t, np.inf), axis=2)
-    lo = np.max(np.where(lines & ~parallel & (den < 0), t, -np.inf), axis=2)
-    blocked = np.any(lines & parallel & (num < -EPS), axis=2) | flat | dead[:, None]
-    span = np.where(blocked | (hi - lo <= EPS), 0.0, hi - lo)
-    on = span > 0
-    if not on.any() or not np.isfinite(span).all():
+    x, y, c = np.where(flat, 0.0, x / length), np.where(flat, 0.0, y / length), np.where(flat, 1e300, c / length)
+    lo, hi, blocked = np.empty_like(c), np.empty_like(c), np.empty_like(flat)
+    rows = max(1, (1 << 18) // (len(o) * len(o)))
+    for k in range(0, len(o), rows):
+        at = slice(k, k + rows)
+        den = x[at, :, None] * y[at, None, :]
+        den -= y[at, :, None] * x[at, None, :]
+        num = x[at, :, None] * x[at, None, :]
+        num += y[at, :, None] * y[at, None, :]
+        num *= -np.where(flat, 0.0, c)[at, :, None]
+        num += c[at, None, :]
+        blocked[at] = np.any((np.abs(den) <= EPS) & (num < -EPS), axis=2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            num /= den
+        hi[at] = np.min(np.where(den > EPS, num, np.inf), axis=2)
+        lo[at] = np.max(np.where(den < -EPS, num, -np.inf), axis=2)
+    blocked |= flat | dead[:, None]
+    on = ~blocked & (hi - lo > EPS)
+    if not on.any() or not np.isfinite(hi[on]).all() or not np.isfinite(lo[on]).all():
         return np.zeros(len(o)), np.inf
-    corner = size[:, None] ** 2 / 4 + c ** 2 + np.maximum(np.abs(lo), np.abs(hi)) ** 2
-    return 0.5 * np.sum(c * span, axis=1), float(np.sqrt(np.max(corner[on])))
-
-
-def _offsets(near) -> np.ndarray:
-    return np.array([[e["dx"], e["dy"], e["dz"]] for e in near])
+    hi, lo, c = np.where(on, hi, 0.0), np.where(on, lo, 0.0), np.where(on, c, 0.0)
+    corner = size[:, None] ** 2 / 4 + c ** 2 + np.maximum(lo ** 2, hi ** 2)
+    return 0.5 * np.sum(c * (hi - lo), axis=1), float(np.sqrt(np.max(corner[on])))
 
 
 def _radius_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        radii = [_cell_3d(_offsets(near))[1] for near in batch["near"]]
-        yield pd.DataFrame({"sample_id": batch["sample_id"], "i": batch["i"],
+        radii = [_cell_3d(np.stack([x, y, z], axis=1), reach / 2)[1]
+                 for x, y, z, reach in zip(batch["dx"], batch["dy"], batch["dz"], batch["_reach"])]
+        yield pd.DataFrame({"sample_id": batch["sample_id"], "i": batch["i"], "_reach": batch["_reach"], "_all": batch["_all"],
                             "cell_radius": [x if np.isfinite(x) else None for x in radii]})
 
 
+_ARRAYS = ("j", "image_x", "image_y", "image_z", "dx", "dy", "dz", "d")
+
+
 def _facets_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["sample_id", "i", "j", "image_x", "image_y", "image_z", "dx", "dy", "dz", "d", "area", "closed"]
     for batch in batches:
-        rows = []
-        for sample, i, near in zip(batch["sample_id"], batch["i"], batch["near"]):
-            areas, radius = _cell_3d(_offsets(near))
-            for e, area in zip(near, areas):
-                if area > EPS:
-                    rows.append((sample, i, e["j"], e["image_x"], e["image_y"], e["image_z"], e["dx"], e["dy"], e["dz"],
-                                 e["d"], area, bool(np.isfinite(radius))))
-        yield pd.DataFrame(rows, columns=names)
+        keep, parts = [], {n: [] for n in (*_ARRAYS, "area", "closed")}
+        for row in batch.itertuples(index=False):
+            areas, radius = _cell_3d(np.stack([row.dx, row.dy, row.dz], axis=1))
+            on = areas > EPS
+            keep.append(int(on.sum()))
+            for n in _ARRAYS:
+                parts[n].append(np.asarray(getattr(row, n))[on])
+            parts["area"].append(areas[on])
+            parts["closed"].append(np.full(keep[-1], np.isfinite(radius)))
+        out = {"sample_id": np.repeat(batch["sample_id"].to_numpy(), keep), "i": np.repeat(batch["i"].to_numpy(), keep)}
+        yield pd.DataFrame({**out, **{n: np.concatenate(v) if v else [] for n, v in parts.items()}})
+
+
+def _arrays(near: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
+    """The gathered neighbours as one plain array per field, which Arrow passes on as they are."""
+    # a field of an array of structs is the array of that field
+    return near.select(*SEED, *keep, *[F.col("near")[n].alias(n) for n in names])
 
 
 def _facets(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
@@ -193,17 +213,17 @@ def _facets(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
     facts = checkpoint(_facts(seeds, samples, dim))
     active, ring, found = seeds, FIRST_RING[dim], None
     while True:
-        pairs = checkpoint(_near(active, seeds, facts, dim, ring))
+        # one shuffle by seed serves every step of the round
+        pairs = checkpoint(spread(_near(active, seeds, facts, dim, ring), *SEED))
         entry = F.struct("d", "j", *[f"image_{a}" for a in axes(dim)], *[f"d{a}" for a in axes(dim)])
-        first = (pairs.groupBy(*SEED, _direction_bin(dim).alias("_bin"))
-                 .agg(F.min(entry).alias("_e"), F.first("_reach").alias("_reach"), F.first("_all").alias("_all"))
-                 .groupBy(*SEED).agg(F.collect_list("_e").alias("near"), F.first("_reach").alias("_reach"),
-                                     F.first("_all").alias("_all")))
+        nearest = pairs.groupBy(*SEED, _direction_bin(dim).alias("_bin")).agg(
+            F.min(entry).alias("_e"), F.first("_reach").alias("_reach"), F.first("_all").alias("_all"))
+        first = (nearest.groupBy(*SEED).agg(
+            F.collect_list("_e").alias("near"), F.first("_reach").alias("_reach"), F.first("_all").alias("_all")))
         if dim == 2:
             sized = first.select(*SEED, "_reach", "_all", _radius_2d(_intervals_2d(F.col("near"))).alias("cell_radius"))
         else:
-            radii = first.select(*SEED, "near").mapInPandas(_radius_3d, f"sample_id {key}, i bigint, cell_radius double")
-            sized = first.select(*SEED, "_reach", "_all").join(radii, SEED)
+            sized = _arrays(first, ("dx", "dy", "dz"), "_reach", "_all").mapInPandas(_radius_3d, f"sample_id {key}, i bigint, _reach double, _all double, cell_radius double")
         # sure when no seed past the ring can touch the cell, or when the ring holds everything
         sized = checkpoint(sized.withColumn("_limit", F.when(F.col("_reach") >= F.col("_all"), F.coalesce(
             2 * F.col("cell_radius"), F.col("_all"))).when(2 * F.col("cell_radius") <= F.col("_reach"),
@@ -215,8 +235,9 @@ def _facets(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
             edges = near.select(*SEED, F.explode(_intervals_2d(F.col("near"))).alias("_e")).select(*SEED, "_e.*")
             out = edges.withColumn("closed", F.col("lo").isNotNull() & F.col("hi").isNotNull())
         else:
-            out = near.mapInPandas(_facets_3d, f"sample_id {key}, i bigint, j bigint, image_x int, image_y int, image_z int, "
-                                   "dx double, dy double, dz double, d double, area double, closed boolean")
+            out = _arrays(near, _ARRAYS).mapInPandas(
+                _facets_3d, f"sample_id {key}, i bigint, j bigint, image_x int, image_y int, image_z int, "
+                "dx double, dy double, dz double, d double, area double, closed boolean")
         out = checkpoint(out)
         found = out if found is None else found.unionByName(out)
         done = sure.select("sample_id", F.col("i").alias("seed_id"))

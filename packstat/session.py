@@ -36,4 +36,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-__all__ = ["checkpoint", "scratch_path", "shared_dir"]
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitions for work that is heavy per row: one per core at least, not merged by size."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+__all__ = ["checkpoint", "scratch_path", "shared_dir", "spread"]
