@@ -359,3 +359,9 @@ def shrunk_box(particles: DataFrame, dim: int) -> DataFrame:
     return flat.groupBy("sample_id").agg(
         *[F.min(f"lo_{a}").alias(f"o{a}") for a in axes(dim)],
         *[(F.max(f"hi_{a}") - F.min(f"lo_{a}")).alias(f"l{a}") for a in axes(dim)])
+
+
+def on_boundary(points: DataFrame, dim: int, tol: float = 1e-8) -> DataFrame:
+    """Point-particle rows (offsets ``dx..`` from the centre) whose point lies on the boundary."""
+    d = [F.col(f"d{a}") for a in axes(dim)]
+    return points.where(by_shape(points, lambda s, c: s.boundary(c, d, tol) if s.boundary else None, dim=dim))

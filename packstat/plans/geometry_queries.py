@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from packstat.functions.fourier import normal_density, outline_point
 from packstat.functions.periodic import axis_to_angles, grid_index, min_image, wrap
 from packstat.functions.shapes import with_rotation
+from packstat.functions.text import resolution_label, type_name
 from packstat.operators import geometry as g
 from packstat.operators import stats as st
 from packstat.operators.spatial import attach_box
@@ -277,3 +279,52 @@ def smallest_particles(spark, d):
            "FROM disks GROUP BY 1, 2", "disks"))
 def descriptor_stats(spark, d):
     return rounded(st.descriptor_stats(fx.disks(spark, d), ["sample_id", "phase"], "r"), "mean", "sigma")
+
+
+@query(sql("""SELECT sample_id, particle_id, t::INTEGER AS theta_k, k::INTEGER AS k, round(cx+CASE shape WHEN 'Sphere' THEN (r-0.002e0)*sin(pi()*t/3)*cos(phi)
+ELSE m11*(x-0.002e0*x/a/a/w)+m21*(y-0.002e0*y/b/b/w)+m31*(z-0.002e0*z/c/c/w) END,6)+0e0 AS x,
+round(cy+CASE shape WHEN 'Sphere' THEN (r-0.002e0)*sin(pi()*t/3)*sin(phi)
+ELSE m12*(x-0.002e0*x/a/a/w)+m22*(y-0.002e0*y/b/b/w)+m32*(z-0.002e0*z/c/c/w) END,6)+0e0 AS y,
+round(cz+CASE shape WHEN 'Sphere' THEN (r-0.002e0)*cos(pi()*t/3)
+ELSE m13*(x-0.002e0*x/a/a/w)+m23*(y-0.002e0*y/b/b/w)+m33*(z-0.002e0*z/c/c/w) END,6)+0e0 AS z FROM (SELECT *,
+sqrt(pow(x/a/a,2)+pow(y/b/b,2)+pow(z/c/c,2)) AS w FROM (SELECT *, axis_1/2*sin(th)*cos(phi) AS x, axis_2/2*sin(th)*sin(phi) AS y, axis_3/2*cos(th) AS z,
+axis_1/2 AS a, axis_2/2 AS b, axis_3/2 AS c FROM (SELECT *, pi()/5+(pi()-pi()/5)*t/4 AS th, 2*pi()*k/4 AS phi FROM rot, generate_series(0,3) p(t),
+generate_series(0,3) q(k) WHERE shape<>'Cylinder')))""", "mixed3", frames=_FRAMES, rot=_ROT))
+def surface_points_3d(spark, d):
+    p = g.surface_points(fx.mixed_3d(spark, d), 4, F.lit(0.002))
+    return rounded(p.select("sample_id", "particle_id", "theta_k", "k", "x", "y", "z"), "x", "y", "z")
+
+
+@query(sql("""SELECT sample_id, particle_id, k::INTEGER AS k FROM mixed2, generate_series(0,7) AS q(k) WHERE shape='Ellipse' AND k%3<>1""", "mixed2"))
+def on_boundary(spark, d):
+    """Points of the outline of an ellipse, every third moved off it by a thousandth of the radius."""
+    p = g.surface_points(fx.mixed_2d(spark, d).where("shape = 'Ellipse'"), 8).join(
+        fx.mixed_2d(spark, d), ["sample_id", "particle_id"])
+    off = F.when(F.col("k") % 3 == 1, 1.001).otherwise(1.0)
+    rows = p.withColumn("dx", (F.col("x") - F.col("cx")) * off).withColumn("dy", (F.col("y") - F.col("cy")) * off)
+    return g.on_boundary(rows, 2).select("sample_id", "particle_id", F.col("k").cast("int").alias("k"))
+
+
+@query(sql("""SELECT p_partkey, round(1+a*cos(2*t)-b*sin(2*t)+0.05e0*cos(3*t),6) AS rho,
+round(-((1-cos(t))+(a*((1-cos(3*t))/3-(1-cos(t)))+b*(sin(3*t)/3-sin(t)))/2+0.05e0*((1-cos(4*t))/4-(1-cos(2*t))/2)/2)/(2*pi()),6)+0e0 AS x,
+round(-(sin(t)+(a*(sin(3*t)/3+sin(t))-b*((1-cos(3*t))/3+(1-cos(t))))/2+0.05e0*(sin(4*t)/4+sin(2*t)/2)/2)/(2*pi()),6)+0e0 AS y
+FROM (SELECT p_partkey, p_size*0.125e0 AS t, 0.001e0*p_size AS a, 0.002e0*p_size AS b FROM part)"""))
+def outlines(spark, d):
+    """Normal density and outline of three harmonics, at an angle from the part's size."""
+    size = F.col("p_size")
+    re = F.array(F.lit(1.0), F.lit(7.0), 0.001 * size, F.lit(0.05))
+    im = F.array(F.lit(0.0), F.lit(7.0), 0.002 * size, F.lit(0.0))
+    rows = fx.table(spark, d, "part").select("p_partkey", (size * 0.125).alias("t"), re.alias("re"), im.alias("im"))
+    x, y = outline_point(F.col("t"), F.col("re"), F.col("im"))
+    return rows.select("p_partkey", r(normal_density(F.col("t"), F.col("re"), F.col("im"))).alias("rho"), r(x).alias("x"), r(y).alias("y"))
+
+
+@query(sql("""SELECT p_partkey, 'tri6'||CASE WHEN p_size%3<>0 THEN '_h'||(p_size*0.125e0)::DECIMAL(10,3)::DOUBLE::VARCHAR ELSE '' END||
+CASE WHEN p_size%4=0 THEN '_epp'||p_size::VARCHAR ELSE '' END AS label, ['disk','cylindrical_fiber','ellipsoid'][1+p_size%3] AS type FROM part""".replace(
+    "(p_size*0.125e0)::DECIMAL(10,3)::DOUBLE::VARCHAR", "regexp_replace((p_size*0.125e0)::VARCHAR, '\\.0$', '')")))
+def labels(spark, d):
+    size = F.col("p_size")
+    kind = F.element_at(F.array(F.lit("Disk"), F.lit("CylindricalFiber"), F.lit("Ellipsoid")), (1 + size % 3).cast("int"))
+    return fx.table(spark, d, "part").select("p_partkey", resolution_label(
+        F.lit("tri6"), F.when(size % 3 != 0, size * 0.125), F.when(size % 4 == 0, size.cast("double"))).alias("label"),
+        type_name(kind).alias("type"))

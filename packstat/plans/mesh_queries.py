@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from packstat.functions.hashing import u3
 from packstat.operators import mesh as ms
+from packstat.operators import stats as st
 from packstat.operators import voxel as vx
 from packstat.plans.geometry_queries import _FRAMES, _ROT
 from packstat.plans.registry import query, r, rounded
-from packstat.plans.sqlfix import sql
+from packstat.plans.sqlfix import sql, u
 from packstat.sources import fixtures as fx
 
 
@@ -306,3 +308,35 @@ def sorted_around(spark, d):
 @query(sql("""SELECT sample_id, max(x)-min(x) AS lx, round(max(y)-min(y),6) AS ly, 2 AS dim FROM nodes GROUP BY 1""", "samples", nodes=_N2))
 def bounding_box(spark, d):
     return ms.bounding_box(_nodes(spark, d, 2)).select("sample_id", "lx", r("ly").alias("ly"), "dim")
+
+
+# --- section images: the voxels as pixels, particles white -----------------------------------
+
+_PIX = "SELECT sample_id AS image_id, ix AS px, iy AS py, CASE WHEN phase<>'3' THEN 255 ELSE 0 END AS value FROM vox"
+
+
+def _image(spark, d):
+    pixels = _voxels(spark, d).select(F.col("sample_id").alias("image_id"), F.col("ix").alias("px"), F.col("iy").alias("py"),
+                                      F.when(F.col("phase") != "3", 255).otherwise(0).alias("value"))
+    images = fx.samples(spark, d).select(F.col("sample_id").alias("image_id"), F.lit(16).alias("width"), F.lit(12).alias("height"), "lx", "ly")
+    points = fx.points(spark, d).select(F.col("sample_id").alias("image_id"), "point_id", (F.col("x") * 3 - 1).alias("x"), "y")
+    return pixels, images, points
+
+
+@query(sql("""SELECT p.point_id, x.value FROM points p JOIN px x ON x.image_id=p.sample_id AND x.px=least(floor(((p.x*3-1)-floor(p.x*3-1))*16),15)
+AND x.py=least(floor(p.y*12),11)""", "points", "samples", "mixed2", **_V2, px=_PIX))
+def lookup_image(spark, d):
+    pixels, images, points = _image(spark, d)
+    return st.lookup_image(points, pixels, images).select("point_id", "value")
+
+
+@query(sql(f"""SELECT s.image_id, s.sep, round(coalesce(h,0)/n,6) AS s2 FROM (SELECT sample_id AS image_id, sep, count(*) AS n FROM points, generate_series(0,3) g(sep) GROUP BY 1,2) s
+LEFT JOIN (SELECT f.image_id, f.sep, count(*) AS h FROM (SELECT p.sample_id AS image_id, sep, p.x*3-1+sep*0.03e0*cos(2*pi()*{u('u3', 'point_id*7+sep')}) AS x,
+p.y+sep*0.03e0*sin(2*pi()*{u('u3', 'point_id*7+sep')}) AS y FROM points p JOIN px a ON a.image_id=p.sample_id AND a.px=least(floor(((p.x*3-1)-floor(p.x*3-1))*16),15)
+AND a.py=least(floor(p.y*12),11) AND a.value=255, generate_series(0,3) g(sep)) f JOIN px b ON b.image_id=f.image_id AND b.px=least(floor((f.x-floor(f.x))*16),15)
+AND b.py=least(floor((f.y-floor(f.y))*12),11) AND b.value=255 GROUP BY 1,2) h USING (image_id, sep)""", "points", "samples", "mixed2", **_V2, px=_PIX))
+def two_point_image(spark, d):
+    pixels, images, points = _image(spark, d)
+    angle = 2 * F.pi() * u3(F.col("point_id") * 7 + F.col("sep"))
+    out = st.two_point_image(points, pixels, images, [0.0, 1.0, 2.0, 3.0], 0.03, angle, st.is_particle_pixel(F.col("value"), F.lit(1)))
+    return rounded(out, "s2")

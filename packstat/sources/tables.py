@@ -39,3 +39,9 @@ def flatten_ragged(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     flat = offsets.select(*keys, "row", "offset", F.posexplode(values).alias("_p", "value")).select(
         *keys, (F.col("offset") + F.col("_p")).alias("position"), "value")
     return flat, offsets.select(*keys, "row", "size", "offset")
+
+
+def publish(tables: dict[str, DataFrame]) -> None:
+    """Tables (or results of operators) as temporary views, for composition in SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
