@@ -118,6 +118,9 @@ def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarr
     are cut against each other. With ``enough``, any bound not above it will do.
     """
     size = np.linalg.norm(offsets, axis=1)
+    # in units of the furthest neighbour, so that tolerances have none
+    unit = size.max()
+    offsets, size = offsets / unit, size / unit
     order = np.argsort(size)
     axis = np.argmax(np.abs(offsets), axis=1)
     signs = (offsets > 0) @ np.array([1, 2, 4])
@@ -125,14 +128,14 @@ def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarr
     for near in (order[np.union1d(around, np.arange(min(8, len(order))))], order[:32]):
         radius = _cut_3d(offsets[near], size[near])[1]
         if np.isfinite(radius):
-            if enough is not None and radius <= enough:
-                return np.zeros(len(offsets)), radius
+            if enough is not None and radius * unit <= enough:
+                return np.zeros(len(offsets)), radius * unit
             order = order[size[order] <= 2 * radius * (1 + 1e-9)]
         if len(order) <= 36:
             break
     areas = np.zeros(len(offsets))
     areas[order], radius = _cut_3d(offsets[order], size[order])
-    return areas, radius
+    return areas * unit * unit, radius * unit
 
 
 def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
@@ -152,6 +155,7 @@ def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
     x, y, c = np.where(flat, 0.0, x / length), np.where(flat, 0.0, y / length), np.where(flat, 1e300, c / length)
     lo, hi, blocked = np.empty_like(c), np.empty_like(c), np.empty_like(flat)
     rows = max(1, (1 << 18) // (len(o) * len(o)))
+    met = np.tri(len(o), k=-1, dtype=bool)[None]
     for k in range(0, len(o), rows):
         at = slice(k, k + rows)
         den = x[at, :, None] * y[at, None, :]
@@ -160,7 +164,8 @@ def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
         num += y[at, :, None] * y[at, None, :]
         num *= -np.where(flat, 0.0, c)[at, :, None]
         num += c[at, None, :]
-        blocked[at] = np.any((np.abs(den) <= EPS) & (num < -EPS), axis=2)
+        # a line outside another's half plane, or on a line already met, carries no edge
+        blocked[at] = np.any((np.abs(den) <= EPS) & ((num < -EPS) | ((np.abs(num) <= EPS) & met)), axis=2)
         with np.errstate(divide="ignore", invalid="ignore"):
             num /= den
         hi[at] = np.min(np.where(den > EPS, num, np.inf), axis=2)
@@ -190,7 +195,7 @@ def _facets_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep, parts = [], {n: [] for n in (*_ARRAYS, "area", "closed")}
         for row in batch.itertuples(index=False):
             areas, radius = _cell_3d(np.stack([row.dx, row.dy, row.dz], axis=1))
-            on = areas > EPS
+            on = areas > EPS * max(areas.max(), 0)
             keep.append(int(on.sum()))
             for n in _ARRAYS:
                 parts[n].append(np.asarray(getattr(row, n))[on])
