@@ -210,11 +210,11 @@ def overlaps_convex_exact_3d(spark, d):
 
 @query()
 def overlap_areas_convex(spark, d):
-    """Shared area of any 2D pair by clipping."""
+    """Shared area of any 2D pair."""
     p = fx.mixed_2d(spark, d)
     names = [c for c in p.columns if c not in ("sample_id", "particle_id")]
     pairs = sp.near_pairs(p, fx.samples(spark, d), 2, sp.radius(p), names)
-    return rounded(cx.overlap_areas(pairs), "size", digits=9)
+    return rounded(cx.overlap_areas(pairs), "size", digits=8)
 
 
 # --- quality rules -----------------------------------------------------------------------

@@ -126,11 +126,19 @@ def test_exact_is_never_deeper_than_along_the_centres(spark, boxes):
     assert exact and all(v <= approx[k] + 1e-12 for k, v in exact.items())
 
 
-def test_clipped_area_of_disks_is_the_lens(boxes, disks):
+def test_area_by_strips_of_disks_is_the_lens(boxes, disks):
     p = disks([(0.4, 0.5, 0.2), (0.6, 0.5, 0.15)])
     pairs = sp.near_pairs(p, boxes(1, 1), 2, sp.radius(p), ["shape", "r"])
-    clipped, closed = convex.overlap_areas(pairs).first().size, sp.overlap_sizes(p, boxes(1, 1), 2).first().size
-    assert clipped == pytest.approx(closed, rel=1e-3)
+    strips, closed = convex.overlap_areas(pairs).first().size, sp.overlap_sizes(p, boxes(1, 1), 2).first().size
+    assert strips == pytest.approx(closed, rel=1e-5)
+
+
+def test_area_by_strips_of_a_square_and_a_contained_ellipse(spark, boxes):
+    p = mixed(spark).where("particle_id IN (0, 2)").withColumn("cx", F.lit(0.5)).withColumn("cy", F.lit(0.5)).withColumn(
+        "major_axis", F.col("major_axis") / 2)
+    names = [c for c in p.columns if c not in ("sample_id", "particle_id")]
+    area = convex.overlap_areas(sp.near_pairs(p, boxes(1, 1), 2, sp.radius(p), names)).first().size
+    assert area == pytest.approx(math.pi * 0.15 * 0.1 / 4, rel=1e-5)
 
 
 def test_monte_carlo_volume_within_its_error(boxes, disks):
