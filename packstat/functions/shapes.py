@@ -94,7 +94,7 @@ def _ellipsoid_axes(c: Cols) -> list[list[Column]]:
 
 def _quaternion(c: Cols) -> list[Column]:
     size = F.sqrt(c.rot_x * c.rot_x + c.rot_y * c.rot_y + c.rot_z * c.rot_z)
-    s = F.sin(c.angle / 2) / size
+    s = F.try_divide(F.sin(c.angle / 2), size)
     return [F.cos(c.angle / 2), s * c.rot_x, s * c.rot_y, s * c.rot_z]
 
 

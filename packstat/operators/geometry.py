@@ -50,26 +50,27 @@ def resolve_sizes(spec: DataFrame) -> DataFrame:
         return F.col(name) if name in have else F.lit(None).cast("double")
 
     flat, solid = c("lx") * c("ly"), c("lx") * c("ly") * c("lz")
-    share2, share3 = c("vf") * flat / c("n"), c("vf") * solid / c("n")
+    over = F.try_divide  # a descriptor given as zero resolves to nothing, and fails its bound
+    share2, share3 = over(c("vf") * flat, c("n")), over(c("vf") * solid, c("n"))
     r_disk = F.coalesce(c("r"), F.sqrt(c("area") / F.pi()), F.sqrt(share2 / F.pi()))
     r_sphere = F.coalesce(c("r"), F.cbrt(3 * c("volume") / (4 * F.pi())), F.cbrt(3 * share3 / (4 * F.pi())))
     side = F.coalesce(c("side"), F.sqrt(c("area")), F.sqrt(share2))
     # area of an ellipse with full axes M, m: pi * M * m / 4
     rest = 4 * share2 / F.pi()
-    major = F.coalesce(c("major_axis"), rest / c("minor_axis"), F.sqrt(rest * c("ratio")))
-    minor = F.coalesce(c("minor_axis"), c("major_axis") / c("ratio"), rest / c("major_axis"), F.sqrt(rest / c("ratio")))
+    major = F.coalesce(c("major_axis"), over(rest, c("minor_axis")), F.sqrt(rest * c("ratio")))
+    minor = F.coalesce(c("minor_axis"), over(c("major_axis"), c("ratio")), over(rest, c("major_axis")), F.sqrt(over(rest, c("ratio"))))
     # cylinder, where ratio = length / radius: a length with a fraction and a number comes first
     by_share = c("length").isNotNull() & c("vf").isNotNull() & c("n").isNotNull()
-    r_cyl = (F.when(by_share, F.sqrt(share3 / (F.pi() * c("length"))))
-             .otherwise(F.coalesce(c("length") / c("ratio"), c("r_cyl"))))
+    r_cyl = (F.when(by_share, F.sqrt(over(share3, F.pi() * c("length"))))
+             .otherwise(F.coalesce(over(c("length"), c("ratio")), c("r_cyl"))))
     length = F.coalesce(c("length"), c("r_cyl") * c("ratio"))
     # ellipsoid: three axes, or one with its ratios (12, 13; 321; 32 and 21), or the volume share
     by_ratio = c("ratio_12").isNotNull() & c("ratio_13").isNotNull()
     first = 2 * c("semi_axis_1")
-    axis_1 = F.coalesce(c("axis_1"), first, c("axis_2") / c("ratio_21"),
+    axis_1 = F.coalesce(c("axis_1"), first, over(c("axis_2"), c("ratio_21")),
                         F.when(by_ratio, F.cbrt(share3 * c("ratio_12") * c("ratio_13") * 6 / F.pi())))
-    axis_2 = F.coalesce(c("axis_2"), axis_1 / c("ratio_12"), axis_1 * c("ratio_321"), axis_1 * c("ratio_21"))
-    axis_3 = F.coalesce(c("axis_3"), axis_1 / c("ratio_13"), axis_1 * c("ratio_321"), axis_2 * c("ratio_32"))
+    axis_2 = F.coalesce(c("axis_2"), over(axis_1, c("ratio_12")), axis_1 * c("ratio_321"), axis_1 * c("ratio_21"))
+    axis_3 = F.coalesce(c("axis_3"), over(axis_1, c("ratio_13")), axis_1 * c("ratio_321"), axis_2 * c("ratio_32"))
     is_ = lambda s: F.col("shape") == s
     drop = [n for n in ("r", "side", "major_axis", "minor_axis", "r_cyl", "length", "axis_1", "axis_2", "axis_3") if n in have]
     return spec.select(
@@ -103,7 +104,7 @@ def with_radii(particles: DataFrame) -> DataFrame:
     """Circumscribed ``radius``, inscribed ``radius_insc``, and the ``eccentricity`` of ellipses."""
     ecc = F.lit(None).cast("double")
     if "major_axis" in particles.columns:
-        ecc = F.sqrt(1 - F.col("minor_axis") * F.col("minor_axis") / (F.col("major_axis") * F.col("major_axis")))
+        ecc = F.sqrt(1 - F.try_divide(F.col("minor_axis") * F.col("minor_axis"), F.col("major_axis") * F.col("major_axis")))
     return particles.select("*", radius(particles).alias("radius"),
                             by_shape(particles, lambda s, c: s.radius_insc(c)).alias("radius_insc"),
                             ecc.alias("eccentricity"))

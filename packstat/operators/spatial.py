@@ -38,7 +38,8 @@ def _levels(sized: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
 
 def _n_cells(length: Column, level: Column) -> Column:
     """Cells along a side at a level: their side is at least twice the level's largest reach."""
-    return F.greatest(F.lit(1.0), F.floor(length * F.pow(F.lit(2.0), level) / (2 * SLACK * F.col("_rmax")))).cast("long")
+    cells = F.try_divide(length * F.pow(F.lit(2.0), level), 2 * SLACK * F.col("_rmax"))
+    return F.coalesce(F.greatest(F.lit(1.0), F.floor(F.least(cells, F.lit(2.0 ** 40)))), F.lit(1.0)).cast("long")
 
 
 def _level_of(reach: Column) -> Column:
@@ -469,7 +470,7 @@ def nearest_neighbor(particles: DataFrame, samples: DataFrame, dim: int) -> Data
     return (attach(particles.select("sample_id", "particle_id"), mean)
             .join(best, ["sample_id", "particle_id"], "left")
             .select("sample_id", "particle_id", "other_id",
-                    F.coalesce(F.col("d") / F.col("_mean"), F.lit(float("inf"))).alias("nn")))
+                    F.coalesce(F.try_divide("d", "_mean"), F.lit(float("inf"))).alias("nn")))
 
 
 # --- images, nesting, arrival -----------------------------------------------------------
@@ -497,6 +498,6 @@ def inside_outer(particles: DataFrame, samples: DataFrame, dim: int) -> DataFram
     both = attach_box(sized.where("parent_id IS NOT NULL").join(parents, ["sample_id", "parent_id"]), samples, dim)
     d = norm([min_image(F.col(f"c{a}") - F.col(f"p_c{a}"), F.col(f"l{a}")) for a in axes(dim)])
     filled = both.groupBy("sample_id", "parent_id").agg(
-        (F.sum("_v") / F.first("p__v")).alias("fill"), F.count(F.lit(1)).alias("children"),
+        F.try_divide(F.sum("_v"), F.first("p__v")).alias("fill"), F.count(F.lit(1)).alias("children"),
         F.sum((d + F.col("_r") <= F.col("p__r")).cast("long")).alias("whole"))
     return filled

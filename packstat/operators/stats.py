@@ -89,7 +89,7 @@ def disk_share(x: Column, y: Column, radius_: Column, lx: Column, ly: Column) ->
     whole = radius_ <= F.least(x, lx - x, y, ly - y)
     corners = F.array(*[F.struct(w.alias("w"), h.alias("h")) for w in (x, lx - x) for h in (y, ly - y)])
     inside = F.aggregate(corners, F.lit(0.0), lambda total, c: total + corner_area(radius_, c["w"], c["h"]))
-    return F.when(whole, F.lit(1.0)).otherwise(inside / (F.pi() * radius_ * radius_))
+    return F.when(whole | (radius_ <= 0), F.lit(1.0)).otherwise(inside / (F.pi() * radius_ * radius_))
 
 
 def ripley_k(particles: DataFrame, samples: DataFrame, max_radius: int = 10, n_points: int = 20) -> DataFrame:

@@ -165,7 +165,8 @@ def temperature_stages(run_steps: DataFrame, temp_changes: DataFrame, t0: float,
     """
     steps = run_steps.select("sample_id", "step", "kinetic", "thermic")
     at = temp_changes.select("sample_id", "step").distinct().join(steps, ["sample_id", "step"])
-    parted = F.abs(F.col("kinetic") - F.col("thermic")) / F.col("thermic") > 1 / factor / 2
+    gap = F.abs(F.col("kinetic") - F.col("thermic"))
+    parted = F.when(F.col("thermic") == 0, gap > 0).otherwise(F.try_divide(gap, F.col("thermic")) > 1 / factor / 2)
     first = at.groupBy("sample_id").agg(F.min(F.when(parted, F.col("step"))).alias("_parted"))
     lowered = (attach(at, first).select("sample_id", "step",
                F.when(F.col("step") == F.col("_parted"), 0).otherwise(1).cast("long").alias("_low")))
@@ -178,11 +179,17 @@ def temperature_stages(run_steps: DataFrame, temp_changes: DataFrame, t0: float,
 # --- run outcome ------------------------------------------------------------------------
 
 
+def relative_change(now: str, before: str) -> Column:
+    """Change in per cent of the value before; any change from zero is beyond all bounds."""
+    change = F.abs(F.col(now) - F.col(before)) / F.abs(F.col(before)) * 100
+    return F.when(F.col(before) == 0, F.lit(float("inf"))).otherwise(change)
+
+
 def stagnation(run_steps: DataFrame, n: int = STAGNATION_STEPS, percent: float = STAGNATION_PERCENT) -> DataFrame:
     """Steps past n whose last n relative changes all stay under ``percent`` per cent."""
     steps = run_steps.select("sample_id", "step", "total_overlap")
-    moved = over_halo(steps, RUN, "step", {"_change": lambda w: F.abs(
-        F.col("total_overlap") - F.lag("total_overlap").over(w)) / F.lag("total_overlap").over(w) * 100}, before=1)
+    lagged = over_halo(steps, RUN, "step", {"_prev": lambda w: F.lag("total_overlap").over(w)}, before=1)
+    moved = lagged.withColumn("_change", relative_change("total_overlap", "_prev"))
     worst = over_halo(moved, RUN, "step", {"_worst": lambda w: F.max("_change").over(w.rowsBetween(-(n - 1), 0))},
                       before=n)
     return worst.select("sample_id", "step", F.coalesce(
@@ -229,7 +236,7 @@ def time_report(times: DataFrame) -> DataFrame:
     """Seconds per named step and share of the total; sub-steps ("- ...") are left out of the total."""
     sums = times.groupBy("name").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("n"))
     total = sums.agg(F.sum(F.when(~F.col("name").startswith("- "), F.col("seconds"))).alias("_total"))
-    return sums.join(F.broadcast(total)).select("name", "n", "seconds", (F.col("seconds") / F.col("_total")).alias("share"))
+    return sums.join(F.broadcast(total)).select("name", "n", "seconds", F.try_divide("seconds", "_total").alias("share"))
 
 
 # --- smoothing --------------------------------------------------------------------------
@@ -326,7 +333,7 @@ def kinetic_energy(moved: DataFrame, particles: DataFrame, dim: int) -> DataFram
         square = term if square is None else square + term
     both = moved.join(particles.select(*PATH, "mass"), PATH)
     return both.groupBy("sample_id", "step").agg(
-        F.sum(0.5 * F.col("mass") * square / (F.col("dt") * F.col("dt"))).alias("kinetic"))
+        F.sum(F.try_divide(0.5 * F.col("mass") * square, F.col("dt") * F.col("dt"))).alias("kinetic"))
 
 
 def thermic_energy(stages: DataFrame, particles: DataFrame, dim: int, k_b: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from packstat.functions.ordered import over_halo, running, running_max
 from packstat.operators.rules import distribution_problems
 from packstat.operators.spatial import attach
-from packstat.operators.telemetry import RUN, STAGNATION_PERCENT, STAGNATION_STEPS, is_legal
+from packstat.operators.telemetry import RUN, STAGNATION_PERCENT, STAGNATION_STEPS, is_legal, relative_change
 from packstat.sources.corpus import headers_from, parse_lines, phases_from
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
@@ -43,8 +43,7 @@ def monitor_runs(max_residue: float, max_steps_to_relax: int, n: int = STAGNATIO
         fresh = _fresh(batch.select(*cols), state).withColumn("_new", F.lit(True))
         rows = fresh if state is None else fresh.unionByName(state.select(*cols).withColumn("_new", F.lit(False)))
         lagged = over_halo(rows, RUN, "step", {"_prev": lambda w: F.lag("total_overlap").over(w)}, before=1)
-        change = F.abs(F.col("total_overlap") - F.col("_prev")) / F.col("_prev") * 100
-        still = F.coalesce(change < percent, F.lit(False))
+        still = F.coalesce(relative_change("total_overlap", "_prev") < percent, F.lit(False))
         marks = {"_bad": F.when(~is_legal(max_residue), F.col("step")), "_moved": F.when(F.col("_new") & ~still, F.col("step"))}
         marked = running_max(lagged, RUN, "step", marks)
         if state is not None:

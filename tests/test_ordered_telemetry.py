@@ -133,3 +133,10 @@ def test_ratio_of_pairs(spark):
     rows = [("a", 0, 1, 0, 1.0), ("a", 0, 1, 1, 3.0), ("a", 0, 2, 0, 5.0), ("a", 0, 2, 1, 1.0), ("a", 0, 1, 2, 3.0), ("a", 0, 2, 2, 1.0), ("a", 0, 1, 3, 4.0), ("a", 0, 2, 3, 1.0)]
     df = spark.createDataFrame(rows, "sample_id string, i bigint, j bigint, step bigint, overlap double")
     assert [(r.step, r.ratio) for r in tm.overlap_ratio(df).orderBy("step").collect()] == [(1, 0.5), (2, 1.0), (3, 1e12)]
+
+
+def test_zero_overlaps_are_no_error(spark):
+    df = series(spark, [0.0, 0.0, 1.0, 1.0, 1.0, 0.0])
+    assert tm.stagnation(df, 2, 1.0).where("stagnant").count() == 1
+    events, _ = mo.monitor_runs(-1.0, 9, 2, 1.0)(df, None)
+    assert [(r.step, r.event) for r in events.collect()] == [(4, "failed")]
