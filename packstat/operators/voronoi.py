@@ -114,8 +114,8 @@ def _radius_2d(edges: Column) -> Column:
 def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarray, float]:
     """Areas of the facets of one 3D cell from its neighbours' offsets, and the cell's radius.
 
-    The nearest neighbours all around bound the cell, and only those within twice that radius
-    are cut against each other. With ``enough``, any bound not above it will do.
+    The nearest neighbours all around bound the cell, and only neighbours whose bisector cuts
+    or touches that bound can have a facet. With ``enough``, any bound not above it will do.
     """
     size = np.linalg.norm(offsets, axis=1)
     # in units of the furthest neighbour, so that tolerances have none
@@ -125,27 +125,36 @@ def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarr
     axis = np.argmax(np.abs(offsets), axis=1)
     signs = (offsets > 0) @ np.array([1, 2, 4])
     around = np.unique((axis * 8 + signs)[order], return_index=True)[1]
-    for near in (order[np.union1d(around, np.arange(min(8, len(order))))], order[:32]):
-        radius = _cut_3d(offsets[near], size[near])[1]
-        if np.isfinite(radius):
+    near = order[np.union1d(around, np.arange(min(8, len(order))))]
+    while len(order) > 36:
+        _, radius, corners = _cut_3d(offsets[near], size[near])
+        if corners is not None:
             if enough is not None and radius * unit <= enough:
                 return np.zeros(len(offsets)), radius * unit
-            order = order[size[order] <= 2 * radius * (1 + 1e-9)]
-        if len(order) <= 36:
+            left = order[(corners @ offsets[order].T).max(axis=0) >= size[order] ** 2 / 2 * (1 - 1e-9)]
+            if len(left) > 0.8 * len(order):
+                break
+            order = left
+        elif len(near) == len(order):
             break
+        near = order[:32 if corners is not None else 2 * len(near)]
     areas = np.zeros(len(offsets))
-    areas[order], radius = _cut_3d(offsets[order], size[order])
+    areas[order], radius, _ = _cut_3d(offsets[order], size[order])
     return areas * unit * unit, radius * unit
 
 
-def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
-    """In the bisector plane of j every other k is a line; the facet's edge on it is the interval
-    the remaining lines l leave, and the area follows from the edges and their distances."""
+def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float, np.ndarray | None]:
+    """Facet areas, radius and corners of the cell all given neighbours cut (no corners: it is open).
+
+    In the bisector plane of j every other k is a line; the facet's edge on it is the interval
+    the remaining lines l leave, and the area follows from the edges and their distances.
+    """
     n = o / size[:, None]
     helper = np.where(np.abs(n[:, :1]) < 0.9, np.array([[1.0, 0, 0]]), np.array([[0, 1.0, 0]]))
     u = np.cross(n, helper)
     u /= np.linalg.norm(u, axis=1)[:, None]
-    x, y = u @ o.T, np.cross(n, u) @ o.T
+    v = np.cross(n, u)
+    x, y = u @ o.T, v @ o.T
     c = (size[None, :] ** 2 - o @ o.T) / 2
     length = np.hypot(x, y)
     flat = length <= EPS * size[None, :]
@@ -173,10 +182,15 @@ def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float]:
     blocked |= flat | dead[:, None]
     on = ~blocked & (hi - lo > EPS)
     if not on.any() or not np.isfinite(hi[on]).all() or not np.isfinite(lo[on]).all():
-        return np.zeros(len(o)), np.inf
+        return np.zeros(len(o)), np.inf, None
     hi, lo, c = np.where(on, hi, 0.0), np.where(on, lo, 0.0), np.where(on, c, 0.0)
-    corner = size[:, None] ** 2 / 4 + c ** 2 + np.maximum(lo ** 2, hi ** 2)
-    return 0.5 * np.sum(c * (hi - lo), axis=1), float(np.sqrt(np.max(corner[on])))
+    j, k = np.nonzero(on)
+    ends = []
+    for t in (lo[j, k], hi[j, k]):
+        along = (c[j, k] * x[j, k] - t * y[j, k])[:, None] * u[j] + (c[j, k] * y[j, k] + t * x[j, k])[:, None] * v[j]
+        ends.append(o[j] / 2 + along)
+    corners = np.concatenate(ends)
+    return 0.5 * np.sum(c * (hi - lo), axis=1), float(np.linalg.norm(corners, axis=1).max()), corners
 
 
 def _radius_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
