@@ -274,8 +274,10 @@ def chi_squared(values: DataFrame, key: str, value: str, n_bins: int = 20) -> Da
     valid = cells.where(F.col("_b").between(1, n_bins))
     rows = valid.groupBy("_k").agg(F.sum("_c").alias("_row"))
     cols = valid.groupBy("_b").agg(F.sum("_c").alias("_col"))
-    # every used row meets every used bin (at most n_bins of them): a cell may be empty
-    grid = rows.join(F.broadcast(cols)).join(F.broadcast(size)).join(valid, ["_k", "_b"], "left")
+    # every used row meets every used bin: a cell may be empty
+    bins = F.sequence(F.lit(1).cast("long"), F.lit(n_bins).cast("long"))
+    grid = (rows.withColumn("_b", F.explode(bins)).join(cols, "_b").join(valid, ["_k", "_b"], "left")
+            .withColumn("_size", size.scalar()))
     e = F.col("_row") * F.col("_col") / F.col("_size")
     o = F.coalesce("_c", F.lit(0))
     return grid.agg(F.sum((o - e) * (o - e) / e).alias("chi"), F.count(F.lit(1)).alias("used"))

@@ -236,7 +236,7 @@ def time_report(times: DataFrame) -> DataFrame:
     """Seconds per named step and share of the total; sub-steps ("- ...") are left out of the total."""
     sums = times.groupBy("name").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("n"))
     total = sums.agg(F.sum(F.when(~F.col("name").startswith("- "), F.col("seconds"))).alias("_total"))
-    return sums.join(F.broadcast(total)).select("name", "n", "seconds", F.try_divide("seconds", "_total").alias("share"))
+    return sums.select("name", "n", "seconds", F.try_divide(F.col("seconds"), total.scalar()).alias("share"))
 
 
 # --- smoothing --------------------------------------------------------------------------

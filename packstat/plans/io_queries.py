@@ -64,13 +64,15 @@ def saved_table(spark, d):
     return rounded(tb.load_table(spark, path, [1, 3, 8], 16).select("sample_id", "particle_id", "cx"), "cx", digits=9)
 
 
-_RAGGED = """SELECT user_id, list(value ORDER BY event_id) FILTER (value<5) AS vals FROM events GROUP BY 1"""
+_RAGGED = """SELECT p_partkey AS user_id, [p_size, 2*p_size, 3*p_size, 4*p_size][:p_size%5] AS vals FROM part"""
 
 
 def _ragged(spark, d):
-    e = fx.table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(
-        F.when(F.col("value") < 5, F.struct("event_id", "value")))), lambda x: x["value"]).alias("vals"))
-    return tb.flatten_ragged(e, [], ["user_id"], "vals")
+    """Rows of none to four multiples of the part's size."""
+    size = F.col("p_size")
+    rows = fx.table(spark, d, "part").select(F.col("p_partkey").alias("user_id"), F.slice(
+        F.array(size, 2 * size, 3 * size, 4 * size), 1, size % 5).alias("vals"))
+    return tb.flatten_ragged(rows, [], ["user_id"], "vals")
 
 
 @query(sql("""SELECT row_number() OVER (ORDER BY user_id)-1 AS row, coalesce(len(vals),0) AS size,

@@ -94,22 +94,21 @@ def fibers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_sample(particles: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same rows as one huge sample, sizes shrunk so that the area fraction stays."""
-    total = particles.agg(F.count(F.lit(1)).alias("_n"))
-    merged = (particles.join(total)
+    total = particles.agg(F.count(F.lit(1)).alias("_n")).scalar()
+    merged = (particles
               .withColumn("particle_id", F.col("sample_id") * PER_SAMPLE + F.col("particle_id"))
               .withColumn("sample_id", F.lit(0).cast("long"))
-              .withColumn("r", F.col("r") * F.sqrt(F.lit(float(PER_SAMPLE)) / F.col("_n"))).drop("_n"))
+              .withColumn("r", F.col("r") * F.sqrt(F.lit(float(PER_SAMPLE)) / total)))
     return merged, samples.where("sample_id = 0")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points spread over the samples by key; x, y, z in the unit box."""
-    n = table(spark, sf_dir, "part").agg((F.floor(F.max("p_partkey") / PER_SAMPLE) + 1).cast("long").alias("_n"))
+    n = table(spark, sf_dir, "part").agg((F.floor(F.max("p_partkey") / PER_SAMPLE) + 1).cast("long").alias("_n")).scalar()
     key = F.col("point_id")
     return (table(spark, sf_dir, "lineitem")
             .select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id")).distinct()
-            .join(n)
-            .select((key % F.col("_n")).alias("sample_id"), "point_id",
+            .select((key % n).alias("sample_id"), "point_id",
                     u2(key).alias("x"), u3(key).alias("y"), u4(key).alias("z")))
 
 
