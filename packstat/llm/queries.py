@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packstat.llm import mixing, sharding, topk, urls
+from packstat.llm import langid, mixing, packing, pages, quality, sharding, topk, urls
 from packstat.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -16,6 +16,16 @@ def query(fn):
     return fn
 
 
+@query
+def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+@query
+def op3_host_suffix_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -23,8 +33,18 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.referred(pages))
+    rows = read(spark, sf_dir, "pages")
+    return urls.judge(rows, urls.referred(rows))
+
+
+@query
+def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+
+
+@query
+def op8_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
 
 
 @query
@@ -63,3 +83,41 @@ r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id O
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+
+_LEFT = "t"
+_CLASSES = []
+for _pattern in quality.CLASSES:
+    _next = f"regexp_replace({_LEFT}, '{_pattern.replace("'", "''")}', '', 'g')"
+    _CLASSES.append(f"length({_LEFT}) - length({_next})")
+    _LEFT = _next
+_CLASSES.append(f"length({_LEFT})")
+_COMMON = ", ".join(f"'{w}'" for w in quality.WORDS)
+
+ORACLES["op1_divergence_rules"] = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t,
+  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, ws[i:i + 7] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) > 8)),
+twice AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+base AS (SELECT d.doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, [{", ".join(_CLASSES)}] AS classes,
+  list_transform([{_COMMON}], lambda k: len(list_filter(ws, lambda x: lower(x) = k))) AS listed
+  FROM d JOIN lines USING (doc_id) LEFT JOIN rep ON rep.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+bins AS (SELECT doc_id, lang, base_failed, 1 AS kind, unnest(classes) AS n, generate_subscripts(classes, 1) AS bin FROM judged
+  UNION ALL SELECT doc_id, lang, base_failed, 2, unnest(listed || [n_words - list_sum(listed)]), generate_subscripts(listed || [0], 1) FROM judged),
+enough AS (SELECT lang FROM judged WHERE NOT base_failed AND regexp_full_match(lang, '[a-z]{{2,3}}') GROUP BY lang HAVING count(*) >= {quality.LEAST_DOCUMENTS}),
+ref AS (SELECT kind, bin, lang, sum(n) AS q FROM bins WHERE NOT base_failed AND lang IN (SELECT lang FROM enough) GROUP BY ALL
+  UNION ALL SELECT kind, bin, NULL, sum(n) FROM bins WHERE NOT base_failed GROUP BY ALL),
+known AS (SELECT doc_id, kind, bin, n, CASE WHEN lang IN (SELECT lang FROM enough) THEN lang END AS of_lang FROM bins),
+shares AS (SELECT doc_id, known.kind, n / sum(n) OVER (PARTITION BY doc_id, known.kind) AS p, q / sum(q) OVER (PARTITION BY doc_id, known.kind) AS q
+  FROM known JOIN ref ON ref.kind = known.kind AND ref.bin = known.bin AND ref.lang IS NOT DISTINCT FROM known.of_lang),
+far AS (SELECT doc_id, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js
+  FROM shares WHERE p = p AND q = q GROUP BY ALL),
+wide AS (SELECT doc_id, max(js) FILTER (kind = 1) AS c, max(js) FILTER (kind = 2) AS w FROM far GROUP BY doc_id)
+SELECT judged.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ((word_chars >= {quality.LEAST_CHARS} AND coalesce(c, 0) > {quality.MOST_CHARS}) OR (n_words >= {quality.LEAST_WORDS} AND coalesce(w, 0) > {quality.MOST_WORDS})) AS kept
+FROM judged LEFT JOIN wide USING (doc_id)
+"""
