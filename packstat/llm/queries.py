@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packstat.llm import langid, mixing, packing, pages, quality, sharding, topk, urls
+from packstat.llm import langid, mixing, neardup, packing, pages, quality, sharding, topk, urls
 from packstat.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -37,6 +37,11 @@ def op5_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(rows, urls.referred(rows))
 
 
+@query
+def op6_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query
 def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
@@ -121,3 +126,16 @@ SELECT judged.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_word
   NOT base_failed AND NOT ((word_chars >= {quality.LEAST_CHARS} AND coalesce(c, 0) > {quality.MOST_CHARS}) OR (n_words >= {quality.LEAST_WORDS} AND coalesce(w, 0) > {quality.MOST_WORDS})) AS kept
 FROM judged LEFT JOIN wide USING (doc_id)
 """
+
+ORACLES["op6_hamming_near_duplicates"] = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.least AS component_id, c.least = w.doc_id AS kept
+FROM w JOIN c ON c.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
