@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packstat.llm import langid, mixing, neardup, packing, pages, quality, sharding, topk, urls
+from packstat.llm import langid, mixing, neardup, packing, pages, quality, sharding, spans, topk, urls
 from packstat.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -21,6 +21,12 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+@query
+def op2_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op3_host_suffix_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -139,3 +145,13 @@ c AS (SELECT x, min(y) AS least FROM r GROUP BY x)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.least AS component_id, c.least = w.doc_id AS kept
 FROM w JOIN c ON c.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
+
+ORACLES["op2_debruijn_spans"] = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+first AS (SELECT g, min((doc_id, i)) AS f FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM win JOIN first USING (g) WHERE (doc_id, i) <> f),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
