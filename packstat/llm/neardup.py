@@ -35,7 +35,7 @@ VALUES = CHUNKS * WIDTH
 #: Members and set elements of a chunk of a group.
 ROWS, ELEMENTS = 128, 500_000
 #: Members of a chunk once sets are differences from a centre, which are short.
-LATER_ROWS = 1000
+LATER_ROWS = 2000
 
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -213,8 +213,12 @@ def links(sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     listed = sketches.select(F.col("doc_id").alias("x"), "n", F.explode("keys").alias("key"))
     met = listed.groupBy("key").agg(F.min("x").alias("g"), F.count("*").alias("_n")).filter("_n > 1")
     met = checkpoint(met.select(F.col("key").alias("_key"), "g"))
-    members = checkpoint(listed.join(met, F.col("key") == F.col("_key")).select("g", F.col("g").alias("c"), "x", "n").distinct())
-    chunks = checkpoint(_salted(members, ROWS))
+    members = checkpoint(listed.join(met, F.col("key") == F.col("_key")).select("g", "x", "n").distinct())
+    for _ in range(2):  # a group goes as a whole to the smallest group that its first member is in
+        up = checkpoint(members.groupBy(F.col("x").alias("_x")).agg(F.min("g").alias("_up")))
+        members = checkpoint(members.join(up, F.col("g") == F.col("_x")).select(F.col("_up").alias("g"), "x", "n").distinct())
+    centre = checkpoint(members.groupBy(F.col("g").alias("_of")).agg(F.min("x").alias("c")))
+    chunks = checkpoint(_salted(checkpoint(members.join(centre, F.col("g") == F.col("_of")).drop("_of")), ROWS))
     texts_ = docs.select(F.col("doc_id").alias("_x"), "text")
     solved = _solved(texts_.join(chunks, F.col("_x") == F.col("x")).drop("_x"), words, percent)
     found = solved.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v"))
@@ -224,7 +228,7 @@ def links(sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         large = checkpoint(large.join(checkpoint(open_), F.col("g") == F.col("_g")).select("g", "x", "n", "nc", "linked", "diff").dropDuplicates(["g", "x"]))
         if large.isEmpty():
             return found
-        listed = _prefixes(large, percent)
+        listed = checkpoint(_prefixes(large, percent))
         met = listed.groupBy("key").agg(F.count("*").alias("_n"), F.bool_or(~F.col("linked")).alias("_open"), F.bool_or("index").alias("_index"), F.min("g").alias("_of"),
                                         F.min("x").alias("_least"), F.sum(F.shiftright(F.xxhash64("x"), 20)).alias("_sum")).filter("_n > 1 AND _open AND _index")
         # buckets with the same members are one
