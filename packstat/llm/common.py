@@ -45,8 +45,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base, and their inverses, modulo two to the 64th."""
-    if len(_POWERS.get("p", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+    if len(_POWERS.get("p", ())) < max(n, 1):
+        size = 1 << max(20, max(0, n - 1).bit_length())
         for name, base in (("p", _BASE), ("q", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         # the first bin, from above, at which k scores are reached; none: all scores are fewer than k
         found = (upto.filter((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
                  .select("vec_id", (F.col("bin") * F.lit(1 << shift)).alias("to"), (F.col("upto") - F.col("n")).alias("over"), "upto"))
-        state = checkpoint(state.join(found, "vec_id", "left").select(
+        state = checkpoint(state.select("vec_id", "vec", "lo", "above").join(found, "vec_id", "left").select(
             "vec_id", "vec", F.coalesce("to", "lo").alias("lo"), F.coalesce("over", "above").alias("above"), F.coalesce("upto", F.lit(0)).alias("upto")))
         done = (state.select(F.max("upto")).first()[0] or 0) <= 4 * k
         if done or shift == 0:
