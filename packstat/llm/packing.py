@@ -72,7 +72,16 @@ def _cut(size: int, end: int, keep_ids: bool):
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths, and how often each is used; every piece is used once."""
+    """Patterns of lengths, and how often each is used; every piece is used once.
+
+    Exact triples and pairs can use up the short pieces that best fit would need for other gaps,
+    so plans that index up to three, two, one and no lengths are made, and the one with the fewest sequences is taken.
+    """
+    return min((_plan(counts, size, depth) for depth in (3, 2, 1, 0)), key=lambda made: sum(times for _, times in made))
+
+
+def _plan(counts: dict[int, int], size: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose exact combinations index sums of at most ``depth`` lengths."""
     have = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -104,14 +113,14 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
         return None
 
     use(size)
-    for x in range(size - 1, 0, -1):  # the gap of a single length is another length
+    for x in range(size - 1, 0, -1) if depth >= 1 else ():  # the gap of a single length is another length
         if 2 * x >= size and have[x] and have[size - x]:
             use(x, size - x)
-    for x in range(size - 1, 0, -1):  # ... the sum of a pair
+    for x in range(size - 1, 0, -1) if depth >= 2 else ():  # ... the sum of a pair
         while have[x] and (found := pair(size - x, x)):
             use(x, *found)
     reach = sums()
-    for x in range(size - 1, 0, -1):  # ... the sum of a triple
+    for x in range(size - 1, 0, -1) if depth >= 3 else ():  # ... the sum of a triple
         while have[x]:
             c = np.arange(1, size - x - 1)
             c = c[(have[c] > 0) & reach[size - x - c]][::-1]
