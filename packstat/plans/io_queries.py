@@ -56,6 +56,19 @@ def corpus_phases(spark, d):
         "sample_id", "phase", "type", "inner_phase", "outer_phase", "lx", "matrix_phase")
 
 
+@query(sql("""SELECT sample_id::VARCHAR AS sample_id, particle_id, phase, shape, round(cx,12) AS cx, CASE WHEN particle_id%10=3 THEN particle_id-3 END
+AS parent_id FROM mixed2 WHERE sample_id%3<>2""", "mixed2"))
+def corpus_layouts(spark, d):
+    """Documents on one line (sample 0, 3, ...) and indented by tabs (1, 4, ...); those cut short (2, 5, ...) give no rows."""
+    kind, lines = F.col("sample_id").cast("long") % 3, F.transform(F.array_sort(F.collect_list(F.struct("part", "position", "value"))), lambda e: e["value"])
+    whole = co.document_lines(_tables(spark, d)).groupBy("sample_id").agg(lines.alias("_l"))
+    tabs = F.array_join(F.transform("_l", lambda x: F.concat(F.lit("\t"), F.regexp_replace(F.ltrim(x), "\\[", "[\n"))), "\n")
+    text = F.when(kind == 0, F.array_join("_l", "")).when(kind == 1, tabs).otherwise(F.array_join(F.slice("_l", 1, 5), "\n"))
+    path = scratch_path(spark, "layouts")
+    whole.select("sample_id", text.alias("value")).write.partitionBy("sample_id").text(path)
+    return co.read_corpus(spark, path)["particles"].select("sample_id", "particle_id", "phase", "shape", r("cx", 12).alias("cx"), "parent_id")
+
+
 @query(sql("SELECT sample_id, particle_id, round(cx,9) AS cx FROM disks WHERE sample_id IN (1, 3, 8)", "disks"))
 def saved_table(spark, d):
     """A table saved by hash of the sample, some samples read back."""
@@ -124,12 +137,28 @@ def periodic_images_sql(spark, d):
 # --- streams: the events replayed as files, to the end --------------------------------------
 
 
+def _stored_events(spark, d):
+    return fx.table(spark, d, "events").select(F.col("user_id").alias("sample_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+                                               F.col("value").alias("total_overlap"))
+
+
 def _events(spark, d):
     schema = fx.table(spark, d, "events").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
             .select(F.col("user_id").alias("sample_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("total_overlap")))
 
 
+def _closed(spark, d, step, name):
+    """All that ``step`` gives of the events once a closing mark has arrived in a delivery of its own."""
+    events, source, path, offsets = _stored_events(spark, d), *(scratch_path(spark, f"{name}-{part}") for part in ("events", "out", "offsets"))
+    for rows in (events, mo.closing_event(events)):
+        rows.write.mode("append").parquet(source)
+        stream = step(spark.readStream.schema(events.schema).parquet(source))
+        mo.run_to_end(stream, path, offsets)
+    out = spark.read.schema(stream.schema).parquet(path).where("sample_id IS NOT NULL")
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
+
+
 def _drained(spark, stream, name):
     path = scratch_path(spark, name)
     mo.run_to_end(stream, path, scratch_path(spark, name + "-state"))
@@ -148,27 +177,24 @@ def _monitored(spark, d, step, name):
     return spark.read.parquet(out).drop("epoch")
 
 
-_W = "(SELECT max(ts)-INTERVAL 1 HOUR FROM events)"
-
-
-@query(sql(f"""SELECT s AS start, s+INTERVAL 6 HOUR AS "end", user_id AS sample_id, count(*) AS n, round(sum(value),4) AS overlap, max(value) AS largest
-FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS s FROM events) GROUP BY s, user_id HAVING s+INTERVAL 6 HOUR<={_W}"""))
+@query(sql("""SELECT s AS start, s+INTERVAL 6 HOUR AS "end", user_id AS sample_id, count(*) AS n, round(sum(value),4) AS overlap, max(value) AS largest
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS s FROM events) GROUP BY s, user_id"""))
 def windowed_telemetry(spark, d):
-    return rounded(_drained(spark, mo.windowed_telemetry(_events(spark, d), "6 hours"), "windows"), "overlap", digits=4)
+    return rounded(_closed(spark, d, lambda e: mo.windowed_telemetry(e, "6 hours"), "windows"), "overlap", digits=4)
 
 
-@query(sql(f"""SELECT s AS start, s+INTERVAL 6 HOUR AS "end", user_id AS sample_id, count(*) AS n, round(sum(value),4) AS overlap, max(value) AS largest
+@query(sql("""SELECT s AS start, s+INTERVAL 6 HOUR AS "end", user_id AS sample_id, count(*) AS n, round(sum(value),4) AS overlap, max(value) AS largest
 FROM (SELECT *, unnest([time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '2024-01-01')-INTERVAL 3 HOUR]) AS s
-FROM events) GROUP BY ALL HAVING "end"<={_W}"""))
+FROM events) GROUP BY ALL"""))
 def sliding_telemetry(spark, d):
-    return rounded(_drained(spark, mo.windowed_telemetry(_events(spark, d), "6 hours", "3 hours"), "sliding"), "overlap", digits=4)
+    return rounded(_closed(spark, d, lambda e: mo.windowed_telemetry(e, "6 hours", "3 hours"), "sliding"), "overlap", digits=4)
 
 
-@query(sql(f"""SELECT min(ts) AS start, max(ts)+INTERVAL 12 HOUR AS "end", user_id AS sample_id, count(*) AS n FROM (SELECT *, sum(new) OVER
+@query(sql("""SELECT min(ts) AS start, max(ts)+INTERVAL 12 HOUR AS "end", user_id AS sample_id, count(*) AS n FROM (SELECT *, sum(new) OVER
 (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce((ts-lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)>=INTERVAL 12 HOUR)::INT,1) AS new
-FROM events)) GROUP BY user_id, s HAVING "end"<={_W}"""))
+FROM events)) GROUP BY user_id, s"""))
 def session_activity(spark, d):
-    return _drained(spark, mo.session_activity(_events(spark, d), "12 hours"), "sessions")
+    return _closed(spark, d, lambda e: mo.session_activity(e, "12 hours"), "sessions")
 
 
 @query(sql("""SELECT DISTINCT user_id AS sample_id, event_id AS step, ts FROM events"""))

@@ -136,6 +136,17 @@ def header_quality(lines: DataFrame) -> DataFrame:
     return headers_from(parse_lines(lines))
 
 
+def closing_event(events: DataFrame, after: str = "30 days") -> DataFrame:
+    """One row of nulls, timed ``after`` the last event: sent last, it lets every open window and session come out.
+
+    ``after`` must be longer than a window or gap and the watermark together. The mark's own
+    window never closes; where it could, it is known by its null ``sample_id``.
+    """
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).cast(events.schema["ts"].dataType).alias("ts"))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+    return last.where("ts IS NOT NULL").select("ts", *rest).select(*events.columns)
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Drive a stream over everything there is, into Parquet."""
     query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
