@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from packstat.functions.periodic import axes
 from packstat.functions.shapes import by_shape
 
+#: Directions tried before the descent, and the angle at which it stops.
 COARSE = {2: 128, 3: 400}
-REFINE = {2: 14, 3: 22}
+FINEST = 1e-9
 
 
 def _directions(dim: int) -> np.ndarray:
@@ -60,25 +61,61 @@ def _widths(batch: pd.DataFrame, side: str, u: np.ndarray) -> np.ndarray:
     return out
 
 
-def _depths(batch: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _across(v: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    """The part of ``v`` square to a unit axis."""
+    return v - np.einsum("nj,nj->n", v, axis)[:, None] * axis
+
+
+def _normals(batch: pd.DataFrame, d: np.ndarray) -> np.ndarray:
+    """Directions in which kinks of turned bodies lie: their axes, products of these, offsets square to them."""
+    sides = [s for s in ("a_", "b_") if s + "m11" in batch]
+    frames = [np.nan_to_num(batch[[f"{s}m{i}{j}" for j in (1, 2, 3)]].to_numpy(float)) for s in sides for i in (1, 2, 3)]
+    found = [*frames, *[_across(d, frames[3 * k]) for k in range(len(sides))]]
+    if len(sides) == 2:
+        found += [np.cross(p, q) for p in frames[:3] for q in frames[3:]]
+        found += [_across(frames[3], frames[0]), _across(frames[0], frames[3])]
+    if not found:
+        return np.zeros((len(d), 0, 3))
+    out = np.stack(found, axis=1)
+    size = np.linalg.norm(out, axis=2, keepdims=True)
+    out = np.where(size > 1e-12, out / np.where(size > 1e-12, size, 1), np.array([1.0, 0, 0]))
+    return np.concatenate([out, -out], axis=1)
+
+
+def _depths(batch: pd.DataFrame, dim: int, sign: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Least over directions of the width of a, plus (``sign`` -1: less) that of b, less the offset along them."""
     d = batch[[f"d{a}" for a in axes(dim)]].to_numpy(float)
     n = len(d)
 
     def gap(u: np.ndarray) -> np.ndarray:
-        return _widths(batch, "a_", u) + _widths(batch, "b_", u) - np.einsum("nkj,nj->nk", u, d)
+        return _widths(batch, "a_", u) + sign * _widths(batch, "b_", u) - np.einsum("nkj,nj->nk", u, d)
 
     grid = np.broadcast_to(_directions(dim), (n, COARSE[dim], dim))
+    if dim == 3:
+        grid = np.concatenate([grid, _normals(batch, d)], axis=1)
     size = np.linalg.norm(d, axis=1, keepdims=True)
     first = np.zeros(dim)
     first[0] = 1.0
     line = np.where(size > 0, d / np.where(size > 0, size, 1), first)
     u = np.concatenate([line[:, None, :], grid], axis=1)
     value = gap(u)
-    pick = np.argmin(value, axis=1)
-    best, depth = u[np.arange(n), pick], value[np.arange(n), pick]
+    # one descent from the best direction of each quadrant or octant
+    part = ((u > 0) * (1 << np.arange(dim))).sum(axis=2)
+    depth, best = np.full(n, np.inf), u[:, 0]
+    for k in range(1 << dim):
+        pick = np.argmin(np.where(part == k, value, np.inf), axis=1)
+        least, at = _descend(gap, u[np.arange(n), pick], value[np.arange(n), pick], dim)
+        best = np.where((least < depth)[:, None], at, best)
+        depth = np.minimum(depth, least)
+    return depth, best
+
+
+def _descend(gap, best: np.ndarray, depth: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Follow the gap down from a direction of each row, to the finest angle."""
+    n = len(best)
     step = 2 * np.pi / COARSE[2] if dim == 2 else 3.6 / COARSE[3] ** 0.5
     ticks = np.linspace(-1, 1, 9 if dim == 2 else 5)
-    for _ in range(REFINE[dim]):
+    while step > FINEST:
         # a shrinking fan around the best direction, in the plane across it
         if dim == 2:
             side = np.stack([-best[:, 1], best[:, 0]], axis=1)[:, None, :]
@@ -120,6 +157,20 @@ def separate(pairs: DataFrame, dim: int) -> DataFrame:
     return pairs.mapInPandas(run, schema).where(F.col("length") > 0)
 
 
+def contained(pairs: DataFrame, dim: int) -> DataFrame:
+    """Pairs (a, b) with the room that b has inside a, negative where it sticks out: ``_room``, in Arrow batches.
+
+    A convex body lies in another exactly when it is nowhere wider, seen from the other's centre.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(_room=_depths(batch, dim, -1)[0])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", _room double"
+    return pairs.mapInPandas(run, schema)
+
+
 def _column(batch: pd.DataFrame, side: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest ordinate of every row's 2D particle at abscissae from its centre (empty: low > high)."""
     kind = batch[side + "shape"].to_numpy()[:, None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,8 +19,6 @@ from packstat.operators.spatial import attach, box, near_pairs, overlaps, radius
 from packstat.operators.telemetry import fill_to_fraction, step_grid
 from packstat.session import checkpoint
 
-# fixed value: most particles a phase given by its volume fraction may take
-MAX_PARTICLES = 100_000
 PHASE = ["sample_id", "phase"]
 
 
@@ -108,12 +107,13 @@ def sample_seeds(samples: DataFrame, seed: int) -> DataFrame:
 
 
 def populate(phases: DataFrame, descriptors: DataFrame, samples: DataFrame, names: Sequence[str],
-             volume: Column, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+             volume: Column, seed: int = 0, max_particles: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Particles of every phase, and the phases that cannot be filled.
 
     A phase with a number n gets n rows. One with only a volume fraction draws until its
     running volume reaches it: phases not yet full draw four times as many, the same draws
-    first, up to MAX_PARTICLES. ``volume`` is an expression over the drawn descriptors.
+    first. ``volume`` is an expression over the drawn descriptors. A phase whose volume no
+    longer grows with more draws is a problem, and so is one that ``max_particles``, if given, do not fill.
     """
     value = F.col("params")["value"]
     asked = descriptors.where("name IN ('n', 'vf') AND distribution = 'fixed'").groupBy(*PHASE).agg(
@@ -125,20 +125,25 @@ def populate(phases: DataFrame, descriptors: DataFrame, samples: DataFrame, name
     done = wide(draw(counted, sizes, seed), names)
     whole = samples.select("sample_id", (F.col("lx") * F.col("ly") * F.coalesce("lz", F.lit(1.0))).alias("_box"))
     waiting = checkpoint(attach(wanted.where("_n IS NULL AND _vf IS NOT NULL"), whole).select(
-        *PHASE, (F.col("_vf") * F.col("_box")).alias("_target")))
+        *PHASE, (F.col("_vf") * F.col("_box")).alias("_target"), F.lit(0.0).alias("_before")))
     n = 256
+    problems = waiting.limit(0).select(*PHASE, F.lit("").alias("message"))
     while not waiting.isEmpty():
-        n = min(n, MAX_PARTICLES)
+        n = min(n, max_particles or n)
         rows = step_grid(waiting.withColumn("_n", F.lit(n).cast("long")), "_n", start=1, name="k")
         drawn = checkpoint(wide(draw(rows, sizes, seed), names).withColumn("_v", volume))
-        full = drawn.groupBy(*PHASE, "_target").agg(F.sum("_v").alias("_sum")).where(F.col("_sum") >= F.col("_target"))
+        sums = waiting.join(drawn.groupBy(*PHASE).agg(F.sum("_v").alias("_sum")), PHASE, "left")
+        sums = checkpoint(sums.withColumn("_sum", F.coalesce("_sum", F.lit(0.0))))
+        full = sums.where("_sum >= _target")
         kept = fill_to_fraction(drawn.join(full.select(*PHASE), PHASE, "left_semi"), PHASE, "k", "_v", F.col("_target"))
-        done = done.unionByName(kept.drop("_v", "_target"))
-        waiting = checkpoint(waiting.join(full.select(*PHASE), PHASE, "left_anti"))
-        if n == MAX_PARTICLES:
-            break
+        done = done.unionByName(kept.drop("_v", "_target", "_before"))
+        stuck = F.col("_sum") <= F.col("_before")
+        if n == max_particles:
+            stuck = F.lit(True)
+        problems = problems.unionByName(sums.where("_sum < _target").where(stuck).select(
+            *PHASE, F.lit(f"{n} particles do not reach the volume fraction").alias("message")))
+        waiting = checkpoint(sums.where("_sum < _target").where(~stuck).select(*PHASE, "_target", F.col("_sum").alias("_before")))
         n *= 4
-    problems = waiting.select(*PHASE, F.lit(f"{MAX_PARTICLES} particles do not reach the volume fraction").alias("message"))
     return done, problems
 
 
@@ -257,17 +262,18 @@ def polar_points_inside(ellipses: DataFrame, n_rings: int, n_angles: int) -> Dat
 
 
 def overlap_volume_mc(particles: DataFrame, samples: DataFrame, dim: int, n: int = 1000, seed: int = 0,
-                      tolerance: float | None = None, max_rounds: int = 4) -> DataFrame:
+                      tolerance: float | None = None, max_rounds: int | None = None) -> DataFrame:
     """Shared volume of near pairs by points thrown into the first: ``size``, ``error``, ``n_points``.
 
     The error is twice the standard deviation of the mean. With a tolerance, pairs whose
-    error is above it throw four times as many points, up to ``max_rounds`` rounds.
+    error is above it throw four times as many points until none is left; with ``max_rounds``
+    the last round's pairs come out whatever their error.
     """
     whole = framed(particles, dim)
     names = [c for c in whole.columns if c not in ("sample_id", "particle_id", *box(3))]
     pairs = near_pairs(whole, samples, dim, radius(whole, dim), names)
     active, found = checkpoint(pairs) if tolerance is not None else pairs, None
-    for round_ in range(max_rounds if tolerance is not None else 1):
+    for round_ in itertools.count():
         many = n * 4 ** round_
         first = active.select("sample_id", "a_particle_id", "b_particle_id", *[f"d{a}" for a in axes(dim)],
                               *[F.col(f"a_{c}").alias(c) for c in names], *[f"b_{c}" for c in names])
@@ -293,7 +299,7 @@ def overlap_volume_mc(particles: DataFrame, samples: DataFrame, dim: int, n: int
         if tolerance is None:
             return out
         out = checkpoint(out)
-        final = round_ == max_rounds - 1
+        final = max_rounds is not None and round_ == max_rounds - 1
         good = out if final else out.where(F.col("error") <= tolerance)
         found = good if found is None else found.unionByName(good)
         if final:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packstat.functions.periodic import axes, grid_index, min_image, norm, wrap
-from packstat.functions.shapes import by_shape, cols_of, dot, framed
+from packstat.functions.shapes import by_shape, cols_of, dot, framed, present
 from packstat.session import checkpoint
 
 CELL_LOAD = 1 << 14
@@ -212,7 +212,7 @@ def overlaps(particles: DataFrame, samples: DataFrame, dim: int, method: str = "
              inside: bool = True) -> DataFrame:
     """Overlapping pairs ``(i, j, length, ux, uy, uz)``.
 
-    ``closed``: disks, spheres, fibres and squares by their closed forms.
+    ``closed``: pairs of disks, spheres, fibres or squares by their closed forms, all others as ``exact``.
     ``approx``: any convex pair, separated along the line of centres.
     ``exact``: any convex pair, least separation over all directions (Arrow batches).
     ``inside=False`` leaves out a ball wholly inside another.
@@ -229,25 +229,32 @@ def overlaps(particles: DataFrame, samples: DataFrame, dim: int, method: str = "
         depth = widths_along(pairs, dim, u) - F.col("d")
         pairs = pairs.withColumn("length", depth).where("length > 0")
         return _as_overlaps(pairs, dim, u)
-    depth, direction = None, u
+    depth, direction, handled = None, u, F.lit(False)
     both_balls = _ball(F.col("a_shape")) & _ball(F.col("b_shape"))
     if "a_r" in pairs.columns:
         ball = F.greatest(F.col("a_r") + F.col("b_r") - F.col("d"), F.lit(0.0))
         if not inside:
             ball = F.when(F.col("d") > F.abs(F.col("a_r") - F.col("b_r")), ball).otherwise(0.0)
-        depth = F.when(both_balls, ball)
+        depth, handled = F.when(both_balls, ball), both_balls
     if "a_side" in pairs.columns:
         both = (F.col("a_shape") == "Square") & (F.col("b_shape") == "Square")
         half = (F.col("a_side") + F.col("b_side")) / 2
         over = [half - F.abs(F.col("dx")), half - F.abs(F.col("dy"))]
         square = F.greatest(F.least(*over), F.lit(0.0))
         depth = F.when(both, square) if depth is None else depth.when(both, square)
+        handled = handled | both
         signs = [F.when(F.col(f"d{a}") < 0, -1.0).otherwise(1.0) for a in "xy"]
         first = over[0] <= over[1]
         direction = [F.when(both, F.when(first, signs[0]).otherwise(0.0)).otherwise(u[0]),
                      F.when(both, F.when(first, 0.0).otherwise(signs[1])).otherwise(u[1])]
-    out = pairs.withColumn("length", depth).where("length > 0")
-    return _as_overlaps(out, dim, direction)
+    kinds = {s.name for s in present(particles, dim=dim)}
+    closed = None if depth is None else _as_overlaps(pairs.withColumn("length", depth).where("length > 0"), dim, direction)
+    if closed is not None and (kinds <= {"Disk", "Sphere", "CylindricalFiber"} or kinds == {"Square"}):
+        return closed
+    from packstat.operators.convex import separate
+
+    other = separate(pairs.where(~handled), dim)
+    return other if closed is None else closed.unionByName(other)
 
 
 def _as_overlaps(pairs: DataFrame, dim: int, u: list[Column]) -> DataFrame:
@@ -490,14 +497,25 @@ def periodic_images(particles: DataFrame, samples: DataFrame, dim: int, reach: C
 
 
 def inside_outer(particles: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
-    """Children against their parent: wholly inside, and the share of the parent they fill."""
-    volume = by_shape(particles, lambda s, c: s.volume(c), dim=dim)
-    sized = particles.select("sample_id", "particle_id", "parent_id", *[f"c{a}" for a in axes(dim)],
-                             radius(particles, dim).alias("_r"), volume.alias("_v"))
-    parents = _prefixed(sized.drop("parent_id"), "p_", ["sample_id"]).withColumnRenamed("p_particle_id", "parent_id")
-    both = attach_box(sized.where("parent_id IS NOT NULL").join(parents, ["sample_id", "parent_id"]), samples, dim)
-    d = norm([min_image(F.col(f"c{a}") - F.col(f"p_c{a}"), F.col(f"l{a}")) for a in axes(dim)])
+    """Children against their parent: wholly inside, and the share of the parent they fill.
+
+    Balls in balls by their radii, all other pairs by the room left in every direction.
+    """
+    kinds = {s.name for s in present(particles, dim=dim)}
+    whole = framed(particles, dim)
+    names = [c for c in whole.columns if c not in ("sample_id", "particle_id", "parent_id", *box(3))]
+    sized = whole.select("sample_id", "particle_id", "parent_id", *names, by_shape(whole, lambda s, c: s.volume(c), dim=dim).alias("_v"))
+    parents = _prefixed(sized.drop("parent_id"), "a_", ["sample_id"]).withColumnRenamed("a_particle_id", "parent_id")
+    children = _prefixed(sized.where("parent_id IS NOT NULL"), "b_", ["sample_id"]).withColumnRenamed("b_parent_id", "parent_id")
+    both = attach_box(children.join(parents, ["sample_id", "parent_id"]), samples, dim)
+    both = both.withColumns({f"d{a}": min_image(F.col(f"b_c{a}") - F.col(f"a_c{a}"), F.col(f"l{a}")) for a in axes(dim)})
+    if kinds <= {"Disk", "Sphere", "CylindricalFiber"}:
+        both = both.withColumn("_room", F.col("a_r") - F.col("b_r") - norm([F.col(f"d{a}") for a in axes(dim)]))
+    else:
+        from packstat.operators.convex import contained
+
+        both = contained(both, dim)
     filled = both.groupBy("sample_id", "parent_id").agg(
-        F.try_divide(F.sum("_v"), F.first("p__v")).alias("fill"), F.count(F.lit(1)).alias("children"),
-        F.sum((d + F.col("_r") <= F.col("p__r")).cast("long")).alias("whole"))
+        F.try_divide(F.sum("b__v"), F.first("a__v")).alias("fill"), F.count(F.lit(1)).alias("children"),
+        F.sum((F.col("_room") >= -1e-12).cast("long")).alias("whole"))
     return filled

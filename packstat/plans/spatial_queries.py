@@ -230,6 +230,32 @@ def periodic_images(spark, d):
     return rounded(p.select("sample_id", "particle_id", "image_x", "image_y", "cx", "cy"), "cx", "cy")
 
 
+def _width(side: str, t: str) -> str:
+    """Half the width of a body along an angle: the one size that is not null says which shape it is."""
+    return (f"coalesce({side}r, {side}side/2*(abs(cos({t}))+abs(sin({t}))), "
+            f"sqrt(pow({side}major_axis/2*cos({t}-{side}angle),2)+pow({side}minor_axis/2*sin({t}-{side}angle),2)))")
+
+
+def _gap(t: str) -> str:
+    return f"{_width('a_', t)}+{_width('b_', t)}-dx*cos({t})-dy*sin({t})"
+
+
+_SIZES = ("r", "side", "major_axis", "minor_axis", "angle")
+
+
+@query(sql(f"""SELECT sample_id, i, j, round(length,6) AS length FROM (SELECT sample_id, i, j, min({_gap("t")}) AS length FROM
+(SELECT *, t0+unnest(range(-1000,1001))*pi()/360000 AS t FROM coarse) GROUP BY ALL) WHERE length>0""", "mixed2",
+           reach="SELECT *, coalesce(r, side/sqrt(2e0), major_axis/2) AS reach FROM mixed2",
+           near=f"""SELECT * FROM (SELECT a.sample_id, a.particle_id AS i, b.particle_id AS j, a.reach+b.reach AS most,
+(b.cx-a.cx)-round_even(b.cx-a.cx,0) AS dx, (b.cy-a.cy)-round_even(b.cy-a.cy,0) AS dy, {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in _SIZES)}
+FROM reach a JOIN reach b ON a.sample_id=b.sample_id AND a.particle_id<b.particle_id) WHERE sqrt(dx*dx+dy*dy)<most""",
+           coarse=f"""SELECT *, (SELECT arg_min(t, g) FROM (SELECT t, {_gap("t")} AS g FROM (SELECT unnest(range(720))*pi()/360 AS t))) AS t0 FROM near"""))
+def overlaps_mixed(spark, d):
+    """Disks, squares and ellipses in one call: closed forms where there are any, the exact search elsewhere."""
+    out = sp.overlaps(fx.mixed_2d(spark, d), fx.samples(spark, d), 2)
+    return rounded(out.select("sample_id", "i", "j", "length"), "length")
+
+
 @query(sql("""SELECT c.sample_id, c.particle_id-c.particle_id%4 AS parent_id, round(sqrt(sum(c.r*c.r*0.16e0)/any_value(p.r*p.r)),6) AS root_fill,
 count(*) AS children, sum(CASE WHEN sqrt(pow(0.01e0*(c.cx-0.5e0),2)+pow(0.01e0*(c.cy-0.5e0),2))+0.4e0*c.r<=p.r THEN 1 ELSE 0 END)::BIGINT
 AS whole FROM disks c JOIN disks p ON c.sample_id=p.sample_id AND p.particle_id=c.particle_id-c.particle_id%4

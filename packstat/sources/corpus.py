@@ -144,6 +144,7 @@ def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a corpus: samples, phases, descriptors, particles - and its problems.
 
     Documents of an unknown format or version, and files that hold no document, give problems and no rows.
+    Spark's readers do not list files of no bytes: they give nothing.
     """
     place = F.col("_metadata.file_path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_sample_of(place).alias("sample_id")).distinct()

@@ -162,11 +162,34 @@ def test_draws_have_their_moments(spark):
     assert sa.draw(rows, d, 1).exceptAll(sa.draw(rows, d, 1)).isEmpty()
 
 
-def test_a_phase_that_cannot_be_filled_is_a_problem(spark, boxes, monkeypatch):
-    monkeypatch.setattr(sa, "MAX_PARTICLES", 500)
+def test_a_phase_that_cannot_be_filled_is_a_problem(spark, boxes):
     d = spark.createDataFrame([("a", "1", "r", "fixed", {"value": 0.001}), ("a", "1", "vf", "fixed", {"value": 0.5})],
                               "sample_id string, phase string, name string, distribution string, params map<string,double>"
                               ).withColumn("values", F.lit(None).cast("array<double>")).withColumn("probabilities", F.lit(None).cast("array<double>"))
     phases = spark.createDataFrame([("a", "1")], "sample_id string, phase string")
-    done, problems = sa.populate(phases, d, boxes(1, 1), ["r"], F.pi() * F.col("r") * F.col("r"))
+    volume = F.pi() * F.col("r") * F.col("r")
+    done, problems = sa.populate(phases, d, boxes(1, 1), ["r"], volume, max_particles=500)
     assert done.isEmpty() and problems.count() == 1
+    done, problems = sa.populate(phases, d, boxes(1, 1), ["r"], volume)
+    assert done.count() == 159155 and problems.isEmpty()
+    done, problems = sa.populate(phases, d, boxes(1, 1), ["r"], 0 * F.col("r"))
+    assert done.isEmpty() and problems.count() == 1
+
+
+def test_documents_of_any_layout(spark, tmp_path):
+    import json
+
+    document = json.loads(DOCUMENT.replace("NaN", "0.5"))
+    texts = {"compact": json.dumps(document), "two": json.dumps(document, indent=2), "four": json.dumps(document, indent=4),
+             "tabs": json.dumps(document, indent="\t"), "cut": DOCUMENT[:700], "garbage": "no document",
+             "pairs": DOCUMENT.replace("},\n    {\"id\": 1", "}, {\"id\": 1")}
+    for name, text in texts.items():
+        (tmp_path / f"sample_id={name}").mkdir()
+        (tmp_path / f"sample_id={name}" / "mic.json").write_text(text)
+    t = co.read_corpus(spark, str(tmp_path))
+    good = {"compact", "two", "four", "tabs", "pairs"}
+    assert {r.sample_id for r in t["samples"].where("lx = 1 AND ly = 2 AND dim = 2 AND periodic AND achieved_vf = 0.25").collect()} == good
+    particles = t["particles"].groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("major_axis").alias("a"), F.max("parent_id").alias("p"))
+    assert {(r.sample_id, r.n, round(r.a, 9), r.p) for r in particles.collect()} == {(n, 2, 0.3, 0) for n in good}
+    assert {r.sample_id: r["count"] for r in t["phases"].groupBy("sample_id").count().collect()} == dict.fromkeys(good, 2)
+    assert {r.sample_id for r in t["problems"].where("message LIKE '%no document%'").collect()} == {"cut", "garbage"}

@@ -119,6 +119,46 @@ def test_exact_depth_is_the_least_over_directions(spark, boxes):
                 assert (got.get((i, j), 0) == pytest.approx(max(depth, 0), abs=1e-7))
 
 
+def test_a_mixed_table_gives_every_pair_by_default(spark, boxes):
+    p = mixed(spark)
+    closed, exact = ({(r.i, r.j): r.length for r in sp.overlaps(p, boxes(1, 1), 2, how).collect()} for how in ("closed", "exact"))
+    assert closed and closed == pytest.approx(exact, abs=1e-9)
+
+
+def test_slender_cylinders_have_the_depth_of_a_dense_search(spark, boxes):
+    rng = np.random.default_rng(4)
+    rows = [("a", k, "1", "Cylinder", 0.5 + x, 0.5 + y, 0.5 + z, 0.01, 0.6, a, q) for k, (x, y, z, a, q) in enumerate(
+        np.column_stack([0.02 * rng.standard_normal((12, 3)), 2 * np.pi * rng.random(12), np.pi * rng.random(12)]).tolist())]
+    p = spark.createDataFrame(rows, "sample_id string, particle_id bigint, phase string, shape string, cx double, cy double, cz double, "
+                              "r_cyl double, length double, azimuth_angle double, polar_angle double")
+    got = {(r.i, r.j): r.length for r in sp.overlaps(p, boxes(1, 1, 1), 3).collect()}
+    framed = {r.particle_id: r for r in sp.framed(p, 3).collect()}
+    u = rng.standard_normal((400_000, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+
+    def width(r):
+        along = u @ np.array([r.m11, r.m12, r.m13])
+        return 0.3 * abs(along) + 0.01 * np.sqrt(np.maximum(1 - along ** 2, 0))
+
+    for i in framed:
+        for j in framed:
+            if i < j:
+                a, b = framed[i], framed[j]
+                depth = np.min(width(a) + width(b) - u @ np.array([b.cx - a.cx, b.cy - a.cy, b.cz - a.cz]))
+                assert got.get((i, j), 0) <= max(depth, 0) + 1e-9
+                assert got.get((i, j), 0) >= depth - 6e-3
+
+
+def test_nesting_looks_at_shapes_and_not_at_their_balls(spark, boxes):
+    rows = [("a", 0, None, "Ellipse", 0.5, 0.5, None, 0.4, 0.05, 0.3, None), ("a", 1, 0, "Disk", 0.5, 0.5, 0.1, None, None, None, None),
+            ("a", 2, 0, "Disk", 0.5, 0.5, 0.02, None, None, None, None), ("a", 3, 0, "Ellipse", 0.5, 0.5, None, 0.3, 0.03, 0.3, None),
+            ("a", 4, 0, "Ellipse", 0.5, 0.5, None, 0.3, 0.03, 1.3, None), ("a", 5, 0, "Square", 0.5, 0.5, None, None, None, None, 0.03)]
+    p = spark.createDataFrame(rows, "sample_id string, particle_id bigint, parent_id bigint, shape string, cx double, cy double, r double, "
+                              "major_axis double, minor_axis double, angle double, side double")
+    row = sp.inside_outer(p, boxes(1, 1), 2).first()
+    assert (row.children, row.whole) == (5, 3)
+
+
 def test_exact_is_never_deeper_than_along_the_centres(spark, boxes):
     p = mixed(spark)
     exact = {(r.i, r.j): r.length for r in sp.overlaps(p, boxes(1, 1), 2, "exact").collect()}
