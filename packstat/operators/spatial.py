@@ -272,8 +272,14 @@ def sphere_cylinder_contacts(particles: DataFrame, samples: DataFrame) -> DataFr
 
 
 def overlap_sizes(particles: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
-    """Shared area (disks, squares) or volume (spheres) of overlapping pairs."""
-    names = [c for c in ("shape", "r", "side") if c in particles.columns]
+    """Shared area or volume of overlapping pairs: disks, squares and spheres in closed form, other 2D pairs by strips.
+
+    Volumes of other 3D pairs are for ``overlap_volume_mc``; they are not listed here.
+    """
+    kinds = {s.name for s in present(particles, dim=dim)}
+    strips = dim == 2 and not (kinds <= {"Disk", "CylindricalFiber"} or kinds == {"Square"})
+    names = [c for c in particles.columns if c not in ("sample_id", "particle_id", *box(3))] if strips else [
+        c for c in ("shape", "r", "side") if c in particles.columns]
     pairs = near_pairs(particles, samples, dim, radius(particles, dim), names)
     size = None
     if "r" in names:
@@ -298,8 +304,17 @@ def overlap_sizes(particles: DataFrame, samples: DataFrame, dim: int) -> DataFra
         both = (F.col("a_shape") == "Square") & (F.col("b_shape") == "Square")
         area = over[0] * over[1]
         size = F.when(both, area) if size is None else size.when(both, area)
-    return (pairs.select("sample_id", F.col("a_particle_id").alias("i"), F.col("b_particle_id").alias("j"),
-                         size.alias("size")).where("size > 0"))
+    ids = [F.col("sample_id"), F.col("a_particle_id").alias("i"), F.col("b_particle_id").alias("j")]
+    size = F.lit(None).cast("double") if size is None else size
+    closed = pairs.select(*ids, size.alias("size")).where("size > 0")
+    if not strips:
+        return closed
+    from packstat.operators.convex import overlap_areas
+
+    same = F.col("a_shape") == F.col("b_shape")
+    balls = _ball(F.col("a_shape")) & _ball(F.col("b_shape"))
+    other = overlap_areas(pairs.where(~(balls | same & (F.col("a_shape") == "Square"))))
+    return closed.unionByName(other)
 
 
 def both_ways(pairs: DataFrame, dim: int) -> DataFrame:

@@ -125,6 +125,14 @@ def test_a_mixed_table_gives_every_pair_by_default(spark, boxes):
     assert closed and closed == pytest.approx(exact, abs=1e-9)
 
 
+def test_shared_areas_of_a_mixed_table(spark, boxes):
+    p = mixed(spark)
+    names = [c for c in p.columns if c not in ("sample_id", "particle_id")]
+    areas = {(r.i, r.j): r.size for r in convex.overlap_areas(sp.near_pairs(p, boxes(1, 1), 2, sp.radius(p), names)).collect()}
+    got = {(r.i, r.j): r.size for r in sp.overlap_sizes(p, boxes(1, 1), 2).collect()}
+    assert got and got == pytest.approx(areas, rel=1e-4)
+
+
 def test_slender_cylinders_have_the_depth_of_a_dense_search(spark, boxes):
     rng = np.random.default_rng(4)
     rows = [("a", k, "1", "Cylinder", 0.5 + x, 0.5 + y, 0.5 + z, 0.01, 0.6, a, q) for k, (x, y, z, a, q) in enumerate(
