@@ -212,6 +212,16 @@ def test_quality_counts(spark, docs):
         assert got[d.doc_id].base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w))
 
 
+def test_quality_of_rare_languages_odd_tags_and_no_language(spark):
+    rng = np.random.default_rng(7)
+    said = {"en": quality.COMMON["en"] + ["lantern", "meadow"], "es": quality.COMMON["es"] + ["farol", "prado"], "fr": quality.COMMON["fr"] + ["lampe", "champ"]}
+    tags = [("en", "en")] * 200 + [("es", "es")] * 10 + [("fr-CA", "fr")] * 25 + [("EN", "en")] * 25 + [(None, "fr")] * 5 + [("fr-CA", "en")]
+    rows = [(i, " ".join(rng.choice(said[of], 300)), tag) for i, (tag, of) in enumerate(tags)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sorted(got) == list(range(len(rows))) and [i for i, r in got.items() if not r.kept] == [len(rows) - 1]
+    assert all((got[i].word_distance is None) == (tag in ("es", None)) for i, _, tag in rows)
+
+
 def test_empty_tables(spark):
     none = documents(spark, ["x"]).filter("false")
     for made in (spans.remove_repeats(none), neardup.near_duplicates(none), mixing.mix(none), packing.pack(none), sharding.shard_documents(none), quality.judge(none),
