@@ -190,6 +190,18 @@ def test_marked_and_bare_pages(spark):
     assert got == {0: "T & t\n\none two", 1: "", 2: "", 3: "only page 3 says this", 4: "only page 4 says this"}
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>one <svg class='i'/> two</p><p>three</p></article><svg><path/></svg>", ["one two", "three"]),
+    ("<article><p>one <math/>two</p></article>", ["one two"]),
+    ("<article><p>one <svg><path d='x'></p><p>two</p><svg><text>no</text></svg></article>", ["one", "two"]),
+    ("<article><p>one</p><svg><foreignObject><p>no</p></foreignObject></svg><p>two</p></article>", ["one", "two"]),
+    ("<main><h1>Title</h1><p>the long story of the day</p><article class=card>teaser</article></main>", ["Title", "the long story of the day", "teaser"]),
+    ("<main><h1>Title</h1><p>crumb</p><article><p>the long story</p></article></main>", ["Title", "the long story"]),
+    ("<article><div class=entry-header><h1>Title</h1></div><h2 class=section-header>Part</h2><p>text</p><div class=comments>no</div></article>", ["Title", "Part", "text"])])
+def test_whole_text_of_marked_pages(page, text):
+    assert pages.blocks(page) == (text, True)
+
+
 def test_languages(spark):
     rng = np.random.default_rng(5)
     stems = {"aa": "tha ing ver lo".split(), "bb": "qui est ñor zu".split(), "cc": "wøk råd ski py".split()}
