@@ -3,32 +3,37 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next stage
 reads it; all but the last return the columns of documents.
 
-Null texts fall to the quality rules. Rows that repeat an id are judged alike by the first stages; the mix may repeat
+Null texts fall to the quality rules. The first three stages judge rows, not ids: rows that repeat an id and rows without one are
+documents of their own, and the id only says which of a group comes first. The mix may repeat
 a document, and each copy is packed. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packstat.llm import mixing, neardup, packing, quality, spans
+from packstat.llm.common import row_keys
 from packstat.session import checkpoint, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _only(docs, quality.judge(docs))
+    return _only(docs, quality.judge)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id."""
-    return _only(docs, neardup.near_duplicates(docs))
+    return _only(docs, neardup.grouped)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated spans; documents of which nothing is left go."""
-    out = spans.remove_repeats(docs, keep_text=True).filter("n_words > n_removed").withColumnRenamed("kept_text", "text")
+    rows = row_keys(docs).withColumnsRenamed({"doc_id": "_own_id", "_row_key": "doc_id"})
+    out = spans.remove_repeats(rows, keep_text=True).withColumnsRenamed({"doc_id": "_row_key", "_own_id": "doc_id"}).filter("n_words > n_removed").withColumnRenamed("kept_text", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -44,10 +49,12 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents whose row of ``judged`` is kept."""
-    kept = checkpoint(judged.filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _only(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``judge`` keeps."""
+    rows = row_keys(docs)
+    judged = judge(rows.drop("doc_id").withColumnRenamed("_row_key", "doc_id"))
+    kept = checkpoint(judged.filter("kept").select(F.col("doc_id").alias("_kept")))
+    return rows.join(kept, F.col("_row_key") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("substring dedup", repeated_spans),

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packstat.session import scratch_path
+
 #: One or more of the separators between words, for Java's and RE2's regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -113,3 +115,18 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str, per
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
     return rows.join(counts, same).withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).select(*df.columns, name)
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row_key``, a number of its own for each row, in the order of the ids.
+
+    Ids that are whole numbers, each there once, are the keys themselves. Otherwise the rows are sorted by id (null
+    ids last) and text, numbered, and written once, so that all readers see the same keys.
+    """
+    spark, id_ = docs.sparkSession, F.col("doc_id").cast("long")
+    if docs.select(id_.alias("_id")).groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1 OR _id IS NULL").isEmpty():
+        return docs.withColumn("_row_key", id_)
+    rows = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last(id_), F.xxhash64("doc_id"), F.xxhash64("text"), "_at")
+    place = scratch_path(spark, "rows")
+    rows.drop("_at").withColumn("_row_key", F.monotonically_increasing_id()).write.parquet(place)
+    return spark.read.parquet(place)

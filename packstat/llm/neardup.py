@@ -14,8 +14,9 @@ their differences (a prefix filter, extra elements before missing ones), which g
 again bounded, until no large group has an unlinked member. So no link is lost and no group is
 gathered or paired whole. Components come from alternating stars over the links.
 
-Null and empty texts have no set and are linked with nothing; rows without an id too, and they are kept.
-Rows that repeat an id share its result. An empty table gives no rows; extra columns are ignored.
+Rows are linked by a key of their own (``row_keys``), so rows that repeat an id and rows without one are documents like
+others; of a group one row is kept, that with the smallest id. Null and empty texts have no set and are linked with
+nothing. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packstat.llm.common import mix, prefix_sums, stretch_hash, texts, word_hashes
+from packstat.llm.common import mix, prefix_sums, row_keys, stretch_hash, texts, word_hashes
 from packstat.session import checkpoint
 
 CHUNKS, WIDTH, BITS, ERRORS = 10, 5, 16, 1
@@ -264,11 +265,11 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = checkpoint(near.select("e.u", "e.v").filter("u <> v").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: linked if 100 * intersection >= percent * union of the shingle sets."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+def grouped(rows: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``near_duplicates`` of rows (doc_id, text) whose ids are long, not null and each there once."""
+    rows = rows.select("doc_id", "text")
     sketched = checkpoint(rows.mapInArrow(_sketch(words), "doc_id long, n long, a long, b long, keys array<long>"))
-    some = sketched.filter("n > 0 AND doc_id IS NOT NULL")
+    some = sketched.filter("n > 0")
     classes = checkpoint(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_n"), "rep"))
     same = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") == F.col("_n"))
     members = checkpoint(some.join(classes, same).select("doc_id", "n", "rep"))
@@ -276,5 +277,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = checkpoint(some.join(reps, (F.col("doc_id") == F.col("_rep")) & (F.col("a") == F.col("_ra"))).select("doc_id", "n", "keys"))
     label = components(links(first, rows, words, percent)).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     linked = members.join(label, F.col("rep") == F.col("_u"), "left").select("doc_id", "n", F.coalesce("_v", "rep").alias("component_id"))
-    alone = sketched.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    alone = sketched.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: linked if 100 * intersection >= percent * union of the shingle sets."""
+    rows = row_keys(docs.select("doc_id", "text"))
+    found = grouped(rows.select(F.col("_row_key").alias("doc_id"), "text"), words, percent).withColumnsRenamed({"doc_id": "_of", "component_id": "_least"})
+    ids = rows.select("_row_key", F.col("doc_id").cast("long").alias("_id"))
+    if ids.filter("_id IS NULL OR _id <> _row_key").isEmpty():
+        return found.select(F.col("_of").alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"), "kept")
+    found = found.join(ids, F.col("_of") == F.col("_row_key")).drop("_row_key").withColumnRenamed("_id", "doc_id")
+    return found.join(ids, F.col("_least") == F.col("_row_key")).select("doc_id", "n_shingles", F.col("_id").alias("component_id"), "kept")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from packstat.llm import langid, mixing, neardup, packing, pages, quality, sharding, spans, topk, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, node string"
@@ -250,3 +251,22 @@ def test_rows_that_repeat_and_null_ids(spark, docs):
     for made in (spans.remove_repeats(twice), neardup.near_duplicates(twice), mixing.mix(twice), sharding.shard_documents(twice), quality.judge(twice)):
         assert made.count() == n
     assert packing.pack(twice).filter("piece = 0").count() == n
+
+
+def test_rows_not_ids_go_through_the_stages(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e, shared = (" ".join(f"{k}{x}" for x in rng.integers(0, 10**6, 60)) for k in "abcdes")
+    junk = "spam " * 100
+    rows = [(1, a), (1, a), (1, junk), (1, None), (1, b), (2, b), (None, a), (None, c), (None, c), (None, junk), (None, None), (None, f"{d} {shared}"), (7, f"{e} {shared}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def values(made):
+        return sorted(((r.doc_id, r.text) for r in made.select("doc_id", "text").collect()), key=str)
+
+    clean = corpus_pipeline.quality_rules(spark, docs, "")
+    assert values(clean) == sorted([r for r in rows if r[1] not in (junk, None)], key=str)
+    left = corpus_pipeline.near_duplicates(spark, clean, "")
+    assert values(left) == sorted([(1, a), (1, b), (None, c), (None, f"{d} {shared}"), (7, f"{e} {shared}")], key=str)
+    assert values(corpus_pipeline.repeated_spans(spark, left, "")) == sorted([(1, a), (1, b), (None, c), (None, d), (7, f"{e} {shared}")], key=str)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(clean).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, False), (None, 1, False), (1, 1, True), (2, 1, False), (None, None, True), (None, None, False), (None, None, True), (7, 7, True)], key=str)
