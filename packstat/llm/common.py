@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +131,19 @@ def row_keys(docs: DataFrame) -> DataFrame:
     place = scratch_path(spark, "rows")
     rows.drop("_at").withColumn("_row_key", F.monotonically_increasing_id()).write.parquet(place)
     return spark.read.parquet(place)
+
+
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are moved compressed: column ``text`` becomes ``packed``."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        raw = batch.column("text").cast(pa.binary()).to_pylist()
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([pack.compress(x or b"") for x in raw], pa.binary())], [*names, "packed"])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: no lineage, sizes as they are."""
+    place = scratch_path(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

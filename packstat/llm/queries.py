@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packstat.llm import langid, mixing, neardup, packing, pages, quality, sharding, spans, topk, urls
+from packstat.llm import langid, lines, mixing, neardup, packing, pages, quality, sharding, spans, topk, urls
 from packstat.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -68,6 +68,11 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_twice_seen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_shared_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
+
+
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = sorted(urls.RULES, key=lambda r: -len(r[1]))
 
@@ -155,3 +160,12 @@ word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d)
 kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op11_twice_seen_lines"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+shared AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+left_ AS (SELECT doc_id, line, i, key IN (SELECT key FROM shared) AS gone FROM k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM left_ GROUP BY doc_id
+"""
