@@ -36,6 +36,8 @@ from packstat.session import spread
 BITS, CHUNK = 1 << 28, 1 << 23
 #: Pairs of filters merge in two steps of about so many each.
 FAN_IN = 64
+#: Shares of the documents of a key.
+SHARES = 64
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -214,9 +216,14 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
     full = twice_filter(rows, least_chars, bits)
     twice = docs.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(full.tobytes()))
     suspects = written(rows.select("_row_key", "text").mapInArrow(_suspects(twice, len(full) * 8, least_chars), "digest binary, row long"), "suspects")
-    shared = suspects.groupBy("digest").agg(F.count("*").alias("_n"), F.min("row").alias("_first")).filter(F.col("_n") >= least_docs).select(F.col("digest").alias("_of"), "_first")
+    # a key is counted, and found again, in shares of its documents, so that a line of a third of them is in many tasks
+    suspects = suspects.withColumn("share", F.pmod(F.xxhash64("row"), F.lit(SHARES)).cast("int"))
+    counts = suspects.groupBy("digest", "share").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    shared = counts.groupBy(F.col("digest").alias("_of")).agg(F.sum("n").alias("_n"), F.min("first").alias("_first")).filter(F.col("_n") >= least_docs)
+    shared = counts.join(shared, F.col("digest") == F.col("_of")).select("_of", F.col("share").alias("_share"), "_first")
     stays = (F.col("row") == F.col("_first")) if keep_first else F.lit(False)
-    marks = suspects.join(shared, F.col("digest") == F.col("_of")).groupBy("row").agg(F.collect_list(F.struct("digest", stays.alias("stays"))).alias("marks"))
+    marks = suspects.join(shared, (F.col("digest") == F.col("_of")) & (F.col("share") == F.col("_share")))
+    marks = marks.groupBy("row").agg(F.collect_list(F.struct("digest", stays.alias("stays"))).alias("marks"))
     kept = rows.select("rest").schema
     whole = rows.select("rest", "_row_key", "text").mapInArrow(packed_texts, T.StructType([*kept]).add("_row_key", "long").add("packed", "binary"))
     out = whole.join(marks, F.col("_row_key") == F.col("row"), "left").select("rest", "packed", "marks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packstat.llm import langid, lines, mixing, neardup, packing, pages, quality, sharding, spans, topk, urls
+from packstat.llm import langid, lines, mixing, neardup, packing, pages, prefixes, quality, sharding, spans, topk, urls
 from packstat.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -73,6 +73,11 @@ def op11_twice_seen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_shared_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
 
 
+@query
+def op12_turn_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = sorted(urls.RULES, key=lambda r: -len(r[1]))
 
@@ -169,3 +174,23 @@ left_ AS (SELECT doc_id, line, i, key IN (SELECT key FROM shared) AS gone FROM k
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM left_ GROUP BY doc_id
 """
+
+# crc32 of the decimal conv_id, bit by bit
+ORACLES["op12_turn_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS p FROM t),
+bits AS (SELECT conv_id, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)) AS crc FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT conv_id, xor(crc, 4294967295) % 4 AS h FROM bits),
+r AS (SELECT c.conv_id, 0 AS own, p, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN o USING (conv_id) WHERE p > h),
+path AS (SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY own, p) FILTER (role IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+member AS (SELECT conv_id, turns, d, turns[1:d] AS node FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM path)),
+node AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = d), '')) AS ends,
+  (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(string_split_regex(any_value(turns[d].text), '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS saved FROM member GROUP BY node, d),
+kids AS (SELECT node[1:d - 1] AS above, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS children FROM node LEFT JOIN kids ON kids.above = node.node AND kids.d = node.d),
+below AS (SELECT top, k, sum(saved) AS saved, count(*) FILTER (children = 0) AS leaves FROM (SELECT saved, children, k, node[1:k] AS top FROM (SELECT *, unnest(range(d + 1)) AS k FROM full_)) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.children::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_ f JOIN below ON below.top = f.node AND below.k = f.d LEFT JOIN node up ON f.d > 0 AND up.d = f.d - 1 AND up.node = f.node[1:f.d - 1]
+"""
