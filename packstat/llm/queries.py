@@ -202,9 +202,10 @@ FROM full_ f JOIN below ON below.top = f.node AND below.k = f.d LEFT JOIN node u
 
 ORACLES["op13_burst_trie_phrases"] = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
-g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size),
+p AS (SELECT row_number() OVER () AS id, lang, piece FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+w AS (SELECT id, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT id, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p)),
+x AS (SELECT lang, w AS one, w || ' ' || lead(w) OVER later AS two, w || ' ' || lead(w) OVER later || ' ' || lead(w, 2) OVER later AS three FROM w WINDOW later AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, 1 AS size, one AS phrase FROM x UNION ALL SELECT lang, 2, two FROM x WHERE two IS NOT NULL UNION ALL SELECT lang, 3, three FROM x WHERE three IS NOT NULL),
 f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
 c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
