@@ -32,11 +32,11 @@ from packstat.llm.common import mix, written
 #: Bits of a word id; three of them make a key.
 ID_BITS = 21
 #: Phrases of a container, phrases and words held by a task.
-CONTAINER, HELD, WORDS = 1 << 16, 1_000_000, 1 << 20
+CONTAINER, HELD, WORDS = 1 << 17, 600_000, 1 << 19
 #: Partitions over which the subtree of a pair is dealt.
 NEIGHBOURS = 16
 #: Bytes of text for each prefix partition; bytes of text counted at a time.
-PART_BYTES, RUN = 24 << 20, 2 << 20
+PART_BYTES, RUN = 6 << 20, 2 << 20
 #: Shares in which common counts are looked up and ranks are taken.
 SHARES = 64
 
@@ -50,11 +50,23 @@ class Words(dict):
 
     def __init__(self):
         super().__init__({b".": 0})
+        self.hashes, self.said, self.rank = np.zeros(0, np.uint64), None, np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
+    def listed(self) -> None:
+        """Hashes of all words so far, the order of the hashes, and the words as an array; the mark is no word."""
+        if len(self.hashes) < len(self):
+            said = [b"", *list(self)[1:]]
+            new = np.fromiter(map(zlib.crc32, said[len(self.hashes):]), np.uint64, len(self) - len(self.hashes))
+            self.hashes = np.concatenate([self.hashes, mix(new + np.uint64(1))])
+            self.rank = np.empty(len(said), np.int64)
+            self.rank[np.argsort(self.hashes[1:], kind="stable") + 1] = np.arange(1, len(said))
+            self.rank[0] = 0
+            self.said = pa.array(said, pa.large_binary())
+
 
 def word_ids(texts: list[bytes], words: Words) -> np.ndarray:
     """Ids of all words, 0 between pieces and between texts."""
@@ -75,12 +87,12 @@ def phrase_keys(ids: np.ndarray) -> np.ndarray:
 class Trie:
     """Counts of keys. ``lows`` are the first keys of the leaves, prefixes of word ids; each leaf is a hash container."""
 
-    def __init__(self):
-        self.lows, self.leaves, self.size = np.zeros(1, np.int64), [Counter()], 0
+    def __init__(self, container: int = CONTAINER):
+        self.lows, self.leaves, self.size, self.container = np.zeros(1, np.int64), [Counter()], 0, container
 
     def add(self, keys: np.ndarray) -> None:
         leaf = np.searchsorted(self.lows, keys, side="right") - 1
-        keys = keys[np.argsort(leaf, kind="stable")] if len(self.leaves) > 1 else keys
+        keys = keys[np.argsort(leaf.astype(np.uint16 if len(self.leaves) < 1 << 16 else np.int64), kind="stable")] if len(self.leaves) > 1 else keys
         ends = np.cumsum(np.bincount(leaf, minlength=len(self.leaves))).tolist()
         at = 0
         for k, end in enumerate(ends):
@@ -92,7 +104,7 @@ class Trie:
             at = end
         k = 0
         while k < len(self.leaves):
-            if len(self.leaves[k]) <= CONTAINER or not self._burst(k):
+            if len(self.leaves[k]) <= self.container or not self._burst(k):
                 k += 1
 
     def _burst(self, k: int) -> bool:
@@ -125,23 +137,21 @@ class Trie:
 _RUNS = "lang string, part int, phrases binary, counts binary"
 
 
-def _sorted_runs(lang: str, keys: np.ndarray, counts: np.ndarray, words: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
-    """A run of each prefix partition, its phrases in the order of their bytes."""
+def _sorted_runs(lang: str, keys: np.ndarray, counts: np.ndarray, words: Words, parts: int) -> Iterator[pa.RecordBatch]:
+    """A run of each prefix partition, its phrases in the order of their words' hashes."""
     if not len(keys):
         return
-    ids = np.stack([keys >> (2 * ID_BITS), keys >> ID_BITS & _MASK, keys & _MASK])
-    used, at = np.unique(ids, return_inverse=True)
-    at = at.reshape(3, -1)
-    said = [words[k] if k else b"" for k in used.tolist()]
-    crc = mix(np.fromiter(map(zlib.crc32, said), np.uint64, len(said)) + np.uint64(1))
-    prefix = mix(crc[at[0]] * np.uint64(0x9E3779B97F4A7C15) + crc[at[1]])
-    part = ((prefix % np.uint64(parts)).astype(np.int64) + (crc[at[2]] % np.uint64(NEIGHBOURS)).astype(np.int64) * (ids[2] > 0)) % parts
-    said = pa.array(said, pa.large_binary())
-    rank = np.empty(len(said), np.int64)
-    rank[pc.sort_indices(said).to_numpy()] = np.arange(len(said))
-    order = np.lexsort((rank[at[2]], rank[at[1]], rank[at[0]], part))
-    later = pa.array([b" " + w if w else b"" for w in said.to_pylist()], pa.large_binary())
-    joined = pc.binary_join_element_wise(said.take(at[0][order]), later.take(at[1][order]), later.take(at[2][order]), pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    words.listed()
+    one, two, three = keys >> (2 * ID_BITS), keys >> ID_BITS & _MASK, keys & _MASK
+    prefix = mix(words.hashes[one] * np.uint64(0x9E3779B97F4A7C15) + words.hashes[two])
+    part = ((prefix % np.uint64(parts)).astype(np.int64) + (words.hashes[three] % np.uint64(NEIGHBOURS)).astype(np.int64) * (three > 0)) % parts
+    order = np.argsort(words.rank[one] << (2 * ID_BITS) | words.rank[two] << ID_BITS | words.rank[three])
+    order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
+    space, none = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
+    one, two, three = (words.said.take(pa.array(x[order])) for x in (one, two, three))
+    # a word that is not there leaves its space, which is cut off at the end of the phrase
+    joined = pc.binary_join_element_wise(one, two, three, space)
+    joined = pc.binary_join_element_wise(pc.ascii_rtrim(joined.cast(pa.large_string(), safe=False), " ").cast(pa.large_binary()), pa.scalar(b"\n", pa.large_binary()), none)
     _, offsets, data = joined.buffers()
     offsets, data = np.frombuffer(offsets, np.int64), memoryview(data)
     part, counts, pack = part[order], counts[order], zstandard.ZstdCompressor(level=1)
@@ -152,24 +162,23 @@ def _sorted_runs(lang: str, keys: np.ndarray, counts: np.ndarray, words: list[by
          pa.array([pack.compress(counts[a:b].tobytes()) for a, b in spans], pa.binary())], ["lang", "part", "phrases", "counts"])
 
 
-def _count(parts: int):
+def _count(parts: int, held: int, container: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs of the phrases of a task's texts."""
         words, tries = Words(), {}
 
         def spill(keep: int) -> Iterator[pa.RecordBatch]:
-            listed = list(words)
             for lang, trie in tries.items():
-                yield from _sorted_runs(lang, *trie.spill(keep // max(1, len(tries))), listed, parts)
+                yield from _sorted_runs(lang, *trie.spill(keep // max(1, len(tries))), words, parts)
 
         for lang, texts in _by_lang(batches):
-            trie = tries.setdefault(lang, Trie())
+            trie = tries.setdefault(lang, Trie(container))
             trie.add(phrase_keys(word_ids(texts, words)))
             if len(words) > WORDS:
                 yield from spill(0)
                 words, tries = Words(), {}
-            elif sum(t.size for t in tries.values()) > HELD:
-                yield from spill(HELD // 2)
+            elif sum(t.size for t in tries.values()) > held:
+                yield from spill(held // 2)
         yield from spill(0)
     return count
 
@@ -196,8 +205,10 @@ def _merge(least: int):
         unpack, at, held, size = zstandard.ZstdDecompressor(), None, [], 0
 
         def added(tables: list[pa.Table]) -> pa.Table:
-            done = pa.concat_tables(tables).group_by("phrase").aggregate([("f", "sum")])
-            return done.rename_columns(["phrase", "f"])
+            every = pa.concat_tables(tables).combine_chunks()
+            phrase = every.column("phrase").chunk(0).dictionary_encode()
+            f = np.bincount(phrase.indices.to_numpy(), weights=every.column("f").to_numpy(), minlength=len(phrase.dictionary))  # exact below 2^53
+            return pa.table({"phrase": phrase.dictionary, "f": f.astype(np.int64)})
 
         def finished() -> Iterator[pa.RecordBatch]:
             done = added(held)
@@ -222,7 +233,7 @@ def _merge(least: int):
                 said = pc.binary_slice(pa.Array.from_buffers(pa.large_binary(), len(f), [None, pa.py_buffer(np.concatenate([[0], ends + 1]).astype(np.int64)), pa.py_buffer(data)]), 0, -1)
                 held.append(pa.table({"phrase": said, "f": f}))
                 size += len(f)
-                if len(held) > 1 and size > 2_000_000:
+                if len(held) > 1 and size > 1_000_000:
                     held = [added(held)]
                     size = 0
         if held:
@@ -230,21 +241,21 @@ def _merge(least: int):
     return merge
 
 
-def phrase_counts(docs: DataFrame, least: int = 10) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 10, held: int = HELD, container: int = CONTAINER) -> DataFrame:
     """lang, phrase, size (in words), f: words, pairs and triples with f >= least; and rows of a null phrase whose f add up to a language's words."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(volume // PART_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism)
-    runs = rows.mapInArrow(_count(parts), _RUNS).repartition(parts, "part", "lang").sortWithinPartitions("part", "lang")
+    runs = rows.mapInArrow(_count(parts, held, container), _RUNS).repartition(parts, "part", "lang").sortWithinPartitions("part", "lang")
     return runs.mapInArrow(_merge(least), "lang string, phrase string, size int, f long")
 
 
-def collocations(docs: DataFrame, least: int = 10, most: int = 2000, inside_percent: int = 50) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, most: int = 2000, inside_percent: int = 50, held: int = HELD, container: int = CONTAINER) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``most`` highest scores of each language.
 
     A phrase is dropped if a longer one that holds it occurs ``inside_percent`` per cent as often.
     """
-    counts = written(phrase_counts(docs, least), "phrases")
+    counts = written(phrase_counts(docs, least, held, container), "phrases")
     totals = counts.filter("phrase IS NULL").groupBy(F.col("lang").alias("_lang")).agg(F.sum("f").alias("n"))
     found = counts.filter("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     said = lambda start, length: F.array_join(F.slice("w", start, length), " ")
