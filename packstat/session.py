@@ -24,11 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; cuts the lineage of iterative operators."""
+    """``df`` written to the shared folder and read again; cuts the lineage of iterative operators.
+
+    A table that is read has the size of its files. ``DataFrame.checkpoint`` would keep the size that was estimated for ``df``,
+    and joins multiply these: in a loop that joins a round with its own descendant they grow without bound.
+    """
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    place = scratch_path(spark, "round")
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def spent(*rounds: DataFrame) -> None:
+    """Delete tables that ``checkpoint`` has written and nothing will read again."""
+    for df in rounds:
+        spark = df.sparkSession
+        for place in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if place.rsplit("/", 1)[1].startswith("round-"):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,4 +57,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-__all__ = ["checkpoint", "scratch_path", "shared_dir", "spread"]
+__all__ = ["checkpoint", "scratch_path", "shared_dir", "spent", "spread"]
