@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ _VALUE_LOWER = _VALUE.copy()
 _VALUE_LOWER[65:91] = _VALUE[97:123]
 _INSIDE = np.ones(256, bool)
 _INSIDE[list(_SPACE_BYTES)] = False
+#: Words of so many bytes get a hash of their own: sums of powers modulo two to the 64th are the same for some pairs of long words.
+LONG_WORD = 256
 _BASE, _POWERS = 0x9E3779B97F4A7C15, {}
 
 
@@ -83,7 +86,11 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tu
     ends[:-1] &= ~inside[1:] | edge[1:n]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = prefix_sums((_VALUE_LOWER if lower else _VALUE)[data])
-    return stretch_hash(sums, begin, end), np.searchsorted(begin, bounds), begin, end
+    hashes = stretch_hash(sums, begin, end)
+    for k in np.flatnonzero(end - begin >= LONG_WORD).tolist():
+        word = data[begin[k]: end[k]].tobytes()
+        hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return hashes, np.searchsorted(begin, bounds), begin, end
 
 
 def texts(column: pa.Array, run: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

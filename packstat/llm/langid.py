@@ -13,7 +13,6 @@ separately. An empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ from packstat.session import checkpoint
 WIDTH, PER_LANGUAGE = 1 << 12, 400
 #: Below this gap between the two best scores a text is ambiguous.
 MARGIN = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:127] = 32  # all that is no letter counts as a gap
@@ -139,7 +137,7 @@ def _predict(model):
                     chance /= chance.sum(axis=1, keepdims=True)
                     order = np.sort(chance, axis=1)
                     for k, text in enumerate(column.slice(i + a, len(part) - 1).to_pylist()):
-                        seen = bool(text and _LETTER.search(text))
+                        seen = bool(text) and any(map(str.isalpha, text))
                         lang.append(names[int(chance[k].argmax())] if seen else "und")
                         score.append(float(order[k, -1]) if seen else 0.0)
                         doubt.append(seen and len(names) > 1 and bool(order[k, -1] - order[k, -2] < MARGIN))

@@ -9,7 +9,7 @@ of a reduction tree. At the root the last fraction and the reserve are rounded f
 the smallest, at random as long as the smaller ones can still make up the difference, so a source
 misses its target by no more than a small document.
 
-Randomness comes from hashes of ids, so reruns agree. Null and empty texts have size 0 and take
+Randomness comes from hashes of (doc_id, text, number among equal rows), so reruns agree, however the rows are dealt to tasks. Null and empty texts have size 0 and take
 nothing. A null source is a source of its own, and comes last. Rows that repeat an id count
 separately. An empty table gives no rows.
 """
@@ -62,7 +62,7 @@ def _draw(*parts) -> float:
 
 def _round(frame: pd.DataFrame, seed: int, root: bool) -> pd.DataFrame:
     """Pair fractions until at most one is left besides a reserve; the root closes all of them."""
-    frame = frame.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    frame = frame.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
     part, size = frame["part"].to_numpy(np.float64).copy(), frame["size"].to_numpy(np.float64)
     ids, given = frame["row"].to_numpy(), frame["copies"].to_numpy(np.int64).copy()
     part[size == 0] = 0.0
@@ -109,7 +109,10 @@ def _rounding(seed: int, root: bool):
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source, and the hash of the text."""
-    sized = checkpoint(docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")))
+    # equal rows are told apart by a number, whichever of them has it, so nothing depends on how the rows are dealt
+    equal = docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "hash", "size").agg(F.count("*").alias("_n"))
+    each = equal.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    sized = checkpoint(each.select("doc_id", "source", "hash", "size", F.xxhash64("doc_id", "hash", "_k").alias("row")))
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), weights, share, most)
     aims = checkpoint(aims)
     wide = aims.select(F.col("source").alias("_source"), "source_size", "target")

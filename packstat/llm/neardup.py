@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packstat.llm.common import mix, prefix_sums, row_keys, stretch_hash, texts, word_hashes
-from packstat.session import checkpoint
+from packstat.session import checkpoint, spent
 
 CHUNKS, WIDTH, BITS, ERRORS = 10, 5, 16, 1
 VALUES = CHUNKS * WIDTH
@@ -226,7 +226,7 @@ def links(sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     while True:
         large = solved.filter("large")
         open_ = large.groupBy("g").agg(F.bool_or(~F.col("linked")).alias("_open")).filter("_open").select(F.col("g").alias("_g"))
-        large = checkpoint(large.join(checkpoint(open_), F.col("g") == F.col("_g")).select("g", "x", "n", "nc", "linked", "diff").dropDuplicates(["g", "x"]))
+        large = checkpoint(large.join(open_, F.col("g") == F.col("_g")).select("g", "x", "n", "nc", "linked", "diff").dropDuplicates(["g", "x"]))
         if large.isEmpty():
             return found
         listed = checkpoint(_prefixes(large, percent))
@@ -245,6 +245,7 @@ def links(sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         chunks = checkpoint(_salted(checkpoint(placed), LATER_ROWS))
         sets = member.select(F.col("g").alias("_g"), F.col("x").alias("_x"), "diff")
         solved = _solved(chunks.join(sets, (F.col("g") == F.col("_g")) & (F.col("x") == F.col("_x"))).drop("_g", "_x"), words, percent)
+        spent(large, listed, met, member, centre, chunks)
         found = found.unionByName(solved.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v")))
 
 
@@ -256,13 +257,14 @@ def components(pairs: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first()
         if tuple(state) == before:
             return edges
-        before = tuple(state)
+        before, old = tuple(state), edges
         both = checkpoint(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = checkpoint(both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m")).select("_u", F.least("_u", "m").alias("m")))
         wide = checkpoint(both.join(least, F.col("u") == F.col("_u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = checkpoint(wide.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m")))
-        near = wide.join(least, F.col("u") == F.col("_u")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        lower = checkpoint(wide.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m")))
+        near = wide.join(lower, F.col("u") == F.col("_u")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = checkpoint(near.select("e.u", "e.v").filter("u <> v").distinct())
+        spent(old, both, least, wide, lower)
 
 
 def grouped(rows: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

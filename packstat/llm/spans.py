@@ -14,8 +14,8 @@ bits over the words themselves; the coordinates of the first occurrence, found b
 stays. Windows are judged on the input. Hot passages are aggregated before they are shuffled, and joined
 with the few rows that describe them, which Spark may split.
 
-Null texts have no words. Rows without an id take no part and come back whole. Rows that repeat an id and text share
-coordinates, so neither is removed for the other. An empty table gives no rows; extra columns are ignored.
+Null texts have no words. Documents are rows: rows that repeat an id, and rows without one, have coordinates of their own
+(``row_keys``: by id, null ids last, then by text), so of two equal rows the second is removed. An empty table gives no rows; extra columns come back.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from packstat.llm.common import prefix_sums, stretch_hash, texts, word_hashes
+from packstat.llm.common import packed_texts, prefix_sums, row_keys, stretch_hash, texts, word_hashes
 from packstat.session import checkpoint, scratch_path
 
 WINDOW, MER = 20, 6
+_MADE = ("n_words", "n_removed", "kept_sha256", "kept_text")
 
 
 def _nodes(data: np.ndarray, bounds: np.ndarray, window: int, mer: int) -> tuple[np.ndarray, ...]:
@@ -80,15 +82,6 @@ def _paths(window: int, mer: int):
     return paths
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts are moved compressed."""
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        raw = batch.column("text").cast(pa.binary()).to_pylist()
-        packed = pa.array([pack.compress(x or b"") for x in raw], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), packed], [*(c for c in batch.schema.names if c != "text"), "packed"])
-
-
 def _windows(window: int, mer: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each window of the branching paths of a document."""
@@ -148,8 +141,9 @@ def _removed(window: int, keep_text: bool):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, keep_text: bool = False) -> DataFrame:
     """The columns of ``docs`` but for text, and n_words, n_removed, kept_sha256, kept_text (null unless asked for)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    spark, every = docs.sparkSession, [c for c in docs.columns if c not in ("text", *_MADE)]
+    keyed = row_keys(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in every)).alias("rest")))
+    rows = keyed.select(F.col("_row_key").alias("doc_id"), "text")
     paths = rows.mapInArrow(_paths(window, mer), "node long, path long, doc_id long, a int, n int")
     nodes = (paths.groupBy("node").agg(F.min("path").alias("_low"), F.max("path").alias("_high"), F.count("*").alias("_n"), F.min(F.struct("doc_id", "a")).alias("_first"))
              .filter("_n > 1").select(F.col("node").alias("_node"), (F.col("_low") != F.col("_high")).alias("branch"), "_first"))
@@ -159,7 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, keep_t
     spans = met.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "branch")).alias("spans"))
     spans = checkpoint(spans.select(F.col("doc_id").alias("_doc"), F.filter("spans", lambda s: ~s["branch"]).alias("paths"), F.filter("spans", lambda s: s["branch"]).alias("spans")))
 
-    packed = rows.mapInArrow(_packed, "doc_id long, packed binary")
+    packed = rows.mapInArrow(packed_texts, "doc_id long, packed binary")
     branching = spans.filter(F.size("spans") > 0).select("_doc", "spans")
     windows = packed.join(branching, F.col("doc_id") == F.col("_doc")).select("doc_id", "packed", "spans").mapInArrow(_windows(window, mer), "node long, edge long, doc_id long, a int")
     place = scratch_path(spark, "edges")
@@ -170,9 +164,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, keep_t
     again = windows.join(edges, (F.col("node") == F.col("_node")) & (F.col("edge") == F.col("_edge"))).filter(F.struct("doc_id", "a") != F.col("_first"))
     again = again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("a").alias("edges"))
 
-    whole = docs.withColumn("_key", F.col("doc_id").cast("long"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema if f.name != "text")
-    whole = whole.mapInArrow(_packed, f"{schema}, packed binary")
-    joined = whole.join(spans.select("_doc", "paths"), F.col("_key") == F.col("_doc"), "left").join(again, F.col("_key") == F.col("_id"), "left").drop("_doc", "_id")
-    out = joined.mapInArrow(_removed(window, keep_text), f"{schema}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.drop("_key")
+    kept = keyed.select("_row_key", "rest").schema
+    whole = keyed.select("_row_key", "rest", "text").mapInArrow(packed_texts, T.StructType([*kept]).add("packed", "binary"))
+    joined = whole.join(spans.select("_doc", "paths"), F.col("_row_key") == F.col("_doc"), "left").join(again, F.col("_row_key") == F.col("_id"), "left").drop("_doc", "_id")
+    results = T.StructType([*kept]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
+    return joined.mapInArrow(_removed(window, keep_text), results).select("rest.*", *_MADE)

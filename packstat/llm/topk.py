@@ -8,7 +8,8 @@ an interval's lower end, those are emitted and ranked, ties to the smaller id.
 A tile reports no more than its own k best scores per query: what lies below them cannot change
 the k-th best of all, and of equal scores the k smallest ids of a tile are enough.
 
-Null vectors, and those with null or non-finite components, take no part. Shorter vectors count as
+Null vectors, and those with null or non-finite components, take no part, nor do vectors whose integers have squares that add up to
+``SQUARES`` or more: below it every score fits 64 bits. Shorter vectors count as
 padded with zeros. Rows that repeat an id are candidates of their own, but for the query with that
 id. Empty tables give no rows.
 """
@@ -28,6 +29,8 @@ from packstat.session import checkpoint
 CANDIDATES, QUERIES, SHARES = 1024, 4096, 48
 #: Bits of the score that one round of histograms settles.
 STEP = 9
+#: Products of two vectors with smaller sums of squares are smaller still.
+SQUARES = 2.0**62
 
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
@@ -58,9 +61,10 @@ def _as_integers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if v is None or vec_id is None or pd.isna(vec_id):
                 continue
             x = np.asarray([np.nan if e is None else e for e in v] if getattr(v, "dtype", None) == object or isinstance(v, list) else v, np.float64)
-            if np.isfinite(x).all():
+            x = np.floor(x * 1024.0)
+            if np.isfinite(x).all() and float(x @ x) < SQUARES:
                 ids.append(int(vec_id))
-                out.append(np.floor(x * 1024.0).astype(np.int64).tobytes())
+                out.append(x.astype(np.int64).tobytes())
         yield pd.DataFrame({"vec_id": np.array(ids, np.int64), "vec": out})
 
 

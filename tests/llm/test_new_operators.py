@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packstat.llm import lines, phrases, prefixes
+from packstat.llm import langid, lines, mixing, neardup, phrases, prefixes, spans, topk
 
 DOCS = "doc_id long, text string, lang string, rest string, marks string, n_lines string"
 SPACE = " \t\n\x0b\x0c\r"
@@ -228,3 +228,50 @@ def test_scores_pass_64_bits(spark):
 
 def test_collocations_of_an_empty_table(spark):
     assert phrases.collocations(documents(spark, [(1, "x", "en")]).filter("false")).collect() == []
+
+
+def test_components_of_a_long_chain(spark):
+    """Many rounds: sizes of the rounds are those of their files, not products of estimates."""
+    rng = np.random.default_rng(16)
+    name = (rng.permutation(10_001) + 1).tolist()
+    links = spark.createDataFrame([(name[k], name[k + 1]) for k in range(10_000)] + [(20_000, 20_001)], "u long, v long")
+    got = {r.u: r.v for r in neardup.components(links).collect()}
+    assert got == {k: 1 for k in range(2, 10_002)} | {20_001: 20_000}
+
+
+def test_repeated_ids_keep_their_own_texts(spark):
+    said, other = (" ".join(f"{k}{x}" for x in range(40)) for k in "su")
+    docs = spark.createDataFrame([(1, said), (2, said), (2, other), (None, other), (None, said), (3, f"x {other}")], "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in spans.remove_repeats(docs, keep_text=True).collect()]
+    # by id, null ids last: the text of 1 stays, the second row of 2 is the first with its text, 3 keeps what is its own
+    assert sorted(got, key=str) == sorted([(1, 40, 0, said), (2, 40, 40, ""), (2, 40, 0, other), (None, 40, 40, ""), (None, 40, 40, ""), (3, 41, 40, "x")], key=str)
+
+
+def test_long_words_with_equal_sums_are_different(spark):
+    """Thue-Morse words: two letters in an order whose weighted sums modulo a power of two are those of its complement."""
+    order = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in order) for flip in (0, 1))
+    shared = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{a} {shared}"), (2, f"{b} {shared}"), (3, f"{a} {shared}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in spans.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_mix_is_the_same_however_rows_are_dealt(spark):
+    rows = [(i % 300 if i % 7 else None, "w " * (1 + i * 37 % 90), f"s{i % 3}") for i in range(700)] + [(5, "a b", "s1")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    said = [sorted(((r.doc_id, r["size"], r.source, r.taken) for r in mixing.mix(docs.repartition(n)).collect()), key=str) for n in (1, 3, 17)]
+    assert len(said[0]) == len(rows) and said[0] == said[1] == said[2]
+
+
+def test_signs_are_no_letters(spark):
+    rows = [(i, f"the cat sat on mat {i}", "en") for i in range(40)] + [(i, f"le chat est noir {i}", "fr") for i in range(40, 80)]
+    rows += [(k, t, None) for k, t in enumerate(["½ ½", "² Ⅷ ㊀", "12 !?", "ª", "日本"], 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, F.col("doc_id") >= 100).collect()}
+    assert all(got[k] == ("und", 0.0) for k in (100, 101, 102)) and all(got[k][0] in ("en", "fr") for k in (103, 104))
+
+
+def test_scores_that_need_not_fit_64_bits_take_no_part(spark):
+    rows = [(0, [1e30, 0.0]), (100, [2.0**20, 1.0]), (1, [2.0**20, -1.0]), (2, [3.0, 4.0]), (3, [2.0**22, 0.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect())
+    assert got == [(100, 1, 1, 2**60 - 2**20), (100, 2, 2, 2**30 * 3 * 1024 + 4 * 2**20)]
