@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packstat.functions.ordered import number_rows
 from packstat.functions.periodic import axes, grid_index, min_image, norm, wrap
 from packstat.functions.shapes import by_shape, cols_of, dot, framed, present
 from packstat.session import checkpoint
 
 CELL_LOAD = 1 << 14
+#: Least particles of a crowd.
+CROWD = 32
 SLACK = 1 + 1e-9
 
 
@@ -424,52 +427,65 @@ def point_flags(points: DataFrame, particles: DataFrame, samples: DataFrame, dim
 # --- nearest neighbours -----------------------------------------------------------------
 
 
+def z_order(rows: DataFrame, dim: int) -> DataFrame:
+    """``_code``: place on a curve through the box on which near points are mostly near, the bits of the coordinates in turn."""
+    bits = 60 // dim
+    cells = {f"_q{a}": grid_index(wrap(F.col(f"c{a}"), F.col(f"l{a}")), F.col(f"l{a}"), F.lit(1 << bits)) for a in axes(dim)}
+    code = F.lit(0).cast("long")
+    for bit in range(bits):
+        for place, cell in enumerate(cells):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(cell), bit).bitwiseAND(F.lit(1).cast("long")), bit * dim + place))
+    return rows.withColumns(cells).withColumn("_code", code).drop(*cells)
+
+
+def crowds(particles: DataFrame, samples: DataFrame, dim: int, least: int) -> DataFrame:
+    """Particles with ``_crowd``: stretches of ``least`` to ``2 * least`` particles of a curve through the box (fewer in a smaller sample).
+
+    They are as small as the particles are dense, so they serve as an index where some
+    places hold a thousand times as many particles as others.
+    """
+    n = particles.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
+    facts = attach(samples.select("sample_id", *box(dim)), n)
+    placed = z_order(attach(particles.select("sample_id", "particle_id", *[f"c{a}" for a in axes(dim)]), facts), dim)
+    numbered = number_rows(placed, ["sample_id"], ["_code", "particle_id"], "_pos")
+    last = F.greatest(F.floor(F.col("_n") / least) - 1, F.lit(0))
+    return numbered.withColumn("_crowd", F.least(F.floor(F.col("_pos") / least), last).cast("long")).drop("_code", "_pos")
+
+
+def local_reach(particles: DataFrame, samples: DataFrame, dim: int, k: int = 1) -> DataFrame:
+    """Particles with ``_ring``: no less than the distance to the k-th nearest other, and about as much.
+
+    The k-th nearest of the same crowd bounds the k-th nearest of all. Rings much below what is
+    usual in the crowd are widened to half of that, so few grids serve all rings.
+    """
+    at = [f"c{a}" for a in axes(dim)]
+    rows = checkpoint(crowds(particles, samples, dim, max(CROWD, 4 * (k + 1))))
+    others = rows.select("sample_id", "_crowd", F.col("particle_id").alias("_other"), *[F.col(c).alias(f"_{c}") for c in at])
+    d = norm([min_image(F.col(f"_c{a}") - F.col(f"c{a}"), F.col(f"l{a}")) for a in axes(dim)])
+    pairs = rows.join(others, ["sample_id", "_crowd"]).where("particle_id <> _other").select("sample_id", "_crowd", "particle_id", d.alias("_d"))
+    kth = F.min("_d") if k == 1 else F.get(F.sort_array(F.collect_list("_d")), F.lit(k - 1))
+    bound = pairs.groupBy("sample_id", "_crowd", "particle_id").agg(kth.alias("_kth"))
+    usual = bound.groupBy("sample_id", "_crowd").agg(F.exp(F.avg(F.log(F.greatest("_kth", F.lit(1e-300))))).alias("_usual"))
+    far = norm([F.col(b) / 2 for b in box(dim)])
+    wide = bound.join(usual, ["sample_id", "_crowd"]).select("sample_id", "particle_id", F.greatest("_kth", F.col("_usual") / 2).alias("_wide"), "_kth")
+    ring = F.when(F.col("_kth").isNull(), far).otherwise(F.col("_wide")) * SLACK
+    return rows.join(wide, ["sample_id", "particle_id"], "left").select("sample_id", "particle_id", *at, *box(dim), "_n", ring.alias("_ring"))
+
+
 def nearest(particles: DataFrame, samples: DataFrame, dim: int, k: int = 1) -> DataFrame:
     """The k nearest others of each particle by minimum image: ``other_id``, ``d``, ``rank``.
 
-    Rings widen until every particle has k others inside its ring. Only the unfinished
-    particles look again; the first ring is a few mean spacings, so most finish in it.
+    A particle looks as far as its k-th nearest in a crowd of neighbours, so it meets few more than k whatever the density
+    around it, and one look is enough.
     """
     at = [f"c{a}" for a in axes(dim)]
-    base = particles.select("sample_id", "particle_id", *at)
-    volume = None
-    for b in box(dim):
-        volume = F.col(b) if volume is None else volume * F.col(b)
-    counts = base.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
-    spacing = attach(samples.select("sample_id", *box(dim)), counts).select(
-        "sample_id", "_n", F.pow(volume / F.col("_n"), 1.0 / dim).alias("_h"),
-        norm([F.col(b) / 2 for b in box(dim)]).alias("_far"))
-    active = checkpoint(attach(base, spacing.where(F.col("_n") > 1)))
-    found: DataFrame | None = None
-    ring = 1.0 + 0.5 * k ** (1.0 / dim)
-    while not active.isEmpty():
-        reach = F.least(ring * F.col("_h"), F.col("_far") * SLACK)
-        probes = active.select("sample_id", F.col("particle_id").alias("point_id"),
-                               *[F.col(x).alias(x[1:]) for x in at], reach.alias("_ring"))
-        rings = active.groupBy("sample_id").agg(F.max(reach).alias("_ring"))
-        near = near_points(probes, attach(base, rings), samples, dim, F.col("_ring"), [], ["point_id", "_ring"])
-        d = norm([min_image(F.col(f"c{a}") - F.col(a), F.col(f"l{a}")) for a in axes(dim)])
-        close = (near.where(F.col("point_id") != F.col("particle_id"))
-                 .select("sample_id", "point_id", "particle_id", d.alias("d"), "_ring").where("d <= _ring"))
-        best = _k_least(close, k)
-        full = best.groupBy("sample_id", "point_id").agg(F.count(F.lit(1)).alias("_got"))
-        state = (active.select("sample_id", F.col("particle_id").alias("point_id"), "_n",
-                               (ring * F.col("_h") >= F.col("_far")).alias("_last"))
-                 .join(full, ["sample_id", "point_id"], "left")
-                 .withColumn("_done", F.col("_last") | (F.coalesce("_got", F.lit(0)) >= F.least(F.lit(k), F.col("_n") - 1))))
-        round_ = checkpoint(state.select("sample_id", "point_id", "_done")
-                            .join(best, ["sample_id", "point_id"], "left"))
-        done = round_.where("_done AND particle_id IS NOT NULL").select(
-            "sample_id", F.col("point_id").alias("particle_id"), F.col("particle_id").alias("other_id"), "d", "rank")
-        found = done if found is None else found.unionByName(done)
-        active = checkpoint(active.join(
-            round_.where("NOT _done").select("sample_id", F.col("point_id").alias("particle_id")).distinct(),
-            ["sample_id", "particle_id"], "left_semi"))
-        ring *= 2
-    if found is None:
-        found = base.limit(0).select("sample_id", "particle_id", F.col("particle_id").alias("other_id"),
-                                     F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("rank"))
-    return found
+    looking = checkpoint(local_reach(particles, samples, dim, k).where("_n > 1"))
+    points = looking.select("sample_id", F.col("particle_id").alias("_other"), *[F.col(c).alias(c[1:]) for c in at])
+    near = near_points(points, looking.drop(*box(dim), "_n"), samples, dim, F.col("_ring"), ["_ring"], ["_other"])
+    d = norm([min_image(F.col(a) - F.col(f"c{a}"), F.col(f"l{a}")) for a in axes(dim)])
+    close = (near.where("particle_id <> _other").select("sample_id", F.col("particle_id").alias("point_id"), F.col("_other").alias("particle_id"), d.alias("d"), "_ring")
+             .where("d <= _ring"))
+    return _k_least(close, k).select("sample_id", F.col("point_id").alias("particle_id"), F.col("particle_id").alias("other_id"), "d", "rank")
 
 
 def _k_least(close: DataFrame, k: int) -> DataFrame:

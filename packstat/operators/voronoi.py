@@ -19,45 +19,51 @@ from pyspark.sql import functions as F
 from packstat.functions.periodic import axes, norm
 from packstat.functions.shapes import by_shape
 from packstat.operators.geometry import surface_points, with_erosion
-from packstat.operators.spatial import attach, box, periodic_images
+from packstat.operators.spatial import SLACK, attach, box, local_reach, periodic_images
 from packstat.session import checkpoint, spread
 
 EPS = 1e-12
 SECTORS = 12
 FACE_BINS = 4
-FIRST_RING = {2: 3.0, 3: 2.6}
+#: The first ring is so many times the distance to the ``NEAREST``-th nearest seed of the crowd.
+NEAREST, FIRST_RING = 4, {2: 2.0, 3: 2.0}
 SEED = ["sample_id", "i"]
 
 
 def _facts(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
-    """Per sample: the box, the mean spacing, and the reach that takes in every image."""
-    volume = None
-    for b in box(dim):
-        volume = F.col(b) if volume is None else volume * F.col(b)
+    """Per sample: the box, and the reach that takes in every image."""
     n = seeds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
     return attach(samples.select("sample_id", *box(dim)), n).select(
-        "sample_id", *box(dim), F.pow(volume / F.col("_n"), 1.0 / dim).alias("_h"),
-        (2 * norm([F.col(b) for b in box(dim)])).alias("_all"))
+        "sample_id", *box(dim), (2 * norm([F.col(b) for b in box(dim)])).alias("_all"))
 
 
-def _near(active: DataFrame, seeds: DataFrame, facts: DataFrame, dim: int, ring: float) -> DataFrame:
-    """Neighbours of the active seeds, images included, within the ring: offset ``dx..`` and ``d``."""
-    reach = F.least(ring * F.col("_h"), F.col("_all"))
-    sides = attach(active.select("sample_id").distinct(), facts).withColumn("_reach", reach)
+def _near(active: DataFrame, seeds: DataFrame, facts: DataFrame, dim: int) -> DataFrame:
+    """Neighbours of the active seeds, images included, within each one's ring: offset ``dx..`` and ``d``.
+
+    Cells halve from level to level; a seed looks on the level whose cells fit its ring, all are listed on the levels in use.
+    """
+    looking = attach(active, facts).withColumn("_reach", F.least("_ring", "_all"))
+    sides = looking.groupBy("sample_id").agg(F.max("_reach").alias("_widest"))
+    level = F.least(F.floor(F.log2(F.col("_widest") / F.col("_reach")) + 1e-12), F.lit(40)).cast("int")
+    looking = attach(looking, sides).withColumn("_level", level)
+    used = looking.groupBy("sample_id").agg(F.collect_set("_level").alias("_used"))
     # images come only to samples that still look, and only as far as they look
     around = periodic_images(
-        attach(seeds, sides).select("sample_id", "seed_id", "_reach", *box(dim),
-                                    *[F.col(a).alias(f"c{a}") for a in axes(dim)]),
-        sides, dim, F.col("_reach"))
-    listed = around.select("sample_id", F.col("seed_id").alias("j"),
+        attach(seeds, attach(attach(facts.drop("_all"), sides), used)).select("sample_id", "seed_id", "_widest", "_used", *box(dim),
+                                                                               *[F.col(a).alias(f"c{a}") for a in axes(dim)]),
+        sides, dim, F.col("_widest"))
+    size = F.col("_widest") / F.pow(F.lit(2.0), F.col("_level"))
+    gaps = norm([F.greatest(-F.col(f"c{a}"), F.col(f"c{a}") - F.col(f"l{a}"), F.lit(0.0)) for a in axes(dim)])
+    listed = around.withColumn("_level", F.explode("_used")).where(gaps <= size)
+    listed = listed.select("sample_id", "_level", F.col("seed_id").alias("j"),
                            *[F.col(f"image_{a}").alias(f"image_{a}") for a in axes(dim)],
                            *[F.col(f"c{a}").alias(f"_{a}") for a in axes(dim)],
-                           *[F.floor(F.col(f"c{a}") / F.col("_reach")).alias(f"_cell_{a}") for a in axes(dim)])
-    looking = attach(active, sides).select("sample_id", F.col("seed_id").alias("i"), "_reach", "_all", *axes(dim))
+                           *[F.floor(F.col(f"c{a}") / size).alias(f"_cell_{a}") for a in axes(dim)])
+    looking = looking.select("sample_id", "_level", "_widest", F.col("seed_id").alias("i"), "_reach", "_all", *axes(dim))
     for a in axes(dim):
-        own = F.floor(F.col(a) / F.col("_reach"))
+        own = F.floor(F.col(a) / size)
         looking = looking.withColumn(f"_cell_{a}", F.explode(F.array(own - 1, own, own + 1)))
-    pairs = looking.join(listed, ["sample_id", *[f"_cell_{a}" for a in axes(dim)]])
+    pairs = looking.join(listed, ["sample_id", "_level", *[f"_cell_{a}" for a in axes(dim)]])
     pairs = pairs.select("sample_id", "i", "j", *[f"image_{a}" for a in axes(dim)], "_reach", "_all",
                          *[(F.col(f"_{a}") - F.col(a)).alias(f"d{a}") for a in axes(dim)])
     return pairs.withColumn("d", norm([F.col(f"d{a}") for a in axes(dim)])).where("d > 0 AND d <= _reach")
@@ -111,8 +117,28 @@ def _radius_2d(edges: Column) -> Column:
     return F.when(~is_open, F.array_max(reach))
 
 
-def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarray, float]:
-    """Areas of the facets of one 3D cell from its neighbours' offsets, and the cell's radius.
+def _corners_2d(edges: Column) -> Column:
+    """Corners of a closed cell; null when it is open."""
+    is_open = (F.size(edges) == 0) | F.exists(edges, lambda e: e["lo"].isNull() | e["hi"].isNull())
+    ends = F.flatten(F.transform(edges, lambda e: F.transform(F.array(e["lo"], e["hi"]), lambda t: F.struct(
+        (e["dx"] / 2 - t * e["dy"] / e["d"]).alias("x"), (e["dy"] / 2 + t * e["dx"] / e["d"]).alias("y")))))
+    return F.when(~is_open, ends)
+
+
+def _cuts(dim: int) -> Column:
+    """Whether a neighbour's bisector reaches the cell the first neighbours leave: one of its corners is no nearer to the seed."""
+    def beyond(corner: Column) -> Column:
+        along = None
+        for a in axes(dim):
+            part = corner[a] * F.col(f"d{a}")
+            along = part if along is None else along + part
+        return 2 * along >= F.col("d") * F.col("d") * (1 - 1e-9)
+
+    return F.col("_corners").isNull() | F.exists("_corners", beyond)
+
+
+def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarray, float, np.ndarray | None]:
+    """Areas of the facets of one 3D cell from its neighbours' offsets, the cell's radius and its corners (none if it is open).
 
     The nearest neighbours all around bound the cell, and only neighbours whose bisector cuts
     or touches that bound can have a facet. With ``enough``, any bound not above it will do.
@@ -130,7 +156,7 @@ def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarr
         _, radius, corners = _cut_3d(offsets[near], size[near])
         if corners is not None:
             if enough is not None and radius * unit <= enough:
-                return np.zeros(len(offsets)), radius * unit
+                return np.zeros(len(offsets)), radius * unit, corners * unit
             left = order[(corners @ offsets[order].T).max(axis=0) >= size[order] ** 2 / 2 * (1 - 1e-9)]
             if len(left) > 0.8 * len(order):
                 break
@@ -139,8 +165,8 @@ def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarr
             break
         near = order[:32 if corners is not None else 2 * len(near)]
     areas = np.zeros(len(offsets))
-    areas[order], radius, _ = _cut_3d(offsets[order], size[order])
-    return areas * unit * unit, radius * unit
+    areas[order], radius, corners = _cut_3d(offsets[order], size[order])
+    return areas * unit * unit, radius * unit, None if corners is None else corners * unit
 
 
 def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float, np.ndarray | None]:
@@ -193,12 +219,18 @@ def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float, np.ndar
     return 0.5 * np.sum(c * (hi - lo), axis=1), float(np.linalg.norm(corners, axis=1).max()), corners
 
 
-def _radius_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bounds_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Radius and corners of the cell that the given neighbours leave."""
     for batch in batches:
-        radii = [_cell_3d(np.stack([x, y, z], axis=1), reach / 2)[1]
-                 for x, y, z, reach in zip(batch["dx"], batch["dy"], batch["dz"], batch["_reach"])]
+        cells = [_cell_3d(np.stack([x, y, z], axis=1), reach / 2)[1:] for x, y, z, reach in zip(batch["dx"], batch["dy"], batch["dz"], batch["_reach"])]
+        corners = [None if c is None or not np.isfinite(r) else [{"x": x, "y": y, "z": z} for x, y, z in _distinct(c, r).tolist()] for r, c in cells]
         yield pd.DataFrame({"sample_id": batch["sample_id"], "i": batch["i"], "_reach": batch["_reach"], "_all": batch["_all"],
-                            "cell_radius": [x if np.isfinite(x) else None for x in radii]})
+                            "cell_radius": [r if np.isfinite(r) else None for r, _ in cells], "_corners": corners})
+
+
+def _distinct(corners: np.ndarray, radius: float) -> np.ndarray:
+    """Corners without those that are the same but for rounding (each ends several edges), moved outwards by as much."""
+    return np.unique(np.round(corners / (radius * 1e-7)), axis=0) * (radius * 1e-7) * (1 + 1e-6)
 
 
 _ARRAYS = ("j", "image_x", "image_y", "image_z", "dx", "dy", "dz", "d")
@@ -208,7 +240,7 @@ def _facets_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep, parts = [], {n: [] for n in (*_ARRAYS, "area", "closed")}
         for row in batch.itertuples(index=False):
-            areas, radius = _cell_3d(np.stack([row.dx, row.dy, row.dz], axis=1))
+            areas, radius, _ = _cell_3d(np.stack([row.dx, row.dy, row.dz], axis=1))
             on = areas > EPS * max(areas.max(), 0)
             keep.append(int(on.sum()))
             for n in _ARRAYS:
@@ -230,26 +262,32 @@ def _facets(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
     key = seeds.schema["sample_id"].dataType.simpleString()
     seeds = checkpoint(seeds.select("sample_id", "seed_id", *axes(dim)))
     facts = checkpoint(_facts(seeds, samples, dim))
-    active, ring, found = seeds, FIRST_RING[dim], None
+    around = local_reach(seeds.withColumnsRenamed({"seed_id": "particle_id", **{a: f"c{a}" for a in axes(dim)}}), samples, dim, NEAREST)
+    active = checkpoint(around.select("sample_id", F.col("particle_id").alias("seed_id"), *[F.col(f"c{a}").alias(a) for a in axes(dim)],
+                                      (F.col("_ring") * FIRST_RING[dim]).alias("_ring")))
+    found = None
     while True:
         # one shuffle by seed serves every step of the round
-        pairs = checkpoint(spread(_near(active, seeds, facts, dim, ring), *SEED))
+        pairs = checkpoint(spread(_near(active, seeds, facts, dim), *SEED))
         entry = F.struct("d", "j", *[f"image_{a}" for a in axes(dim)], *[f"d{a}" for a in axes(dim)])
         nearest = pairs.groupBy(*SEED, _direction_bin(dim).alias("_bin")).agg(
             F.min(entry).alias("_e"), F.first("_reach").alias("_reach"), F.first("_all").alias("_all"))
         first = (nearest.groupBy(*SEED).agg(
             F.collect_list("_e").alias("near"), F.first("_reach").alias("_reach"), F.first("_all").alias("_all")))
         if dim == 2:
-            sized = first.select(*SEED, "_reach", "_all", _radius_2d(_intervals_2d(F.col("near"))).alias("cell_radius"))
+            first = first.withColumn("_edges", _intervals_2d(F.col("near")))
+            sized = first.select(*SEED, "_reach", "_all", _radius_2d(F.col("_edges")).alias("cell_radius"), _corners_2d(F.col("_edges")).alias("_corners"))
         else:
-            sized = _arrays(first, ("dx", "dy", "dz"), "_reach", "_all").mapInPandas(_radius_3d, f"sample_id {key}, i bigint, _reach double, _all double, cell_radius double")
+            sized = _arrays(first, ("dx", "dy", "dz"), "_reach", "_all").mapInPandas(
+                _bounds_3d, f"sample_id {key}, i bigint, _reach double, _all double, cell_radius double, _corners array<struct<x: double, y: double, z: double>>")
         # sure when no seed past the ring can touch the cell, or when the ring holds everything
         sized = checkpoint(sized.withColumn("_limit", F.when(F.col("_reach") >= F.col("_all"), F.coalesce(
             2 * F.col("cell_radius"), F.col("_all"))).when(2 * F.col("cell_radius") <= F.col("_reach"),
                                                            2 * F.col("cell_radius")))
-                           .select(*SEED, "_limit"))
-        sure = sized.where("_limit IS NOT NULL")
-        near = _gather(pairs.join(sure, SEED).where(F.col("d") <= F.col("_limit") * (1 + 1e-9)), dim)
+                           .select(*SEED, "_limit", "_corners", (2 * F.col("cell_radius")).alias("_enough")))
+        sure = sized.where("_limit IS NOT NULL").drop("_enough")
+        # only neighbours that cut what the first ones leave are gathered, so a crowd beside a seed is not
+        near = _gather(pairs.join(sure, SEED).where((F.col("d") <= F.col("_limit") * (1 + 1e-9)) & _cuts(dim)), dim)
         if dim == 2:
             edges = near.select(*SEED, F.explode(_intervals_2d(F.col("near"))).alias("_e")).select(*SEED, "_e.*")
             out = edges.withColumn("closed", F.col("lo").isNotNull() & F.col("hi").isNotNull())
@@ -259,13 +297,13 @@ def _facets(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
                 "dx double, dy double, dz double, d double, area double, closed boolean")
         out = checkpoint(out)
         found = out if found is None else found.unionByName(out)
-        done = sure.select("sample_id", F.col("i").alias("seed_id"))
-        active = checkpoint(active.join(done, ["sample_id", "seed_id"], "left_anti"))
-        # a lone seed in a box too narrow to have neighbours in reach looks further too
-        if active.isEmpty() or active.join(facts.where(ring * F.col("_h") < F.col("_all")).select("sample_id"),
-                                           "sample_id", "left_semi").isEmpty():
+        # who has looked everywhere is done too; a closed cell tells how far to look, for an open one the ring widens
+        known = sized.select("sample_id", F.col("i").alias("seed_id"), F.col("_limit").isNotNull().alias("_done"), "_enough")
+        wider = F.coalesce(F.col("_enough") * SLACK, F.col("_ring") * 4)
+        active = checkpoint(attach(active.join(known, ["sample_id", "seed_id"], "left"), facts.select("sample_id", "_all"))
+                            .where(~F.coalesce("_done", F.lit(False)) & (F.col("_ring") < F.col("_all"))).withColumn("_ring", wider).drop("_all", "_done", "_enough"))
+        if active.isEmpty():
             return found
-        ring *= 2
 
 
 def voronoi_2d(seeds: DataFrame, samples: DataFrame) -> DataFrame:

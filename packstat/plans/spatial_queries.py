@@ -222,6 +222,25 @@ def k_nearest(spark, d):
     return rounded(sp.nearest(fx.disks(spark, d), fx.samples(spark, d), 2, 5), "d")
 
 
+_APART = "(b.c{a}-a.c{a})-round_even(b.c{a}-a.c{a},0)"
+_CROWD = {dim: "SELECT a.sample_id, a.particle_id, b.particle_id AS other_id, sqrt(" + "+".join(f"pow({_APART.format(a=a)},2)" for a in "xyz"[:dim])
+          + f") AS d FROM crowd{dim} a JOIN crowd{dim} b ON a.sample_id=b.sample_id AND a.particle_id<>b.particle_id" for dim in (2, 3)}
+
+
+@query(sql("""SELECT sample_id, particle_id, arg_min(other_id, (d, other_id)) AS other_id, round(min(d),9) AS d FROM apart GROUP BY 1,2""",
+           "crowd3", apart=_CROWD[3]))
+def nearest_crowded_3d(spark, d):
+    """Half of the particles in a small part of the box."""
+    out = sp.nearest(fx.crowded(fx.spheres(spark, d), 3), fx.samples(spark, d, 3), 3)
+    return rounded(out.select("sample_id", "particle_id", "other_id", "d"), "d", digits=9)
+
+
+@query(sql("""SELECT sample_id, particle_id, other_id, rank, round(d,9) AS d FROM (SELECT *,
+row_number() OVER (PARTITION BY sample_id, particle_id ORDER BY d, other_id) AS rank FROM apart) WHERE rank<=5""", "crowd2", apart=_CROWD[2]))
+def k_nearest_crowded(spark, d):
+    return rounded(sp.nearest(fx.crowded(fx.disks(spark, d), 2), fx.samples(spark, d), 2, 5), "d", digits=9)
+
+
 @query(sql("""SELECT sample_id, particle_id, ix AS image_x, iy AS image_y, round(cx+ix,6) AS cx, round(cy+iy,6) AS cy FROM disks,
 (VALUES (-1),(0),(1)) a(ix), (VALUES (-1),(0),(1)) b(iy) WHERE
 sqrt(pow(greatest(-(cx+ix),cx+ix-1,0),2)+pow(greatest(-(cy+iy),cy+iy-1,0),2))<=r""", "disks"))

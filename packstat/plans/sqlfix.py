@@ -24,6 +24,11 @@ VIEWS = {
     "samples": "samples AS (SELECT DISTINCT p_partkey//100 AS sample_id FROM part)",
     "disks": f"disks AS (SELECT sample_id, particle_id, phase, cx, cy, r0 AS r FROM ({_BASE}))",
     "spheres": f"spheres AS (SELECT sample_id, particle_id, phase, cx, cy, cz, r0*2 AS r FROM ({_BASE}))",
+    "crowd2": "crowd2 AS (SELECT sample_id, particle_id, CASE WHEN particle_id%2=0 THEN 0.25e0+cx/32 ELSE cx END AS cx, "
+              f"CASE WHEN particle_id%2=0 THEN 0.25e0+cy/32 ELSE cy END AS cy FROM ({_BASE}))",
+    "crowd3": "crowd3 AS (SELECT sample_id, particle_id, CASE WHEN particle_id%2=0 THEN 0.25e0+cx/8 ELSE cx END AS cx, "
+              "CASE WHEN particle_id%2=0 THEN 0.25e0+cy/8 ELSE cy END AS cy, "
+              f"CASE WHEN particle_id%2=0 THEN 0.25e0+cz/8 ELSE cz END AS cz FROM ({_BASE}))",
     "mixed2": "mixed2 AS (SELECT sample_id, particle_id, phase, cx, cy, "
               "CASE key%3 WHEN 0 THEN 'Disk' WHEN 1 THEN 'Square' ELSE 'Ellipse' END AS shape, "
               "CASE WHEN key%3=0 THEN r0 END AS r, CASE WHEN key%3=1 THEN 2*r0 END AS side, "

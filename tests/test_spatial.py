@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from packstat.operators import convex, sampling
 from packstat.operators import spatial as sp
+from packstat.operators import voronoi as vo
 
 
 def cloud(n, seed, radii):
@@ -231,3 +232,35 @@ def test_refreshed_list_sees_every_new_pair(boxes, disks):
     got = {(r.i, r.j) for r in sp.refresh_neighbors(sp.verlet_neighbors(before, s, 2, 1.1), leavers, after, s, 2, 1.1).collect()}
     big = [(x, y, r * 1.1) for x, y, r in now]
     assert {p for p in brute(big) if p[0] % 5 == 0 or p[1] % 5 == 0} <= got
+
+
+@pytest.mark.parametrize("dim, k", [(2, 1), (2, 4), (3, 1)])
+def test_nearest_in_crowds(spark, dim, k):
+    """Half of the particles in a millionth of the box; no particle meets many more than the k it looks for."""
+    rng, n = np.random.default_rng(dim), 3000
+    x = rng.random((n, dim))
+    x[: n // 2] = 0.4 + x[: n // 2] * 1e-6 ** (1 / dim)
+    rows = [(0, i, *map(float, c)) for i, c in enumerate(x)] + [(1, 0, *[0.5] * dim), (2, 0, *[0.1] * dim), (2, 1, *[0.9] * dim)]
+    names = ", ".join(f"c{a} double" for a in "xyz"[:dim])
+    particles = spark.createDataFrame(rows, f"sample_id long, particle_id long, {names}").repartition(5)
+    samples = spark.createDataFrame([(s, *[1.0] * dim) for s in (0, 1, 2)], "sample_id long, " + ", ".join(f"l{a} double" for a in "xyz"[:dim]))
+    got = {(r.sample_id, r.particle_id, r["rank"]): (r.other_id, r.d) for r in sp.nearest(particles, samples, dim, k).collect()}
+    assert not any(s == 1 for s, _, _ in got) and got[2, 0, 1][0] == 1
+    d = x[:, None] - x[None]
+    d = np.sqrt(((d - np.rint(d)) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :k]
+    assert np.allclose([[got[0, i, j + 1][1] for j in range(k)] for i in range(n)], want, rtol=1e-9, atol=0)
+    rings = {r.particle_id: r._ring for r in sp.local_reach(particles, samples, dim, k).where("sample_id = 0").collect()}
+    met = (d <= np.array([rings[i] for i in range(n)])[:, None]).sum(axis=1)
+    assert (met >= k).all() and met.mean() < 30 * k
+
+
+def test_voronoi_cells_beside_a_crowd_gather_few(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((1500, 2))
+    x[:1000] = 0.4 + x[:1000] * 0.01
+    seeds = spark.createDataFrame([(0, i, *map(float, c)) for i, c in enumerate(x)], "sample_id long, seed_id long, x double, y double")
+    samples = spark.createDataFrame([(0, 1.0, 1.0)], "sample_id long, lx double, ly double")
+    edges = vo.voronoi_2d(seeds, samples)
+    assert edges.selectExpr("round(sum(d / 2 * length) / 2, 9) AS a", "count_if(NOT closed) AS o").first()[:] == (1.0, 0)
