@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Local sessions (tests) that name none get a temporary one; a cluster session must
+    Local sessions (tests) that name none get a temporary one, kept under a setting of its own because
+    ``spark.checkpoint.dir`` is fixed once a session runs; a cluster session must
     name its own, because executors cannot see a folder of the driver's machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("packstat.scratch.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="packstat-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set("packstat.scratch.dir", named)
     return named
 
 

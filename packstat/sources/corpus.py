@@ -1,9 +1,9 @@
 """Reading and writing corpora of microstructure documents, one record to a line.
 
-A document is JSON with a header entry, a phase or a particle on each line, so it is read and
-written as lines: one document of any size is split over many tasks. Documents of any other
-layout are put together again and parsed whole. A sample may be one file, or a folder
-``sample_id=<id>`` of parts that follow each other in name order.
+A document is JSON, written with a header entry, a phase or a particle on each line, and read in any
+layout: it is cut into records where they lie (structure.py), so one document of any size is split over
+many tasks. A sample may be one file, or a folder ``sample_id=<id>`` of parts that follow each other in
+name order.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from packstat.functions.ordered import number_rows
 from packstat.operators.rules import problem, record_problems
 from packstat.schema import FORMAT_SUFFIX, PARTICLE_SIZES, SHAPES_CENTRE, TYPE_CODES, VERSION
 from packstat.session import checkpoint
+from packstat.sources.structure import entries, read_pieces
 
 D, L, S, I, B = T.DoubleType(), T.LongType(), T.StringType(), T.IntegerType(), T.BooleanType()
 
@@ -56,43 +57,6 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.select("sample_id", entry.alias("entry"), name.alias("name"), body.alias("body")).where("entry IS NOT NULL")
 
 
-def _regular(value: Column) -> Column:
-    """Whether a line lies as ``parse_lines`` expects: a bracket, the start of a list, or one closed record."""
-    bare = F.regexp_replace(F.trim(value), ",$", "")
-    indent = F.length(value) - F.length(F.ltrim(value))
-    body = F.regexp_replace(bare, '^"((?:[^"\\\\]|\\\\.)*)": ', "")
-    named, closed = body != bare, ~F.regexp_like(body, F.lit("[{\\[]$"))
-    outer = bare.isin("{", "}") & (indent == 0) | bare.isin("}", "]", '"phases": {', '"phases": {}', '"particles": [', '"particles": []') & (indent == 2)
-    header = (indent == 2) & named & closed & ~F.regexp_like(bare, F.lit('^"(phases|particles)": '))
-    phase = (indent == 4) & named & closed
-    particle = (indent == 4) & F.regexp_like(bare, F.lit("^\\{.*\\}$")) & ~F.regexp_like(bare, F.lit("\\}\\s*,\\s*\\{"))
-    return (bare == "") | outer | header | phase | particle
-
-
-def parse_documents(lines: DataFrame) -> DataFrame:
-    """What ``parse_lines`` gives, of documents of any layout: ``sample_id, value`` and the place ``_file, _block, _at``.
-
-    Only the lines of irregular documents are gathered; one that is no JSON gives no rows.
-    """
-    shape = lines.groupBy("sample_id").agg(F.min(_regular(F.col("value"))).alias("_regular"), F.max(
-        F.col("value").startswith('  "format": ')).alias("_headed"))
-    irregular = shape.where("NOT (_regular AND _headed)").select("sample_id")
-    whole = lines.join(irregular, "sample_id", "left_semi").groupBy("sample_id").agg(F.array_sort(F.collect_list(
-        F.struct("_file", "_block", "_at", "value"))).alias("_lines"))
-    record = _struct(**{n: S for n in HEADER}, phases=T.MapType(S, S), particles=T.ArrayType(S), _broken=S)
-    text = F.array_join(F.col("_lines.value"), "\n")
-    d = F.col("_d")
-    read = whole.select("sample_id", F.from_json(text, record, {"columnNameOfCorruptRecord": "_broken"}).alias("_d")).where(
-        d["_broken"].isNull())
-    entry = lambda kind, name, body: F.struct(F.lit(kind).alias("entry"), name.alias("name"), body.alias("body"))
-    header = F.array(*[entry("header", F.lit(n), d[n]) for n in HEADER])
-    phases = F.transform(F.map_entries(F.coalesce(d["phases"], F.create_map().cast("map<string,string>"))),
-                         lambda e: entry("phase", e["key"], e["value"]))
-    particles = F.transform(F.coalesce(d["particles"], F.array().cast("array<string>")), lambda e: entry("particle", F.lit(""), e))
-    loose = read.select("sample_id", F.explode(F.concat(header, phases, particles)).alias("_e")).select("sample_id", "_e.*").where("body IS NOT NULL")
-    return parse_lines(lines.join(irregular, "sample_id", "left_anti")).unionByName(loose)
-
-
 def _number(column: Column) -> Column:
     """NaN stands for a missing number and is read as null."""
     return F.when(~F.isnan(column), column)
@@ -143,16 +107,14 @@ def headers_from(parsed: DataFrame) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a corpus: samples, phases, descriptors, particles - and its problems.
 
-    Documents of an unknown format or version, and files that hold no document, give problems and no rows.
+    Documents of an unknown format or version, and files that hold no document, give problems and no rows. Of records
+    with the same name or number all are read.
     Spark's readers do not list files of no bytes: they give nothing.
     """
     place = F.col("_metadata.file_path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_sample_of(place).alias("sample_id")).distinct()
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        _sample_of(place).alias("sample_id"), "value", place.alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"))
-    parsed = parse_documents(raw)
-    headers = headers_from(parsed)
+    parsed = entries(read_pieces(spark, path, _sample_of), HEADER)
+    headers = checkpoint(headers_from(parsed))
     unread = files.join(headers.select("sample_id"), "sample_id", "left_anti").select(
         *problem(F.lit(""), F.lit("the file holds no document that can be read")))
     good = headers.where(F.coalesce(F.col("format").endswith(FORMAT_SUFFIX) & (F.col("version") == VERSION), F.lit(False)))

@@ -176,6 +176,50 @@ def test_a_phase_that_cannot_be_filled_is_a_problem(spark, boxes):
     assert done.isEmpty() and problems.count() == 1
 
 
+def test_one_irregular_document_is_cut_over_many_splits(spark, tmp_path):
+    import gzip
+    import json
+
+    from packstat.sources import structure as st
+
+    n = 1500
+    odd = 'a "quoted" } name, {[ back\\slash'
+    phases = {"1": {"type": "Matrix", "type_code": 1}, odd: {"type": "Disk", "type_code": 2, "descriptors": {"r": {"distribution": "fixed", "value": 2}}}}
+    head = {"format": "some-microstructure", "version": 1, "rve_dims": [1.0, 2.0], "dim": 2, "periodic": True, "matrix_phase": "1",
+            "provenance": {"note": "}{][ \\", "deep": {"a": [{"b": 1}, [2]]}}, "extra": [{"phases": {"x": {}}}, 5]}
+    rows = [{"id": k, "phase": odd, "shape": "Disk", "center": [k / n, 0.5], "r": 0.25 + k, **({"meta": {"x": {"y": [k]}}} if k % 7 == 0 else {})}
+            for k in range(n)]
+    compact = json.dumps({**head, "phases": phases, "particles": rows})
+    first = json.dumps({"particles": rows, **head, "phases": phases})
+    mixed = json.dumps({**head, "phases": phases, "particles": rows}, indent=2).replace("},\n    {", "},{", 200)
+    texts = {"compact": compact, "first": first, "mixed": mixed, "torn": compact[:-1], "twice": compact + compact, "open": compact[: len(compact) // 2]}
+    for name, text in texts.items():
+        (tmp_path / f"sample_id={name}").mkdir()
+        (tmp_path / f"sample_id={name}" / "mic.json").write_text(text)
+    (tmp_path / "sample_id=parts").mkdir()
+    at = [0, len(mixed) // 3, len(mixed) // 2, len(mixed)]
+    for k in range(3):
+        (tmp_path / "sample_id=parts" / f"part-{k}.json").write_text(mixed[at[k]: at[k + 1]])
+    (tmp_path / "sample_id=packed").mkdir()
+    (tmp_path / "sample_id=packed" / "mic.json.gz").write_bytes(gzip.compress(compact.encode()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        share = st.read_pieces(spark, str(tmp_path), co._sample_of).where("sample_id = 'compact'").groupBy("_block").agg(
+            F.sum(F.octet_length("value") + 1).alias("n")).collect()
+        assert len(share) > 10 and max(r.n for r in share) < 8192 + 400
+        t = co.read_corpus(spark, str(tmp_path))
+        got = t["particles"].groupBy("sample_id").agg(F.count("*").alias("n"), F.countDistinct("particle_id").alias("d"), F.sum("r").alias("r"),
+                                                      F.min("phase").alias("a"), F.max("phase").alias("z")).collect()
+        assert {tuple(r) for r in got} == {(s, n, n, sum(r["r"] for r in rows), odd, odd) for s in ("compact", "first", "mixed", "packed", "parts")}
+        assert {tuple(r) for r in t["phases"].select("sample_id", "phase", "type").collect()} == {
+            (s, p, v["type"]) for s in ("compact", "first", "mixed", "packed", "parts") for p, v in phases.items()}
+        assert t["descriptors"].count() == 5
+        assert {r.sample_id for r in t["problems"].where("message LIKE '%no document%'").collect()} == {"torn", "twice", "open"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_documents_of_any_layout(spark, tmp_path):
     import json
 
