@@ -8,6 +8,7 @@ copied halo rows, running totals from the totals of the earlier blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,31 +75,56 @@ def over_halo(df: DataFrame, keys: Sequence[str], step: str, values: dict[str, "
     return halo.where("_core").drop("_core", "_block")
 
 
+def _earlier(totals: DataFrame, keys: list[str], names: Sequence[str], merge, block: int, levels: int) -> DataFrame:
+    """``_o_<name>``: what ``merge`` makes of ``_t_<name>`` in all earlier blocks of the key, null in the first.
+
+    ``levels`` times, blocks are put together ``block`` at a time, so that no window is longer than ``block`` rows.
+    """
+    own = [f"_t_{n}" for n in names]
+    if levels == 0:
+        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*keys, "_block", *[merge(F.col(t)).over(before).alias(f"_o_{n}") for t, n in zip(own, names)])
+    inner = totals.withColumn("_up", F.floor(F.col("_block") / block).cast("long"))
+    upper = inner.groupBy(*keys, F.col("_up").alias("_block")).agg(*[merge(F.col(t)).alias(t) for t in own])
+    upper = _earlier(upper, keys, names, merge, block, levels - 1).withColumnRenamed("_block", "_up").withColumnsRenamed(
+        {f"_o_{n}": f"_u_{n}" for n in names})
+    before = Window.partitionBy(*keys, "_up").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    both = inner.withColumns({f"_i_{n}": merge(F.col(t)).over(before) for t, n in zip(own, names)}).join(upper, [*keys, "_up"])
+    joined = (lambda a, b: F.greatest(a, b)) if merge is F.max else (lambda a, b: F.coalesce(a + b, a, b))
+    return both.select(*keys, "_block", *[joined(F.col(f"_u_{n}"), F.col(f"_i_{n}")).alias(f"_o_{n}") for n in names])
+
+
+def _levels(sparse: bool, block: int) -> int:
+    """Levels after which a key has at most ``block`` totals: none for consecutive steps, for any 64-bit ids as many as these need."""
+    return max(0, math.ceil(64 / math.log2(block)) - 2) if sparse else 0
+
+
 def running(df: DataFrame, keys: Sequence[str], step: str, sums: dict[str, Column],
-            block: int = BLOCK) -> DataFrame:
-    """Inclusive running totals per key: totals of earlier blocks plus the total inside."""
+            block: int = BLOCK, sparse: bool = False) -> DataFrame:
+    """Inclusive running totals per key: totals of earlier blocks plus the total inside.
+
+    Blocks are stretches of numbers. Where these are not consecutive (ids, hashes), a key may have a block per row:
+    ``sparse`` adds the totals up in levels.
+    """
     keys = list(keys)
     blocks = with_blocks(df, step, block)
     totals = blocks.groupBy(*keys, "_block").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_block", *[
-        F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    offsets = _earlier(totals, keys, list(sums), F.sum, block, _levels(sparse, block))
     inside = (Window.partitionBy(*keys, "_block").orderBy(step)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = blocks.join(offsets, [*keys, "_block"])
     for name, e in sums.items():
-        out = out.withColumn(name, F.col(f"_o_{name}") + F.coalesce(F.sum(e).over(inside), F.lit(0)))
+        out = out.withColumn(name, F.coalesce(f"_o_{name}", F.lit(0)) + F.coalesce(F.sum(e).over(inside), F.lit(0)))
     return out.drop("_block", *[f"_o_{n}" for n in sums])
 
 
 def running_max(df: DataFrame, keys: Sequence[str], step: str, values: dict[str, Column],
-                block: int = BLOCK, inclusive: bool = True) -> DataFrame:
-    """Running maximum per key (last marked step, last event ...), in the same two levels."""
+                block: int = BLOCK, inclusive: bool = True, sparse: bool = False) -> DataFrame:
+    """Running maximum per key (last marked step, last event ...), in the same levels."""
     keys = list(keys)
     blocks = with_blocks(df, step, block)
     totals = blocks.groupBy(*keys, "_block").agg(*[F.max(e).alias(f"_t_{n}") for n, e in values.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_block", *[F.max(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values])
+    offsets = _earlier(totals, keys, list(values), F.max, block, _levels(sparse, block))
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, end)
     out = blocks.join(offsets, [*keys, "_block"])

@@ -344,7 +344,7 @@ def renumber(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     ids = nodes.select("sample_id", "node_id", F.lit(0).cast("long").alias("_gone"))
     gone = removed.select("sample_id", "node_id").distinct().withColumn("_hit", F.lit(1).cast("long"))
     marked = ids.join(gone, ["sample_id", "node_id"], "left")
-    out = running(marked, ["sample_id"], "node_id", {"_below": F.coalesce("_hit", F.lit(0).cast("long"))})
+    out = running(marked, ["sample_id"], "node_id", {"_below": F.coalesce("_hit", F.lit(0).cast("long"))}, sparse=True)
     return out.where("_hit IS NULL").select("sample_id", "node_id", (F.col("node_id") - F.col("_below")).alias("new_id"))
 
 

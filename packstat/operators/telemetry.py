@@ -242,6 +242,10 @@ def time_report(times: DataFrame) -> DataFrame:
 # --- smoothing --------------------------------------------------------------------------
 
 
+# moments counted from afar lose digits: from the middle of 2 048 steps 4e-10 of a value of 42
+SMOOTH_BLOCK = 1 << 8
+
+
 def _length(series: DataFrame, keys: Sequence[str], step: str) -> DataFrame:
     return series.groupBy(*keys).agg((F.max(step) + 1).alias("_len"))
 
@@ -261,24 +265,35 @@ def savgol(series: DataFrame, value: str, window: int = 41, keys: Sequence[str]
 
     The window is the lesser of ``window`` and the largest odd number not above the length;
     series of one or two values stay as they are. Each window is reduced to its moments with
-    the discrete orthogonal polynomials 1, j, j^2 - m(m+1)/3.
+    the discrete orthogonal polynomials 1, j, j^2 - m(m+1)/3, which three moving sums give: v, p v and p^2 v, where
+    p counts from the middle of a short block, so that shifting them to the window's centre loses few digits.
     """
     most = (window - 1) // 2
+    block = max(SMOOTH_BLOCK, window)
     size = F.least(F.lit(window), F.col("_len") - (1 - F.col("_len") % 2))
     sized = attach(series, _length(series, keys, step), keys).withColumn("_m", F.floor((size - 1) / 2).cast("long"))
-    framed = over_halo(sized, keys, step, {"_near": lambda w: F.collect_list(F.struct(
-        F.col(step).alias("s"), F.col(value).cast("double").alias("v"))).over(w.rowsBetween(-most, most))},
-        before=most, after=most)
+    v = F.col(value).cast("double")
+    p = (F.col(step) - F.col("_block") * block - block // 2).cast("double")
+    near = lambda w: w.rowsBetween(-most, most)
+    framed = over_halo(sized, keys, step, {
+        "_p": lambda w: p, "_v0": lambda w: F.sum(v).over(near(w)), "_v1": lambda w: F.sum(p * v).over(near(w)),
+        "_v2": lambda w: F.sum(p * p * v).over(near(w)), "_rows": lambda w: F.count(F.lit(1)).over(near(w)),
+        "_known": lambda w: F.count(v).over(near(w)), "_first": lambda w: F.first(v).over(near(w)),
+        "_final": lambda w: F.last(v).over(near(w))}, before=most, after=most, block=block)
     m = F.col("_m").cast("double")
     bend = m * (m + 1) / 3
-    near = F.filter("_near", lambda e: F.abs(e["s"] - F.col(step)) <= F.col("_m"))
-
-    def moment(weight) -> Column:
-        return F.aggregate(near, F.lit(0.0), lambda acc, e: acc + weight(e["s"] - F.col(step)) * e["v"])
-
+    # an even series shorter than the window has one value more in the frame than in its window
+    low = F.col(step) == F.col("_m")
+    j = F.when(low, m + 1).otherwise(-(m + 1))
+    more = F.when(F.col("_rows") > 2 * F.col("_m") + 1, F.when(low, F.col("_final")).otherwise(F.col("_first"))).otherwise(0.0)
+    at = F.col("_p")
+    s0 = F.col("_v0") - more
+    s1 = F.col("_v1") - at * F.col("_v0") - j * more
+    s2 = F.col("_v2") - 2 * at * F.col("_v1") + at * at * F.col("_v0") - j * j * more
+    whole = F.col("_known") == F.col("_rows")
     centre = framed.where((F.col(step) >= F.col("_m")) & (F.col(step) <= F.col("_len") - 1 - F.col("_m"))).select(
-        *keys, F.col(step).alias("_c"), moment(lambda j: F.lit(1.0)).alias("_s0"), moment(lambda j: j).alias("_s1"),
-        moment(lambda j: j * j - bend).alias("_s2"))
+        *keys, F.col(step).alias("_c"), F.when(whole, s0).alias("_s0"), F.when(whole, s1).alias("_s1"),
+        F.when(whole, s2 - bend * s0).alias("_s2"))
     rows = sized.withColumn("_c", F.least(F.greatest(F.col(step), F.col("_m")), F.col("_len") - 1 - F.col("_m")))
     x = (F.col(step) - F.col("_c")).cast("double")
     n0 = 2 * m + 1
@@ -398,14 +413,14 @@ def rve_offset(particles: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
 def acceptance_curve(accepted: DataFrame, samples: DataFrame) -> DataFrame:
     """Fraction filled and number accepted after each step; ``accepted`` has a volume and a flag per step."""
     taken = F.when(F.col("accepted"), F.col("volume")).otherwise(0.0)
-    out = running(accepted, RUN, "step", {"_v": taken, "n_accepted": F.col("accepted").cast("long")})
+    out = running(accepted, RUN, "step", {"_v": taken, "n_accepted": F.col("accepted").cast("long")}, sparse=True)
     return attach(out, samples.select("sample_id", (F.col("lx") * F.col("ly")).alias("_box"))).select(
         "sample_id", "step", "n_accepted", (F.col("_v") / F.col("_box")).alias("vf"))
 
 
 def fill_to_fraction(draws: DataFrame, keys: Sequence[str], order: str, volume: str, target: Column) -> DataFrame:
     """Draws kept until their running volume first reaches the target."""
-    out = running(draws, keys, order, {"_sum": F.col(volume)})
+    out = running(draws, keys, order, {"_sum": F.col(volume)}, sparse=True)
     return out.where(F.col("_sum") - F.col(volume) < target).drop("_sum")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packstat.functions.ordered import number_rows
+from packstat.functions.ordered import number_rows, running
 from packstat.operators import geometry as g
 from packstat.operators import spatial as sp
 from packstat.operators import stats as st
 from packstat.operators import telemetry as tm
+from packstat.operators.mesh import renumber
 from packstat.plans.registry import query, r, rounded
 from packstat.plans.sqlfix import sql
 from packstat.sources import fixtures as fx
@@ -299,3 +300,29 @@ def run_records_to_units(spark, d):
     return rounded(g.run_records_to_units(steps, boxes, 2), "total_overlap")
 
 
+_HASHED = "SELECT 0 AS sample_id, (p_partkey*2654435761)%1099511627776 AS id, 1+p_size AS volume FROM part"
+
+
+def _hashed(spark, d):
+    """Every part under a scattered id, all of one key."""
+    return fx.table(spark, d, "part").select(F.lit(0).alias("sample_id"), (F.col("p_partkey").cast("long") * 2654435761 % 1099511627776).alias("id"),
+                                             (1 + F.col("p_size")).cast("long").alias("volume"))
+
+
+@query(sql("""SELECT id, total::BIGINT AS total FROM (SELECT id, volume, sum(volume) OVER (ORDER BY id) AS total, sum(volume) OVER () AS whole FROM hashed)
+WHERE total-volume<whole*0.5e0""", hashed=_HASHED))
+def fill_scattered(spark, d):
+    """Parts in the order of scattered ids, all of one key, until half of their volume is reached."""
+    rows = _hashed(spark, d)
+    half = rows.agg((F.sum("volume") * 0.5).alias("v")).scalar()
+    kept = tm.fill_to_fraction(rows, ["sample_id"], "id", "volume", half)
+    return running(kept, ["sample_id"], "id", {"total": F.col("volume")}, sparse=True).select("id", F.col("total").cast("long").alias("total"))
+
+
+@query(sql("""SELECT id, id-gone::BIGINT AS new_id FROM (SELECT id, volume, sum(CASE WHEN volume%3=0 THEN 1 ELSE 0 END) OVER (ORDER BY id) AS gone FROM hashed)
+WHERE volume%3<>0""", hashed=_HASHED))
+def renumber_scattered(spark, d):
+    """Scattered ids of one key, less the number of removed ones below."""
+    rows = _hashed(spark, d).withColumnRenamed("id", "node_id")
+    out = renumber(rows, rows.where("volume % 3 = 0"))
+    return out.select(F.col("node_id").alias("id"), "new_id")

@@ -87,6 +87,37 @@ def test_savgol_is_the_local_quadratic(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [3, 4, 9, 40, 41, 42, 5000])
+def test_savgol_of_any_length(spark, n):
+    y = np.random.default_rng(n).random(n) * 100
+    got = [r.smoothed for r in tm.savgol(series(spark, y), "total_overlap").orderBy("step").collect()]
+    m = (min(41, n - (1 - n % 2)) - 1) // 2
+    at = [min(max(k, m), n - 1 - m) for k in range(n)]
+    fits = {c: np.polyfit(np.arange(-m, m + 1), y[c - m: c + m + 1], 2) for c in set(at)}
+    assert got == pytest.approx([np.polyval(fits[c], k - c) for k, c in enumerate(at)], abs=1e-9)
+
+
+def test_savgol_of_a_missing_value(spark):
+    gap = series(spark, range(100)).withColumn("total_overlap", F.when(F.col("step") != 50, F.col("total_overlap")))
+    got = [r.smoothed for r in tm.savgol(gap, "total_overlap").orderBy("step").collect()]
+    assert [k for k, x in enumerate(got) if x is None] == list(range(30, 71))
+
+
+@pytest.mark.parametrize("block", [4, 16, 1 << 17])
+def test_running_totals_of_scattered_ids(spark, block):
+    rng = np.random.default_rng(5)
+    ids = np.unique(rng.integers(-2**62, 2**62, 300))
+    values = rng.integers(0, 50, len(ids))
+    df = spark.createDataFrame([("a" if k % 3 else "b", int(i), int(v)) for k, (i, v) in enumerate(zip(ids, values))], "k string, id long, v long")
+    total = {r.id: r.t for r in od.running(df, ["k"], "id", {"t": F.col("v")}, block=block, sparse=True).collect()}
+    most = {r.id: r.t for r in od.running_max(df, ["k"], "id", {"t": F.col("v")}, block=block, inclusive=False, sparse=True).collect()}
+    for key in (0, 1):
+        mine = [k for k in range(len(ids)) if (k % 3 == 0) == bool(key)]
+        sums = np.cumsum(values[mine])
+        assert [total[int(ids[k])] for k in mine] == list(sums)
+        assert [most[int(ids[k])] for k in mine] == [None, *np.maximum.accumulate(values[mine])[:-1]]
+
+
 def test_savgol_leaves_short_series(spark):
     assert [r.smoothed for r in tm.savgol(series(spark, [3, 1]), "total_overlap").orderBy("step").collect()] == [3, 1]
     assert [round(r.smoothed, 9) for r in tm.savgol(series(spark, [3, 1, 2, 9]), "total_overlap").orderBy("step").collect()][:3] == [3, 1, 2]
