@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packstat.functions.hashing import uniform
+from packstat.functions.ordered import number_rows, running
 from packstat.functions.periodic import axes, wrap
 from packstat.functions.shapes import by_shape
 from packstat.operators.geometry import interior_particles, shrunk_box, with_volume
 from packstat.operators.spatial import attach, attach_box, box, near_pairs, points_inside, radius
+from packstat.session import checkpoint
 
 
 def volume_fractions(particles: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
@@ -220,6 +222,60 @@ def two_point_image(points: DataFrame, pixels: DataFrame, images: DataFrame, sep
 # --- histograms and tests ---------------------------------------------------------------
 
 
+QUANTILE_BINS = 1 << 12
+QUANTILE_ROUNDS = 2
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
+    """``quantiles``: the exact quantiles of each key, linear between neighbouring values; nulls are left out.
+
+    A histogram of each key finds the bin of every wanted rank, the next one refines that bin. What the last bins hold is
+    counted by value and numbered by a range-partitioned sort, so a key of any size and values of any spread need no task of
+    their own. Work and tables between rounds grow with keys and ranks only.
+    """
+    own = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
+    rows = df.where(F.col(value).isNotNull()).select(
+        *([F.col(k).alias(o) for k, o in zip(keys, own)] or [F.lit(0).alias("_k0")]), F.col(value).cast("double").alias("_v"))
+    facts = checkpoint(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    place = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
+    ranks = F.array_distinct(F.array(*[f(place(p)).cast("long") for p in at for f in (F.floor, F.ceil)]))
+    state = facts.select(*own, F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"))
+    same = [F.col(f"r.{o}").eqNullSafe(F.col(f"s.{o}")) for o in own]
+
+    def held(state: DataFrame) -> DataFrame:
+        """Values between the bounds of a rank that is still open."""
+        open_ = state.where("_lo < _hi")
+        return rows.alias("r").join(open_.alias("s"), [*same, F.col("_v").between(F.col("_lo"), F.col("_hi"))]).select(
+            *[F.col(f"s.{o}") for o in own], "_rank", "_lo", "_hi", "_below", "_v")
+
+    spot = [*own, "_rank"]
+    columns = [*spot, "_lo", "_hi", "_below"]
+    for _ in range(QUANTILE_ROUNDS):
+        # halves, because the width of all doubles is none
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        bins = held(state).groupBy(*spot, "_below", F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        # at most QUANTILE_BINS rows a window
+        upto = Window.partitionBy(*spot).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = bins.withColumn("_end", F.col("_below") + F.sum("_c").over(upto))
+        found = bins.where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c"))).withColumn(
+            "_below", F.col("_end") - F.col("_c"))
+        state = checkpoint(state.where("_lo >= _hi").select(*columns).unionByName(found.select(*columns)))
+    counted = held(state).groupBy(*spot, "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sums = running(number_rows(counted, spot, ["_v"], "_i"), spot, "_i", {"_sum": F.col("_c")})
+    end = F.col("_below") + F.col("_sum")
+    last = sums.where((F.col("_rank") < end) & (F.col("_rank") >= end - F.col("_c"))).select(*spot, "_v")
+    picked = state.where("_lo >= _hi").select(*spot, F.col("_lo").alias("_v")).unionByName(last)
+    # a few ranks per key
+    lists = picked.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
+    value_at = lambda f, p: F.element_at("_m", f(place(p)).cast("long"))
+    part = lambda p: place(p) - F.floor(place(p))
+    q = [F.when(part(p) == 0, value_at(F.floor, p)).otherwise(value_at(F.floor, p) * (1 - part(p)) + value_at(F.ceil, p) * part(p))
+         for p in at]
+    out = facts.select(*own, "_n").alias("r").join(lists.alias("s"), same)
+    return out.select(*[F.col(f"r.{o}").alias(k) for k, o in zip(keys, own)], F.array(*q).alias("quantiles"))
+
+
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int | str = 10,
               range_: tuple[float, float] | None = None) -> DataFrame:
     """Counts per equal bin, the last one closed on the right; empty bins are rows too.
@@ -232,9 +288,10 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int | str =
     if range_ is not None:
         rows = rows.where(F.col("_v").between(*range_))
     stats = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")]
-    if bins == "auto":
-        stats.append(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     facts = rows.groupBy(*keys).agg(*stats)
+    if bins == "auto":
+        quarters = quantiles(rows, keys, "_v", [0.25, 0.75]).withColumnRenamed("quantiles", "_q")
+        facts = facts.join(quarters, keys) if keys else facts.join(quarters)
     lo, hi = F.col("_lo"), F.col("_hi")
     if range_ is not None:
         facts = facts.withColumn("_lo", F.lit(float(range_[0]))).withColumn("_hi", F.lit(float(range_[1])))

@@ -122,3 +122,13 @@ USING (sample_id) GROUP BY 1,2) GROUP BY 1""", "directed"))
 def nn_summary(spark, d):
     nn = sp.nearest_neighbor(fx.disks(spark, d), fx.samples(spark, d), 2)
     return rounded(st.nn_summary(nn), "mean", "least", "largest")
+
+
+@query(sql("""SELECT flag, unnest([0e0,0.25e0,0.5e0,0.999e0,1e0]) AS p, round(unnest(q),6) AS price FROM (SELECT l_returnflag AS flag,
+quantile_cont(l_extendedprice::DOUBLE,[0,0.25,0.5,0.999,1]) AS q FROM lineitem GROUP BY 1)"""))
+def price_quantiles(spark, d):
+    """Exact quantiles of a few keys, each of which holds a large part of all rows."""
+    at = [0.0, 0.25, 0.5, 0.999, 1.0]
+    found = st.quantiles(fx.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), ["flag"], "l_extendedprice", at)
+    each = found.select("flag", F.posexplode("quantiles").alias("_i", "price"))
+    return rounded(each.select("flag", F.get(F.array(*[F.lit(p) for p in at]), F.col("_i")).alias("p"), "price"), "price")

@@ -126,3 +126,24 @@ def test_structure_metrics_of_a_cube_do_not_turn_with_it(spark):
         q = vo.imt_3d(f).first()
         assert [round(q[f"q_{k}"], 4) for k in range(1, 7)] == [0, 0, 0, 0.7638, 0, 0.3536]
         assert vo.imt_3d(f, unit_q0=True).first().q_0 == 1.0
+
+
+def test_quantiles_of_any_spread(spark):
+    rng = np.random.default_rng(2)
+    values = {"even": rng.random(999), "spread": 10.0 ** rng.uniform(-300, 300, 500), "signs": rng.normal(size=400) * 2e307,
+              "ties": rng.integers(0, 3, 700).astype(float), "hot": np.array([5.0] * 900 + [1.0, 9.0]), "near": 1 + rng.integers(0, 50, 300) * 2.0**-52,
+              "one": np.array([4.0]), "ends": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]), "two": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(None, 7.0), ("even", None), ("void", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r.k: r.quantiles for r in st.quantiles(df, ["k"], "v", at).collect()}
+    assert set(got) == {*values, None} and got[None] == [7.0] * len(at)
+    assert got["ends"] == [-np.inf, -np.inf, 1.0, 2.0, np.inf, np.inf, np.inf]
+    for k, v in values.items():
+        s = sorted(v)
+        if k == "ends":
+            continue
+        want = [s[int(np.floor(p * (len(s) - 1)))] * (1 - p * (len(s) - 1) % 1) + s[int(np.ceil(p * (len(s) - 1)))] * (p * (len(s) - 1) % 1) for p in at]
+        assert got[k] == pytest.approx(want, rel=1e-12), k
+    assert st.quantiles(df.where("k = 'even'"), [], "v", [0.5]).first().quantiles == [pytest.approx(np.median(values["even"]))]
+    assert st.quantiles(df.where("false"), ["k"], "v", [0.5]).isEmpty()
