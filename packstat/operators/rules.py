@@ -17,23 +17,65 @@ from packstat.schema import FORMAT_SUFFIX, TYPE_CODES, TYPE_DIMS, VERSION
 PHASE = ["sample_id", "phase"]
 
 # fixed values: the sets of descriptors that describe a type
-_ELLIPSOID_AXIS = "rot_axis_comp_x rot_axis_comp_y rot_axis_comp_z angle"
 ACCEPTED = {
-    "Matrix": [""],
-    "Disk": ["r n", "r vf", "n vf", "area vf", "area n"],
-    "Square": ["side n", "area n", "side vf", "area vf", "n vf"],
-    "Ellipse": ["major_axis minor_axis angle n", "major_axis minor_axis angle vf", "major_axis angle n vf",
-                "minor_axis angle n vf", "ratio angle n vf", "major_axis ratio angle vf", "major_axis ratio angle n"],
-    "Sphere": ["r n", "r vf", "n vf", "volume vf", "volume n"],
-    "Ellipsoid": [f"axis_1 axis_2 axis_3 {_ELLIPSOID_AXIS} n", f"axis_1 axis_2 axis_3 {_ELLIPSOID_AXIS} vf",
-                  f"axis_1 ratio_12 ratio_13 {_ELLIPSOID_AXIS} vf", f"vf n ratio_12 ratio_13 {_ELLIPSOID_AXIS}",
-                  "vf semi_axis_1 ratio_321 p_3 phi_z", "vf semi_axis_1 ratio_32 ratio_21 p_3 phi_z",
-                  "vf axis_2 ratio_32 ratio_21 p_3 phi_z", "vf axis_1 ratio_321 p_3 phi_z",
-                  "vf axis_1 axis_2 axis_3 p_3 phi_z"],
-    "CylindricalFiber": ["r n direction", "r vf direction", "n vf direction", "area vf direction", "area n direction"],
-    "Cylinder": ["r_cyl length n azimuth_angle polar_angle", "r_cyl length vf azimuth_angle polar_angle",
-                 "r_cyl ratio n azimuth_angle polar_angle", "ratio length vf azimuth_angle polar_angle",
-                 "n length vf azimuth_angle polar_angle"],
+    "Matrix": [
+        [],
+    ],
+    "Disk": [
+        ["r", "n"],
+        ["r", "vf"],
+        ["n", "vf"],
+        ["area", "vf"],
+        ["area", "n"],
+    ],
+    "Square": [
+        ["side", "n"],
+        ["area", "n"],
+        ["side", "vf"],
+        ["area", "vf"],
+        ["n", "vf"],
+    ],
+    "Ellipse": [
+        ["major_axis", "minor_axis", "angle", "n"],
+        ["major_axis", "minor_axis", "angle", "vf"],
+        ["major_axis", "angle", "n", "vf"],
+        ["minor_axis", "angle", "n", "vf"],
+        ["ratio", "angle", "n", "vf"],
+        ["major_axis", "ratio", "angle", "vf"],
+        ["major_axis", "ratio", "angle", "n"],
+    ],
+    "Sphere": [
+        ["r", "n"],
+        ["r", "vf"],
+        ["n", "vf"],
+        ["volume", "vf"],
+        ["volume", "n"],
+    ],
+    "Ellipsoid": [
+        ["axis_1", "axis_2", "axis_3", "rot_axis_comp_x", "rot_axis_comp_y", "rot_axis_comp_z", "angle", "n"],
+        ["axis_1", "axis_2", "axis_3", "rot_axis_comp_x", "rot_axis_comp_y", "rot_axis_comp_z", "angle", "vf"],
+        ["axis_1", "ratio_12", "ratio_13", "rot_axis_comp_x", "rot_axis_comp_y", "rot_axis_comp_z", "angle", "vf"],
+        ["vf", "n", "ratio_12", "ratio_13", "rot_axis_comp_x", "rot_axis_comp_y", "rot_axis_comp_z", "angle"],
+        ["vf", "semi_axis_1", "ratio_321", "p_3", "phi_z"],
+        ["vf", "semi_axis_1", "ratio_32", "ratio_21", "p_3", "phi_z"],
+        ["vf", "axis_2", "ratio_32", "ratio_21", "p_3", "phi_z"],
+        ["vf", "axis_1", "ratio_321", "p_3", "phi_z"],
+        ["vf", "axis_1", "axis_2", "axis_3", "p_3", "phi_z"],
+    ],
+    "CylindricalFiber": [
+        ["r", "n", "direction"],
+        ["r", "vf", "direction"],
+        ["n", "vf", "direction"],
+        ["area", "vf", "direction"],
+        ["area", "n", "direction"],
+    ],
+    "Cylinder": [
+        ["r_cyl", "length", "n", "azimuth_angle", "polar_angle"],
+        ["r_cyl", "length", "vf", "azimuth_angle", "polar_angle"],
+        ["r_cyl", "ratio", "n", "azimuth_angle", "polar_angle"],
+        ["ratio", "length", "vf", "azimuth_angle", "polar_angle"],
+        ["n", "length", "vf", "azimuth_angle", "polar_angle"],
+    ],
 }
 # fixed values: distributions and the tolerance on the sum of probabilities
 DISTRIBUTIONS = ("fixed", "specified", "normal", "lognormal", "uniform", "vonmises", "discrete")
@@ -94,13 +136,13 @@ def phase_problems(samples: DataFrame, phases: DataFrame, descriptors: DataFrame
 
 
 def accepted_sets(spark: SparkSession) -> DataFrame:
-    rows = [(kind, " ".join(sorted(names.split()))) for kind, sets in ACCEPTED.items() for names in sets]
+    rows = [(kind, " ".join(sorted(names))) for kind, sets in ACCEPTED.items() for names in sets]
     return spark.createDataFrame(rows, "type string, given string")
 
 
 def parameters(spark: SparkSession) -> DataFrame:
     """Every (type, descriptor) there is, from the accepted sets."""
-    rows = sorted({(kind, name) for kind, sets in ACCEPTED.items() for names in sets for name in names.split()}
+    rows = sorted({(kind, name) for kind, sets in ACCEPTED.items() for names in sets for name in names}
                   | {(kind, name) for kind in ACCEPTED if kind != "Matrix" for name in ("n", "vf")})
     return spark.createDataFrame(rows, "type string, name string")
 
