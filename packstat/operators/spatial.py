@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packstat.functions.ordered import number_rows
+from packstat.functions.ordered import number_rows, running
 from packstat.functions.periodic import axes, grid_index, min_image, norm, wrap
 from packstat.functions.shapes import by_shape, cols_of, dot, framed, present
 from packstat.session import checkpoint
@@ -550,3 +550,22 @@ def inside_outer(particles: DataFrame, samples: DataFrame, dim: int) -> DataFram
         F.try_divide(F.sum("b__v"), F.first("a__v")).alias("fill"), F.count(F.lit(1)).alias("children"),
         F.sum((F.col("_room") >= -1e-12).cast("long")).alias("whole"))
     return filled
+
+
+def nested_remainder(particles: DataFrame, dim: int) -> DataFrame:
+    """Children in the order of their ids against what their parent has left: the fill rule of nesting.
+
+    A child ``fits`` when it is smaller than half of what the children of its phase before it leave of the parent; a parent is
+    filled anew by every phase. All children before it count, whether they fit or not. Volumes are shares of the parent's
+    (``own``, ``left``); a parent without volume has null shares and takes none, children without a parent row give nothing.
+    Parents of any number of children are summed up in blocks of ids.
+    """
+    sized = particles.select("sample_id", "particle_id", "parent_id", "phase",
+                             by_shape(particles, lambda s, c: s.volume(c), dim=dim).alias("_v"))
+    parents = sized.select("sample_id", F.col("particle_id").alias("parent_id"), F.col("_v").alias("_whole"))
+    children = sized.where("parent_id IS NOT NULL").join(parents, ["sample_id", "parent_id"])
+    shares = children.withColumn("own", F.try_divide("_v", "_whole"))
+    filled = running(shares, ["sample_id", "parent_id", "phase"], "particle_id", {"_filled": F.col("own")}, sparse=True)
+    left = 1 - (F.col("_filled") - F.col("own"))
+    return filled.select("sample_id", "parent_id", "phase", "particle_id", "own", left.alias("left"),
+                         F.coalesce(F.col("own") < left / 2, F.lit(False)).alias("fits"))

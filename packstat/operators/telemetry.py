@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,6 @@ from packstat.functions.ordered import BLOCK, number_rows, over_halo, running, r
 from packstat.functions.periodic import axes, min_image
 from packstat.operators.geometry import with_extents
 from packstat.operators.spatial import attach, attach_box
-from packstat.session import checkpoint
 
 RUN = ["sample_id"]
 
@@ -89,72 +88,79 @@ def equilibrium_rolling(run_steps: DataFrame, temp_changes: DataFrame, window: i
         F.lit(False)).alias("equilibrium"))
 
 
-WORD = 64
-SPAN_WORDS = 1 << 21
+#: Gaps looked at together, at first, when the next missed test of a run is sought.
+SCAN = 1 << 10
+NO_STEP = 1 << 62
+
+
+def _long_falls(run_steps: DataFrame, m: int) -> DataFrame:
+    """Stretches (u, v) between rises of more than ceil(m/2) steps, from before the first rise to after the last.
+
+    Only in these can a test of the self-lengthening criterion fail, as its window never gets shorter. The stretch after the last
+    rise of a run carries the last step of the run.
+    """
+    rises = over_halo(run_steps.select("sample_id", "step", "total_overlap"), RUN, "step",
+                      {"_prev": lambda w: F.lag("total_overlap").over(w)}, before=1)
+    up = rises.select("sample_id", "step", (F.col("total_overlap") > F.col("_prev")).alias("_up"))
+    between = (running_max(up.where("_up"), RUN, "step", {"u": F.col("step")}, inclusive=False)
+               .select("sample_id", F.coalesce("u", F.lit(-NO_STEP)).alias("u"), F.col("step").alias("v")))
+    after = up.groupBy("sample_id").agg(F.coalesce(F.max(F.when(F.col("_up"), F.col("step"))), F.lit(-NO_STEP)).alias("u"),
+                                        F.max("step").alias("last_step"))
+    return (between.where(F.col("v") - F.col("u") > (m + 1) // 2).withColumn("last_step", F.lit(None).cast("long"))
+            .unionByName(after.withColumn("v", F.lit(NO_STEP))))
 
 
 def equilibrium_original(run_steps: DataFrame, m: int) -> DataFrame:
     """Events of the criterion whose waiting time lengthens itself.
 
     Past ``next_change`` (first m) an event is any rise of the overlap in the last ceil(m/2)
-    steps; m then grows by the overshoot and the next test waits m steps. The rule is
-    sequential per run, so the rises are packed 64 to a word first, and the runs advance
-    together by spans of SPAN_WORDS words: a task holds one span (32 MB) of one run.
+    steps; m then grows by the overshoot and the next test waits m steps.
+
+    While no test fails, events follow at every m + 1 steps, and m can only change in a long fall, at whose end the next event
+    lies. So the rises are found in blocks, what passes to the sequential part is a row per long fall (``_long_falls``), read as
+    a stream in the order of the run and never held, and what it returns is a row per change of m, of which a run of n steps has
+    at most sqrt(2 n). The events between are unfolded from those rows in blocks. Steps are consecutive per run; a missing
+    overlap is no rise.
     """
-    rises = over_halo(run_steps.select("sample_id", "step", "total_overlap"), RUN, "step",
-                      {"_prev": lambda w: F.lag("total_overlap").over(w)}, before=1)
-    bit = F.expr(f"shiftleft(1L, cast(step % {WORD} as int))")
-    words = (rises.groupBy("sample_id", F.floor(F.col("step") / WORD).cast("long").alias("word"))
-             .agg(F.bit_or(F.when(F.col("total_overlap") > F.col("_prev"), bit).otherwise(F.lit(0).cast("long"))).alias("bits"),
-                  F.max("step").alias("last_step"))
-             .withColumn("span", F.floor(F.col("word") / SPAN_WORDS).cast("long")))
-    words = checkpoint(words)
     key_type = run_steps.schema["sample_id"].dataType.simpleString()
-    schema = f"sample_id {key_type}, step bigint, m bigint, next_change bigint, last_rise bigint, is_event boolean"
-
-    def advance(state: pd.DataFrame, span: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        if span.empty:
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-        key = span["sample_id"].iloc[0]
-        wait, due, last = (m, m, -1) if state.empty else (
-            int(state["m"].iloc[0]), int(state["next_change"].iloc[0]), int(state["last_rise"].iloc[0]))
-        span = span.sort_values("word")
-        begin = int(span["word"].iloc[0]) * WORD
-        dense = np.zeros(int(span["word"].iloc[-1]) - int(span["word"].iloc[0]) + 1, dtype="<u8")
-        dense[span["word"].to_numpy() - span["word"].iloc[0]] = span["bits"].to_numpy().astype("<i8").view("<u8")
-        up = begin + np.flatnonzero(np.unpackbits(dense.view(np.uint8), bitorder="little"))
-        end = int(span["last_step"].max())
-        while due + 1 <= end:
-            at = max(due + 1, begin)
-            before = np.searchsorted(up, at, side="right")
-            recent = int(up[before - 1]) if before else last
-            if recent < 0 or recent < at - (wait + 1) // 2 + 1:
-                if before == len(up):
-                    break
-                at = int(up[before])
-            overshoot = at - due - 1
-            wait += overshoot
-            due = at + wait
-            rows.append((key, at, wait, due, -1, True))
-        if len(up):
-            last = int(up[-1])
-        rows.append((key, end, wait, due, last, False))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    n_spans = words.agg(F.max("span")).first()[0]
-    state, events = None, None
-    for span in range((n_spans if n_spans is not None else -1) + 1):
-        part = words.where(F.col("span") == span)
-        if state is None:
-            state = run_steps.sparkSession.createDataFrame([], schema)
-        out = checkpoint(state.groupBy("sample_id").cogroup(part.groupBy("sample_id")).applyInPandas(advance, schema))
-        state = out.where("NOT is_event")
-        found = out.where("is_event").select("sample_id", "step", "m", "next_change")
-        events = found if events is None else events.unionByName(found)
-    if events is None:
-        events = run_steps.sparkSession.createDataFrame([], f"sample_id {key_type}, step bigint, m bigint, next_change bigint")
-    return events
+    scan = SCAN
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, wait, begin, due = None, m, m + 1, m + 1  # ``due``: the next test; ``begin``: the first event of its stretch
+        for batch in batches:
+            rows: list[tuple] = []
+            ids, us, vs = batch["sample_id"].to_numpy(), batch["u"].to_numpy("int64"), batch["v"].to_numpy("int64")
+            ends = batch["last_step"].fillna(-1).to_numpy("int64")
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for first, stop in zip(cuts, cuts[1:]):
+                if first == stop:
+                    continue
+                if key is None or ids[first] != key:
+                    key, wait, begin, due = ids[first], m, m + 1, m + 1
+                at, look = first, scan
+                while at < stop:
+                    u, v = us[at:min(at + look, stop)], vs[at:min(at + look, stop)]
+                    fails = u + (wait + 1) // 2  # tests from here up to v fail
+                    tests = due + -(-np.maximum(fails - due, 0) // (wait + 1)) * (wait + 1)
+                    missed = np.flatnonzero((fails < v) & (tests < v))
+                    if not len(missed):
+                        at, look = at + len(u), look * 2
+                        continue
+                    k = int(missed[0])
+                    test, rise = int(tests[k]), int(v[k])
+                    at, look = at + k + 1, scan
+                    if rise == NO_STEP:
+                        test = min(test, due + max(int(ends[at - 1]) + 1 - due + wait, 0) // (wait + 1) * (wait + 1))
+                    if test > begin:
+                        rows.append((key, begin, wait, (test - begin) // (wait + 1) - 1))
+                    wait += rise - test
+                    begin, due = rise, rise + wait + 1
+            yield pd.DataFrame(rows, columns=["sample_id", "begin", "m", "_last"])
+
+    runs = (_long_falls(run_steps, m).repartition("sample_id").sortWithinPartitions("sample_id", "u")
+            .mapInPandas(stretches, f"sample_id {key_type}, begin bigint, m bigint, _last bigint"))
+    events = step_grid(runs, "_last", name="_k").withColumn("step", F.col("begin") + F.col("_k") * (F.col("m") + 1))
+    return events.select("sample_id", "step", "m", (F.col("step") + F.col("m")).alias("next_change"))
 
 
 def temperature_stages(run_steps: DataFrame, temp_changes: DataFrame, t0: float, factor: float) -> DataFrame:

@@ -294,6 +294,39 @@ def inside_outer(spark, d):
     return out.select("sample_id", "parent_id", r(F.sqrt("fill")).alias("root_fill"), "children", "whole")
 
 
+_FILL_RULE = """SELECT sample_id, parent_id, phase, particle_id, round(own,6) AS own, round(room,6) AS left, own<room/2 AS fits FROM (
+SELECT *, 1-coalesce(sum(own) OVER (PARTITION BY sample_id, parent_id, phase ORDER BY particle_id ROWS BETWEEN UNBOUNDED PRECEDING
+AND 1 PRECEDING),0) AS room FROM (SELECT c.sample_id, p.particle_id AS parent_id, c.phase, c.particle_id, c.v/p.v AS own
+FROM sized c JOIN sized p ON c.sample_id=p.sample_id AND p.particle_id=c.particle_id-c.particle_id%10 WHERE c.particle_id%10<>0))"""
+
+
+def _fill_rule(particles, dim):
+    """Nine of ten particles are children of the tenth."""
+    head = F.col("particle_id") - F.col("particle_id") % 10
+    nested = particles.withColumn("parent_id", F.when(F.col("particle_id") % 10 != 0, head))
+    return rounded(sp.nested_remainder(nested, dim), "own", "left")
+
+
+@query(sql(_FILL_RULE, "mixed2", sized="""SELECT sample_id, particle_id, phase, CASE shape WHEN 'Disk' THEN pi()*r*r WHEN 'Square'
+THEN side*side ELSE pi()/4*major_axis*minor_axis END*CASE WHEN particle_id%10=0 THEN 1e0 ELSE 10/97e0 END AS v FROM mixed2"""))
+def fill_rule_2d(spark, d):
+    """Disks, squares and ellipses of 10/97 of their area in the first of ten, phase by phase."""
+    p = fx.mixed_2d(spark, d)
+    small = F.when(F.col("particle_id") % 10 == 0, 1.0).otherwise(F.sqrt(F.lit(10 / 97)))
+    return _fill_rule(p.withColumns({c: F.col(c) * small for c in ("r", "side", "major_axis", "minor_axis")}), 2)
+
+
+@query(sql(_FILL_RULE, "mixed3", sized="""SELECT sample_id, particle_id, phase, CASE shape WHEN 'Sphere' THEN 4*pi()/3*r*r*r
+WHEN 'Ellipsoid' THEN pi()/6*axis_1*axis_2*axis_3 ELSE pi()*r_cyl*r_cyl*length END*CASE WHEN particle_id%10=0 THEN 1e0 ELSE 1000/6859e0
+END AS v FROM mixed3"""))
+def fill_rule_3d(spark, d):
+    """Spheres, ellipsoids and cylinders of 10/19 of their lengths in the first of ten, phase by phase."""
+    p = fx.mixed_3d(spark, d)
+    small = F.when(F.col("particle_id") % 10 == 0, 1.0).otherwise(10 / 19)
+    sizes = ("r", "axis_1", "axis_2", "axis_3", "r_cyl", "length")
+    return _fill_rule(p.withColumns({c: F.col(c) * small for c in sizes}), 3)
+
+
 @query(sql("""SELECT DISTINCT sample_id, particle_id, ix, iy, (ix+a+n)%n AS near_x, (iy+b+n)%n AS near_y FROM (
 SELECT sample_id, particle_id, n, least(floor(cx*n)::BIGINT,n-1) AS ix, least(floor(cy*n)::BIGINT,n-1) AS iy FROM disks JOIN
 (SELECT sample_id, greatest(1,floor(1/(2*max(r))))::BIGINT AS n FROM disks GROUP BY 1) USING (sample_id)),

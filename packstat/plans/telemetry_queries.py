@@ -11,7 +11,7 @@ from packstat.operators import stats as st
 from packstat.operators import telemetry as tm
 from packstat.operators.mesh import renumber
 from packstat.plans.registry import query, r, rounded
-from packstat.plans.sqlfix import sql
+from packstat.plans.sqlfix import VIEWS, sql
 from packstat.sources import fixtures as fx
 
 _CHANGES = "SELECT sample_id, step FROM steps WHERE step%13=0 AND total_overlap>15"
@@ -65,9 +65,17 @@ def equilibrium_rolling(spark, d):
     return tm.equilibrium_rolling(steps, _changes(steps), 5)
 
 
-@query()
+_ORIGINAL = """WITH RECURSIVE {steps}, seen AS (SELECT sample_id, step, max(CASE WHEN up THEN step END) OVER (PARTITION BY sample_id
+ORDER BY step) AS risen FROM (SELECT sample_id, step, total_overlap>lag(total_overlap) OVER (PARTITION BY sample_id ORDER BY step) AS up
+FROM longsteps)), events(sample_id, step, m, next_change) AS (SELECT DISTINCT sample_id, -1::BIGINT, 10::BIGINT, 10::BIGINT FROM seen
+UNION ALL SELECT sample_id, found, m+found-next_change-1, found+m+found-next_change-1 FROM (SELECT e.sample_id, e.m, e.next_change,
+min(s.step) AS found FROM events e JOIN seen s ON s.sample_id=e.sample_id AND s.step>e.next_change AND s.step-s.risen<(e.m+1)//2
+GROUP BY ALL)) SELECT * FROM events WHERE step>=0"""
+
+
+@query(_ORIGINAL.format(steps=VIEWS["longsteps"]))
 def equilibrium_original(spark, d):
-    """Self-lengthening waits: sequential, so checked against a plain loop in the tests."""
+    """Self-lengthening waits, event by event."""
     return tm.equilibrium_original(fx.run_steps(spark, d, "event_type"), 10)
 
 

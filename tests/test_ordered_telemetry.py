@@ -62,9 +62,9 @@ def plain_equilibrium(values, m):
     return events
 
 
-@pytest.mark.parametrize("words", [1, 3, 1 << 21])
-def test_original_criterion_equals_the_plain_loop(spark, monkeypatch, words):
-    monkeypatch.setattr(tm, "SPAN_WORDS", words)
+@pytest.mark.parametrize("scan", [1, 3, 1 << 10])
+def test_original_criterion_equals_the_plain_loop(spark, monkeypatch, scan):
+    monkeypatch.setattr(tm, "SCAN", scan)
     rng = np.random.default_rng(7)
     # long falls between bursts, so that the wait grows
     values = np.cumsum(np.where((np.arange(700) // 60) % 3 == 0, rng.standard_normal(700), -0.01)) + 50
@@ -75,6 +75,26 @@ def test_original_criterion_equals_the_plain_loop(spark, monkeypatch, words):
     assert tm.equilibrium_original(df, 5).where("sample_id = 'b'").isEmpty()
 
 
+def test_original_criterion_of_many_runs_in_small_batches(spark):
+    rng = np.random.default_rng(11)
+    runs = {f"run{k}": np.cumsum(np.where(rng.random(n) < p, 1.0, -0.1)) for k, (n, p) in enumerate(
+        [(1, 0.5), (2, 0.5), (6, 1.0), (400, 1.0), (400, 0.0), (900, 0.01), (900, 0.05), (900, 0.2), (2000, 0.1), (2000, 0.5)])}
+    df = spark.createDataFrame([(key, k, float(v)) for key, values in runs.items() for k, v in enumerate(values)],
+                               "sample_id string, step bigint, total_overlap double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for m in (1, 2, 5, 10):
+            got = sorted((r.sample_id, r.step, r.m, r.next_change) for r in tm.equilibrium_original(df, m).collect())
+            assert got == sorted((key, *e) for key, values in runs.items() for e in plain_equilibrium(values, m))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_original_criterion_of_no_runs(spark):
+    assert tm.equilibrium_original(spark.createDataFrame([], "sample_id string, step bigint, total_overlap double"), 5).isEmpty()
+
+
 def test_savgol_is_the_local_quadratic(spark):
     rng = np.random.default_rng(3)
     y = rng.random(60)

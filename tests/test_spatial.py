@@ -168,6 +168,21 @@ def test_nesting_looks_at_shapes_and_not_at_their_balls(spark, boxes):
     assert (row.children, row.whole) == (5, 3)
 
 
+def test_a_child_takes_less_than_half_of_what_is_left(spark):
+    # volumes in squares: the parent has 1; phase 4 has its own remainder
+    rows = [("a", 0, None, "1", 1.0), ("a", 900, 0, "3", 0.49 ** 0.5), ("a", 7, 0, "3", 0.4 ** 0.5), ("a", 1 << 40, 0, "3", 0.05 ** 0.5),
+            ("a", 8, 0, "4", 0.49 ** 0.5), ("a", 9, 0, "4", 0.26 ** 0.5), ("a", 10, 77, "3", 0.1), ("b", 1, 0, "3", 0.1),
+            ("c", 0, None, "1", 0.0), ("c", 1, 0, "3", 0.1)]
+    p = spark.createDataFrame(rows, "sample_id string, particle_id bigint, parent_id bigint, phase string, side double").selectExpr(
+        "*", "'Square' AS shape", "0.5D AS cx", "0.5D AS cy")
+    got = {(r.sample_id, r.particle_id): (r.left, r.fits) for r in sp.nested_remainder(p, 2).collect()}
+    assert got.pop(("c", 1))[1] is False
+    assert {k: v[1] for k, v in got.items()} == {("a", 7): True, ("a", 900): False, ("a", 1 << 40): True,
+                                                ("a", 8): True, ("a", 9): False}
+    assert got["a", 900][0] == pytest.approx(0.6) and got["a", 1 << 40][0] == pytest.approx(0.11) and got["a", 9][0] == pytest.approx(0.51)
+    assert sp.nested_remainder(p.where("false"), 2).isEmpty()
+
+
 def test_exact_is_never_deeper_than_along_the_centres(spark, boxes):
     p = mixed(spark)
     exact = {(r.i, r.j): r.length for r in sp.overlaps(p, boxes(1, 1), 2, "exact").collect()}
