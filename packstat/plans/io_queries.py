@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packstat.functions.udtf import periodic_images_of
 from packstat.plans.registry import query, r, rounded
-from packstat.plans.sqlfix import sql
+from packstat.plans.sqlfix import VIEWS, sql
 from packstat.session import scratch_path
 from packstat.sources import corpus as co
 from packstat.sources import fixtures as fx
@@ -167,14 +167,17 @@ def _drained(spark, stream, name):
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
-def _monitored(spark, d, step, name):
-    """The steps of the events in four deliveries, the monitor resumed from its checkpoint after each."""
-    source, out, state, offsets = (scratch_path(spark, f"{name}-{part}") for part in ("steps", "events", "state", "offsets"))
-    steps = fx.run_steps(spark, d).withColumn("ratio", F.col("total_overlap") / 8)
+def _monitored(spark, d, monitor, name):
+    """The steps of the events in four deliveries that hold every fourth step of a run, none in order, some sent twice."""
+    source, out, offsets = (scratch_path(spark, f"{name}-{part}") for part in ("steps", "events", "offsets"))
+    steps = fx.run_steps(spark, d).select("sample_id", "step", F.col("ts").cast("timestamp").alias("ts"), "total_overlap",
+                                          (F.col("total_overlap") / 8).alias("ratio"))
+    turn = (F.col("step") * 3 + F.col("sample_id")) % 4
     for part in range(4):
-        steps.where(F.least(F.floor(F.col("step") / 20), F.lit(3)) == part).write.mode("append").parquet(source)
-        mo.run_monitor(spark.readStream.schema(steps.schema).parquet(source), step, out, state, offsets)
-    return spark.read.parquet(out).drop("epoch")
+        steps.where((turn == part) | ((F.col("step") % 11 == 0) & (turn < part))).write.mode("append").parquet(source)
+        mo.run_to_end(mo.monitored(spark.readStream.schema(steps.schema).parquet(source), monitor, "400 days"), out, offsets)
+    fields = f"sample_id {steps.schema['sample_id'].dataType.simpleString()}, {monitor.fields}"
+    return spark.read.schema(fields).parquet(out)
 
 
 @query(sql("""SELECT s AS start, s+INTERVAL 6 HOUR AS "end", user_id AS sample_id, count(*) AS n, round(sum(value),4) AS overlap, max(value) AS largest
@@ -210,7 +213,7 @@ SELECT sample_id, step, 'failed', quiet FROM (SELECT sample_id, step, step-max(C
 FROM (SELECT sample_id, step, abs(total_overlap-lag(total_overlap) OVER w)/lag(total_overlap) OVER w*100 AS c FROM steps
 WINDOW w AS (PARTITION BY sample_id ORDER BY step))) WHERE step>5 AND quiet>=5""", "steps"))
 def monitor_runs(spark, d):
-    return _monitored(spark, d, mo.monitor_runs(20.0, 6, 5, 300.0), "monitor")
+    return _monitored(spark, d, mo.run_monitor(20.0, 6, 5, 300.0), "monitor")
 
 
 @query(sql("""SELECT sample_id, step, 'rolling' AS event FROM (SELECT *, lag(total_overlap,5) OVER (PARTITION BY sample_id ORDER BY step) AS l FROM steps)
@@ -218,7 +221,21 @@ WHERE total_overlap>l UNION ALL SELECT sample_id, step, 'ratio' FROM (SELECT *,
 SELECT sample_id, step, coalesce(((total_overlap/8-1)*(lag(total_overlap/8) OVER (PARTITION BY sample_id ORDER BY step)-1)<=0)::INT,0) AS c FROM steps))
 WHERE c=1 AND n%2=0""", "steps"))
 def equilibrium_events(spark, d):
-    return _monitored(spark, d, mo.equilibrium_events(5, 2), "equilibrium")
+    return _monitored(spark, d, mo.equilibrium_monitor(5, 2), "equilibrium")
+
+
+@query("WITH RECURSIVE " + VIEWS["steps"] + """, seen AS (SELECT sample_id, step, max(CASE WHEN up THEN step END) OVER (PARTITION BY sample_id
+ORDER BY step) AS risen FROM (SELECT sample_id, step, total_overlap>lag(total_overlap) OVER (PARTITION BY sample_id ORDER BY step) AS up
+FROM steps)), waits(sample_id, step, m, due) AS (SELECT DISTINCT sample_id, -1::BIGINT, 3::BIGINT, 3::BIGINT FROM seen UNION ALL
+SELECT sample_id, found, m+found-due-1, found+m+found-due-1 FROM (SELECT e.sample_id, e.m, e.due, min(s.step) AS found FROM waits e
+JOIN seen s ON s.sample_id=e.sample_id AND s.step>e.due AND s.step-s.risen<(e.m+1)//2 GROUP BY ALL)),
+lags AS (SELECT sample_id, step, total_overlap>lag(total_overlap,4) OVER w AS rose,
+coalesce(((total_overlap/8-1)*(lag(total_overlap/8) OVER w-1)<=0)::INT,0) AS c FROM steps WINDOW w AS (PARTITION BY sample_id ORDER BY step))
+SELECT sample_id, step, 'original' AS event FROM waits WHERE step>=0 UNION ALL SELECT sample_id, step, 'rolling' FROM lags WHERE rose
+UNION ALL SELECT sample_id, step, 'ratio' FROM (SELECT *, sum(c) OVER (PARTITION BY sample_id ORDER BY step) AS n FROM lags) WHERE c=1 AND n%3=0""")
+def equilibrium_criteria(spark, d):
+    """All three criteria at once, as the steps arrive."""
+    return _monitored(spark, d, mo.equilibrium_monitor(4, 3, 3), "criteria")
 
 
 @query(sql("SELECT sample_id::VARCHAR AS sample_id, '1.r' AS location, 'sigma is negative' AS message FROM samples", "samples"))

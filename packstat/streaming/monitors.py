@@ -1,108 +1,144 @@
 """Online monitors of running simulations, as streaming queries over arriving steps.
 
-A monitor runs on every micro-batch with the batch operators, over bounded blocks of steps,
-so a run that holds most of a batch is still spread over many tasks. What it must remember
-is a small table - a row, or the last few steps, per run - written per epoch in the shared
-folder: a replayed epoch reads the same state and overwrites the same results.
+Monitors keep what they must remember of a run in Spark's keyed state: a few numbers, the last steps, and steps that came before
+their turn. A step waits until all steps before it have come, in whatever triggers, or until the watermark has passed its own
+time; then a gap before it is given up. State and results of a trigger are committed together by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from packstat.functions.ordered import over_halo, running, running_max
 from packstat.operators.rules import distribution_problems
-from packstat.operators.spatial import attach
-from packstat.operators.telemetry import RUN, STAGNATION_PERCENT, STAGNATION_STEPS, is_legal, relative_change
+from packstat.operators.telemetry import LEGAL_MARGIN, STAGNATION_PERCENT, STAGNATION_STEPS
 from packstat.sources.corpus import headers_from, parse_lines, phases_from
 
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+STATE = "taken bigint, tail binary, held binary, facts binary"
 
 
-def _fresh(batch: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Rows later than what has been seen of their run; a step sent twice is taken once."""
-    rows = batch.dropDuplicates(["sample_id", "step"])
-    if state is None:
-        return rows
-    seen = state.groupBy("sample_id").agg(F.max("step").alias("_seen"))
-    return attach(rows, seen, how="left").where(F.col("step") > F.coalesce("_seen", F.lit(-1))).drop("_seen")
+@dataclass(frozen=True)
+class Monitor:
+    """What a monitor reads of a step, how many earlier steps it looks back on, what it starts from, and its judgment.
+
+    ``judge(steps, values, new, facts)`` gets the steps in order, the looked-back ones first and ``new`` the place of the first
+    new one, ``values`` with a row per column. It gives a table of ``fields`` for the new steps, and the facts to go on with.
+    """
+
+    columns: Sequence[str]
+    back: int
+    start: Sequence[int]
+    fields: str
+    judge: Callable[[np.ndarray, np.ndarray, int, list[int]], tuple[pd.DataFrame, list[int]]]
 
 
-def monitor_runs(max_residue: float, max_steps_to_relax: int, n: int = STAGNATION_STEPS,
-                 percent: float = STAGNATION_PERCENT) -> Step:
-    """Events per run: ``finished`` when the legal streak passes its limit, ``failed`` when n steps stood still.
+def _as_rows(batch: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Step, time in milliseconds, values: a row of doubles per step."""
+    at = pd.to_datetime(batch["ts"]).to_numpy("datetime64[ms]").astype("int64")
+    return np.column_stack([batch["step"].to_numpy(float), at.astype(float), *[batch[c].to_numpy(float) for c in columns]])
 
-    State per run: the last step and overlap, the last illegal step, the last step that moved.
+
+def monitored(steps: DataFrame, monitor: Monitor, late: str) -> DataFrame:
+    """Events of a stream of steps (``sample_id, step, ts`` and the monitor's columns), each run in the order of its steps.
+
+    Steps count from 0; one that is sent again is taken once; one that comes after its place was given up is dropped, as are
+    rows older than the watermark and rows without step or time. A run is one key of Spark's state: its rows of one trigger meet in one task, and the source's
+    limit per trigger bounds them.
+    """
+    key_type, width = steps.schema["sample_id"].dataType.simpleString(), 2 + len(monitor.columns)
+    unpack = lambda raw: np.frombuffer(bytes(raw), float).reshape(-1, width)
+    fields = ["sample_id", *[f.strip().split()[0] for f in monitor.fields.split(",")]]
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        taken, tail, held, facts = -1, np.zeros((0, width)), np.zeros((0, width)), list(monitor.start)
+        if state.exists:
+            taken, tail, held, facts = state.get
+            tail, held, facts = unpack(tail), unpack(held), np.frombuffer(bytes(facts), "int64").tolist()
+        rows = np.concatenate([held, *[_as_rows(batch, monitor.columns) for batch in batches]])
+        rows = rows[rows[:, 0] > taken]
+        rows = rows[np.lexsort(rows.T[::-1])]
+        rows = rows[np.diff(rows[:, 0], prepend=-1) > 0]
+        passed = state.getCurrentWatermarkMs()
+        waits = (np.diff(rows[:, 0], prepend=taken) != 1) & (rows[:, 1] > passed)
+        ready = int(np.argmax(waits)) if waits.any() else len(rows)
+        now, held = rows[:ready], rows[ready:]
+        found = None
+        if len(now):
+            seen = np.concatenate([tail, now])
+            found, facts = monitor.judge(seen[:, 0].astype("int64"), seen[:, 2:].T, len(tail), facts)
+            taken, tail = int(now[-1, 0]), seen[len(seen) - min(monitor.back, len(seen)):]
+        state.update((taken, tail.tobytes(), held.tobytes(), np.array(facts, "int64").tobytes()))
+        if len(held):
+            state.setTimeoutTimestamp(int(max(held[0, 1], passed)) + 1)
+        if found is not None and len(found):
+            yield found.assign(sample_id=key[0])[fields]
+
+    return (steps.where("step IS NOT NULL AND ts IS NOT NULL").select("sample_id", "step", "ts", *monitor.columns).withWatermark("ts", late).groupBy("sample_id")
+            .applyInPandasWithState(advance, f"sample_id {key_type}, {monitor.fields}", STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def run_monitor(max_residue: float, max_steps_to_relax: int, n: int = STAGNATION_STEPS,
+                percent: float = STAGNATION_PERCENT) -> Monitor:
+    """``finished`` when the legal streak passes its limit, ``failed`` when n steps stood still.
+
+    Facts: the last illegal step, the last step that moved.
     """
-    cols = ["sample_id", "step", "total_overlap"]
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        fresh = _fresh(batch.select(*cols), state).withColumn("_new", F.lit(True))
-        rows = fresh if state is None else fresh.unionByName(state.select(*cols).withColumn("_new", F.lit(False)))
-        lagged = over_halo(rows, RUN, "step", {"_prev": lambda w: F.lag("total_overlap").over(w)}, before=1)
-        still = F.coalesce(relative_change("total_overlap", "_prev") < percent, F.lit(False))
-        marks = {"_bad": F.when(~is_legal(max_residue), F.col("step")), "_moved": F.when(F.col("_new") & ~still, F.col("step"))}
-        marked = running_max(lagged, RUN, "step", marks)
-        if state is not None:
-            marked = attach(marked, state.select("sample_id", "last_bad", "last_moved"), how="left")
-            marked = marked.withColumn("_bad", F.greatest("_bad", "last_bad")).withColumn("_moved", F.greatest("_moved", "last_moved"))
-        now = marked.where("_new").select(*cols, F.col("_bad").alias("last_bad"), F.col("_moved").alias("last_moved"))
-        legal = F.col("step") - F.coalesce("last_bad", F.lit(-1).cast("long"))
-        quiet = F.col("step") - F.col("last_moved")
-        found = F.array(F.when(legal > max_steps_to_relax, F.struct(F.lit("finished").alias("event"), legal.alias("streak"))),
-                        F.when((F.col("step") > n) & (quiet >= n), F.struct(F.lit("failed").alias("event"), quiet.alias("streak"))))
-        events = now.select("sample_id", "step", F.explode(F.array_compact(found)).alias("_e")).select(
-            "sample_id", "step", "_e.event", "_e.streak")
-        kept = now if state is None else now.unionByName(state)
-        last = kept.groupBy("sample_id").agg(F.max(F.struct("step", "total_overlap", "last_bad", "last_moved")).alias("_s"))
-        return events, last.select("sample_id", "_s.*")
-
-    return step
-
-
-def equilibrium_events(window: int, k: int = 2) -> Step:
-    """Rises over the overlap ``window`` steps ago (``rolling``) and every k-th crossing of one by the ratio.
-
-    State: the last ``window`` steps of each run, with the crossings counted so far.
+    def judge(steps: np.ndarray, values: np.ndarray, new: int, facts: list[int]) -> tuple[pd.DataFrame, list[int]]:
+        overlap = values[0]
+        before = np.concatenate([[np.nan], overlap[:-1]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            change = np.where(before == 0, np.inf, np.abs(overlap - before) / np.abs(before) * 100)
+        steps, bad, still = steps[new:], overlap[new:] > max_residue + LEGAL_MARGIN, change[new:] < percent
+        last_bad = np.maximum.accumulate(np.where(bad, steps, facts[0]))
+        last_moved = np.maximum.accumulate(np.where(still, facts[1], steps))
+        found = pd.concat([
+            pd.DataFrame({"step": steps, "event": "finished", "streak": steps - last_bad})[steps - last_bad > max_steps_to_relax],
+            pd.DataFrame({"step": steps, "event": "failed", "streak": steps - last_moved})[(steps > n) & (steps - last_moved >= n)]])
+        return found, [int(last_bad[-1]), int(last_moved[-1])]
+
+    return Monitor(["total_overlap"], 1, [-1, -1], "step bigint, event string, streak bigint", judge)
+
+
+def equilibrium_monitor(window: int, k: int = 2, m: int | None = None) -> Monitor:
+    """Rises over the overlap ``window`` steps ago (``rolling``), every k-th crossing of one by the ratio (``ratio``) and, where
+    ``m`` is given, the criterion whose wait lengthens itself (``original``).
+
+    Facts: crossings so far; the wait, the step it lasts to and the last rise of the third criterion.
     """
-    cols = ["sample_id", "step", "total_overlap", "ratio"]
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        fresh = _fresh(batch.select(*cols), state).withColumn("_new", F.lit(True))
-        rows = fresh if state is None else fresh.unionByName(state.select(*cols).withColumn("_new", F.lit(False)))
-        lagged = over_halo(rows, RUN, "step", {"_then": lambda w: F.lag("total_overlap", window).over(w),
-                                               "_ratio": lambda w: F.lag("ratio").over(w)}, before=window)
-        crossing = F.coalesce((F.col("ratio") - 1) * (F.col("_ratio") - 1) <= 0, F.lit(False))
-        now = running(lagged.where("_new").withColumn("_cross", crossing), RUN, "step", {"crossed": F.col("_cross").cast("long")})
-        if state is not None:
-            before = state.groupBy("sample_id").agg(F.max("crossed").alias("_before"))
-            now = attach(now, before, how="left").withColumn("crossed", F.col("crossed") + F.coalesce("_before", F.lit(0)))
-        found = F.array(F.when(F.col("total_overlap") > F.col("_then"), F.lit("rolling")),
-                        F.when(F.col("_cross") & (F.col("crossed") % k == 0), F.lit("ratio")))
-        events = now.select("sample_id", "step", F.explode(F.array_compact(found)).alias("event"))
-        kept = now.select(*cols, "crossed")
-        kept = kept if state is None else kept.unionByName(state)
-        last = kept.groupBy("sample_id").agg(F.max("step").alias("_last"))
-        return events, attach(kept, last).where(F.col("step") > F.col("_last") - window).drop("_last")
-
-    return step
-
-
-def run_monitor(stream: DataFrame, step: Step, out: str, state: str, checkpoint: str) -> None:
-    """Drive a monitor over everything there is; steps of a run arrive in order of the triggers."""
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        previous = batch.sparkSession.read.parquet(f"{state}/epoch={epoch - 1}") if epoch else None
-        events, after = step(batch, previous)
-        after.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-        events.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        batch.unpersist()
-
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def judge(steps: np.ndarray, values: np.ndarray, new: int, facts: list[int]) -> tuple[pd.DataFrame, list[int]]:
+        overlap, ratio = values
+        crossed, wait, due, last = facts
+        ago = np.concatenate([np.full(window, np.nan), overlap])[:len(overlap)]
+        crossing = ((ratio - 1) * (np.concatenate([[np.nan], ratio[:-1]]) - 1) <= 0)[new:]
+        rises = (overlap > np.concatenate([[np.nan], overlap[:-1]]))[new:]
+        steps, rolling = steps[new:], (overlap > ago)[new:]
+        counts = crossed + np.cumsum(crossing)
+        found = [pd.DataFrame({"step": steps[rolling], "event": "rolling"}),
+                 pd.DataFrame({"step": steps[crossing & (counts % k == 0)], "event": "ratio"})]
+        risen = np.maximum.accumulate(np.where(rises, steps, last))
+        if m is not None:
+            up, events = np.flatnonzero(rises), []
+            at = int(np.searchsorted(steps, due + 1))
+            while at < len(steps):
+                if risen[at] < 0 or risen[at] <= steps[at] - (wait + 1) // 2:
+                    later = int(np.searchsorted(up, at))
+                    if later == len(up):
+                        break
+                    at = int(up[later])
+                events.append(int(steps[at]))
+                wait += events[-1] - due - 1
+                due = events[-1] + wait
+                at = int(np.searchsorted(steps, due + 1))
+            found.append(pd.DataFrame({"step": np.array(events, "int64"), "event": "original"}))
+        return pd.concat(found), [int(counts[-1]), wait, due, int(risen[-1])]
+
+    return Monitor(["total_overlap", "ratio"], max(window, 1), [0, m or 0, m or 0, -1], "step bigint, event string", judge)
 
 
 def windowed_telemetry(steps: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -167,27 +167,55 @@ def test_offset_falls_back_to_the_widest_gap(spark, boxes, disks):
     assert {r.axis: r.free for r in rows} == {"x": False, "y": True}
 
 
-def test_monitor_in_pieces_equals_the_batch_rule(spark):
+def delivered(spark, tmp_path, monitor, *parts, late="300 days"):
+    """What a monitor gives of deliveries, a trigger each; every step is an hour."""
+    source, out, offsets = (str(tmp_path / name) for name in ("steps", "out", "offsets"))
+    for part in parts:
+        timed = part.withColumn("ts", F.timestamp_seconds(1_700_000_000 + 3600 * F.col("step")))
+        timed.write.mode("append").parquet(source)
+        events = mo.monitored(spark.readStream.schema(timed.schema).parquet(source), monitor, late)
+        mo.run_to_end(events, out, offsets)
+    return [tuple(r) for r in spark.read.schema(events.schema).parquet(out).collect()]
+
+
+def test_monitor_in_pieces_equals_the_batch_rule(spark, tmp_path):
     df = both(spark, 120).withColumn("ratio", F.col("total_overlap") * 2)
-    step, found, state = mo.monitor_runs(0.6, 2, 4, 60.0), [], None
-    for lo in range(0, 120, 30):
-        events, state = step(df.where((F.col("step") >= lo) & (F.col("step") < lo + 31)), state)
-        state = spark.createDataFrame(state.collect(), state.schema)
-        found += [tuple(r) for r in events.collect()]
+    # late halves first, overlapping, and one step in three later still
+    parts = [df.where("step >= 60 AND step % 3 <> 0"), df.where("step < 62 AND step % 3 <> 0"), df.where("step % 3 = 0 OR step > 100")]
+    found = delivered(spark, tmp_path, mo.run_monitor(0.6, 2, 4, 60.0), *parts)
     legal = tm.legal_streak(df, 0.6, 2).where("ends").select("sample_id", "step", F.lit("finished").alias("event"), "streak").collect()
     assert sorted(x for x in found if x[2] == "finished") == sorted(tuple(r) for r in legal)
     still = tm.stagnation(df, 4, 60.0).where("stagnant").collect()
     assert sorted((x[0], x[1]) for x in found if x[2] == "failed") == sorted((r.sample_id, r.step) for r in still)
 
 
+def test_a_lost_step_is_given_up_once_the_watermark_has_passed(spark, tmp_path):
+    df = series(spark, [5.0, 4.0, 3.0, 2.0, 9.0, 9.5, 1.0, 0.5]).withColumn("ratio", F.lit(2.0))
+    monitor = mo.equilibrium_monitor(1)
+    waiting = delivered(spark, tmp_path, monitor, df.where("step IN (0, 1, 4)"), df.where("step = 5"), late="1 hour")
+    assert waiting == []
+    # step 7 moves the watermark past steps 4 and 5; 2 and 3 come too late
+    found = delivered(spark, tmp_path, monitor, df.where("step = 7"), df.where("step IN (2, 3)"), late="1 hour")
+    assert sorted(r[1] for r in found) == [4, 5]
+
+
+def test_streamed_criterion_equals_the_plain_loop(spark, tmp_path):
+    values = np.cumsum(np.where(np.random.default_rng(5).random(300) < 0.15, 1.0, -0.1))
+    df = series(spark, [float(v) for v in values]).withColumn("ratio", F.lit(None).cast("double"))
+    found = delivered(spark, tmp_path, mo.equilibrium_monitor(7, m=4), df.where("step % 2 = 1"), df.where("step % 2 = 0"))
+    assert sorted(r[1] for r in found if r[2] == "original") == [e[0] for e in plain_equilibrium(values, 4)]
+    assert sorted(r[1] for r in found if r[2] == "rolling") == [k for k in range(7, 300) if values[k] > values[k - 7]]
+    assert not [r for r in found if r[2] == "ratio"]
+
+
 def test_ratio_of_pairs(spark):
     rows = [("a", 0, 1, 0, 1.0), ("a", 0, 1, 1, 3.0), ("a", 0, 2, 0, 5.0), ("a", 0, 2, 1, 1.0), ("a", 0, 1, 2, 3.0), ("a", 0, 2, 2, 1.0), ("a", 0, 1, 3, 4.0), ("a", 0, 2, 3, 1.0)]
     df = spark.createDataFrame(rows, "sample_id string, i bigint, j bigint, step bigint, overlap double")
     assert [(r.step, r.ratio) for r in tm.overlap_ratio(df).orderBy("step").collect()] == [(1, 0.5), (2, 1.0), (3, 1e12)]
 
 
-def test_zero_overlaps_are_no_error(spark):
+def test_zero_overlaps_are_no_error(spark, tmp_path):
     df = series(spark, [0.0, 0.0, 1.0, 1.0, 1.0, 0.0])
     assert tm.stagnation(df, 2, 1.0).where("stagnant").count() == 1
-    events, _ = mo.monitor_runs(-1.0, 9, 2, 1.0)(df, None)
-    assert [(r.step, r.event) for r in events.collect()] == [(4, "failed")]
+    found = delivered(spark, tmp_path, mo.run_monitor(-1.0, 9, 2, 1.0), df)
+    assert [(r[1], r[2]) for r in found] == [(4, "failed")]
