@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from packstat.functions.udtf import periodic_images_of
@@ -134,6 +137,66 @@ def periodic_images_sql(spark, d):
     return rounded(out, "cx", "cy")
 
 
+# --- run archives and rasters ---------------------------------------------------------------
+
+
+def _pack(batches):
+    """An archive per run: histories of which the thermic one starts a step late, some without a member."""
+    for batch in batches:
+        contents = []
+        for run in batch.itertuples(index=False):
+            overlap = np.asarray(run.overlaps, float)
+            members = {"step": len(overlap), "time": len(overlap) / 4, "status": run.sample_id % 2 == 0, "total_overlap_history": overlap,
+                       "kinetic_energy_history": overlap / 2, "temp_change_steps": np.flatnonzero(overlap > 15),
+                       "position_center_history": np.stack([np.stack([overlap, -overlap], axis=1), np.stack([overlap * 2, overlap / 4], axis=1)])}
+            if run.sample_id % 3:
+                members["thermic_energy_history"] = overlap[1:] / 4 + 1
+            raw = io.BytesIO()
+            np.savez_compressed(raw, **members)
+            contents.append(raw.getvalue())
+        yield batch[["sample_id"]].assign(content=contents)
+
+
+def _archives(spark, d):
+    steps = fx.run_steps(spark, d).groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("step", "total_overlap"))).alias("_s"))
+    key = steps.schema["sample_id"].dataType.simpleString()
+    return steps.select("sample_id", F.col("_s.total_overlap").alias("overlaps")).mapInPandas(_pack, f"sample_id {key}, content binary")
+
+
+@query(sql("""SELECT sample_id, count(*) AS n_steps, count(*)/4 AS seconds, sample_id%2=0 AS status, NULL::DOUBLE AS max_residue
+FROM steps GROUP BY sample_id""", "steps"))
+def archived_runs(spark, d):
+    return rn.unpack_runs(_archives(spark, d))["runs"]
+
+
+@query(sql("""SELECT sample_id, step, total_overlap, kinetic, CASE WHEN sample_id%3<>0 THEN thermic END AS thermic, NULL::DOUBLE AS dt,
+NULL::DOUBLE AS ratio FROM steps""", "steps"))
+def archived_steps(spark, d):
+    return rn.unpack_runs(_archives(spark, d))["run_steps"]
+
+
+@query(sql("SELECT sample_id, step FROM steps WHERE total_overlap>15", "steps"))
+def archived_changes(spark, d):
+    return rn.unpack_runs(_archives(spark, d))["temp_changes"]
+
+
+@query(sql("""SELECT sample_id, particle_id, step, CASE particle_id WHEN 0 THEN total_overlap ELSE total_overlap*2 END AS x,
+CASE particle_id WHEN 0 THEN -total_overlap ELSE total_overlap/4 END AS y, NULL::DOUBLE AS z FROM steps, (VALUES (0::BIGINT),(1)) v(particle_id)""", "steps"))
+def archived_paths(spark, d):
+    return rn.unpack_runs(_archives(spark, d))["paths"]
+
+
+@query(sql("""SELECT (p_partkey//100)::VARCHAR AS image_id, p_partkey%10 AS px, p_partkey%100//10 AS py, p_size AS value, 3 AS channels
+FROM part WHERE p_partkey//100 IN (SELECT p_partkey//100 FROM part GROUP BY 1 HAVING count(*)=100)"""))
+def raster_pixels(spark, d):
+    """Sizes of a sample's hundred parts as an image of ten by ten with three channels, of which the last is the file's first."""
+    part = fx.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 100).cast("string").alias("image_id"), "p_partkey", "p_size")
+    cell = F.struct("p_partkey", F.concat(F.lit("FF00"), F.lpad(F.hex("p_size"), 2, "0")).alias("v"))
+    whole = part.groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("_c")).where(F.size("_c") == 100)
+    return rn.pixels(whole.select("image_id", F.lit(10).alias("height"), F.lit(10).alias("width"), F.lit(3).alias("channels"),
+                                  F.unhex(F.array_join("_c.v", "")).alias("data")))
+
+
 # --- streams: the events replayed as files, to the end --------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,68 +11,90 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HISTORY = "sample_id string, kind string, step bigint, particle_id bigint, a double, b double, c double, d double, e double"
 _CHUNK = 1 << 16
 
 
-def _long(name: str, raw: bytes) -> Iterator[pd.DataFrame]:
-    """The arrays of one archive as long rows, a chunk at a time."""
-    with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-        number = lambda key: float(z[key]) if key in z and z[key].dtype.kind in "fiub" and z[key].size == 1 else np.nan
-        yield pd.DataFrame({"sample_id": [name], "kind": ["run"], "step": [int(z["step"])], "particle_id": [0],
-                            "a": [number("time")], "b": [number("status")], "c": [number("max_residue")]})
-        series = {k: np.asarray(z[f], float) if f in z else np.zeros(0) for k, f in (
-            ("a", "total_overlap_history"), ("b", "kinetic_energy_history"), ("c", "thermic_energy_history"),
-            ("d", "all_dt"), ("e", "ratio"))}
-        n = max((len(v) for v in series.values()), default=0)
-        # thermic energies, time steps and ratios start late: they are aligned at the last steps
-        nk = max(len(series["a"]), len(series["b"]))
-        for lo in range(0, n, _CHUNK):
-            hi = min(lo + _CHUNK, n)
-            cols = {}
-            for key, values in series.items():
-                shift = 0 if key in "ab" else max(nk - len(values), 0)
-                full = np.full(hi - lo, np.nan)
-                at = np.arange(lo, hi) - shift
-                ok = (at >= 0) & (at < len(values))
-                full[ok] = values[at[ok]]
-                cols[key] = full
-            yield pd.DataFrame({"sample_id": name, "kind": "step", "step": np.arange(lo, hi), "particle_id": 0, **cols})
-        if "temp_change_steps" in z and len(z["temp_change_steps"]):
-            yield pd.DataFrame({"sample_id": name, "kind": "change", "step": z["temp_change_steps"].astype(int), "particle_id": 0})
-        if "position_center_history" in z:
-            path = np.asarray(z["position_center_history"], float)
-            for i, track in enumerate(path):
-                for lo in range(0, len(track), _CHUNK):
-                    part = track[lo:lo + _CHUNK]
-                    xyz = {k: part[:, j] for j, k in zip(range(part.shape[1]), "abc")}
-                    yield pd.DataFrame({"sample_id": name, "kind": "path", "step": np.arange(lo, lo + len(part)), "particle_id": i, **xyz})
-
-
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in HISTORY.split(", ")]
-    for batch in batches:
-        for name, raw in zip(batch["sample_id"], batch["content"]):
-            for rows in _long(name, bytes(raw)):
-                yield rows.reindex(columns=names)
+def _facts(z) -> Iterator[dict]:
+    number = lambda key: float(z[key]) if key in z and z[key].dtype.kind in "fiub" and z[key].size == 1 else np.nan
+    yield {"n_steps": [int(z["step"])], "seconds": [number("time")], "status": [number("status")], "max_residue": [number("max_residue")]}
 
 
-def read_runs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Runs, their steps, temperature changes and paths from archives in folders ``sample_id=<id>``.
+#: Histories in an archive, and whether each has a value from the first step.
+_HISTORIES = {"total_overlap": ("total_overlap_history", True), "kinetic": ("kinetic_energy_history", True),
+              "thermic": ("thermic_energy_history", False), "dt": ("all_dt", False), "ratio": ("ratio", False)}
+
+
+def _histories(z) -> Iterator[dict]:
+    """Steps side by side. Thermic energies, time steps and ratios start late: they are aligned at the last steps."""
+    series = {name: np.asarray(z[f], float) if f in z else np.zeros(0) for name, (f, _) in _HISTORIES.items()}
+    whole = max(len(series[name]) for name, (_, first) in _HISTORIES.items() if first)
+    for lo in range(0, max(len(v) for v in series.values()), _CHUNK):
+        steps = np.arange(lo, min(lo + _CHUNK, max(len(v) for v in series.values())))
+        cols = {}
+        for name, values in series.items():
+            at = steps - (0 if _HISTORIES[name][1] else max(whole - len(values), 0))
+            there = (at >= 0) & (at < len(values))
+            cols[name] = np.full(len(steps), np.nan)
+            cols[name][there] = values[at[there]]
+        yield {"step": steps, **cols}
+
+
+def _changes(z) -> Iterator[dict]:
+    if "temp_change_steps" in z and len(z["temp_change_steps"]):
+        yield {"step": z["temp_change_steps"].astype("int64")}
+
+
+def _tracks(z) -> Iterator[dict]:
+    if "position_center_history" in z:
+        for i, track in enumerate(np.asarray(z["position_center_history"], float)):
+            for lo in range(0, len(track), _CHUNK):
+                part = track[lo:lo + _CHUNK]
+                rest = {a: part[:, j] if j < part.shape[1] else np.full(len(part), np.nan) for j, a in enumerate("xyz")}
+                yield {"particle_id": np.full(len(part), i), "step": np.arange(lo, lo + len(part)), **rest}
+
+
+#: Each table with its columns and the members it is made of; no two read the same member.
+_PARTS = {
+    "runs": ("n_steps bigint, seconds double, status double, max_residue double", _facts),
+    "run_steps": ("step bigint, " + ", ".join(f"{name} double" for name in _HISTORIES), _histories),
+    "temp_changes": ("step bigint", _changes),
+    "paths": ("particle_id bigint, step bigint, x double, y double, z double", _tracks),
+}
 
-    An archive is one run kept whole by its writer; the rows it unfolds into are spread out.
+
+def unpack_runs(archives: DataFrame) -> dict[str, DataFrame]:
+    """Runs, their steps, temperature changes and paths of archives (``sample_id, content``).
+
+    A table opens the directory of an archive and decodes its own members only, so each member is decoded once. An archive is
+    one run kept whole by its writer and must fit a task; the rows it unfolds into come in chunks and are spread out. Absent
+    members give nulls or no rows; null or broken contents give no rows.
     """
+    key = archives.schema["sample_id"].dataType.simpleString()
+
+    def table(fields: str, part) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for name, raw in zip(batch["sample_id"], batch["content"]):
+                    try:
+                        z = np.load(io.BytesIO(bytes(raw or b"")), allow_pickle=False)
+                    except (ValueError, EOFError, zipfile.BadZipFile):
+                        continue
+                    with z:
+                        for rows in part(z):
+                            yield pd.DataFrame({"sample_id": name, **rows})
+
+        rows = archives.select("sample_id", "content").mapInPandas(run, f"sample_id {key}, {fields}")
+        return rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+    tables = {name: table(*part) for name, part in _PARTS.items()}
+    tables["runs"] = tables["runs"].withColumn("status", F.col("status") > 0)
+    return tables
+
+
+def read_runs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``unpack_runs`` of the archives in folders ``sample_id=<id>``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
-    named = files.select(F.regexp_extract("path", "sample_id=([^/]+)/", 1).alias("sample_id"), "content")
-    long = named.mapInPandas(_unpack, HISTORY)
-    num = lambda c: F.when(~F.isnan(c), F.col(c))
-    runs = long.where("kind = 'run'").select("sample_id", F.col("step").alias("n_steps"), num("a").alias("seconds"),
-                                             (num("b") > 0).alias("status"), num("c").alias("max_residue"))
-    steps = long.where("kind = 'step'").select("sample_id", "step", num("a").alias("total_overlap"), num("b").alias("kinetic"),
-                                               num("c").alias("thermic"), num("d").alias("dt"), num("e").alias("ratio"))
-    changes = long.where("kind = 'change'").select("sample_id", "step")
-    paths = long.where("kind = 'path'").select("sample_id", "particle_id", "step", num("a").alias("x"), num("b").alias("y"), num("c").alias("z"))
-    return {"runs": runs, "run_steps": steps, "temp_changes": changes, "paths": paths}
+    return unpack_runs(files.select(F.regexp_extract("path", "sample_id=([^/]+)/", 1).alias("sample_id"), "content"))
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
@@ -105,9 +128,14 @@ def _raster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                     "value": part.ravel().astype(int), "channels": image.channels})
 
 
+def pixels(images: DataFrame) -> DataFrame:
+    """A row per pixel of decoded images (``image_id, height, width, channels, data``), with the value of its first channel."""
+    wanted = images.where("data IS NOT NULL").select("image_id", "height", "width", "channels", "data")
+    return wanted.mapInPandas(_raster, "image_id string, px bigint, py bigint, value int, channels int")
+
+
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
     """Raster of section images: a row per pixel with the value of its first channel."""
     images = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
-    flat = images.select(F.regexp_extract("image.origin", "([^/]+)$", 1).alias("image_id"), "image.height", "image.width",
-                         F.col("image.nChannels").alias("channels"), "image.data")
-    return flat.mapInPandas(_raster, "image_id string, px bigint, py bigint, value int, channels int")
+    return pixels(images.select(F.regexp_extract("image.origin", "([^/]+)$", 1).alias("image_id"), "image.height", "image.width",
+                                F.col("image.nChannels").alias("channels"), "image.data"))

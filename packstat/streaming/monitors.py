@@ -28,20 +28,24 @@ class Monitor:
     """What a monitor reads of a step, how many earlier steps it looks back on, what it starts from, and its judgment.
 
     ``judge(steps, values, new, facts)`` gets the steps in order, the looked-back ones first and ``new`` the place of the first
-    new one, ``values`` with a row per column. It gives a table of ``fields`` for the new steps, and the facts to go on with.
+    new one, ``values`` with a row per column. It gives arrays of ``fields`` for the new steps, and the facts to go on with.
     """
 
     columns: Sequence[str]
     back: int
     start: Sequence[int]
     fields: str
-    judge: Callable[[np.ndarray, np.ndarray, int, list[int]], tuple[pd.DataFrame, list[int]]]
+    judge: Callable[[np.ndarray, np.ndarray, int, list[int]], tuple[dict[str, np.ndarray], list[int]]]
 
 
 def _as_rows(batch: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Step, time in milliseconds, values: a row of doubles per step."""
-    at = pd.to_datetime(batch["ts"]).to_numpy("datetime64[ms]").astype("int64")
-    return np.column_stack([batch["step"].to_numpy(float), at.astype(float), *[batch[c].to_numpy(float) for c in columns]])
+    return np.column_stack([batch[c].to_numpy(float) for c in ("step", "_at", *columns)])
+
+
+def _events(**found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps and names of the events, name by name."""
+    return np.concatenate(list(found.values())), np.repeat(np.array(list(found), object), [len(x) for x in found.values()])
 
 
 def monitored(steps: DataFrame, monitor: Monitor, late: str) -> DataFrame:
@@ -76,10 +80,12 @@ def monitored(steps: DataFrame, monitor: Monitor, late: str) -> DataFrame:
         state.update((taken, tail.tobytes(), held.tobytes(), np.array(facts, "int64").tobytes()))
         if len(held):
             state.setTimeoutTimestamp(int(max(held[0, 1], passed)) + 1)
-        if found is not None and len(found):
-            yield found.assign(sample_id=key[0])[fields]
+        if found is not None and len(found["step"]):
+            yield pd.DataFrame({"sample_id": key[0], **found})[fields]
 
-    return (steps.where("step IS NOT NULL AND ts IS NOT NULL").select("sample_id", "step", "ts", *monitor.columns).withWatermark("ts", late).groupBy("sample_id")
+    timed = steps.where("step IS NOT NULL AND ts IS NOT NULL").select(
+        "sample_id", "step", "ts", F.unix_millis("ts").alias("_at"), *monitor.columns)
+    return (timed.withWatermark("ts", late).groupBy("sample_id")
             .applyInPandasWithState(advance, f"sample_id {key_type}, {monitor.fields}", STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -89,7 +95,7 @@ def run_monitor(max_residue: float, max_steps_to_relax: int, n: int = STAGNATION
 
     Facts: the last illegal step, the last step that moved.
     """
-    def judge(steps: np.ndarray, values: np.ndarray, new: int, facts: list[int]) -> tuple[pd.DataFrame, list[int]]:
+    def judge(steps: np.ndarray, values: np.ndarray, new: int, facts: list[int]) -> tuple[dict[str, np.ndarray], list[int]]:
         overlap = values[0]
         before = np.concatenate([[np.nan], overlap[:-1]])
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -97,10 +103,10 @@ def run_monitor(max_residue: float, max_steps_to_relax: int, n: int = STAGNATION
         steps, bad, still = steps[new:], overlap[new:] > max_residue + LEGAL_MARGIN, change[new:] < percent
         last_bad = np.maximum.accumulate(np.where(bad, steps, facts[0]))
         last_moved = np.maximum.accumulate(np.where(still, facts[1], steps))
-        found = pd.concat([
-            pd.DataFrame({"step": steps, "event": "finished", "streak": steps - last_bad})[steps - last_bad > max_steps_to_relax],
-            pd.DataFrame({"step": steps, "event": "failed", "streak": steps - last_moved})[(steps > n) & (steps - last_moved >= n)]])
-        return found, [int(last_bad[-1]), int(last_moved[-1])]
+        legal, quiet = steps - last_bad, steps - last_moved
+        done, failed = legal > max_steps_to_relax, (steps > n) & (quiet >= n)
+        at, event = _events(finished=steps[done], failed=steps[failed])
+        return {"step": at, "event": event, "streak": np.concatenate([legal[done], quiet[failed]])}, [int(last_bad[-1]), int(last_moved[-1])]
 
     return Monitor(["total_overlap"], 1, [-1, -1], "step bigint, event string, streak bigint", judge)
 
@@ -111,7 +117,7 @@ def equilibrium_monitor(window: int, k: int = 2, m: int | None = None) -> Monito
 
     Facts: crossings so far; the wait, the step it lasts to and the last rise of the third criterion.
     """
-    def judge(steps: np.ndarray, values: np.ndarray, new: int, facts: list[int]) -> tuple[pd.DataFrame, list[int]]:
+    def judge(steps: np.ndarray, values: np.ndarray, new: int, facts: list[int]) -> tuple[dict[str, np.ndarray], list[int]]:
         overlap, ratio = values
         crossed, wait, due, last = facts
         ago = np.concatenate([np.full(window, np.nan), overlap])[:len(overlap)]
@@ -119,11 +125,9 @@ def equilibrium_monitor(window: int, k: int = 2, m: int | None = None) -> Monito
         rises = (overlap > np.concatenate([[np.nan], overlap[:-1]]))[new:]
         steps, rolling = steps[new:], (overlap > ago)[new:]
         counts = crossed + np.cumsum(crossing)
-        found = [pd.DataFrame({"step": steps[rolling], "event": "rolling"}),
-                 pd.DataFrame({"step": steps[crossing & (counts % k == 0)], "event": "ratio"})]
-        risen = np.maximum.accumulate(np.where(rises, steps, last))
+        risen, events = np.maximum.accumulate(np.where(rises, steps, last)), []
         if m is not None:
-            up, events = np.flatnonzero(rises), []
+            up = np.flatnonzero(rises)
             at = int(np.searchsorted(steps, due + 1))
             while at < len(steps):
                 if risen[at] < 0 or risen[at] <= steps[at] - (wait + 1) // 2:
@@ -135,8 +139,8 @@ def equilibrium_monitor(window: int, k: int = 2, m: int | None = None) -> Monito
                 wait += events[-1] - due - 1
                 due = events[-1] + wait
                 at = int(np.searchsorted(steps, due + 1))
-            found.append(pd.DataFrame({"step": np.array(events, "int64"), "event": "original"}))
-        return pd.concat(found), [int(counts[-1]), wait, due, int(risen[-1])]
+        at, event = _events(rolling=steps[rolling], ratio=steps[crossing & (counts % k == 0)], original=np.array(events, "int64"))
+        return {"step": at, "event": event}, [int(counts[-1]), wait, due, int(risen[-1])]
 
     return Monitor(["total_overlap", "ratio"], max(window, 1), [0, m or 0, m or 0, -1], "step bigint, event string", judge)
 
