@@ -7,10 +7,12 @@ comes as a region of its own: the draws of all others stay, so keys move only in
 
 Null ids count as the empty string, null texts as empty. Rows that repeat an id share its shard;
 each gets a slot of its own. Empty tables give no rows. Columns beyond doc_id and text are ignored.
+Weights are those of shards, one each if none are given; a node weighs what its shards weigh, and what weighs nothing gets nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,12 @@ class Node:
     shard: int = -1
 
 
-def topology(shards: int, base: tuple[int, int, int] = BASE) -> Node:
-    """The first shards fill the base tree; each further one is a region on its own."""
+def topology(shards: int, weights: Sequence[float] | None = None, base: tuple[int, int, int] = BASE) -> Node:
+    """The first shards fill the base tree; each further one is a region on its own. Shards past the end of ``weights`` weigh one."""
     regions, racks, leaves = base
+    given = [*(weights or []), *[1.0] * shards][:shards]
+    if min(given, default=0.0) < 0 or not 0 < sum(given) < float("inf"):
+        raise ValueError("weights of shards are finite, none below zero, and one at least above")
     made, top = 0, Node("root", 0.0)
     while made < shards:
         region = Node(f"r{len(top.children)}", 0.0)
@@ -43,7 +48,7 @@ def topology(shards: int, base: tuple[int, int, int] = BASE) -> Node:
             node = Node(f"{region.name}k{rack}", 0.0)
             for leaf in range(leaves if len(top.children) < regions else 1):
                 if made < shards:
-                    node.children.append(Node(f"{node.name}s{leaf}", 1.0, shard=made))
+                    node.children.append(Node(f"{node.name}s{leaf}", given[made], shard=made))
                     made += 1
             if node.children:
                 node.weight = sum(c.weight for c in node.children)
@@ -63,28 +68,30 @@ def descend(key: Column, node: Node) -> Column:
     """The shard below ``node`` that a key falls into."""
     if node.shard >= 0:
         return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descend(key, node.children[0])
-    drawn = [F.struct(draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(node.children)]
+    open_ = [c for c in node.children if c.weight > 0]
+    if len(open_) == 1:
+        return descend(key, open_[0])
+    drawn = [F.struct(draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(open_)]
     won = F.least(*drawn)["i"]
-    out = F.when(won == 0, descend(key, node.children[0]))
-    for i, child in enumerate(node.children[1:], 1):
+    out = F.when(won == 0, descend(key, open_[0]))
+    for i, child in enumerate(open_[1:], 1):
         out = out.when(won == i, descend(key, child))
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one shard more)."""
+def shard_documents(docs: DataFrame, shards: int = 8, weights: Sequence[float] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one shard more, of weight one)."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     bytes_ = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     placed = checkpoint(docs.select(
         "doc_id", (F.octet_length(bytes_) + 1).cast("long").alias("size"), F.crc32(bytes_).alias("text_crc32"), F.lit("key").alias("law"),
-        descend(key, topology(shards)).cast("int").alias("shard"), descend(key, topology(shards + 1)).cast("int").alias("grown_shard")))
+        descend(key, topology(shards, weights)).cast("int").alias("shard"),
+        descend(key, topology(shards + 1, weights)).cast("int").alias("grown_shard")))
     return rank_within(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 8, weights: Sequence[float] | None = None) -> None:
     """The documents themselves, a folder for each shard."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    docs.withColumn("shard", descend(key, topology(shards))).write.partitionBy("shard").parquet(path)
+    docs.withColumn("shard", descend(key, topology(shards, weights))).write.partitionBy("shard").parquet(path)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -143,6 +144,38 @@ def test_token_ids_are_the_tokenizers(text):
     assert packing.token_ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def plain_descent(doc_id, weights):
+    """The shard of an id, from weights by (region, rack, shard) of a 2 x 2 x 2 tree."""
+    path = ()
+    while len(path) < 3:
+        def drawn(child):
+            name = "".join(f"{level}{i}" for level, i in zip("rks", (*path, child)))
+            weight = sum(w for place, w in weights.items() if place[:len(path) + 1] == (*path, child))
+            bits = int(hashlib.md5(f"{name}/{doc_id}".encode()).hexdigest()[:13], 16)
+            return -math.log((bits + 0.5) / 2 ** 52) / weight if weight else math.inf
+        path = (*path, min((0, 1), key=drawn))
+    return 4 * path[0] + 2 * path[1] + path[2]
+
+
+def test_shards_equal_a_plain_descent_and_move_within_changed_subtrees(spark):
+    ids = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    before, after = [1.0, 2.0, 1.0, 1.0, 0.0, 1.0, 0.5, 1.0], [1.0, 2.0, 1.0, 4.0, 0.0, 1.0, 0.5, 1.0]
+    placed = []
+    for weights in (before, after):
+        got = {r.doc_id: r.shard for r in sharding.shard_documents(ids, weights=weights).collect()}
+        by_place = {(k // 4, k // 2 % 2, k % 2): w for k, w in enumerate(weights)}
+        assert got == {k: plain_descent(k, by_place) for k in range(2000)}
+        counts = np.bincount(list(got.values()), minlength=8)
+        assert counts[4] == 0 and np.allclose(counts / 2000, np.array(weights) / sum(weights), atol=0.04)
+        placed.append(got)
+    moved = [(placed[0][k], placed[1][k]) for k in range(2000) if placed[0][k] != placed[1][k]]
+    assert moved
+    for old, new in moved:  # only shard 3 weighs more: keys come into its region, its rack, itself, and leave none of them
+        assert (old >= 4 and new < 4) or (old < 2 and new in (2, 3)) or (old, new) == (2, 3)
+    with pytest.raises(ValueError):
+        sharding.topology(2, [0.0, 0.0])
+
+
 def test_shards(spark, docs):
     rows = sharding.shard_documents(docs.unionByName(docs)).collect()
     slots = collections.defaultdict(list)
