@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packstat.session import checkpoint
+from packstat.session import checkpoint, unfolded
 
 BLOCK = 1 << 17
 
@@ -35,7 +35,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (ranges.withColumn("_row", F.row_number().over(within).cast("long"))
-            .join(offsets, [*keys, "_range"])
+            .join(unfolded(offsets), [*keys, "_range"])
             .withColumn(name, F.col("_before") + F.col("_row") - 1 + start)
             .drop("_range", "_row", "_before"))
 
@@ -112,7 +112,8 @@ def running(df: DataFrame, keys: Sequence[str], step: str, sums: dict[str, Colum
     offsets = _earlier(totals, keys, list(sums), F.sum, block, _levels(sparse, block))
     inside = (Window.partitionBy(*keys, "_block").orderBy(step)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = blocks.join(offsets, [*keys, "_block"])
+    # the window needs the rows dealt by key and block in any case
+    out = blocks.join(unfolded(offsets), [*keys, "_block"])
     for name, e in sums.items():
         out = out.withColumn(name, F.coalesce(f"_o_{name}", F.lit(0)) + F.coalesce(F.sum(e).over(inside), F.lit(0)))
     return out.drop("_block", *[f"_o_{n}" for n in sums])
@@ -127,7 +128,8 @@ def running_max(df: DataFrame, keys: Sequence[str], step: str, values: dict[str,
     offsets = _earlier(totals, keys, list(values), F.max, block, _levels(sparse, block))
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, end)
-    out = blocks.join(offsets, [*keys, "_block"])
+    # the window needs the rows dealt by key and block in any case
+    out = blocks.join(unfolded(offsets), [*keys, "_block"])
     for name, e in values.items():
         out = out.withColumn(name, F.greatest(F.col(f"_o_{name}"), F.max(e).over(inside)))
     return out.drop("_block", *[f"_o_{n}" for n in values])

@@ -17,7 +17,7 @@ from packstat.functions.shapes import by_shape, by_shape_vector, cols_of, framed
 from packstat.operators.geometry import dilate
 from packstat.operators.spatial import attach, box, near_pairs, overlaps, radius
 from packstat.operators.telemetry import fill_to_fraction, step_grid
-from packstat.session import checkpoint
+from packstat.session import checkpoint, unfolded
 
 PHASE = ["sample_id", "phase"]
 
@@ -78,7 +78,7 @@ def draw(rows: DataFrame, descriptors: DataFrame, seed: int = 0, u: Callable[[],
              .when(kind == "normal", p("mean") + p("sigma") * bell)
              .when(kind == "lognormal", p("mean") * F.exp(p("sigma") * bell))
              .when(kind == "discrete", F.get(F.col("values"), at)))
-    both = attach(rows, descriptors, PHASE)
+    both = attach(rows, unfolded(descriptors), PHASE)
     plain = both.where(kind != "vonmises").select(*rows.columns, "name", value.alias("value"))
     turned = both.where(kind == "vonmises").select(
         *rows.columns, "name", p("kappa").alias("_kappa"), p("loc").alias("_loc"), p("scale").alias("_scale"),
@@ -324,12 +324,12 @@ def _reject(conflicts: DataFrame) -> DataFrame:
     left, rejected = checkpoint(conflicts.select("sample_id", "i", "j")), None
     while not left.isEmpty():
         later = left.select("sample_id", F.col("j").alias("i")).distinct()
-        accepted = left.select("sample_id", "i").distinct().join(later, ["sample_id", "i"], "left_anti")
-        out = checkpoint(left.join(accepted, ["sample_id", "i"], "left_semi").select("sample_id", "j").distinct())
+        accepted = left.select("sample_id", "i").distinct().join(unfolded(later), ["sample_id", "i"], "left_anti")
+        out = checkpoint(left.join(unfolded(accepted), ["sample_id", "i"], "left_semi").select("sample_id", "j").distinct())
         rejected = out if rejected is None else rejected.unionByName(out)
         gone = out.select("sample_id", F.col("j").alias("i"))
-        left = checkpoint(left.join(accepted, ["sample_id", "i"], "left_anti")
-                          .join(gone, ["sample_id", "i"], "left_anti").join(out, ["sample_id", "j"], "left_anti"))
+        left = checkpoint(left.join(unfolded(accepted), ["sample_id", "i"], "left_anti")
+                          .join(unfolded(gone), ["sample_id", "i"], "left_anti").join(unfolded(out), ["sample_id", "j"], "left_anti"))
     return rejected if rejected is not None else conflicts.select("sample_id", "j").limit(0)
 
 
@@ -346,7 +346,7 @@ def thin_by_arrival(candidates: DataFrame, samples: DataFrame, dim: int, targets
     pairs = overlaps(grown, samples, dim, method).select("sample_id", "i", "j")
     if targets is None:
         gone = _reject(pairs).select("sample_id", F.col("j").alias("particle_id"))
-        return candidates.join(gone, ["sample_id", "particle_id"], "left_anti")
+        return candidates.join(unfolded(gone), ["sample_id", "particle_id"], "left_anti")
     volume = by_shape(candidates, lambda s, c: s.real_volume(c), dim=dim)
     whole = None
     for b in box(dim):
@@ -354,20 +354,20 @@ def thin_by_arrival(candidates: DataFrame, samples: DataFrame, dim: int, targets
     pairs = checkpoint(pairs)
     # the orders of the phases are few: as many as a run specification lists
     orders = [row[0] for row in targets.select("phase_order").distinct().orderBy("phase_order").collect()]
-    listed = checkpoint(attach(attach(candidates, targets, [c for c in PHASE if c in targets.columns]),
+    listed = checkpoint(attach(attach(candidates, checkpoint(targets), [c for c in PHASE if c in targets.columns]),
                                samples.select("sample_id", whole.alias("_box"))).withColumn("_v", volume))
     kept = None
     for order in orders:
         turn = listed.where(F.col("phase_order") == order)
-        ids = lambda name, df: df.select("sample_id", F.col("particle_id").alias(name))
+        ids = lambda name, df: unfolded(df.select("sample_id", F.col("particle_id").alias(name)))
         if kept is not None:
             blocked = (pairs.join(ids("i", kept), ["sample_id", "i"], "left_semi").select("sample_id", F.col("j").alias("particle_id"))
                        .unionByName(pairs.join(ids("j", kept), ["sample_id", "j"], "left_semi")
                                     .select("sample_id", F.col("i").alias("particle_id"))))
-            turn = turn.join(blocked, ["sample_id", "particle_id"], "left_anti")
+            turn = turn.join(unfolded(blocked), ["sample_id", "particle_id"], "left_anti")
         own = pairs.join(ids("i", turn), ["sample_id", "i"], "left_semi").join(ids("j", turn), ["sample_id", "j"], "left_semi")
         gone = _reject(own).select("sample_id", F.col("j").alias("particle_id"))
-        stay = turn.join(gone, ["sample_id", "particle_id"], "left_anti")
+        stay = turn.join(unfolded(gone), ["sample_id", "particle_id"], "left_anti")
         ranked = number_rows(stay, ["sample_id"], ["particle_id"], "_k")
         full = fill_to_fraction(ranked, ["sample_id"], "_k", "_v", F.coalesce(F.col("vf"), F.lit(float("inf"))) * F.col("_box"))
         now = checkpoint(full.where(F.col("_k") < F.coalesce(F.col("n"), F.lit(2 ** 62))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packstat.functions.ordered import number_rows, running
 from packstat.functions.periodic import axes, grid_index, min_image, norm, wrap
 from packstat.functions.shapes import by_shape, cols_of, dot, framed, present
-from packstat.session import checkpoint
+from packstat.session import checkpoint, unfolded
 
 CELL_LOAD = 1 << 14
 #: Least particles of a crowd.
@@ -36,7 +36,8 @@ def attach_box(df: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
 def _levels(sized: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
     """Per sample: the box, the largest reach and the number of rows to be looked up."""
     facts = sized.groupBy("sample_id").agg(F.max("_reach").alias("_rmax"), F.count(F.lit(1)).alias("_rows"))
-    return attach(samples.select("sample_id", *box(dim)), facts)
+    # a joined table counts as large as the product of its sides, so the rows themselves would pass for the smaller side
+    return checkpoint(attach(samples.select("sample_id", *box(dim)), facts))
 
 
 def _n_cells(length: Column, level: Column) -> Column:
@@ -114,7 +115,7 @@ def near_pairs(particles: DataFrame, samples: DataFrame, dim: int, reach: Column
     right = _prefixed(listed.drop("_rmax", "_rows", *box(dim)), "b_", key)
     # equal levels meet twice, once from either side
     once = (F.col("b__own") > F.col("_level")) | (F.col("a_particle_id") < F.col("b_particle_id"))
-    near = left.join(right, key).where(once).drop("_level", "_salt", "a__own", "b__own", *_cell_names(dim))
+    near = left.join(unfolded(right), key).where(once).drop("_level", "_salt", "a__own", "b__own", *_cell_names(dim))
     near = near.select("*", *[x.alias(f"d{a}") for a, x in zip(axes(dim), offsets(dim))])
     near = near.withColumn("d", norm([F.col(f"d{a}") for a in axes(dim)]))
     near = near.where(F.col("d") < F.col("a__reach") + F.col("b__reach"))
@@ -137,15 +138,15 @@ def near_points(points: DataFrame, particles: DataFrame, samples: DataFrame, dim
     sized = particles.select("sample_id", *keep, (reach / 2).alias("_reach"))
     sides = sized.groupBy("sample_id").agg(F.max("_reach").alias("_rmax"))
     load = points.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_rows"))
-    facts = attach(attach(samples.select("sample_id", *box(dim)), sides), load)
+    facts = checkpoint(attach(attach(samples.select("sample_id", *box(dim)), sides), load))
     placed = attach(sized, facts).withColumn("_level", _level_of(F.col("_reach")))
     used = placed.groupBy("sample_id").agg(F.array_sort(F.collect_set("_level")).alias("_used"))
-    listed = _in_own_cells(attach(points.select("sample_id", *point_cols, *axes(dim)), attach(facts, used)),
+    listed = _in_own_cells(attach(points.select("sample_id", *point_cols, *axes(dim)), checkpoint(attach(facts, used))),
                            dim, F.col("_used"), point_cols[0], list(axes(dim)))
     looking = _in_near_cells(placed, dim, at)
     key = ["sample_id", "_level", "_salt", *_cell_names(dim)]
     return (listed.drop("_rmax", "_rows", "_used")
-            .join(looking.drop("_rmax", "_rows", "_reach", *box(dim)), key)
+            .join(unfolded(looking.drop("_rmax", "_rows", "_reach", *box(dim))), key)
             .drop("_level", "_salt", *_cell_names(dim)))
 
 
@@ -365,7 +366,7 @@ def left_neighborhood(previous: DataFrame, now: DataFrame, samples: DataFrame, d
     """Particles that moved further than ``(factor - 1) * radius`` since the list was made."""
     at = [f"c{a}" for a in axes(dim)]
     old = previous.select("sample_id", "particle_id", *[F.col(x).alias("_" + x) for x in at])
-    both = attach_box(now.join(old, ["sample_id", "particle_id"]), samples, dim)
+    both = attach_box(now.join(unfolded(old), ["sample_id", "particle_id"]), samples, dim)
     moved = norm([min_image(F.col(x) - F.col("_" + x), F.col(b)) for x, b in zip(at, box(dim))])
     return (both.withColumn("moved", moved).where(F.col("moved") > (factor - 1) * radius(now))
             .select("sample_id", "particle_id", "moved"))
@@ -375,15 +376,15 @@ def refresh_neighbors(pairs: DataFrame, leavers: DataFrame, now: DataFrame, samp
                       factor: float = 1.1) -> DataFrame:
     """Pairs of leavers found anew, the pairs of the others kept."""
     gone = leavers.select("sample_id", "particle_id")
-    kept = (pairs.join(gone.withColumnRenamed("particle_id", "i"), ["sample_id", "i"], "left_anti")
-            .join(gone.withColumnRenamed("particle_id", "j"), ["sample_id", "j"], "left_anti"))
+    kept = (pairs.join(unfolded(gone.withColumnRenamed("particle_id", "i")), ["sample_id", "i"], "left_anti")
+            .join(unfolded(gone.withColumnRenamed("particle_id", "j")), ["sample_id", "j"], "left_anti"))
     at = [f"c{a}" for a in axes(dim)]
-    probes = now.join(gone, ["sample_id", "particle_id"], "left_semi").select(
+    probes = now.join(unfolded(gone), ["sample_id", "particle_id"], "left_semi").select(
         "sample_id", F.col("particle_id").alias("point_id"), *[F.col(x).alias(x[1:]) for x in at],
         (radius(now) * factor).alias("_r"))
     # a leaver is a point that must see every particle whose dilated disk reaches its own
     widest = attach(now.withColumn("_own", radius(now) * factor),
-                    probes.groupBy("sample_id").agg(F.max("_r").alias("_rp")))
+                    checkpoint(probes.groupBy("sample_id").agg(F.max("_r").alias("_rp"))))
     near = near_points(probes, widest, samples, dim, F.col("_own") + F.col("_rp"), ["_own"], ["point_id", "_r"])
     d = norm([min_image(F.col(f"c{a}") - F.col(a), F.col(f"l{a}")) for a in axes(dim)])
     found = (near.where(F.col("point_id") != F.col("particle_id")).where(d < F.col("_r") + F.col("_own"))

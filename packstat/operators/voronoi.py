@@ -20,7 +20,7 @@ from packstat.functions.periodic import axes, norm
 from packstat.functions.shapes import by_shape
 from packstat.operators.geometry import surface_points, with_erosion
 from packstat.operators.spatial import SLACK, attach, box, local_reach, periodic_images
-from packstat.session import checkpoint, spread
+from packstat.session import checkpoint, spread, unfolded
 
 EPS = 1e-12
 SECTORS = 12
@@ -63,7 +63,7 @@ def _near(active: DataFrame, seeds: DataFrame, facts: DataFrame, dim: int) -> Da
     for a in axes(dim):
         own = F.floor(F.col(a) / size)
         looking = looking.withColumn(f"_cell_{a}", F.explode(F.array(own - 1, own, own + 1)))
-    pairs = looking.join(listed, ["sample_id", "_level", *[f"_cell_{a}" for a in axes(dim)]])
+    pairs = looking.join(unfolded(listed), ["sample_id", "_level", *[f"_cell_{a}" for a in axes(dim)]])
     pairs = pairs.select("sample_id", "i", "j", *[f"image_{a}" for a in axes(dim)], "_reach", "_all",
                          *[(F.col(f"_{a}") - F.col(a)).alias(f"d{a}") for a in axes(dim)])
     return pairs.withColumn("d", norm([F.col(f"d{a}") for a in axes(dim)])).where("d > 0 AND d <= _reach")

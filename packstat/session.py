@@ -58,4 +58,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-__all__ = ["checkpoint", "scratch_path", "shared_dir", "spent", "spread"]
+def unfolded(df: DataFrame) -> DataFrame:
+    """A side of a join with rows that were unfolded (exploded), or are as many: such a join sorts and merges, neither side is broadcast.
+
+    Spark's size estimates leave out what ``explode`` adds: a table of a few megabytes passes for small after it became gigabytes.
+    """
+    return df.hint("merge")
+
+
+__all__ = ["checkpoint", "scratch_path", "shared_dir", "spent", "spread", "unfolded"]
