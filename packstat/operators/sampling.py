@@ -17,7 +17,7 @@ from packstat.functions.shapes import by_shape, by_shape_vector, cols_of, framed
 from packstat.operators.geometry import dilate
 from packstat.operators.spatial import attach, box, near_pairs, overlaps, radius
 from packstat.operators.telemetry import fill_to_fraction, step_grid
-from packstat.session import checkpoint, unfolded
+from packstat.session import checkpoint, spread, unfolded
 
 PHASE = ["sample_id", "phase"]
 
@@ -216,7 +216,8 @@ def _lattice(samples: DataFrame, n: int, per_layer: int) -> DataFrame:
 
 def random_points_inside(particles: DataFrame, n: int, dim: int, seed: int = 0) -> DataFrame:
     """n points uniform in each particle: ``k`` and coordinates (not wrapped)."""
-    rows = framed(particles, dim).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # all columns of the points are worked out where they are unfolded: small files would leave that to one task
+    rows = spread(framed(particles, dim), "sample_id", "particle_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     key = ["sample_id", "particle_id", "k"]
     g = [normal(seed, *key, F.lit(f"g{j}")) for j in range(dim)]
     for j, x in enumerate(g):

@@ -13,6 +13,7 @@ from packstat.operators import spatial as sp
 from packstat.operators import stats as st
 from packstat.plans.registry import query, r, rounded
 from packstat.plans.sqlfix import sql, u
+from packstat.session import unfolded
 from packstat.sources import fixtures as fx
 
 # --- specifications derived from suppliers: one sample each, faults by key -------------------
@@ -157,7 +158,7 @@ def random_points(spark, d):
 def random_points_inside(spark, d):
     """Every point drawn in a 3D particle passes its containment test."""
     p = fx.mixed_3d(spark, d)
-    pts = sa.random_points_inside(p, 20, 3, 11).join(p, ["sample_id", "particle_id"])
+    pts = sa.random_points_inside(p, 20, 3, 11).join(unfolded(p), ["sample_id", "particle_id"])
     inside = by_shape(pts, lambda s, c: s.contains(c, [F.col(a) - F.col(f"c{a}") for a in "xyz"]), dim=3)
     return pts.groupBy("sample_id", "particle_id").agg(F.count(F.lit(1)).alias("n"), F.sum(inside.cast("long")).alias("inside"))
 
