@@ -288,7 +288,8 @@ def overlap_volume_mc(particles: DataFrame, samples: DataFrame, dim: int, n: int
                                volume_a.alias("_va"), *[f"d{a}" for a in axes(dim)],
                                *[F.col(f"b_{c}").alias(c) for c in names if not c.startswith("c") or c not in ("cx", "cy", "cz")],
                                *[F.lit(0.0).alias(f"c{a}") for a in axes(dim)])
-        both = thrown.join(second, ["sample_id", "particle_id"])
+        # the points were dealt by pair before they were thrown and stay where they are
+        both = thrown.join(unfolded(second), ["sample_id", "particle_id"])
         v = [F.col(a) - F.col(f"d{a}") for a in axes(dim)]
         inside = by_shape(second, lambda s, c: s.contains(c, v), dim=dim).cast("double")
         out = both.groupBy("sample_id", "particle_id").agg(

@@ -62,3 +62,16 @@ def test_rows_are_not_taken_for_the_smaller_side(small):
         plan = df._jdf.queryExecution().optimizedPlan()
         # facts of samples are read with the size of their file, not with a product of sizes
         assert "HashAggregate" not in df._jdf.queryExecution().executedPlan().toString() and plan.stats().sizeInBytes() > 0
+
+
+def test_points_are_thrown_where_the_pair_is(small):
+    p, s = small
+    plan = tree(sampling.overlap_volume_mc(p, s, 2, 7, 1))
+    at = next(k for k, (_, x) in enumerate(plan) if "Generate explode(" in x and "k#" in x.split("[")[-1])
+    depth = plan[at][0]
+    for above, x in reversed(plan[:at]):
+        if above < depth:
+            depth = above
+            assert "Exchange" not in x
+            if "Join" in x:
+                break
