@@ -142,7 +142,7 @@ def periodic_images_sql(spark, d):
 
 def _pack(batches):
     """An archive per run: histories of which the thermic one starts a step late, some without a member."""
-    for batch in batches:
+    for batch in (whole.iloc[k:k + 64] for whole in batches for k in range(0, len(whole), 64)):
         contents = []
         for run in batch.itertuples(index=False):
             overlap = np.asarray(run.overlaps, float)

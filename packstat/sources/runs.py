@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,24 +67,27 @@ def unpack_runs(archives: DataFrame) -> dict[str, DataFrame]:
     """Runs, their steps, temperature changes and paths of archives (``sample_id, content``).
 
     A table opens the directory of an archive and decodes its own members only, so each member is decoded once. An archive is
-    one run kept whole by its writer and must fit a task; the rows it unfolds into come in chunks and are spread out. Absent
-    members give nulls or no rows; null or broken contents give no rows.
+    one run kept whole by its writer and must fit a task; a batch of them is read where it lies, one archive at a time, and the
+    rows an archive unfolds into come in chunks. Absent members give nulls or no rows; null or broken contents give no rows.
     """
     key = archives.schema["sample_id"].dataType.simpleString()
 
     def table(fields: str, part) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        types = {name: {"bigint": pa.int64(), "double": pa.float64()}[kind] for name, kind in (f.split() for f in fields.split(", "))}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for name, raw in zip(batch["sample_id"], batch["content"]):
+                for name, raw in zip(batch.column("sample_id"), batch.column("content")):
                     try:
-                        z = np.load(io.BytesIO(bytes(raw or b"")), allow_pickle=False)
+                        z = np.load(io.BytesIO(raw.as_buffer() or b""), allow_pickle=False)
                     except (ValueError, EOFError, zipfile.BadZipFile):
                         continue
                     with z:
                         for rows in part(z):
-                            yield pd.DataFrame({"sample_id": name, **rows})
+                            cols = [pa.array(rows[c], t) for c, t in types.items()]
+                            yield pa.RecordBatch.from_arrays([pa.repeat(name, len(cols[0])), *cols], ["sample_id", *types])
 
-        rows = archives.select("sample_id", "content").mapInPandas(run, f"sample_id {key}, {fields}")
+        rows = archives.select("sample_id", "content").mapInArrow(run, f"sample_id {key}, {fields}")
         return rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
     tables = {name: table(*part) for name, part in _PARTS.items()}

@@ -75,3 +75,15 @@ def test_points_are_thrown_where_the_pair_is(small):
             assert "Exchange" not in x
             if "Join" in x:
                 break
+
+
+def test_archives_are_packed_and_read_a_few_at_a_time(spark):
+    whole = pd.DataFrame({"sample_id": range(200), "overlaps": [np.arange(5.0) * k for k in range(200)]})
+    parts = list(io_queries._pack(iter([whole])))
+    assert max(len(x) for x in parts) <= 64 and sum(len(x) for x in parts) == 200
+    rows = [(int(r.sample_id), bytes(r.content)) for x in parts for r in x.itertuples()] + [(300, None), (301, b""), (302, b"PK broken")]
+    t = runs.unpack_runs(spark.createDataFrame(rows, "sample_id long, content binary"))
+    assert t["runs"].count() == 200 and t["runs"].where("seconds = 1.25 AND max_residue IS NULL").count() == 200
+    steps = {(r.sample_id, r.step): (r.total_overlap, r.kinetic, r.thermic, r.dt) for r in t["run_steps"].collect()}
+    assert len(steps) == 1000 and steps[7, 2] == (14.0, 7.0, 4.5, None) and steps[3, 2] == (6.0, 3.0, None, None)
+    assert t["paths"].count() == 2000
