@@ -11,6 +11,7 @@ from packstat.functions.periodic import axes, min_image
 from packstat.functions.shapes import by_shape, framed
 from packstat.operators.geometry import across_axes, with_extents
 from packstat.operators.spatial import attach, box
+from packstat.session import spread
 
 
 def voxel_center(index: Column, spacing: Column) -> Column:
@@ -20,7 +21,8 @@ def voxel_center(index: Column, spacing: Column) -> Column:
 def grid_cells_of(grids: DataFrame, dim: int, names: Sequence[str] | None = None, plus: int = 0) -> DataFrame:
     """Every index tuple of each grid (``nx, ny(, nz)``), unfolded an axis at a time.
 
-    After the first axis the rows are spread out, so one huge grid is unfolded by many tasks.
+    After the first axis the rows are spread out, so one huge grid is unfolded by many tasks; they are few and short
+    by then, so a plain ``repartition`` would be merged into one task for all grids again.
     """
     names = list(names or [f"i{a}" for a in axes(dim)])
     out = grids.select("sample_id", *[f"n{a}" for a in axes(dim)])
@@ -28,7 +30,7 @@ def grid_cells_of(grids: DataFrame, dim: int, names: Sequence[str] | None = None
         last = (F.col(f"n{a}") - 1 + plus).cast("long")
         out = out.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), last)))
         if k == 0:
-            out = out.repartition("sample_id", name)
+            out = spread(out, "sample_id", name)
     return out.select("sample_id", *names)
 
 
@@ -45,7 +47,7 @@ def stamp(particles: DataFrame, samples: DataFrame, grids: DataFrame, dim: int)
         lo, hi = F.floor(F.col(f"lo_{a}") / spacing), F.floor(F.col(f"hi_{a}") / spacing)
         out = out.withColumn(f"_i{a}", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
         if k == 0:
-            out = out.repartition("sample_id", "particle_id", f"_i{a}")
+            out = spread(out, "sample_id", "particle_id", f"_i{a}")
     centre = {a: voxel_center(F.col(f"_i{a}"), F.col(f"l{a}") / F.col(f"n{a}")) for a in axes(dim)}
     d = [min_image(centre[a] - F.col(f"c{a}"), F.col(f"l{a}")) for a in axes(dim)]
     inside = by_shape(whole, lambda s, c: s.contains(c, d), dim=dim)
@@ -81,7 +83,7 @@ def voxelize_fibers(fibers: DataFrame, samples: DataFrame, grids: DataFrame) ->
     sized = sized.select("sample_id", "particle_id", "phase", "direction", "cx", "cy", "r", "lu", "lv",
                          *[pick("n", k).cast("long").alias(f"n{k}") for k in "uvw"])
     su, sv = F.col("lu") / F.col("nu"), F.col("lv") / F.col("nv")
-    out = sized
+    out = spread(sized, "sample_id", "particle_id")
     for name, c, s in (("_u", "cx", su), ("_v", "cy", sv)):
         lo, hi = F.floor((F.col(c) - F.col("r")) / s), F.floor((F.col(c) + F.col("r")) / s)
         out = out.withColumn(name, F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))

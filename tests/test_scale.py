@@ -77,6 +77,14 @@ def test_points_are_thrown_where_the_pair_is(small):
                 break
 
 
+def test_short_rows_that_unfold_stay_spread(spark, small):
+    _, s = small
+    grids = s.select("sample_id", F.lit(4).cast("long").alias("nx"), F.lit(3).cast("long").alias("ny"), F.lit(2).cast("long").alias("nz"))
+    cells = vx.grid_cells_of(grids, 3)
+    assert cells.count() == cells.distinct().count() == 72
+    assert "REPARTITION_BY_NUM" in cells._jdf.queryExecution().executedPlan().toString()
+
+
 def test_archives_are_packed_and_read_a_few_at_a_time(spark):
     whole = pd.DataFrame({"sample_id": range(200), "overlaps": [np.arange(5.0) * k for k in range(200)]})
     parts = list(io_queries._pack(iter([whole])))
