@@ -95,3 +95,15 @@ def test_archives_are_packed_and_read_a_few_at_a_time(spark):
     steps = {(r.sample_id, r.step): (r.total_overlap, r.kinetic, r.thermic, r.dt) for r in t["run_steps"].collect()}
     assert len(steps) == 1000 and steps[7, 2] == (14.0, 7.0, 4.5, None) and steps[3, 2] == (6.0, 3.0, None, None)
     assert t["paths"].count() == 2000
+
+
+def test_rare_languages_and_no_language_are_judged(spark):
+    rng = np.random.default_rng(9)
+    en, es = quality.COMMON["en"] + ["lantern", "meadow"], quality.COMMON["es"] + ["farol", "prado"]
+    odd = [f"zq{k}x" for k in range(40)]
+    tags = [("en", en)] * 30 + [("es", es)] * 10 + [("es", en)] + [(None, en)] * 3 + [(None, odd)]
+    rows = [(i, " ".join(rng.choice(words, 300)), tag) for i, (tag, words) in enumerate(tags)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, kept in sorted(got.items()) if not kept] == [40, 44]
+    alone = quality.judge(spark.createDataFrame([(1, rows[0][1], None)], "doc_id long, text string, lang string")).collect()
+    assert [r.kept for r in alone] == [True]
