@@ -1,15 +1,18 @@
-"""Main text of web pages: marked articles, and a suffix array per host where nothing is marked.
+"""Main text of web pages: marked articles, and what a host repeats cut out of them by suffix arrays.
 
 Markup is read with a stack of open elements. Where a page marks its article (``article``,
-``main``, a role or a usual class), the blocks inside it are the text. The host suffix array cannot decide
-there: articles that are republished on a host would be taken for boilerplate, and a menu seen once
-would stay. Where a page marks nothing, its blocks become token streams; the suffixes of all streams
-of a host, cut at ``WINDOW`` tokens, are sorted together by grouping on their hash, so suffixes that share
-that many tokens meet, however many pages there are. Tokens covered by a string that occurs on
-distinct pages are boilerplate, and blocks of which something unique is left are kept.
+``main``, a role or a usual class), the blocks inside it are its token stream; elsewhere all its blocks are. The streams of all
+pages of a host go through suffix arrays, those with a marked article by themselves:
+
+* equal streams of a host count as one page, so a republished text is no boilerplate;
+* the streams are dealt to arrays of some ``ARRAY`` pages. Suffixes, cut at ``WINDOW`` tokens and at the end of their block, are sorted by prefix
+  doubling; neighbours of equal rank share that many tokens. A string on more than ``SHARE`` of all streams is on more than that of those in some
+  array, so the strings that are there in an array are all candidates there can be;
+* candidates are looked up in every stream and counted over the whole host. Strings on more than ``SHARE`` of its streams are boilerplate, if it has at
+  least ``PAGES`` of them, or ``ARTICLES`` where articles are marked: there markup guards the text. Runs they cover are cut, the rest of a block stays.
 
 Blocks are joined in page order by an empty line, white space inside a block becomes one space,
-character references are decoded. Null and empty pages give an empty text. Rows that repeat a page
+character references are decoded. Null and empty pages give an empty text, and so do pages that hold nothing of their own. Rows that repeat a page
 are extracted separately, and do not count as distinct pages. Extra columns are ignored.
 """
 
@@ -21,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +33,12 @@ from packstat.llm.common import prefix_sums, stretch_hash, word_hashes
 from packstat.llm.urls import parts
 from packstat.session import checkpoint
 
-#: Tokens of a string that counts as repeated, and pages of a host it must occur on.
-WINDOW, PAGES = 8, 2
+#: Tokens of a string that counts as repeated, and the share of a host's pages that it must exceed.
+WINDOW, SHARE = 8, 2 / 3
+#: Pages a string must occur on where nothing is marked, and inside marked articles.
+PAGES, ARTICLES = 2, 10
+#: Pages of a suffix array.
+ARRAY = 512
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -201,61 +210,156 @@ def _held(stack: list[_Element]) -> bool:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
             done = [blocks(page or "") for page in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array([b for b, _ in done], pa.list_(pa.string())),
-                                              pa.array([m for _, m in done], pa.bool_())], ["page_id", "url", "host", "blocks", "marked"])
-
-
-def _suffixes(window: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes of each page's token stream, as hashes of their first tokens; they do not cross blocks."""
+            raw = ["\n\n".join(b).encode() for b, _ in done]
+            stream = [xxhash.xxh3_64_intdigest(x) - 2**63 if x else None for x in raw]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array([pack.compress(x) for x in raw], pa.binary()),
+                                              pa.array(stream, pa.int64()), pa.array([m for _, m in done], pa.bool_())], ["page_id", "url", "host", "packed", "stream", "marked"])
+
+
+def _tokens(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Hashes of the tokens of the blocks of some texts; each block's first token and length, its text, and its number there."""
+    said = [x.split(b"\n\n") if x else [] for x in raw]
+    every = [b for x in said for b in x]
+    h, first, *_ = word_hashes(np.frombuffer(b"".join(every), np.uint8), np.cumsum([0, *map(len, every)]))
+    return h, first[:-1], np.diff(first), np.repeat(np.arange(len(raw)), [len(x) for x in said]), np.concatenate([np.arange(len(x)) for x in said]) if said else first[:0]
+
+
+def _starts(length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of all blocks: (block, first token in it). Those of less than ``window`` tokens are left out, but for whole blocks."""
+    many = np.where(length > 0, np.maximum(1, length - window + 1), 0)
+    block = np.repeat(np.arange(len(length)), many)
+    return block, np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def suffix_ranks(h: np.ndarray, first: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """The rank of each suffix of ``_starts`` among all, cut at ``window`` tokens and at the end of its block; equal ones share theirs."""
+    # behind each block stand as many empty places as a suffix may reach over
+    padded = np.zeros(len(h) + window * len(length), np.int64)
+    at = np.cumsum(length + window) - length - window
+    inside = np.repeat(at - first, length) + np.arange(len(h))
+    padded[inside] = np.unique(h, return_inverse=True)[1] + 1
+    rank, step = padded, 1
+
+    def behind(shift: int) -> np.ndarray:
+        after = np.zeros_like(rank)
+        after[:len(rank) - shift] = rank[shift:]
+        return np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1]
+
+    while 2 * step <= window:
+        rank, step = behind(step), 2 * step
+    if step < window:
+        rank = behind(window - step)
+    block, start = _starts(length, window)
+    return rank[at[block] + start]
+
+
+def _frequent(window: int, share: float):
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        """Streams of one array after the other, each there once; they come sorted."""
+        held: list[dict] = []
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                for row in batch.slice(i, 256).to_pylist():
+                    if held and any(row[k] != held[0][k] for k in ("host", "marked", "salt")):
+                        yield held
+                        held = []
+                    if not held or row["stream"] != held[-1]["stream"]:
+                        held.append(row)
+        if held:
+            yield held
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings on more than ``share`` of the streams of a suffix array."""
+        unpack = zstandard.ZstdDecompressor()
+        for rows in arrays(batches):
+            h, first, length, page, _ = _tokens([unpack.decompress(r["packed"]) for r in rows])
+            rank = suffix_ranks(h, first, length, window)
+            block, start = _starts(length, window)
+            order = np.lexsort((page[block], rank))
+            rank, owner = rank[order], page[block][order]
+            opens = np.concatenate([[True], rank[1:] != rank[:-1]])[: len(rank)]
+            at = np.flatnonzero(opens)
+            # neighbours in the array that share the whole string; a page counts once
+            fresh = opens | np.concatenate([[True], owner[1:] != owner[:-1]])[: len(rank)]
+            pages = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else at
+            chosen = order[at[pages > share * len(rows)]]
+            width = np.minimum(window, length[block[chosen]])
+            begin = first[block[chosen]] + start[chosen]
+            gram = stretch_hash(prefix_sums(h), begin, begin + width).view(np.int64) if len(chosen) else np.zeros(0, np.int64)
+            m = len(gram)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["host"]] * m, pa.string()), pa.array([rows[0]["marked"]] * m, pa.bool_()), pa.array(gram), pa.array(width.astype(np.int32))],
+                                             ["host", "marked", "gram", "width"])
+    return frequent
+
+
+def _places(window: int):
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where the candidates of its host stand in each stream."""
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
-                for k, said in enumerate(row["blocks"]):
-                    raw = np.frombuffer(said.encode(), np.uint8)
-                    h, *_ = word_hashes(raw, np.array([0, len(raw)]))
-                    n, width = len(h), min(window, len(h))
-                    start = np.arange(n - width + 1) if n else np.zeros(0, np.int64)
-                    g = stretch_hash(prefix_sums(h), start, start + width).view(np.int64) if n else np.zeros(0, np.int64)
-                    m = len(g)
+            for i in range(0, batch.num_rows, 64):
+                for row in batch.slice(i, 64).to_pylist():
+                    h, first, length, _, number = _tokens([unpack.decompress(row["packed"])])
+                    block, start = _starts(length, window)
+                    width = np.minimum(window, length[block])
+                    begin = first[block] + start
+                    gram = stretch_hash(prefix_sums(h), begin, begin + width).view(np.int64)
+                    on = np.isin(gram, np.array([c["gram"] for c in row["candidates"]], np.int64))
+                    m = int(on.sum())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["row"]] * m, pa.int64()), pa.array([row["host"]] * m, pa.string()), pa.array([row["page"]] * m, pa.string()), pa.array(g, pa.int64()),
-                         pa.array(np.full(m, k, np.int32)), pa.array(start.astype(np.int32)), pa.array(np.full(m, width, np.int32))],
-                        ["row", "host", "page", "gram", "block", "start", "width"])
-    return cut
+                        [pa.array([row[k]] * m, t) for k, t in (("row", pa.int64()), ("host", pa.string()), ("marked", pa.bool_()), ("page", pa.string()), ("stream", pa.int64()))]
+                        + [pa.array(gram[on]), pa.array(width[on].astype(np.int32)), pa.array(number[block[on]].astype(np.int32)), pa.array(start[on].astype(np.int32))],
+                        ["row", "host", "marked", "page", "stream", "gram", "width", "block", "start"])
+    return places
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with something that no repeated string covers; all blocks, if none has."""
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the runs that repeated strings cover."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            covered = [np.zeros(len(b.encode().split()), bool) for b in row["blocks"]]
-            for s in row["spans"] or []:
-                covered[s["block"]][s["start"]: s["start"] + s["width"]] = True
-            left = [b for b, c in zip(row["blocks"], covered, strict=True) if not c.all()]
-            out.append(left or row["blocks"])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.string()))], ["row", "blocks"])
-
-
-def extract(pages: DataFrame, window: int = WINDOW, least: int = PAGES) -> DataFrame:
+        for i in range(0, batch.num_rows, 512):
+            part, out = batch.slice(i, 512), []
+            for packed, spans in zip(part.column("packed").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                text = unpack.decompress(packed)
+                if spans:
+                    words = [b.split() for b in text.split(b"\n\n")]
+                    stay = [np.ones(len(w), bool) for w in words]
+                    for s in spans:
+                        stay[s["block"]][s["start"]: s["start"] + s["width"]] = False
+                    # blocks of which nothing goes stay as they are
+                    left = [b if k.all() else b" ".join(w[j] for j in np.flatnonzero(k)) for b, w, k in zip(text.split(b"\n\n"), words, stay, strict=True)]
+                    text = b"\n\n".join(b for b in left if b)
+                out.append(text.decode())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), part.column("marked")], ["page_id", "url", "text", "marked"])
+
+
+def extract(pages: DataFrame, window: int = WINDOW, least: int = PAGES, share: float = SHARE, articles: int = ARTICLES) -> DataFrame:
     """page_id, url, text, n_chars, marked."""
     kind = pages.schema["page_id"].dataType.simpleString()
     found = pages.select("page_id", "url", parts(F.col("url"))[0].alias("host"), "html").mapInArrow(
-        _extract, f"page_id {kind}, url string, host string, blocks array<string>, marked boolean")
+        _extract, f"page_id {kind}, url string, host string, packed binary, stream long, marked boolean")
     found = checkpoint(found.withColumn("row", F.monotonically_increasing_id()))
-    bare = found.filter("not marked").select("row", "host", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "blocks")
-    marked = found.filter("marked").select("page_id", "url", "blocks", "marked")
-    grams = checkpoint(bare.mapInArrow(_suffixes(window), "row long, host string, page string, gram long, block int, start int, width int"))
-    counts = grams.groupBy("host", "gram", "width", "page").agg(F.lit(1).alias("_one")).groupBy("host", "gram", "width").agg(F.count("*").alias("pages"))
-    often = checkpoint(counts.filter(F.col("pages") >= least).select(F.col("host").alias("_host"), F.col("gram").alias("_gram"), F.col("width").alias("_width")))
-    same = (F.col("host") == F.col("_host")) & (F.col("gram") == F.col("_gram")) & (F.col("width") == F.col("_width"))
-    spans = grams.join(often, same).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("block", "start", "width")).alias("spans"))
-    unique = (bare.select("row", "blocks").join(spans, F.col("row") == F.col("_row"), "left").select("row", "blocks", "spans")
-              .mapInArrow(_unique, "row long, blocks array<string>"))
-    plain = found.filter("not marked").drop("blocks", "host").withColumnRenamed("row", "_row").join(unique, F.col("_row") == F.col("row")).select("page_id", "url", "blocks", "marked")
-    text = F.array_join("blocks", "\n\n")
-    return marked.unionByName(plain).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "marked")
+    streams = found.filter("stream IS NOT NULL").select("row", "host", "marked", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "stream", "packed")
+    enough = F.when(F.col("marked"), F.lit(articles)).otherwise(F.lit(least))
+    each = streams.groupBy("host", "marked", "stream").agg(F.lit(1).alias("_one")).groupBy("host", "marked").agg(F.count("*").alias("_streams"))
+    sizes = checkpoint(each.filter(F.col("_streams") >= enough).select(F.col("host").alias("_host"), F.col("marked").alias("_marked"), "_streams"))
+    same = (F.col("host") == F.col("_host")) & (F.col("marked") == F.col("_marked"))
+    dealt = streams.join(sizes, same).select("host", "marked", F.pmod(F.xxhash64("stream"), F.ceil(F.col("_streams") / ARRAY)).alias("salt"), "stream", "packed")
+    dealt = dealt.repartition("host", "marked", "salt").sortWithinPartitions("host", "marked", "salt", "stream")
+    candidates = dealt.mapInArrow(_frequent(window, share), "host string, marked boolean, gram long, width int").distinct()
+    candidates = checkpoint(candidates.groupBy(F.col("host").alias("_host"), F.col("marked").alias("_marked")).agg(F.collect_list(F.struct("gram", "width")).alias("candidates")))
+    places = checkpoint(streams.join(candidates, same).select("row", "host", "marked", "page", "stream", "packed", "candidates").mapInArrow(
+        _places(window), "row long, host string, marked boolean, page string, stream long, gram long, width int, block int, start int"))
+    counts = places.groupBy("host", "marked", "gram", "width").agg(F.count_distinct("stream").alias("_on"), F.count_distinct("page").alias("_pages"))
+    often = counts.join(sizes, same).filter((F.col("_on") > F.lit(share) * F.col("_streams")) & (F.least("_on", "_pages") >= enough))
+    often = checkpoint(often.select("_host", "_marked", F.col("gram").alias("_gram"), F.col("width").alias("_width")))
+    there = same & (F.col("gram") == F.col("_gram")) & (F.col("width") == F.col("_width"))
+    spans = places.join(often, there).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("block", "start", "width")).alias("spans"))
+    whole = found.join(spans, F.col("row") == F.col("_row"), "left").select("page_id", "url", "packed", "marked", "spans")
+    text = whole.mapInArrow(_rest, f"page_id {kind}, url string, text string, marked boolean")
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "marked")

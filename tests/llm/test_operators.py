@@ -224,6 +224,35 @@ def test_marked_and_bare_pages(spark):
     assert got == {0: "T & t\n\none two", 1: "", 2: "", 3: "only page 3 says this", 4: "only page 4 says this"}
 
 
+def test_runs_a_host_repeats_are_cut_and_shared_stories_stay(spark, monkeypatch):
+    monkeypatch.setattr(pages, "ARRAY", 3)  # several suffix arrays for a host
+    story = "".join(f"<p>{' '.join(f'{k}{n}' for n in range(12))}</p>" for k in "abc")
+    menu = "home about news contact help terms privacy jobs press"
+    html = {1: f"<div>{menu}</div>{story}<p>line one</p>", 2: f"<div>{menu}</div>{story}<p>line two</p>", 3: f"<div>{menu} 4711</div><p>something else</p>", 4: f"<div>{menu}</div>"}
+    rows = [(i, f"x://h/{i}", t) for i, t in html.items()] + [(9, "x://h/9", html[3])]
+    notice = "please tell all your friends about this site today"
+    rows += [(100 + i, f"x://m/{i}", f"<article><p>text {i} of the day</p><p>{notice} no{i}</p><p>{'the same old story told on some pages' if i % 2 else i}</p></article>") for i in range(12)]
+    rows += [(200 + i, f"x://few/{i}", f"<article><p>{notice}</p><p>{i}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    told = "\n\n".join(" ".join(f"{k}{n}" for n in range(12)) for k in "abc")
+    assert [got[i] for i in (1, 2, 3, 4, 9)] == [f"{told}\n\nline one", f"{told}\n\nline two", "4711\n\nsomething else", "", "4711\n\nsomething else"]
+    for i in range(12):
+        assert got[100 + i] == f"text {i} of the day\n\nno{i}\n\n{'the same old story told on some pages' if i % 2 else i}"
+    assert all(got[200 + i] == f"{notice}\n\n{i}" for i in range(5))
+
+
+def test_suffix_ranks_are_those_of_sorted_suffixes():
+    rng = np.random.default_rng(3)
+    for window in (1, 3, 8):
+        length = rng.integers(0, 14, 40)
+        first, h = np.cumsum(length) - length, rng.integers(1, 3, length.sum()).astype(np.uint64)
+        block, start = pages._starts(length, window)
+        said = [tuple(h[first[b] + s: first[b] + min(s + window, length[b])].tolist()) for b, s in zip(block, start)]
+        ranks = pages.suffix_ranks(h, first, length, window)
+        assert [said[i] for i in np.argsort(ranks, kind="stable")] == sorted(said)
+        assert len({*zip(said, ranks.tolist())}) == len({*said}) == len({*ranks.tolist()})
+
+
 @pytest.mark.parametrize("page, text", [
     ("<article><p>one <svg class='i'/> two</p><p>three</p></article><svg><path/></svg>", ["one two", "three"]),
     ("<article><p>one <math/>two</p></article>", ["one two"]),
