@@ -27,6 +27,10 @@ SECTORS = 12
 FACE_BINS = 4
 #: The first ring is so many times the distance to the ``NEAREST``-th nearest seed of the crowd.
 NEAREST, FIRST_RING = 4, {2: 2.0, 3: 2.0}
+#: Neighbours that join those which bound a 3D cell, at once: the work of a cut grows with the third power of their number.
+ADDED = 12
+#: Cells of no more neighbours are cut by all of them; cells that are cut together, so that NumPy's calls are few.
+WHOLE, TOGETHER = 24, 64
 SEED = ["sample_id", "i"]
 
 
@@ -137,67 +141,100 @@ def _cuts(dim: int) -> Column:
     return F.col("_corners").isNull() | F.exists("_corners", beyond)
 
 
-def _cell_3d(offsets: np.ndarray, enough: float | None = None) -> tuple[np.ndarray, float, np.ndarray | None]:
-    """Areas of the facets of one 3D cell from its neighbours' offsets, the cell's radius and its corners (none if it is open).
+def _cells_3d(cells: Sequence[np.ndarray], enough: Sequence[float] | None = None) -> list[tuple[np.ndarray, float, np.ndarray | None]]:
+    """Of each 3D cell, from its neighbours' offsets: areas of the facets, the cell's radius and its corners (none if it is open).
 
-    The nearest neighbours all around bound the cell, and only neighbours whose bisector cuts
-    or touches that bound can have a facet. With ``enough``, any bound not above it will do.
+    The nearest neighbours all around bound a cell, and only neighbours whose bisector cuts or touches that bound can have a facet:
+    some of them join, until all have. Cells of as many neighbours are cut together. With ``enough``, any bound not above it will do.
     """
-    size = np.linalg.norm(offsets, axis=1)
-    # in units of the furthest neighbour, so that tolerances have none
-    unit = size.max()
-    offsets, size = offsets / unit, size / unit
-    order = np.argsort(size)
-    axis = np.argmax(np.abs(offsets), axis=1)
-    signs = (offsets > 0) @ np.array([1, 2, 4])
-    around = np.unique((axis * 8 + signs)[order], return_index=True)[1]
-    near = order[np.union1d(around, np.arange(min(8, len(order))))]
-    while len(order) > 36:
-        _, radius, corners = _cut_3d(offsets[near], size[near])
-        if corners is not None:
-            if enough is not None and radius * unit <= enough:
-                return np.zeros(len(offsets)), radius * unit, corners * unit
-            left = order[(corners @ offsets[order].T).max(axis=0) >= size[order] ** 2 / 2 * (1 - 1e-9)]
-            if len(left) > 0.8 * len(order):
-                break
-            order = left
-        elif len(near) == len(order):
-            break
-        near = order[:32 if corners is not None else 2 * len(near)]
-    areas = np.zeros(len(offsets))
-    areas[order], radius, corners = _cut_3d(offsets[order], size[order])
-    return areas * unit * unit, radius * unit, None if corners is None else corners * unit
-
-
-def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float, np.ndarray | None]:
-    """Facet areas, radius and corners of the cell all given neighbours cut (no corners: it is open).
+    done: list = [None] * len(cells)
+    sizes, units, orders, actives = [], [], [], []
+    for offsets in cells:
+        size = np.linalg.norm(offsets, axis=1)
+        # in units of the furthest neighbour, so that tolerances have none
+        units.append(size.max())
+        sizes.append(size / units[-1])
+        order = np.argsort(sizes[-1])
+        orders.append(order)
+        if len(order) > WHOLE:
+            around = np.unique((np.argmax(np.abs(offsets), axis=1) * 8 + (offsets > 0) @ np.array([1, 2, 4]))[order], return_index=True)[1]
+            order = order[np.union1d(around, np.arange(8))]
+        actives.append(order)
+    todo = list(range(len(cells)))
+    while todo:
+        todo.sort(key=lambda i: len(actives[i]))
+        left = []
+        for start in range(0, len(todo), TOGETHER):
+            part = todo[start:start + TOGETHER]
+            n = len(actives[part[-1]])
+            o, size = np.zeros((len(part), n, 3)), np.ones((len(part), n))
+            for at, i in enumerate(part):
+                o[at, :len(actives[i])], size[at, :len(actives[i])] = cells[i][actives[i]] / units[i], sizes[i][actives[i]]
+            areas, radius, corners, ends = _cut_3d(o, size)
+            for at, i in enumerate(part):
+                order, active, unit = orders[i], actives[i], units[i]
+                if not np.isfinite(radius[at]):
+                    if len(active) == len(order):
+                        done[i] = np.zeros(len(sizes[i])), np.inf, None
+                        continue
+                    there = np.isin(order, active)
+                    there[:2 * len(active)] = True
+                else:
+                    own = corners[ends[at]:ends[at + 1]]
+                    if enough is not None and radius[at] * unit <= enough[i]:
+                        done[i] = np.zeros(len(sizes[i])), radius[at] * unit, own * unit
+                        continue
+                    there = np.ones(len(order), bool)
+                    if len(active) < len(order):
+                        # what cuts or touches the cell left so far; it only shrinks, so the others are out for good
+                        order = orders[i] = order[(own @ cells[i][order].T).max(axis=0) / unit >= sizes[i][order] ** 2 / 2 * (1 - 1e-9)]
+                        there = np.isin(order, active)
+                    if there.all():
+                        full = np.zeros(len(sizes[i]))
+                        full[active] = areas[at, :len(active)]
+                        done[i] = full * unit * unit, radius[at] * unit, own * unit
+                        continue
+                    there[np.flatnonzero(~there)[:ADDED]] = True
+                actives[i] = order[there]
+                left.append(i)
+        todo = left
+    return done
+
+
+def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Facet areas and radius of the cell that each row's neighbours cut (infinite: it is open); corners, and where those of each cell begin.
 
     In the bisector plane of j every other k is a line; the facet's edge on it is the interval
-    the remaining lines l leave, and the area follows from the edges and their distances.
+    the remaining lines l leave, and the area follows from the edges and their distances. Rows are filled up with offsets of zero, which cut nothing.
     """
-    n = o / size[:, None]
-    helper = np.where(np.abs(n[:, :1]) < 0.9, np.array([[1.0, 0, 0]]), np.array([[0, 1.0, 0]]))
+    cells, many = size.shape
+    n = o / size[..., None]
+    helper = np.where(np.abs(n[..., :1]) < 0.9, np.array([1.0, 0, 0]), np.array([0, 1.0, 0]))
     u = np.cross(n, helper)
-    u /= np.linalg.norm(u, axis=1)[:, None]
+    long = np.linalg.norm(u, axis=2)
+    u /= np.where(long > 0, long, 1.0)[..., None]
     v = np.cross(n, u)
-    x, y = u @ o.T, v @ o.T
-    c = (size[None, :] ** 2 - o @ o.T) / 2
+    other = o.transpose(0, 2, 1)
+    x, y = (u @ other).reshape(-1, many), (v @ other).reshape(-1, many)
+    apart = np.repeat(size, many, axis=0)
+    c = (apart ** 2 - (o @ other).reshape(-1, many)) / 2
     length = np.hypot(x, y)
-    flat = length <= EPS * size[None, :]
-    dead = np.any(flat & (c < -EPS * size[None, :] ** 2), axis=1)
+    flat = length <= EPS * apart
+    dead = np.any(flat & (c < -EPS * apart ** 2), axis=1)
     # a bisector parallel to the plane draws no line on it: one out of the way of all others
     length[flat] = 1.0
     x, y, c = np.where(flat, 0.0, x / length), np.where(flat, 0.0, y / length), np.where(flat, 1e300, c / length)
+    near = np.where(flat, 0.0, c)
     lo, hi, blocked = np.empty_like(c), np.empty_like(c), np.empty_like(flat)
-    rows = max(1, (1 << 18) // (len(o) * len(o)))
-    met = np.tri(len(o), k=-1, dtype=bool)[None]
-    for k in range(0, len(o), rows):
+    rows = max(1, (1 << 16) // (many * many))
+    met = np.tri(many, k=-1, dtype=bool)[None]
+    for k in range(0, len(x), rows):
         at = slice(k, k + rows)
         den = x[at, :, None] * y[at, None, :]
         den -= y[at, :, None] * x[at, None, :]
         num = x[at, :, None] * x[at, None, :]
         num += y[at, :, None] * y[at, None, :]
-        num *= -np.where(flat, 0.0, c)[at, :, None]
+        num *= -near[at, :, None]
         num += c[at, None, :]
         # a line outside another's half plane, or on a line already met, carries no edge
         blocked[at] = np.any((np.abs(den) <= EPS) & ((num < -EPS) | ((np.abs(num) <= EPS) & met)), axis=2)
@@ -206,23 +243,31 @@ def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float, np.ndar
         hi[at] = np.min(np.where(den > EPS, num, np.inf), axis=2)
         lo[at] = np.max(np.where(den < -EPS, num, -np.inf), axis=2)
     blocked |= flat | dead[:, None]
-    on = ~blocked & (hi - lo > EPS)
-    if not on.any() or not np.isfinite(hi[on]).all() or not np.isfinite(lo[on]).all():
-        return np.zeros(len(o)), np.inf, None
+    with np.errstate(invalid="ignore"):
+        on = (~blocked & (hi - lo > EPS)).reshape(cells, many * many)
+    ends = (np.isfinite(hi) & np.isfinite(lo)).reshape(on.shape)
+    closed = on.any(axis=1) & ~(on & ~ends).any(axis=1)
+    on = (on & closed[:, None]).reshape(-1, many)
     hi, lo, c = np.where(on, hi, 0.0), np.where(on, lo, 0.0), np.where(on, c, 0.0)
     j, k = np.nonzero(on)
-    ends = []
+    u, v, mid = u.reshape(-1, 3)[j], v.reshape(-1, 3)[j], o.reshape(-1, 3)[j] / 2
+    tips = []
     for t in (lo[j, k], hi[j, k]):
-        along = (c[j, k] * x[j, k] - t * y[j, k])[:, None] * u[j] + (c[j, k] * y[j, k] + t * x[j, k])[:, None] * v[j]
-        ends.append(o[j] / 2 + along)
-    corners = np.concatenate(ends)
-    return 0.5 * np.sum(c * (hi - lo), axis=1), float(np.linalg.norm(corners, axis=1).max()), corners
+        along = (c[j, k] * x[j, k] - t * y[j, k])[:, None] * u + (c[j, k] * y[j, k] + t * x[j, k])[:, None] * v
+        tips.append(mid + along)
+    # the two ends of an edge one after the other, so that those of a cell stay together
+    corners = np.stack(tips, axis=1).reshape(-1, 3)
+    begins = np.searchsorted(j // many, np.arange(cells + 1)) * 2
+    radius = np.full(cells, np.inf)
+    for i in np.flatnonzero(closed):
+        radius[i] = np.linalg.norm(corners[begins[i]:begins[i + 1]], axis=1).max()
+    return 0.5 * np.sum(c * (hi - lo), axis=1).reshape(cells, many), radius, corners, begins
 
 
 def _bounds_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Radius and corners of the cell that the given neighbours leave."""
     for batch in batches:
-        cells = [_cell_3d(np.stack([x, y, z], axis=1), reach / 2)[1:] for x, y, z, reach in zip(batch["dx"], batch["dy"], batch["dz"], batch["_reach"])]
+        cells = [c[1:] for c in _cells_3d([np.stack(d, axis=1) for d in zip(batch["dx"], batch["dy"], batch["dz"])], (batch["_reach"] / 2).tolist())]
         corners = [None if c is None or not np.isfinite(r) else [{"x": x, "y": y, "z": z} for x, y, z in _distinct(c, r).tolist()] for r, c in cells]
         yield pd.DataFrame({"sample_id": batch["sample_id"], "i": batch["i"], "_reach": batch["_reach"], "_all": batch["_all"],
                             "cell_radius": [r if np.isfinite(r) else None for r, _ in cells], "_corners": corners})
@@ -239,8 +284,8 @@ _ARRAYS = ("j", "image_x", "image_y", "image_z", "dx", "dy", "dz", "d")
 def _facets_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep, parts = [], {n: [] for n in (*_ARRAYS, "area", "closed")}
-        for row in batch.itertuples(index=False):
-            areas, radius, _ = _cell_3d(np.stack([row.dx, row.dy, row.dz], axis=1))
+        cells = _cells_3d([np.stack(d, axis=1) for d in zip(batch["dx"], batch["dy"], batch["dz"])])
+        for row, (areas, radius, _) in zip(batch.itertuples(index=False), cells, strict=True):
             on = areas > EPS * max(areas.max(), 0)
             keep.append(int(on.sum()))
             for n in _ARRAYS:

@@ -116,6 +116,22 @@ def test_one_3d_seed_has_the_box_for_a_cell(spark, boxes):
     assert (round(q.q_4, 4), round(q.q_6, 4), round(q.area, 9)) == (0.7638, 0.3536, 6.0)
 
 
+def test_3d_cells_cut_together_are_those_cut_alone():
+    rng = np.random.default_rng(4)
+    lattice = np.array([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) != (0, 0, 0)], float)
+    cells = [rng.normal(size=(n, 3)) * rng.random((n, 1)) for n in (5, 12, 30, 90, 400)] + [lattice, np.concatenate([lattice, 7 * rng.normal(size=(40, 3))]), np.abs(rng.normal(size=(50, 3)))]
+    for k, (areas, radius, corners) in enumerate(vo._cells_3d(cells)):
+        alone, far, _ = vo._cells_3d(cells[k:k + 1])[0]
+        assert np.allclose(areas, alone, rtol=1e-9, atol=1e-12) and radius == pytest.approx(far) and (corners is None) == (radius == np.inf)
+        if corners is not None:  # no bisector cuts a corner off, and the facets close the surface
+            size = np.linalg.norm(cells[k], axis=1)
+            assert (corners @ cells[k].T <= size**2 / 2 * (1 + 1e-6) + 1e-9).all()
+            assert np.allclose((areas / size) @ cells[k], 0, atol=1e-8 * areas.sum())
+    cube, _, corners = vo._cells_3d(cells)[5]
+    assert np.allclose(np.sort(cube)[-6:], 1) and cube.sum() == pytest.approx(6)
+    assert vo._cells_3d(cells)[7][2] is None
+
+
 def test_structure_metrics_of_a_cube_do_not_turn_with_it(spark):
     a, b = 0.7, 0.3
     ra = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
