@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packstat.llm import mixing, neardup, packing, quality, spans
-from packstat.llm.common import row_keys
-from packstat.session import checkpoint, scratch_path
+from packstat.llm.common import compressed, restored, row_keys
+from packstat.session import checkpoint, scratch_path, unfolded
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,8 @@ def _only(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame
     rows = row_keys(docs)
     judged = judge(rows.drop("doc_id").withColumnRenamed("_row_key", "doc_id"))
     kept = checkpoint(judged.filter("kept").select(F.col("doc_id").alias("_kept")))
-    return rows.join(kept, F.col("_row_key") == F.col("_kept"), "left_semi").select(*docs.columns)
+    left = compressed(rows).join(unfolded(kept), F.col("_row_key") == F.col("_kept"), "left_semi")
+    return restored(left.select(*docs.columns))
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("substring dedup", repeated_spans),

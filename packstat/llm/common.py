@@ -15,6 +15,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packstat.session import scratch_path
 
@@ -149,6 +150,39 @@ def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([pack.compress(x or b"") for x in raw], pa.binary())], [*names, "packed"])
 
 
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        said = [None if x is None else pack.compress(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def _unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            # a view, not a cast: texts come back byte for byte
+            said = pa.array([None if x is None else unpack.decompress(x) for x in part.column(at).to_pylist()], pa.binary()).view(pa.string())
+            yield pa.RecordBatch.from_arrays([said if k == at else c for k, c in enumerate(part.columns)], part.schema.names)
+
+
+def _typed(df: DataFrame, kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, kind if f.name == "text" else f.dataType) for f in df.schema])
+
+
+def compressed(df: DataFrame) -> DataFrame:
+    """``df`` with its texts compressed, so that a shuffle of whole rows moves less; null stays null."""
+    return df.mapInArrow(_packing, _typed(df, T.BinaryType()))
+
+
+def restored(df: DataFrame) -> DataFrame:
+    """What ``compressed`` had as texts again."""
+    return df.mapInArrow(_unpacking, _typed(df, T.StringType()))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: no lineage, sizes as they are."""
     place = scratch_path(df.sparkSession, name)

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packstat.functions.ordered import number_rows
-from packstat.llm.common import word_count
-from packstat.session import checkpoint
+from packstat.llm.common import compressed, restored, word_count
+from packstat.session import checkpoint, unfolded
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of a block, and fractions that meet in a node of the tree.
@@ -145,7 +145,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Copies are brought to the texts by (doc_id, source, hash of the text); equal rows share theirs.
     """
     given = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "hash").agg(F.sum("copies").alias("_copies"))
-    given = given.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("hash").alias("_hash"), "_copies")
-    keyed = docs.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_text"])
-    same = (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))
-    return keyed.join(given, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    key = lambda text: F.struct("doc_id", "source", text)
+    given = given.select(key(F.col("hash").alias("text")).alias("_given"), "_copies")
+    # one key, null parts included: the texts move once, compressed, for telling equal rows apart and for the join
+    keyed = compressed(docs.withColumn("_key", key(F.xxhash64("text").alias("text")))).dropDuplicates(["_key"])
+    taken = keyed.join(unfolded(given), F.col("_key") == F.col("_given"))
+    return restored(taken.select(*docs.columns, "_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packstat.llm.common import mix, prefix_sums, row_keys, stretch_hash, texts, word_hashes
-from packstat.session import checkpoint, spent
+from packstat.llm.common import compressed, mix, prefix_sums, row_keys, stretch_hash, texts, word_hashes
+from packstat.session import checkpoint, spent, unfolded
 
 CHUNKS, WIDTH, BITS, ERRORS = 10, 5, 16, 1
 VALUES = CHUNKS * WIDTH
@@ -145,9 +146,10 @@ def _solve(words: int, percent: int):
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        unpack = zstandard.ZstdDecompressor()
         for rows in chunks(batches):
             if "text" in rows[0]:
-                raw = [(r["text"] or "").encode() for r in rows]
+                raw = [unpack.decompress(r["text"]) for r in rows]
                 sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), words)
             else:
                 sets = [np.sort(np.frombuffer(r["diff"], np.uint64)) for r in rows]
@@ -220,8 +222,10 @@ def links(sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         members = checkpoint(members.join(up, F.col("g") == F.col("_x")).select(F.col("_up").alias("g"), "x", "n").distinct())
     centre = checkpoint(members.groupBy(F.col("g").alias("_of")).agg(F.min("x").alias("c")))
     chunks = checkpoint(_salted(checkpoint(members.join(centre, F.col("g") == F.col("_of")).drop("_of")), ROWS))
-    texts_ = docs.select(F.col("doc_id").alias("_x"), "text")
-    solved = _solved(texts_.join(chunks, F.col("_x") == F.col("x")).drop("_x"), words, percent)
+    # whole texts move compressed; chunks unfold, so they are merged with
+    texts_ = compressed(docs.select(F.col("doc_id").alias("_x"), "text"))
+    solved = _solved(texts_.join(unfolded(chunks), F.col("_x") == F.col("x")).drop("_x"), words, percent)
+    spent(met, members, up, centre, chunks)
     found = solved.filter("x <> root").select(F.col("x").alias("u"), F.col("root").alias("v"))
     while True:
         large = solved.filter("large")
@@ -279,7 +283,8 @@ def grouped(rows: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = checkpoint(some.join(reps, (F.col("doc_id") == F.col("_rep")) & (F.col("a") == F.col("_ra"))).select("doc_id", "n", "keys"))
     label = components(links(first, rows, words, percent)).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     linked = members.join(label, F.col("rep") == F.col("_u"), "left").select("doc_id", "n", F.coalesce("_v", "rep").alias("component_id"))
-    alone = sketched.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    alone = checkpoint(sketched.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    spent(sketched, first)
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

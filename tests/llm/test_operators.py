@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packstat.llm import langid, mixing, neardup, packing, pages, quality, sharding, spans, topk, urls
+from packstat.llm import common, langid, mixing, neardup, packing, pages, quality, sharding, spans, topk, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, node string"
 SENTENCE = "the quick brown fox jumps over the lazy dog and runs far away from all of the hunters in that old dark wood near here"
@@ -315,6 +315,22 @@ def test_rows_that_repeat_and_null_ids(spark, docs):
     assert packing.pack(twice).filter("piece = 0").count() == n
 
 
+def test_texts_move_compressed_and_once(spark):
+    rows = [(1, "a b  c\n", "x", 1.5), (1, "a b  c\n", "x", 2.5), (2, None, None, None), (None, "", "x", 0.0), (3, "\u00e9" * 5000, None, 1.0), (None, "d e f", None, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
+    packed = common.compressed(docs)
+    assert dict(packed.dtypes)["text"] == "binary" and max(len(r.text or b"") for r in packed.collect()) < 100
+    assert sorted(map(tuple, common.restored(packed).collect()), key=str) == sorted(rows, key=str)
+    kept = corpus_pipeline._only(docs, lambda d: d.select("doc_id", (F.length("text") > 3).alias("kept")))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted((r for r in rows if r[1] and len(r[1]) > 3), key=str)
+    # the same plan at every size: neither side is broadcast, whatever its estimate
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    mixed = mixing.mixed_documents(docs)
+    taken = {(r.doc_id, r.source, r.taken // r.size) for r in mixing.mix(docs).filter("taken > 0").collect()}
+    got = collections.Counter((r.doc_id, r.source) for r in mixed.collect())
+    assert set(got) == {t[:2] for t in taken} and all(r.text in {t[1] for t in rows} for r in mixed.collect())
+
+
 def test_rows_not_ids_go_through_the_stages(spark):
     rng = np.random.default_rng(8)
     a, b, c, d, e, shared = (" ".join(f"{k}{x}" for x in rng.integers(0, 10**6, 60)) for k in "abcdes")
