@@ -21,8 +21,8 @@ from packstat.session import checkpoint, scratch_path, unfolded
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return _only(docs, quality.judge)
+    """Documents that the rules keep, in DataFrame operations only."""
+    return _only(docs, quality.judge, compress=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +49,13 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-def _only(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows that ``judge`` keeps."""
+def _only(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], compress: bool = True) -> DataFrame:
+    """The rows that ``judge`` keeps; ``compress``: texts move compressed, which Python does on the executors."""
     rows = row_keys(docs)
     judged = judge(rows.drop("doc_id").withColumnRenamed("_row_key", "doc_id"))
     kept = checkpoint(judged.filter("kept").select(F.col("doc_id").alias("_kept")))
-    left = compressed(rows).join(unfolded(kept), F.col("_row_key") == F.col("_kept"), "left_semi")
-    return restored(left.select(*docs.columns))
+    left = (compressed(rows) if compress else rows).join(unfolded(kept), F.col("_row_key") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return restored(left) if compress else left
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("substring dedup", repeated_spans),

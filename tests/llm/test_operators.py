@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -331,6 +332,22 @@ def test_texts_move_compressed_and_once(spark):
     assert set(got) == {t[:2] for t in taken} and all(r.text in {t[1] for t in rows} for r in mixed.collect())
 
 
+@pytest.mark.parametrize("ids", [(1, 2, 3, 4, 5), (1, 1, None, None, 2)])
+def test_quality_rules_run_no_python(spark, ids):
+    good, long_ = f"{SENTENCE}\r\n  \u00e9\t", " ".join(f"w{k}" for k in range(5000))
+    rows = list(zip(ids, [good, "spam " * 100, None, long_, good], ["en", "en", None, "xx", "de"]))
+    place = common.scratch_path(spark, "given")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(place)
+    given = spark.read.parquet(place)
+    kept = corpus_pipeline.quality_rules(spark, given, "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[1] in (good, long_)), key=str)
+    # the tables written on the way have plans of their own
+    for made in (kept, quality.judge(given), quality.counts(given), common.row_keys(given)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("MapIn(Arrow|Pandas)|EvalPython|GroupsIn(Arrow|Pandas)", plan), plan
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_not_ids_go_through_the_stages(spark):
     rng = np.random.default_rng(8)
     a, b, c, d, e, shared = (" ".join(f"{k}{x}" for x in rng.integers(0, 10**6, 60)) for k in "abcdes")
