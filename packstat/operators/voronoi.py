@@ -1,10 +1,7 @@
 """Voronoi cells and Minkowski structure metrics in periodic boxes, without a hull library.
 
-The facet between a seed and a neighbour lies on their bisector; every other neighbour cuts
-it from one side. Which neighbours can matter is bounded first: the nearest neighbour of the
-seed in each of a fixed number of directions gives a cell that holds the true one, and only
-neighbours within twice that cell's radius can touch it. So a seed never gathers more than
-one row per direction, and then only the neighbours its own cell can have.
+Seeds are dealt out in tiles: a sample, or a stretch of a large one with the seeds its cells can reach. A task cuts the cells of
+its tiles where they are (``cells``), so neighbours are never listed: a seed is moved once, or once for each tile near it.
 """
 
 from __future__ import annotations
@@ -12,133 +9,27 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packstat.functions.periodic import axes, norm
+from packstat.functions.ordered import number_rows
+from packstat.functions.periodic import axes, min_image, norm, wrap
 from packstat.functions.shapes import by_shape
+from packstat.operators.cells import Tile, around, cells_of
 from packstat.operators.geometry import surface_points, with_erosion
-from packstat.operators.spatial import SLACK, attach, box, local_reach, periodic_images
+from packstat.operators.spatial import SLACK, attach, box, near_pairs, z_order
 from packstat.session import checkpoint, spread, unfolded
 
 EPS = 1e-12
-SECTORS = 12
-FACE_BINS = 4
-#: The first ring is so many times the distance to the ``NEAREST``-th nearest seed of the crowd.
-NEAREST, FIRST_RING = 4, {2: 2.0, 3: 2.0}
 #: Neighbours that join those which bound a 3D cell, at once: the work of a cut grows with the third power of their number.
 ADDED = 12
 #: Cells of no more neighbours are cut by all of them; cells that are cut together, so that NumPy's calls are few.
 WHOLE, TOGETHER = 24, 64
-SEED = ["sample_id", "i"]
-
-
-def _facts(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
-    """Per sample: the box, and the reach that takes in every image."""
-    n = seeds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
-    return attach(samples.select("sample_id", *box(dim)), n).select(
-        "sample_id", *box(dim), (2 * norm([F.col(b) for b in box(dim)])).alias("_all"))
-
-
-def _near(active: DataFrame, seeds: DataFrame, facts: DataFrame, dim: int) -> DataFrame:
-    """Neighbours of the active seeds, images included, within each one's ring: offset ``dx..`` and ``d``.
-
-    Cells halve from level to level; a seed looks on the level whose cells fit its ring, all are listed on the levels in use.
-    """
-    looking = attach(active, facts).withColumn("_reach", F.least("_ring", "_all"))
-    sides = looking.groupBy("sample_id").agg(F.max("_reach").alias("_widest"))
-    level = F.least(F.floor(F.log2(F.col("_widest") / F.col("_reach")) + 1e-12), F.lit(40)).cast("int")
-    looking = attach(looking, sides).withColumn("_level", level)
-    used = looking.groupBy("sample_id").agg(F.collect_set("_level").alias("_used"))
-    # images come only to samples that still look, and only as far as they look
-    around = periodic_images(
-        attach(seeds, attach(attach(facts.drop("_all"), sides), used)).select("sample_id", "seed_id", "_widest", "_used", *box(dim),
-                                                                               *[F.col(a).alias(f"c{a}") for a in axes(dim)]),
-        sides, dim, F.col("_widest"))
-    size = F.col("_widest") / F.pow(F.lit(2.0), F.col("_level"))
-    gaps = norm([F.greatest(-F.col(f"c{a}"), F.col(f"c{a}") - F.col(f"l{a}"), F.lit(0.0)) for a in axes(dim)])
-    listed = around.withColumn("_level", F.explode("_used")).where(gaps <= size)
-    listed = listed.select("sample_id", "_level", F.col("seed_id").alias("j"),
-                           *[F.col(f"image_{a}").alias(f"image_{a}") for a in axes(dim)],
-                           *[F.col(f"c{a}").alias(f"_{a}") for a in axes(dim)],
-                           *[F.floor(F.col(f"c{a}") / size).alias(f"_cell_{a}") for a in axes(dim)])
-    looking = looking.select("sample_id", "_level", "_widest", F.col("seed_id").alias("i"), "_reach", "_all", *axes(dim))
-    for a in axes(dim):
-        own = F.floor(F.col(a) / size)
-        looking = looking.withColumn(f"_cell_{a}", F.explode(F.array(own - 1, own, own + 1)))
-    pairs = looking.join(unfolded(listed), ["sample_id", "_level", *[f"_cell_{a}" for a in axes(dim)]])
-    pairs = pairs.select("sample_id", "i", "j", *[f"image_{a}" for a in axes(dim)], "_reach", "_all",
-                         *[(F.col(f"_{a}") - F.col(a)).alias(f"d{a}") for a in axes(dim)])
-    return pairs.withColumn("d", norm([F.col(f"d{a}") for a in axes(dim)])).where("d > 0 AND d <= _reach")
-
-
-def _direction_bin(dim: int) -> Column:
-    """Which of a fixed set of directions a neighbour lies in."""
-    if dim == 2:
-        turn = (F.atan2("dy", "dx") + F.pi()) / (2 * F.pi())
-        return F.least(F.floor(turn * SECTORS), F.lit(SECTORS - 1)).cast("int")
-    ax, ay, az = F.abs("dx"), F.abs("dy"), F.abs("dz")
-    face = F.when((ax >= ay) & (ax >= az), F.when(F.col("dx") > 0, 0).otherwise(1)).when(
-        ay >= az, F.when(F.col("dy") > 0, 2).otherwise(3)).otherwise(F.when(F.col("dz") > 0, 4).otherwise(5))
-    most = F.greatest(ax, ay, az)
-    u = F.when(face < 2, F.col("dy")).otherwise(F.col("dx")) / most
-    v = F.when(face < 4, F.col("dz")).otherwise(F.col("dy")) / most
-    cut = lambda t: F.least(F.floor((t + 1) / 2 * FACE_BINS), F.lit(FACE_BINS - 1))
-    return (face * FACE_BINS * FACE_BINS + cut(u) * FACE_BINS + cut(v)).cast("int")
-
-
-def _gather(pairs: DataFrame, dim: int, *extra: Column) -> DataFrame:
-    """Neighbours of a seed as one short array."""
-    entry = F.struct("d", "j", *[f"image_{a}" for a in axes(dim)], *[f"d{a}" for a in axes(dim)])
-    return pairs.groupBy(*SEED).agg(F.collect_list(entry).alias("near"), *extra)
-
-
-def _intervals_2d(near: Column) -> Column:
-    """Each neighbour with the part (lo, hi) of its bisector that no other neighbour cuts off."""
-    far = F.lit(1e300)
-
-    def interval(j: Column) -> Column:
-        def cut(k: Column, upper: bool) -> Column:
-            den = (k["dy"] * j["dx"] - k["dx"] * j["dy"]) / j["d"]
-            num = (k["d"] * k["d"] - k["dx"] * j["dx"] - k["dy"] * j["dy"]) / 2
-            flat = F.abs(den) <= EPS * k["d"]
-            blocked = F.when(flat & (num < -EPS * k["d"] * k["d"]), -far if upper else far)
-            return F.coalesce(blocked, F.when(~flat & ((den > 0) if upper else (den < 0)), num / den))
-
-        lo = F.array_max(F.transform(near, lambda k: cut(k, False)))
-        hi = F.array_min(F.transform(near, lambda k: cut(k, True)))
-        return F.struct(*[j[n].alias(n) for n in ("j", "image_x", "image_y", "d", "dx", "dy")], lo.alias("lo"), hi.alias("hi"))
-
-    edges = F.transform(near, interval)
-    return F.filter(edges, lambda e: F.coalesce(e["hi"] - e["lo"] > EPS, F.lit(True)))
-
-
-def _radius_2d(edges: Column) -> Column:
-    """Distance to the furthest corner of a cell; null when the cell is open."""
-    reach = F.transform(edges, lambda e: F.sqrt(e["d"] * e["d"] / 4 + F.greatest(e["lo"] * e["lo"], e["hi"] * e["hi"])))
-    is_open = (F.size(edges) == 0) | F.exists(edges, lambda e: e["lo"].isNull() | e["hi"].isNull())
-    return F.when(~is_open, F.array_max(reach))
-
-
-def _corners_2d(edges: Column) -> Column:
-    """Corners of a closed cell; null when it is open."""
-    is_open = (F.size(edges) == 0) | F.exists(edges, lambda e: e["lo"].isNull() | e["hi"].isNull())
-    ends = F.flatten(F.transform(edges, lambda e: F.transform(F.array(e["lo"], e["hi"]), lambda t: F.struct(
-        (e["dx"] / 2 - t * e["dy"] / e["d"]).alias("x"), (e["dy"] / 2 + t * e["dx"] / e["d"]).alias("y")))))
-    return F.when(~is_open, ends)
-
-
-def _cuts(dim: int) -> Column:
-    """Whether a neighbour's bisector reaches the cell the first neighbours leave: one of its corners is no nearer to the seed."""
-    def beyond(corner: Column) -> Column:
-        along = None
-        for a in axes(dim):
-            part = corner[a] * F.col(f"d{a}")
-            along = part if along is None else along + part
-        return 2 * along >= F.col("d") * F.col("d") * (1 - 1e-9)
-
-    return F.col("_corners").isNull() | F.exists("_corners", beyond)
+#: Seeds of samples that are one tile, seeds of a stretch of a larger one; cells of a task's tiles that are cut at once, and rows around a tile that are held.
+SAMPLE, STRETCH, AT_ONCE, HELD = 2048, 512, 1024, 1 << 18
+TILE = ["sample_id", "_tile"]
 
 
 def _cells_3d(cells: Sequence[np.ndarray], enough: Sequence[float] | None = None) -> list[tuple[np.ndarray, float, np.ndarray | None]]:
@@ -264,91 +155,217 @@ def _cut_3d(o: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return 0.5 * np.sum(c * (hi - lo), axis=1).reshape(cells, many), radius, corners, begins
 
 
-def _bounds_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Radius and corners of the cell that the given neighbours leave."""
-    for batch in batches:
-        cells = [c[1:] for c in _cells_3d([np.stack(d, axis=1) for d in zip(batch["dx"], batch["dy"], batch["dz"])], (batch["_reach"] / 2).tolist())]
-        corners = [None if c is None or not np.isfinite(r) else [{"x": x, "y": y, "z": z} for x, y, z in _distinct(c, r).tolist()] for r, c in cells]
-        yield pd.DataFrame({"sample_id": batch["sample_id"], "i": batch["i"], "_reach": batch["_reach"], "_all": batch["_all"],
-                            "cell_radius": [r if np.isfinite(r) else None for r, _ in cells], "_corners": corners})
-
-
-def _distinct(corners: np.ndarray, radius: float) -> np.ndarray:
-    """Corners without those that are the same but for rounding (each ends several edges), moved outwards by as much."""
-    return np.unique(np.round(corners / (radius * 1e-7)), axis=0) * (radius * 1e-7) * (1 + 1e-6)
+def _intervals(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one 2D cell: the parts of its neighbours' bisectors that no other neighbour cuts off."""
+    x, y, d = o[:, 0], o[:, 1], np.hypot(o[:, 0], o[:, 1])
+    den = (x[:, None] * y[None] - y[:, None] * x[None]) / d[:, None]
+    num = (d * d - o[:, :2] @ o[:, :2].T) / 2
+    flat = np.abs(den) <= EPS * d
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = num / den
+    lo = np.max(np.where(~flat & (den < 0), t, -np.inf), axis=1)
+    hi = np.min(np.where(~flat & (den > 0), t, np.inf), axis=1)
+    return lo, np.where((flat & (num < -EPS * d * d)).any(axis=1), -np.inf, hi)
 
 
-_ARRAYS = ("j", "image_x", "image_y", "image_z", "dx", "dy", "dz", "d")
-
-
-def _facets_3d(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _faces(samples: pa.Array, ids: list[pa.Array], tiles: list[Tile], dim: int) -> Iterator[pa.RecordBatch]:
+    """Facets of the cells of some tiles, a row for each seed at the place of the neighbour."""
+    cells, tile, row, places, boxes = cells_of(tiles)
+    if dim == 2:
+        lo, hi = cells.ends()
+        with np.errstate(invalid="ignore"):
+            on = hi - lo > EPS
+    else:
+        areas = cells.areas()
+        on = areas > EPS * areas.max(axis=1, initial=0)[:, None]
+    on &= ~cells.torn[:, None]
+    cell, plane = np.nonzero(on)
+    label = cells.label[cell, plane]
+    faces = np.concatenate([np.stack([np.eye(3)[a], -np.eye(3)[a]]) for a in range(3)])
+    turned = faces[np.where(label < 0, -1 - label, 0)]
+    place = np.full(len(label), -1)
+    place[label >= 0], turned[label >= 0] = places[label[label >= 0]], boxes[label[label >= 0]]
+    offset = cells.offset[cell, plane]
+    values = [lo[cell, plane], hi[cell, plane]] if dim == 2 else [areas[cell, plane]]
+    for i in np.flatnonzero(cells.torn):
+        o, q, moved = around(tiles[tile[i]], row[i], 4 * cells.reach2[i] * (1 + 1e-9))
+        if dim == 2:
+            found = _intervals(o)
+            keep = found[1] - found[0] > EPS
+        else:
+            found = _cells_3d([o])[0][:1]
+            keep = found[0] > EPS * max(found[0].max(), 0)
+        cell, place, turned, offset = np.append(cell, np.full(keep.sum(), i)), np.append(place, q[keep]), np.append(turned, moved[keep], axis=0), np.append(offset, o[keep], axis=0)
+        values = [np.append(v, f[keep]) for v, f in zip(values, found)]
+    # from places to seeds
+    seeds = np.cumsum([0] + [len(t.points) for t in tiles])
+    begin = np.cumsum([0] + [len(t.at) for t in tiles])
+    order = np.concatenate([t.order + k for t, k in zip(tiles, seeds)])
+    first = np.concatenate([t.first[:-1] + k for t, k in zip(tiles, seeds)])
+    many = np.concatenate([np.diff(t.first) for t in tiles])
+    own = np.concatenate([t.own + k for t, k in zip(tiles, seeds)])[cell]
+    turns = np.concatenate([t.turns for t in tiles])
+    itself = np.concatenate([t.place + k for t, k in zip(tiles, begin)])[own]
+    place = np.where(place < 0, itself, place + begin[tile[cell]])
+    n = many[place]
+    rep = np.repeat(np.arange(len(place)), n)
+    other = order[first[place][rep] + np.arange(len(rep)) - (np.cumsum(n) - n)[rep]]
+    image = (turned[rep] + turns[own[rep]] - turns[other]).astype(np.int32)
+    every = pa.concat_arrays(ids)
+    offset = offset[rep]
+    out = {"sample_id": samples.take(pa.array(tile[cell][rep])), "i": every.take(pa.array(own[rep])), "j": every.take(pa.array(other))}
+    out |= {f"image_{a}": pa.array(image[:, k]) for k, a in enumerate(axes(dim))} | {f"d{a}": pa.array(offset[:, k]) for k, a in enumerate(axes(dim))}
+    out |= {"d": pa.array(np.sqrt((offset ** 2).sum(axis=1)))} | {v: pa.array(x[rep]) for v, x in zip(("lo", "hi") if dim == 2 else ("area",), values)}
+    yield pa.RecordBatch.from_pydict(out)
+
+
+def _tile(rows: pa.Table, dim: int) -> Tile:
+    points = np.stack([rows.column(a).to_numpy() if a in axes(dim) else np.zeros(rows.num_rows) for a in "xyz"], axis=1)
+    sides = np.array([rows.column(b)[0].as_py() for b in box(dim)] + [0.0] * (3 - dim))
+    # a seed without an id bounds others, but its cell has no name
+    return Tile(points, np.flatnonzero(pc.and_(rows.column("_own"), pc.is_valid(rows.column("seed_id"))).to_numpy(zero_copy_only=False)), sides, dim)
+
+
+def _fewer(rows: pa.Table, dim: int) -> pa.Table:
+    """A tile without those rows around it that no cell has a facet with: cells only shrink, so they never will."""
+    tile = _tile(rows, dim)
+    keep = rows.column("_own").to_numpy(zero_copy_only=False).copy()
+    cells, _, row, places, _ = cells_of([tile])
+    used = np.zeros(len(tile.at), bool)
+    labels = cells.label[~cells.torn]
+    used[places[labels[labels >= 0]]] = True
+    for i in np.flatnonzero(cells.torn):
+        q = around(tile, row[i], 4 * cells.reach2[i] * (1 + 1e-9))[1]
+        used[q[q >= 0]] = True
+    return rows.filter(pa.array(keep | used[tile.place]))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.Table]:
+    """The rows of one tile after the other; of those around a tile no more are held than its cells may need."""
+    held, most = None, HELD
     for batch in batches:
-        keep, parts = [], {n: [] for n in (*_ARRAYS, "area", "closed")}
-        cells = _cells_3d([np.stack(d, axis=1) for d in zip(batch["dx"], batch["dy"], batch["dz"])])
-        for row, (areas, radius, _) in zip(batch.itertuples(index=False), cells, strict=True):
-            on = areas > EPS * max(areas.max(), 0)
-            keep.append(int(on.sum()))
-            for n in _ARRAYS:
-                parts[n].append(np.asarray(getattr(row, n))[on])
-            parts["area"].append(areas[on])
-            parts["closed"].append(np.full(keep[-1], np.isfinite(radius)))
-        out = {"sample_id": np.repeat(batch["sample_id"].to_numpy(), keep), "i": np.repeat(batch["i"].to_numpy(), keep)}
-        yield pd.DataFrame({**out, **{n: np.concatenate(v) if v else [] for n, v in parts.items()}})
-
-
-def _arrays(near: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
-    """The gathered neighbours as one plain array per field, which Arrow passes on as they are."""
-    # a field of an array of structs is the array of that field
-    return near.select(*SEED, *keep, *[F.col("near")[n].alias(n) for n in names])
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        new = np.zeros(max(rows.num_rows - 1, 0), bool)
+        for k in TILE:
+            new |= pc.not_equal(rows.column(k).slice(1), rows.column(k).slice(0, max(rows.num_rows - 1, 0))).to_numpy()
+        ends = np.flatnonzero(new) + 1
+        for a, b in zip([0, *ends[:-1]], ends):
+            yield rows.slice(a, b - a)
+        if len(ends):
+            rows, most = rows.slice(ends[-1]), HELD
+        if rows.num_rows > most:
+            rows = _fewer(rows, dim)
+            most = max(HELD, 2 * rows.num_rows)
+        held = rows if rows.num_rows else None
+    if held is not None:
+        yield held
+
+
+def _cut(rows: DataFrame, dim: int, sizes: bool = False) -> DataFrame:
+    """Facets of the cells of the rows marked ``_own`` by tile; with ``sizes``: how far from a seed of the tile others can touch its cell."""
+    keys = {f: rows.schema[f].dataType.simpleString() for f in ("sample_id", "seed_id")}
+
+    def facets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, tiles = [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if tiles:
+                yield from _faces(pa.concat_arrays(names), ids, tiles, dim)
+            names.clear(), ids.clear(), tiles.clear()
+
+        for group in _groups(batches, dim):
+            group = group.combine_chunks()
+            names.append(group.column("sample_id").slice(0, 1).combine_chunks())
+            ids.append(group.column("seed_id").combine_chunks())
+            tiles.append(_tile(group, dim))
+            if sum(len(t.own) for t in tiles) >= AT_ONCE:
+                yield from done()
+        yield from done()
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, dim):
+            group = group.combine_chunks()
+            reach2 = cells_of([_tile(group, dim)])[0].reach2
+            yield pa.RecordBatch.from_pydict({k: group.column(k).slice(0, 1).combine_chunks() for k in TILE} | {"_need": pa.array([2.0 * float(np.sqrt(reach2.max(initial=0)))])})
+
+    dealt = spread(rows, *TILE).sortWithinPartitions(*TILE, F.desc("_own"))
+    if sizes:
+        return dealt.mapInArrow(needs, f"sample_id {keys['sample_id']}, _tile bigint, _need double")
+    values = ", ".join([f"image_{a} int" for a in axes(dim)] + [f"d{a} double" for a in axes(dim)] + ["d double"] + (["lo double", "hi double"] if dim == 2 else ["area double"]))
+    return dealt.mapInArrow(facets, f"sample_id {keys['sample_id']}, i {keys['seed_id']}, j {keys['seed_id']}, {values}")
+
+
+def _stretches(rows: DataFrame, dim: int) -> DataFrame:
+    """Seeds of large samples by tile: stretches of a curve through the box, cut in two where the curve jumps furthest."""
+    placed = z_order(rows.withColumns({f"c{a}": F.col(a) for a in axes(dim)}), dim)
+    numbered = number_rows(placed.select("sample_id", "seed_id", *axes(dim), "_code"), ["sample_id"], ["_code", "seed_id", *axes(dim)], "_pos")
+    stretch = Window.partitionBy("sample_id", "_stretch")
+    ends = numbered.withColumn("_stretch", F.floor(F.col("_pos") / STRETCH).cast("long")).withColumns({"_lo": F.min("_code").over(stretch), "_hi": F.max("_code").over(stretch)})
+    ends = ends.withColumn("_bit", F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi")))) - 1)
+    upper = F.expr("_lo <> _hi AND shiftright(_code, _bit) = shiftright(_hi, _bit)").cast("long")
+    return checkpoint(ends.select("sample_id", (2 * F.col("_stretch") + upper).alias("_tile"), "seed_id", *axes(dim)))
+
+
+def _with_halo(seeds: DataFrame, tiles: DataFrame, facts: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
+    """Seeds of the wanted tiles and those within ``_reach`` of their bounds, images included."""
+    at = [f"c{a}" for a in axes(dim)]
+    keep = ["_half", "_r", *[f"_e{a}" for a in axes(dim)], *at]
+    both = tiles.join(unfolded(wanted.select(*TILE, F.col("_reach").alias("_r"))), TILE, "left").withColumn("_r", F.coalesce("_r", F.lit(0.0)))
+    both = checkpoint(both.withColumnRenamed("_tile", "particle_id"))
+    # grids count their cells, times 2^14, in 64 bits, so none is smaller than this
+    least = 2 * norm([F.col(b) for b in box(dim)]) / (1 << 18)
+    pairs = near_pairs(attach(both, facts.select("sample_id", least.alias("_least"))), facts, dim, F.greatest((F.col("_half") + F.col("_r")) * (1 + 1e-6), "_least"), keep)
+    sides = [pairs.select("sample_id", F.col(f"{x}_particle_id").alias("_for"), F.col(f"{y}_particle_id").alias("_tile"), *[F.col(f"{x}_{k}").alias(k) for k in keep],
+                          F.col(f"{y}__half").alias("_other"), "d") for x, y in ("ab", "ba")]
+    own = both.select("sample_id", F.col("particle_id").alias("_for"), F.col("particle_id").alias("_tile"), *keep, F.lit(0.0).alias("_other"), F.lit(0.0).alias("d"))
+    near = sides[0].unionByName(sides[1]).unionByName(own).where((F.col("_r") > 0) & (F.col("d") <= (F.col("_half") + F.col("_r") + F.col("_other")) * (1 + 1e-6)))
+    rows = attach(seeds.join(unfolded(near), TILE), facts)
+    gaps = norm([F.greatest(F.abs(min_image(F.col(a) - F.col(f"c{a}"), F.col(f"l{a}"))) - F.col(f"_e{a}"), F.lit(0.0)) for a in axes(dim)])
+    return rows.where(gaps <= F.col("_r")).select("sample_id", F.col("_for").alias("_tile"), (F.col("_for") == F.col("_tile")).alias("_own"), "seed_id", *axes(dim), *box(dim))
+
+
+def _large(rows: DataFrame, facts: DataFrame, dim: int) -> DataFrame:
+    """Rows for ``_cut`` of samples that are many tiles. A tile first looks as far as some seeds lie apart; its cells then tell how far it must."""
+    seeds = _stretches(rows, dim)
+    placed = attach(seeds, facts)
+    ends = [f(wrap(F.col(a), F.col(f"l{a}"))).alias(f"_{n}{a}") for a in axes(dim) for n, f in (("lo", F.min), ("hi", F.max))]
+    tiles = placed.groupBy(*TILE).agg(*ends, F.count(F.lit(1)).alias("_many"), F.first("_all").alias("_all"))
+    half = [(F.col(f"_hi{a}") - F.col(f"_lo{a}")) / 2 for a in axes(dim)]
+    apart = F.lit(1.0)
+    for e in half:
+        apart = apart * 2 * e
+    first = F.greatest(4 * F.pow(apart / F.col("_many"), F.lit(1 / dim)), 2 * F.greatest(*half) / F.col("_many"))
+    tiles = checkpoint(tiles.select(*TILE, "_all", *[((F.col(f"_hi{a}") + F.col(f"_lo{a}")) / 2).alias(f"c{a}") for a in axes(dim)],
+                                    *[(e * SLACK).alias(f"_e{a}") for e, a in zip(half, axes(dim))], (norm(half) * SLACK).alias("_half"),
+                                    F.when(first > 0, F.least(first, F.col("_all"))).otherwise(F.col("_all") / 1024).alias("_reach")))
+    left, known = tiles.select(*TILE, "_all", "_reach"), None
+    while True:
+        need = _cut(_with_halo(seeds, tiles, facts, left, dim), dim, sizes=True)
+        most = F.greatest(4 * F.col("_reach"), F.col("_all") / 1024)
+        looked = checkpoint(left.join(unfolded(need), TILE).select(*TILE, "_all", (F.col("_need") * SLACK <= most).alias("_known"), F.least(F.col("_need") * SLACK, most).alias("_reach")))
+        sure = looked.where("_known").select(*TILE, "_reach")
+        known = sure if known is None else known.unionByName(sure)
+        left = looked.where("NOT _known").drop("_known")
+        if left.isEmpty():
+            return _with_halo(seeds, tiles, facts, known, dim)
 
 
 def _facets(seeds: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
-    """Facets of every cell. Rings widen for the seeds whose cell may reach past the last one."""
-    key = seeds.schema["sample_id"].dataType.simpleString()
-    seeds = checkpoint(seeds.select("sample_id", "seed_id", *axes(dim)))
-    facts = checkpoint(_facts(seeds, samples, dim))
-    around = local_reach(seeds.withColumnsRenamed({"seed_id": "particle_id", **{a: f"c{a}" for a in axes(dim)}}), samples, dim, NEAREST)
-    active = checkpoint(around.select("sample_id", F.col("particle_id").alias("seed_id"), *[F.col(f"c{a}").alias(a) for a in axes(dim)],
-                                      (F.col("_ring") * FIRST_RING[dim]).alias("_ring")))
-    found = None
-    while True:
-        # one shuffle by seed serves every step of the round
-        pairs = checkpoint(spread(_near(active, seeds, facts, dim), *SEED))
-        entry = F.struct("d", "j", *[f"image_{a}" for a in axes(dim)], *[f"d{a}" for a in axes(dim)])
-        nearest = pairs.groupBy(*SEED, _direction_bin(dim).alias("_bin")).agg(
-            F.min(entry).alias("_e"), F.first("_reach").alias("_reach"), F.first("_all").alias("_all"))
-        first = (nearest.groupBy(*SEED).agg(
-            F.collect_list("_e").alias("near"), F.first("_reach").alias("_reach"), F.first("_all").alias("_all")))
-        if dim == 2:
-            first = first.withColumn("_edges", _intervals_2d(F.col("near")))
-            sized = first.select(*SEED, "_reach", "_all", _radius_2d(F.col("_edges")).alias("cell_radius"), _corners_2d(F.col("_edges")).alias("_corners"))
-        else:
-            sized = _arrays(first, ("dx", "dy", "dz"), "_reach", "_all").mapInPandas(
-                _bounds_3d, f"sample_id {key}, i bigint, _reach double, _all double, cell_radius double, _corners array<struct<x: double, y: double, z: double>>")
-        # sure when no seed past the ring can touch the cell, or when the ring holds everything
-        sized = checkpoint(sized.withColumn("_limit", F.when(F.col("_reach") >= F.col("_all"), F.coalesce(
-            2 * F.col("cell_radius"), F.col("_all"))).when(2 * F.col("cell_radius") <= F.col("_reach"),
-                                                           2 * F.col("cell_radius")))
-                           .select(*SEED, "_limit", "_corners", (2 * F.col("cell_radius")).alias("_enough")))
-        sure = sized.where("_limit IS NOT NULL").drop("_enough")
-        # only neighbours that cut what the first ones leave are gathered, so a crowd beside a seed is not
-        near = _gather(pairs.join(sure, SEED).where((F.col("d") <= F.col("_limit") * (1 + 1e-9)) & _cuts(dim)), dim)
-        if dim == 2:
-            edges = near.select(*SEED, F.explode(_intervals_2d(F.col("near"))).alias("_e")).select(*SEED, "_e.*")
-            out = edges.withColumn("closed", F.col("lo").isNotNull() & F.col("hi").isNotNull())
-        else:
-            out = _arrays(near, _ARRAYS).mapInPandas(
-                _facets_3d, f"sample_id {key}, i bigint, j bigint, image_x int, image_y int, image_z int, "
-                "dx double, dy double, dz double, d double, area double, closed boolean")
-        out = checkpoint(out)
-        found = out if found is None else found.unionByName(out)
-        # who has looked everywhere is done too; a closed cell tells how far to look, for an open one the ring widens
-        known = sized.select("sample_id", F.col("i").alias("seed_id"), F.col("_limit").isNotNull().alias("_done"), "_enough")
-        wider = F.coalesce(F.col("_enough") * SLACK, F.col("_ring") * 4)
-        active = checkpoint(attach(active.join(known, ["sample_id", "seed_id"], "left"), facts.select("sample_id", "_all"))
-                            .where(~F.coalesce("_done", F.lit(False)) & (F.col("_ring") < F.col("_all"))).withColumn("_ring", wider).drop("_all", "_done", "_enough"))
-        if active.isEmpty():
-            return found
+    """Facets of every cell. They are cut as they are read: a plan that reads them twice cuts them twice."""
+    there = F.lit(True)
+    for a in axes(dim):
+        there = there & (F.abs(a) < float("inf"))
+    seeds = checkpoint(seeds.select("sample_id", F.col("seed_id").cast("bigint") if dim == 3 else "seed_id", *axes(dim)).where(there))
+    n = seeds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
+    sides = samples.select("sample_id", *box(dim)).where(" AND ".join(f"{b} > 0" for b in box(dim)))
+    facts = checkpoint(attach(sides, n).withColumn("_all", 2 * norm([F.col(b) for b in box(dim)])))
+    rows = attach(seeds, facts)
+    out = _cut(rows.where(F.col("_n") <= SAMPLE).select("sample_id", F.lit(0).cast("long").alias("_tile"), F.lit(True).alias("_own"), "seed_id", *axes(dim), *box(dim)), dim)
+    if not facts.where(F.col("_n") > SAMPLE).isEmpty():
+        out = out.unionByName(_cut(_large(rows.where(F.col("_n") > SAMPLE), facts.drop("_n"), dim), dim))
+    # the seed's own images close every cell
+    return out.withColumn("closed", F.lit(True))
 
 
 def voronoi_2d(seeds: DataFrame, samples: DataFrame) -> DataFrame:
@@ -397,13 +414,13 @@ def seeds_of(particles: DataFrame, dim: int) -> DataFrame:
 def _surface_seeds(particles: DataFrame, dim: int, n: int) -> DataFrame:
     """Surface points of all particles, eroded by the least critical thickness of their sample."""
     thin = with_erosion(particles).groupBy("sample_id").agg(F.min("erosion").alias("_erosion"))
-    points = surface_points(attach(particles, thin), n, F.col("_erosion"))
+    # particles are moved, not the many points they unfold to
+    points = surface_points(spread(attach(particles, thin), "sample_id", "particle_id"), n, F.col("_erosion"))
     number = F.col("k") if dim == 2 else F.col("theta_k") * n + F.col("k")
     per = n if dim == 2 else n * n
-    seeds = points.select("sample_id", (F.col("particle_id") * per + number).alias("seed_id"), *axes(dim))
     # points that coincide (a fully eroded disk, the poles of a sphere) are one seed
-    return (seeds.groupBy("sample_id", F.floor(F.col("seed_id") / per).alias("_p"),
-                          *[F.round(F.col(a), 12).alias(f"_{a}") for a in axes(dim)])
+    return (points.withColumn("seed_id", F.col("particle_id") * per + number)
+            .groupBy("sample_id", "particle_id", *[F.round(F.col(a), 12).alias(f"_{a}") for a in axes(dim)])
             .agg(F.min("seed_id").alias("seed_id"), *[F.min_by(a, "seed_id").alias(a) for a in axes(dim)])
             .select("sample_id", "seed_id", *axes(dim)))
 
