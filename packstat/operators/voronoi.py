@@ -32,11 +32,11 @@ SAMPLE, STRETCH, AT_ONCE, HELD = 2048, 512, 1024, 1 << 18
 TILE = ["sample_id", "_tile"]
 
 
-def _cells_3d(cells: Sequence[np.ndarray], enough: Sequence[float] | None = None) -> list[tuple[np.ndarray, float, np.ndarray | None]]:
+def _cells_3d(cells: Sequence[np.ndarray]) -> list[tuple[np.ndarray, float, np.ndarray | None]]:
     """Of each 3D cell, from its neighbours' offsets: areas of the facets, the cell's radius and its corners (none if it is open).
 
     The nearest neighbours all around bound a cell, and only neighbours whose bisector cuts or touches that bound can have a facet:
-    some of them join, until all have. Cells of as many neighbours are cut together. With ``enough``, any bound not above it will do.
+    some of them join, until all have. Cells of as many neighbours are cut together.
     """
     done: list = [None] * len(cells)
     sizes, units, orders, actives = [], [], [], []
@@ -72,9 +72,6 @@ def _cells_3d(cells: Sequence[np.ndarray], enough: Sequence[float] | None = None
                     there[:2 * len(active)] = True
                 else:
                     own = corners[ends[at]:ends[at + 1]]
-                    if enough is not None and radius[at] * unit <= enough[i]:
-                        done[i] = np.zeros(len(sizes[i])), radius[at] * unit, own * unit
-                        continue
                     there = np.ones(len(order), bool)
                     if len(active) < len(order):
                         # what cuts or touches the cell left so far; it only shrinks, so the others are out for good

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from packstat.operators import cells as ce
 from packstat.operators import voronoi as vo
+from packstat.plans import QUERIES
 from packstat.session import shared_dir
 
 
@@ -141,3 +142,20 @@ def test_few_rows_around_a_tile_are_held(monkeypatch):
     monkeypatch.setattr(vo, "HELD", 600)
     fewer, got = cut()
     assert held == n and fewer < 1500 and got[key].equals(want[key]) and np.allclose(got.area, want.area, rtol=1e-9, atol=1e-12)
+
+
+#: Tables that a query may write on the way, in bytes a particle.
+LITTLE = {"voronoi_3d_volumes": 400}
+
+
+@pytest.mark.parametrize("name", LITTLE)
+def test_queries_of_cells_write_no_neighbours(spark, tmp_path, name):
+    keys = range(400)
+    spark.createDataFrame([(k, 1 + k * 7 % 50) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    before = written(spark)
+    out = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert written(spark) - before < LITTLE[name] * len(keys)
+    if name.endswith("volumes"):
+        assert sorted(out.sample_id) == [0, 1, 2, 3] and (out.cells == 100).all() and (out.volume == 1).all()
+    else:
+        assert len(out) == len(keys) and not out.isna().any().any()
