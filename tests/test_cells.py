@@ -145,7 +145,7 @@ def test_few_rows_around_a_tile_are_held(monkeypatch):
 
 
 #: Tables that a query may write on the way, in bytes a particle.
-LITTLE = {"voronoi_3d_volumes": 400, "imt_3d_of_cells": 400, "voronoi_crowded_3d_volumes": 400}
+LITTLE = {"voronoi_3d_volumes": 400, "imt_3d_of_cells": 400, "voronoi_crowded_3d_volumes": 400, "set_voronoi_2d": 600}
 
 
 @pytest.mark.parametrize("name", LITTLE)
