@@ -8,10 +8,13 @@ of planes that know the corners across their edges, so a cut touches only what i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from copy import copy
+
 import numpy as np
 
-#: Corners and planes a cell has room for at first.
-ROOM = 32
+#: Corners and planes a cell has room for at first; neighbours after which a cell is cut alone, so that the others need no such room.
+ROOM, MOST = 32, 128
 #: Distances that are held at once, and neighbours of a cell that are sorted first.
 HELD, FIRST = 1 << 20, {2: 40, 3: 128}
 NEAREST = ((0, 0, 0),)
@@ -27,8 +30,8 @@ class Cells:
     planes: the neighbours that cut it so far, after six for the faces of the box (labels -1 to -6: +x, -x, +y, ...).
     """
 
-    def __init__(self, sides: np.ndarray) -> None:
-        m = len(sides)
+    def __init__(self, sides: np.ndarray, most: int | None = None) -> None:
+        m, self.most = len(sides), most
         self.corner, self.far = np.zeros((3, m, ROOM)), np.zeros((m, ROOM))
         self.planes, self.across = np.zeros((m, ROOM, 3), np.int32), np.zeros((m, ROOM, 3), np.int32)
         self.free, self.n_free, self.top = np.zeros((m, ROOM), np.int32), np.zeros(m, np.int64), np.full(m, 8)
@@ -46,6 +49,8 @@ class Cells:
         self.reach2 = self.far.max(axis=1)
         #: Cells that rounding has left without a closed surface: to be cut by other means.
         self.torn = np.zeros(m, bool)
+        #: Cells that more than ``most`` planes have cut: not cut any further.
+        self.outgrown = np.zeros(m, bool)
 
     def _more_room(self, corners: int, planes: int) -> None:
         def wider(x: np.ndarray, axis: int, n: int, value: int = 0) -> np.ndarray:
@@ -72,6 +77,10 @@ class Cells:
         d -= o2[:, None] / 2
         beyond = d > (size * (1e-12 * size + 4e-15 * np.sqrt(self.reach2[g])))[:, None]
         hit = np.flatnonzero(beyond.any(axis=1))
+        if self.most is not None:
+            over = self.n_planes[g[hit]] >= self.most
+            self.outgrown[g[hit[over]]] = True
+            hit = hit[~over]
         if not len(hit):
             return
         if len(hit) < len(g):
@@ -208,7 +217,7 @@ class Tile:
 def _in_turn(cells: Cells, at: np.ndarray, d2: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> None:
     """Cut the cells ``at`` by their neighbours in the order of the columns, as long as these can reach a corner."""
     for k in range(d2.shape[1]):
-        on = np.flatnonzero((d2[:, k] < 4 * cells.reach2[at]) & ~cells.torn[at])
+        on = np.flatnonzero((d2[:, k] < 4 * cells.reach2[at]) & ~cells.torn[at] & ~cells.outgrown[at])
         if not len(on):
             return
         cells.cut(at[on], offsets[on, k], labels[on, k])
@@ -258,12 +267,22 @@ class Neighbors:
         return tuple(np.concatenate(x) for x in zip(faces, *self.parts))
 
 
-def cells_of(tiles: list[Tile]) -> tuple[Cells, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parts_of(tiles: list[Tile]) -> Iterator[tuple]:
+    """``cells_of`` the tiles, then of each cell that has outgrown them, with the numbers of the tiles."""
+    part = cells_of(tiles, MOST)
+    yield np.arange(len(tiles)), tiles, part
+    for i in np.flatnonzero(part[0].outgrown):
+        alone = copy(tiles[part[1][i]])
+        alone.own = alone.own[part[2][i]:part[2][i] + 1]
+        yield part[1][i:i + 1], [alone], cells_of([alone], None)
+
+
+def cells_of(tiles: list[Tile], most: int | None) -> tuple[Cells, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Cells of the own seeds of some tiles one after the other; per cell its tile and row; place and boxes of each label."""
     tile_of = np.repeat(np.arange(len(tiles)), [len(t.own) for t in tiles])
     row_of = np.concatenate([np.arange(len(t.own)) for t in tiles]) if tiles else np.zeros(0, int)
     begin = np.cumsum([0] + [len(t.own) for t in tiles])
-    cells = Cells(np.stack([tiles[t].sides for t in tile_of]) if len(tile_of) else np.zeros((0, 3)))
+    cells = Cells(np.stack([tiles[t].sides for t in tile_of]) if len(tile_of) else np.zeros((0, 3)), most)
     names = Neighbors()
 
     def cut(found: list[tuple]) -> None:
@@ -289,13 +308,13 @@ def cells_of(tiles: list[Tile]) -> tuple[Cells, np.ndarray, np.ndarray, np.ndarr
     cut(first)
     # cells that further neighbours can reach, and those so wide that other images can
     for t, rows in _blocks(tiles, HELD):
-        left = rows[(last[begin[t] + rows] < 4 * cells.reach2[begin[t] + rows]) & ~cells.torn[begin[t] + rows]]
+        left = rows[(last[begin[t] + rows] < 4 * cells.reach2[begin[t] + rows]) & ~(cells.torn | cells.outgrown)[begin[t] + rows]]
         if len(left):
             cut([(begin[t] + left, *_neighbors(tiles[t], left, NEAREST, last[begin[t] + left], 4 * cells.reach2[begin[t] + left])[:4])])
     wide = []
     for t, rows in _blocks(tiles, HELD // 8):
         most = 4 * cells.reach2[begin[t] + rows]
-        left = rows[(most >= (tiles[t].sides[:tiles[t].dim].min() / 2) ** 2 * (1 - 1e-9)) & ~cells.torn[begin[t] + rows]]
+        left = rows[(most >= (tiles[t].sides[:tiles[t].dim].min() / 2) ** 2 * (1 - 1e-9)) & ~(cells.torn | cells.outgrown)[begin[t] + rows]]
         if len(left):
             wide.append((begin[t] + left, *_neighbors(tiles[t], left, OTHERS[tiles[t].dim], np.zeros(len(left)), 4 * cells.reach2[begin[t] + left])[:4]))
             if sum(x[1].size for x in wide) >= HELD // 4:

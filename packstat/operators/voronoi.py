@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from packstat.functions.ordered import number_rows
 from packstat.functions.periodic import axes, min_image, norm, wrap
 from packstat.functions.shapes import by_shape
-from packstat.operators.cells import Tile, around, cells_of
+from packstat.operators.cells import Tile, around, parts_of
 from packstat.operators.geometry import surface_points, with_erosion
 from packstat.operators.spatial import SLACK, attach, box, near_pairs, z_order
 from packstat.session import checkpoint, spread, unfolded
@@ -167,7 +167,12 @@ def _intervals(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _faces(samples: pa.Array, ids: list[pa.Array], tiles: list[Tile], dim: int) -> Iterator[pa.RecordBatch]:
     """Facets of the cells of some tiles, a row for each seed at the place of the neighbour."""
-    cells, tile, row, places, boxes = cells_of(tiles)
+    for numbers, some, part in parts_of(tiles):
+        yield _faces_of(samples.take(pa.array(numbers)), [ids[t] for t in numbers], some, part, dim)
+
+
+def _faces_of(samples: pa.Array, ids: list[pa.Array], tiles: list[Tile], part: tuple, dim: int) -> pa.RecordBatch:
+    cells, tile, row, places, boxes = part
     if dim == 2:
         lo, hi = cells.ends()
         with np.errstate(invalid="ignore"):
@@ -175,7 +180,7 @@ def _faces(samples: pa.Array, ids: list[pa.Array], tiles: list[Tile], dim: int)
     else:
         areas = cells.areas()
         on = areas > EPS * areas.max(axis=1, initial=0)[:, None]
-    on &= ~cells.torn[:, None]
+    on &= ~(cells.torn | cells.outgrown)[:, None]
     cell, plane = np.nonzero(on)
     label = cells.label[cell, plane]
     faces = np.concatenate([np.stack([np.eye(3)[a], -np.eye(3)[a]]) for a in range(3)])
@@ -184,7 +189,7 @@ def _faces(samples: pa.Array, ids: list[pa.Array], tiles: list[Tile], dim: int)
     place[label >= 0], turned[label >= 0] = places[label[label >= 0]], boxes[label[label >= 0]]
     offset = cells.offset[cell, plane]
     values = [lo[cell, plane], hi[cell, plane]] if dim == 2 else [areas[cell, plane]]
-    for i in np.flatnonzero(cells.torn):
+    for i in np.flatnonzero(cells.torn & ~cells.outgrown):
         o, q, moved = around(tiles[tile[i]], row[i], 4 * cells.reach2[i] * (1 + 1e-9))
         if dim == 2:
             found = _intervals(o)
@@ -213,7 +218,7 @@ def _faces(samples: pa.Array, ids: list[pa.Array], tiles: list[Tile], dim: int)
     out = {"sample_id": samples.take(pa.array(tile[cell][rep])), "i": every.take(pa.array(own[rep])), "j": every.take(pa.array(other))}
     out |= {f"image_{a}": pa.array(image[:, k]) for k, a in enumerate(axes(dim))} | {f"d{a}": pa.array(offset[:, k]) for k, a in enumerate(axes(dim))}
     out |= {"d": pa.array(np.sqrt((offset ** 2).sum(axis=1)))} | {v: pa.array(x[rep]) for v, x in zip(("lo", "hi") if dim == 2 else ("area",), values)}
-    yield pa.RecordBatch.from_pydict(out)
+    return pa.RecordBatch.from_pydict(out)
 
 
 def _tile(rows: pa.Table, dim: int) -> Tile:
@@ -227,13 +232,13 @@ def _fewer(rows: pa.Table, dim: int) -> pa.Table:
     """A tile without those rows around it that no cell has a facet with: cells only shrink, so they never will."""
     tile = _tile(rows, dim)
     keep = rows.column("_own").to_numpy(zero_copy_only=False).copy()
-    cells, _, row, places, _ = cells_of([tile])
     used = np.zeros(len(tile.at), bool)
-    labels = cells.label[~cells.torn]
-    used[places[labels[labels >= 0]]] = True
-    for i in np.flatnonzero(cells.torn):
-        q = around(tile, row[i], 4 * cells.reach2[i] * (1 + 1e-9))[1]
-        used[q[q >= 0]] = True
+    for _, (one,), (cells, _, row, places, _) in parts_of([tile]):
+        labels = cells.label[~(cells.torn | cells.outgrown)]
+        used[places[labels[labels >= 0]]] = True
+        for i in np.flatnonzero(cells.torn & ~cells.outgrown):
+            q = around(one, row[i], 4 * cells.reach2[i] * (1 + 1e-9))[1]
+            used[q[q >= 0]] = True
     return rows.filter(pa.array(keep | used[tile.place]))
 
 
@@ -276,15 +281,15 @@ def _cut(rows: DataFrame, dim: int, sizes: bool = False) -> DataFrame:
             names.append(group.column("sample_id").slice(0, 1).combine_chunks())
             ids.append(group.column("seed_id").combine_chunks())
             tiles.append(_tile(group, dim))
-            if sum(len(t.own) for t in tiles) >= AT_ONCE:
+            if sum(len(t.own) for t in tiles) >= AT_ONCE or sum(len(t.points) for t in tiles) >= HELD:
                 yield from done()
         yield from done()
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, dim):
             group = group.combine_chunks()
-            reach2 = cells_of([_tile(group, dim)])[0].reach2
-            yield pa.RecordBatch.from_pydict({k: group.column(k).slice(0, 1).combine_chunks() for k in TILE} | {"_need": pa.array([2.0 * float(np.sqrt(reach2.max(initial=0)))])})
+            reach2 = np.concatenate([[0.0], *[cells.reach2[~cells.outgrown] for _, _, (cells, *_) in parts_of([_tile(group, dim)])]])
+            yield pa.RecordBatch.from_pydict({k: group.column(k).slice(0, 1).combine_chunks() for k in TILE} | {"_need": pa.array([2.0 * float(np.sqrt(reach2.max()))])})
 
     dealt = spread(rows, *TILE).sortWithinPartitions(*TILE, F.desc("_own"))
     if sizes:

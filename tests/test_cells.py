@@ -114,15 +114,29 @@ def test_torn_cells_are_cut_by_other_means(dim, monkeypatch):
     want = next(vo._faces(pa.array(["a"]), [ids], [tile], dim)).to_pandas().sort_values(key).reset_index(drop=True)
 
     def torn(tiles):
-        out = ce.cells_of(tiles)
+        out = ce.cells_of(tiles, None)
         out[0].torn[::2] = True
-        return out
+        yield np.arange(len(tiles)), tiles, out
 
-    monkeypatch.setattr(vo, "cells_of", torn)
+    monkeypatch.setattr(vo, "parts_of", torn)
     got = next(vo._faces(pa.array(["a"]), [ids], [tile], dim)).to_pandas().sort_values(key).reset_index(drop=True)
     assert got[key].equals(want[key]) and np.allclose(got.drop(columns=["sample_id"]), want.drop(columns=["sample_id"]), rtol=1e-7, atol=1e-10)
 
 
+@pytest.mark.parametrize("dim, n", [(2, 150), (3, 300)])
+def test_a_cell_of_many_neighbours_is_cut_alone(spark, dim, n):
+    rng = np.random.default_rng(n)
+    shell = rng.normal(size=(n, dim))
+    x = 0.5 + np.concatenate([np.zeros((1, dim)), 0.2 * shell / np.linalg.norm(shell, axis=1)[:, None]])
+    out = facets(spark, dim, [("a", i, c) for i, c in enumerate(x)], {"a": [1.0] * dim})
+    assert (out["size"] * out.d).sum() / (2 * dim) == pytest.approx(1.0, rel=1e-9)
+    own, want = out[out.i == 0], brute(x, 0, np.ones(dim), 0)
+    assert len(want) > ce.MOST and {*own.j[own["size"] > 1e-9]} == {j for j, *_ in want} and own["size"].sum() == pytest.approx(sum(want.values()))
+    tile = ce.Tile(np.pad(x, ((0, 0), (0, 3 - dim))), np.arange(n + 1), np.where(np.arange(3) < dim, 1.0, 0.0), dim)
+    (_, _, many), *alone = ce.parts_of([tile])
+    assert many[0].label.shape[1] <= 2 * ce.MOST and many[0].outgrown[0] and len(alone) == many[0].outgrown.sum()
+
+
 def test_few_rows_around_a_tile_are_held(monkeypatch):
     rng = np.random.default_rng(8)
     n = 5000
